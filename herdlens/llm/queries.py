@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, sharding
+from . import linededup, mixing, neardup, sharding
 from .common import documents
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 
+def op2_minhash_near_dedup(spark, sf_dir):
+    out = neardup.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), k=4)
+    return out.select(F.col("nd_doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("nd_doc") == F.col("component")).alias("kept"))
+
+
 def op4_line_dedup(spark, sf_dir):
     out = linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -26,12 +31,14 @@ def op9_source_mixing(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op6_sharding": op6_sharding,
     "op9_source_mixing": op9_source_mixing,
 }
 
 ORACLE_SQL = {
+    "op2_minhash_near_dedup": neardup.ORACLE_SQL,
     "op4_line_dedup": linededup.ORACLE_SQL,
     "op9_source_mixing": mixing.ORACLE_SQL,
 }
