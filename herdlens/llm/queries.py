@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, neardup, sharding
+from . import linededup, mixing, neardup, sharding, tokenbin
 from .common import documents
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -15,6 +15,17 @@ def op2_minhash_near_dedup(spark, sf_dir):
     return out.select(F.col("nd_doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("nd_doc") == F.col("component")).alias("kept"))
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_ids(spark, sf_dir):
+    return tokenbin.read_digests(tokenbin.write_ids(documents(spark, sf_dir).select("doc_id", "text"), vocabulary("word_bpe_49k.json")))
+
+
 def op4_line_dedup(spark, sf_dir):
     out = linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -32,6 +43,7 @@ def op9_source_mixing(spark, sf_dir):
 
 QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_token_ids": op3_token_ids,
     "op4_line_dedup": op4_line_dedup,
     "op6_sharding": op6_sharding,
     "op9_source_mixing": op9_source_mixing,
