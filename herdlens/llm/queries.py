@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, neardup, sharding, tokenbin
+from . import langid, linededup, mixing, neardup, sharding, tokenbin
 from .common import documents
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -41,12 +41,19 @@ def op9_source_mixing(spark, sf_dir):
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op10_language_id(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    model = langid.learn(docs, ~langid.held_out(F.col("doc_id")))
+    return langid.predict(docs, model).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_token_ids": op3_token_ids,
     "op4_line_dedup": op4_line_dedup,
     "op6_sharding": op6_sharding,
     "op9_source_mixing": op9_source_mixing,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL = {
