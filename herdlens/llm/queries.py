@@ -4,12 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import langid, linededup, mixing, neardup, sharding, tokenbin
+from . import langid, licenses, linededup, mixing, neardup, sharding, tokenbin
 from .common import documents
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 
+def op1_license_scan(spark, sf_dir):
+    """score: the share of the text's words within a span."""
+    found = licenses.scan(documents(spark, sf_dir))
+    names = "array_join(array_sort(array_distinct(transform({}, s -> s.label))), ',')"
+    base = "filter(spans, s -> not s.template)"
+    covered = "aggregate(spans, named_struct('to', 0L, 'n', 0L), (a, s) -> named_struct('to', greatest(a.to, s.first_word + s.n_words), 'n', a.n + greatest(0L, s.first_word + s.n_words - greatest(a.to, s.first_word))), a -> a.n)"
+    return found.selectExpr(
+        "doc_id",
+        "n_words",
+        f"cast(size({base}) as bigint) n_base",
+        f"array_min(transform({base}, s -> s.first_word)) first_word",
+        f"array_max(transform({base}, s -> s.first_word)) last_word",
+        f"{names.format(base)} base_labels",
+        f"{names.format('spans')} labels",
+        f"case when n_words > 0 then {covered} / n_words else 0D end score",
+    )
+
+
 def op2_minhash_near_dedup(spark, sf_dir):
     out = neardup.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), k=4)
     return out.select(F.col("nd_doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("nd_doc") == F.col("component")).alias("kept"))
@@ -48,6 +66,7 @@ def op10_language_id(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_token_ids": op3_token_ids,
     "op4_line_dedup": op4_line_dedup,
