@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import langid, licenses, linededup, mixing, neardup, sharding, tokenbin
+from . import langid, licenses, linededup, mixing, neardup, pivots, sharding, tokenbin, vptree
 from .common import documents
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -54,6 +54,16 @@ def op6_sharding(spark, sf_dir):
     return sharding.assign(docs, "doc_id", SHARDS)
 
 
+def op7_vantage_point_ann(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return vptree.search(vptree.build(vectors, "vec_id", "embedding"), vectors.where("vec_id % 100 = 0"), "vec_id", "embedding", k=10)
+
+
+def op8_exact_top_k(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return pivots.top_k(vectors, vectors.where("vec_id % 20 = 0"), "vec_id", "embedding", k=20)
+
+
 def op9_source_mixing(spark, sf_dir):
     out = mixing.mix(documents(spark, sf_dir).select("doc_id", "source", "text"), keep=["doc_id"])
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -71,6 +81,8 @@ QUERIES = {
     "op3_token_ids": op3_token_ids,
     "op4_line_dedup": op4_line_dedup,
     "op6_sharding": op6_sharding,
+    "op7_vantage_point_ann": op7_vantage_point_ann,
+    "op8_exact_top_k": op8_exact_top_k,
     "op9_source_mixing": op9_source_mixing,
     "op10_language_id": op10_language_id,
 }
@@ -78,5 +90,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_minhash_near_dedup": neardup.ORACLE_SQL,
     "op4_line_dedup": linededup.ORACLE_SQL,
+    "op8_exact_top_k": pivots.ORACLE_SQL,
     "op9_source_mixing": mixing.ORACLE_SQL,
 }
