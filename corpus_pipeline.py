@@ -1,6 +1,58 @@
-STAGES = []
+"""Documents to tokens in five stages; each takes what the one before it kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from herdlens.llm import langid, linededup, mixing, nbest, neardup
+from herdlens.llm.common import stored
+from herdlens.llm.queries import vocabulary
+
+
+def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known with enough certainty."""
+    return langid.filter_languages(docs, langid.learn(docs, ~langid.held_out(F.col("doc_id"))))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the text that is left of each and its length."""
+    out = linededup.dedup_lines(docs)
+    new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
+    return out.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: the smallest doc_id. Five-word shingles, similarity 0.8 or more."""
+    return neardup.dedup(docs).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mixed(docs)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Digests of each row's best segmentations."""
+    return nbest.encode(docs, vocabulary("piece_bpe_32k.model"), keep_ids=False)
+
+
+STAGES = [
+    ("language ID", identify_languages),
+    ("line dedup", drop_repeated_lines),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("mixing sources", mix_sources),
+    ("SentencePiece encoding", encode_pieces),
+]
+
+#: Language ID, MinHash and the piece lattice are not for SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stored(docs, f"stage-{i + 1}")
+    return docs

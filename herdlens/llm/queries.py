@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import langid, licenses, linededup, mixing, neardup, pivots, sharding, tokenbin, vptree
+from . import langid, licenses, linededup, mixing, nbest, neardup, pivots, sharding, tokenbin, vptree
 from .common import documents
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -49,6 +49,10 @@ def op4_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_nbest_pieces(spark, sf_dir):
+    return nbest.encode(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"), keep_ids=False)
+
+
 def op6_sharding(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     return sharding.assign(docs, "doc_id", SHARDS)
@@ -80,6 +84,7 @@ QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_token_ids": op3_token_ids,
     "op4_line_dedup": op4_line_dedup,
+    "op5_nbest_pieces": op5_nbest_pieces,
     "op6_sharding": op6_sharding,
     "op7_vantage_point_ann": op7_vantage_point_ann,
     "op8_exact_top_k": op8_exact_top_k,
