@@ -52,7 +52,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) ->
 
     Weights go round the sources by code point, null last. With caps c = max_repeat * size, targets are
     min(c, level * weight) with one level for all: sources in order of c / weight are capped until the level that the
-    rest share stays below the next c / weight. That is where resharing by weight ends.
+    rest share stays below the next c / weight: the largest of the levels that fit. There resharing by weight ends.
     """
     per = sizes.groupBy("mix_null", "mix_source").agg(F.sum("mix_size").alias("source_size"))
     place = F.row_number().over(Window.orderBy("mix_null", "mix_source")) - 1
@@ -67,7 +67,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) ->
         .withColumn("capped", F.coalesce(F.sum("cap").over(before), F.lit(0)))
         .withColumn("open", F.sum("weight").over(after))
         .withColumn("level", F.when(F.col("cap") / F.col("weight") >= level, level))
-        .withColumn("level", F.min("level").over(everything))
+        .withColumn("level", F.max("level").over(everything))
     )
     target = F.least(F.col("cap").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap").cast("double")))
     return per.select("mix_null", "mix_source", "source_size", target.alias("target"))
@@ -128,7 +128,7 @@ per as (select sn, s, sum(size)::bigint source_size, [5, 2, 1][1 + (row_number()
 lev as (select *, {MAX_REPEAT} * source_size cap, (sum(source_size) over ())::bigint total from per),
 lev2 as (select *, coalesce(sum(cap) over (order by cap / w, sn, s rows between unbounded preceding and 1 preceding), 0)::bigint capped,
     (sum(w) over (order by cap / w, sn, s rows between current row and unbounded following))::bigint opn from lev),
-lev3 as (select *, min(case when cap / w >= (total - capped) / opn then (total - capped) / opn end) over () level from lev2),
+lev3 as (select *, max(case when cap / w >= (total - capped) / opn then (total - capped) / opn end) over () level from lev2),
 t as (select sn, s, source_size, least(cap::double, coalesce(level * w, cap::double)) target,
     ('0x' || substr(md5('{SEED}:' || sn || ':' || s), 1, 8))::ubigint::double / 4294967296.0 u from lev3),
 r as (select b.*, t.source_size, t.target, t.u, row_number() over (partition by b.sn, b.s order by cls, sub, size, doc_id) rank,
