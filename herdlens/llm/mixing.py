@@ -105,7 +105,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, subs: in
         _keyed(docs, subs)
         .select(*keep, *bucket, "mix_size", *([] if "doc_id" in keep else ["doc_id"]))
         .withColumn("mix_row", F.row_number().over(row))
-        .join(plan, bucket)
+        .join(plan, bucket, "left")  # every bucket is there; an inner join would test its keys on the texts again
         .withColumn("rate", F.least(rate, F.lit(float(max_repeat))))
         .withColumn("rank", F.col("before") + F.col("mix_row"))
         .withColumn("copies", (upto(F.col("rank")) - upto(F.col("rank") - 1)).cast("int"))
