@@ -46,23 +46,36 @@ def pivot_table(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 def top_products(q_ids, q, ids, x, table, pivots, longest: float, k: int):
     """For each query (ids, products) of its k largest inner products in this block, ties to smaller ids, itself left out."""
     q_table = pivot_table(np.concatenate([q, np.zeros((len(q), 1))], 1), pivots)
-    size = (q * q).sum(1)
+    size, by_pivot, q_pivot = (q * q).sum(1), np.ascontiguousarray(table.T, np.float32), q_table.astype(np.float32)
+    far = np.empty_like(by_pivot)
     for i in range(len(q)):
-        gap = np.zeros(len(x))
-        for p in range(table.shape[1]):
-            np.maximum(gap, np.abs(table[:, p] - q_table[i, p]), out=gap)
-        # slack for the rounding of square roots, so that no bound falls below its product
-        bound = (size[i] + longest - gap * gap) / 2 + 1e-6 * (size[i] + longest) + 1e-6
-        order = np.argsort(-bound, kind="stable")
-        order = order[ids[order] != q_ids[i]]
-        got_i, got_s = np.empty(0, np.int64), np.empty(0)
-        at, step = 0, max(CHUNK, 2 * k)
-        while at < len(order) and (len(got_s) < k or bound[order[at]] >= got_s[-1]):
-            rows = order[at : at + step]
-            at += step
-            got_i, got_s = np.concatenate([got_i, ids[rows]]), np.concatenate([got_s, x[rows] @ q[i]])
+        np.subtract(by_pivot, q_pivot[i][:, None], out=far)
+        gap = np.abs(far, out=far).max(0).astype(np.float64)
+        # slack for the rounding to single precision and of square roots: a gap taken too small is still a lower bound
+        gap = np.maximum(gap - 1e-5 * (1 + q_table[i].max() + longest**0.5), 0.0)
+        bound = (size[i] + longest - gap * gap) / 2 + 1e-9 * (size[i] + longest)
+        left = np.flatnonzero(ids != q_ids[i])
+        got_i, got_s, step = np.empty(0, np.int64), np.empty(0), max(CHUNK, 2 * k)
+        while len(left):
+            if len(left) > step:  # those with the highest bounds come next
+                part = np.argpartition(bound[left], len(left) - step)
+                rows, left = left[part[-step:]], left[part[:-step]]
+            else:
+                rows, left = left, left[:0]
+            scores = (x if 4 * len(rows) > 3 * len(x) else x[rows]) @ q[i]
+            scores = scores[rows] if len(scores) > len(rows) else scores
+            if len(got_s) == k:
+                fair = scores >= got_s[-1]
+                rows, scores = rows[fair], scores[fair]
+            elif len(scores) > k:
+                fair = scores >= np.partition(scores, -k)[-k]
+                rows, scores = rows[fair], scores[fair]
+            got_i, got_s = np.concatenate([got_i, ids[rows]]), np.concatenate([got_s, scores])
             first = np.lexsort((got_i, -got_s))[:k]
             got_i, got_s = got_i[first], got_s[first]
+            if len(got_s) == k:
+                left = left[bound[left] >= got_s[-1]]  # no row whose bound is below the k-th best can be among them
+            step *= 8  # where bounds tell little, few and large chunks
         yield got_i, got_s
 
 
