@@ -103,9 +103,11 @@ def train(texts: list[str], labels: list[str], max_rejected: float = 0.001, most
     languages = sorted(set(labels))
     y = np.array([languages.index(x) for x in labels])
     data, offsets = text_buffers(pa.array(texts, pa.large_string()))
-    grams = [np.split(b + k * BUCKETS, bounds[1:-1]) for k, (b, bounds) in enumerate(subwords(data[offsets[0] : offsets[-1]], offsets))]
-    rows = [np.unique(np.concatenate(x), return_counts=True) for x in zip(*grams)]
-    rows = [(i.astype(np.int64), (c / max(1, c.sum()))[:, None].astype(np.float32)) for i, c in rows]
+    rows = []
+    for a, b in blocks(offsets):
+        grams = [np.split(x + k * BUCKETS, bounds[1:-1]) for k, (x, bounds) in enumerate(subwords(data[offsets[a] : offsets[b]], offsets[a : b + 1]))]
+        found = [np.unique(np.concatenate(x), return_counts=True) for x in zip(*grams)]
+        rows += [(i.astype(np.int32), (c / max(1, c.sum()))[:, None].astype(np.float32)) for i, c in found]
     order = random.permutation(len(rows))
     cut = len(rows) - len(rows) // 5
     fit, held = order[:cut], order[cut:] if len(rows) >= 5 else order
@@ -130,8 +132,9 @@ def train(texts: list[str], labels: list[str], max_rejected: float = 0.001, most
             emb[index] = own - rate * len(index) ** 0.5 * share * back
     table = np.ascontiguousarray((emb @ layer).reshape(len(ORDERS), BUCKETS, -1).transpose(0, 2, 1)).astype(np.float32)
     model = Model(languages, table, bias.astype(float))
+    del emb, rows
     held_data, held_offsets = text_buffers(pa.array([texts[i] for i in held], pa.large_string()))
-    logits, gold = model.logits(held_data[held_offsets[0] : held_offsets[-1]], held_offsets), y[held]
+    logits, gold = np.concatenate([model.logits(held_data[held_offsets[a] : held_offsets[b]], held_offsets[a : b + 1]) for a, b in blocks(held_offsets)]), y[held]
     loss = lambda t: -np.log(softmax(logits / t)[np.arange(len(gold)), gold] + 1e-12).mean()
     model.temperature = float(min(np.geomspace(0.5, 20, 61), key=loss))
     best = np.sort(softmax(logits / model.temperature).max(1))

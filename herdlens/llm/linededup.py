@@ -37,7 +37,7 @@ def _identified(docs: DataFrame) -> DataFrame:
 
 
 def drop_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """dd_doc, dd_row, words map<int, bigint>, n_dropped: documents that lose lines. Bit i of word w: line 64 w + i goes.
+    """dd_doc, dd_row, dd_words map<int, bigint>, dd_dropped: documents that lose lines. Bit i of word w: line 64 w + i goes.
 
     Keys of at least min_chars code points that stand in two documents or more stay in the smallest doc_id only.
     """
@@ -70,7 +70,7 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     gone = marked.join(F.broadcast(of_hot), ["h1", "h2"], "left").where(F.col("dd_doc") != F.coalesce("true_first", "first"))
     words = gone.groupBy("dd_doc", "dd_row", F.floor(F.col("pos") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
     return words.groupBy("dd_doc", "dd_row").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("word", "bits")))).alias("words"), F.sum(F.bit_count("bits")).cast("long").alias("n_dropped")
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("word", "bits")))).alias("dd_words"), F.sum(F.bit_count("bits")).cast("long").alias("dd_dropped")
     )
 
 
@@ -80,18 +80,18 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     Null or empty text is one empty line. Rows of one doc_id are one document: they never cost each other lines.
     Documents without doc_id count as one, the largest. Columns of docs with these names are replaced.
     """
-    docs = docs.drop("n_lines", "n_dropped", "keep_bitmap", "kept_text", "dd_doc", "dd_row")
+    docs = docs.drop("n_lines", "n_dropped", "keep_bitmap", "kept_text", "dd_doc", "dd_row", "dd_words", "dd_dropped")
     lines = split_lines(F.col("text"))
-    kept = F.expr("filter(split(coalesce(text, ''), '\\n'), (x, i) -> getbit(coalesce(words[i div 64], 0L), i % 64) = 0)")
+    kept = F.expr("filter(split(coalesce(text, ''), '\\n'), (x, i) -> getbit(coalesce(dd_words[i div 64], 0L), i % 64) = 0)")
     return (
         _identified(docs)
         .join(drop_bitmaps(docs, min_chars), ["dd_doc", "dd_row"], "left")
         .select(
             *docs.columns,
             F.size(lines).cast("long").alias("n_lines"),
-            F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
-            F.col("words").alias("keep_bitmap"),
-            F.when(F.col("words").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
+            F.coalesce("dd_dropped", F.lit(0)).cast("long").alias("n_dropped"),
+            F.col("dd_words").alias("keep_bitmap"),
+            F.when(F.col("dd_words").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
         )
     )
 

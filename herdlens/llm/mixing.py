@@ -98,12 +98,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, subs: in
         .select(*bucket, "before", "source_size", "target", _offset(seed).alias("offset"))
     )
     plan = stored(plan, "mix-plan")
-    row = Window.partitionBy(*bucket).orderBy("mix_size", "doc_id")
+    row = Window.partitionBy(*bucket).orderBy("mix_size", "mix_id")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     upto = lambda rank: F.floor(rank * F.col("rate") + F.col("offset"))
     return (
         _keyed(docs, subs)
-        .select(*keep, *bucket, "mix_size", *([] if "doc_id" in keep else ["doc_id"]))
+        .select(*keep, *bucket, "mix_size", F.col("doc_id").alias("mix_id"))
         .withColumn("mix_row", F.row_number().over(row))
         .join(plan, bucket, "left")  # every bucket is there; an inner join would test its keys on the texts again
         .withColumn("rate", F.least(rate, F.lit(float(max_repeat))))
@@ -114,9 +114,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, subs: in
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: docs' columns, each row as often as it is to be emitted."""
-    columns = docs.columns
-    return mix(docs, **how).withColumn("mix_copy", F.explode(F.array_repeat(F.lit(True), F.col("copies")))).select(*columns)
+    """The mix itself: docs' rows, each as often as it is to be emitted. Columns of any name go along unchanged."""
+    rows = docs.select("doc_id", "source", "text", F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    taken = mix(rows, keep=["row"], **how).where("copies > 0")
+    return taken.select("row", F.explode(F.array_repeat(F.lit(True), F.col("copies")))).select("row.*")
 
 
 ORACLE_SQL = f"""
