@@ -58,13 +58,14 @@ def auditory_scope(error: Column) -> Column:
 def zone(x: Column, y: Column, roi: tuple[float, float, float, float], strip: float, missing: str | None = "Undetected") -> Column:
     """Nine zones: corners before walls before the open field; outside the arena counts with the nearest edge.
 
-    W1 top, W2 bottom, W3 left, W4 right; C1 top left, C2 top right, C3 bottom left, C4 bottom right. Later ones win.
+    Clockwise: W1 top, W2 right, W3 bottom, W4 left; C1 top left, C2 top right, C3 bottom right, C4 bottom left. Later
+    ones win.
     """
     x0, y0, x1, y1 = roi
     left, right, top, bottom = x < x0 + strip, x > x1 - strip, y < y0 + strip, y > y1 - strip
     named = (
-        F.when(bottom & right, "C4").when(bottom & left, "C3").when(top & right, "C2").when(top & left, "C1")
-        .when(right, "W4").when(left, "W3").when(bottom, "W2").when(top, "W1").otherwise("Open")
+        F.when(bottom & left, "C4").when(bottom & right, "C3").when(top & right, "C2").when(top & left, "C1")
+        .when(left, "W4").when(bottom, "W3").when(right, "W2").when(top, "W1").otherwise("Open")
     )
     return F.when(x.isNull() | y.isNull(), missing).otherwise(named) if missing else named
 

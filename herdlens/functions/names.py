@@ -6,15 +6,30 @@ import re
 
 # The names that body parts go by, in order of preference.
 ROLES = {
-    "nose": ("nose", "snout", "nosetip"),
-    "ear_l": ("ear_l", "left_ear", "earl", "leftear", "l_ear"),
-    "ear_r": ("ear_r", "right_ear", "earr", "rightear", "r_ear"),
-    "body": ("body", "body_centre", "body_center", "centroid", "center", "centre", "spine"),
-    "hip_l": ("hip_l", "left_hip", "hipl", "lefthip", "l_hip"),
-    "hip_r": ("hip_r", "right_hip", "hipr", "righthip", "r_hip"),
-    "tail_base": ("tail_base", "tailbase", "tail_start", "tailstart"),
-    "tail_end": ("tail_end", "tailend", "tail_tip", "tailtip"),
+    "body": ("centermass", "bodycenter", "bodycentre", "center_mass"),
+    "nose": ("nose",),
+    "ear_l": ("earl", "ear_left", "ear_l", "left_ear", "el"),
+    "ear_r": ("earr", "ear_right", "ear_r", "right_ear", "er"),
+    "hip_l": ("hindlegl", "hip_left", "hip_l", "left_hip", "hl"),
+    "hip_r": ("hindlegr", "hip_right", "hip_r", "right_hip", "hr"),
+    "tail_base": ("tailstart", "tail_base", "tailbase", "tb"),
+    "tail_end": ("tailend", "tail_end", "te"),
 }
+# Behaviours whose columns are flags, and the words in names of other features, in the order of asking.
+FLAGS = frozenset(
+    "stationary walking running turning dir_reversal nosenose nosehead nosebody noserear contact cooriented antioriented engaged disengaged "
+    "hh ho sniff follow chase flee approach activeavoid passiveavoid stationaryprox socialorient visualattn auditoryattn".split()
+)
+CLASSES = (
+    ("velocity", ("curvature",)),
+    ("angular", ("_angle", "ang_mot", "angular_motion", "heading", "approach_angle")),
+    ("jerk", ("jerk",)),
+    ("velocity", ("speed", "_vx", "_vy", "displacement")),
+    ("acceleration", ("accel",)),
+    ("shape", ("elongation", "eccentricity", "compactness", "circularity", "hourglass", "path_eff", "position_entropy", "total_disp")),
+    ("distance", ("dist", "area", "covar", "corr")),
+    ("categorical", ("relpos", "visual_scope", "auditory_scope")),
+)
 
 
 def strip_digits(name: str) -> str:
@@ -23,20 +38,17 @@ def strip_digits(name: str) -> str:
 
 def find_node(names: list[str], role: str) -> int | None:
     """Index of the node of that role: by alias in order of preference, digits at the end apart; else by substring."""
-    plain = [strip_digits(n.lower().replace(" ", "_")).rstrip("_") for n in names]
-    for alias in ROLES.get(role, (role,)):
+    lower = [n.lower() for n in names]
+    plain = [strip_digits(n) for n in lower]
+    for alias in ROLES.get(role, ()):
         if alias in plain:
             return plain.index(alias)
-    for alias in ROLES.get(role, (role,)):
-        for i, n in enumerate(plain):
-            if alias in n:
-                return i
-    return None
+    return next((i for i, n in enumerate(lower) if role.lower() in n), None)
 
 
 def tail_end_nodes(names: list[str]) -> list[int]:
     """Tail tips; a bare `tail` is one if the skeleton has a tail start as well."""
-    plain = [strip_digits(n.lower().replace(" ", "_")).rstrip("_") for n in names]
+    plain = [strip_digits(n.lower()) for n in names]
     start = any(n in ROLES["tail_base"] for n in plain)
     return [i for i, n in enumerate(plain) if n in ROLES["tail_end"] or (n == "tail" and start)]
 
@@ -45,34 +57,26 @@ def column_name(node: str) -> str:
     return node.replace(" ", "_")
 
 
-def feature_class(name: str, flags: frozenset[str] = frozenset()) -> str:
-    """Which aggregates a feature's bins get. Flags are named exactly, so no part of a node's name makes a flag."""
+def feature_class(name: str, flags: frozenset[str] = FLAGS) -> str:
+    """Which aggregates a feature's bins get. Flags go by their whole name without subject and direction, so no part of
+    a node's name makes a flag."""
     n = name.lower()
-    if n in flags or n.rpartition("/")[2] in flags:
+    if n.endswith(("_x", "_y")):
+        return "position"
+    if re.sub(r"_[ab]to[ab]$", "", n.rpartition("/")[2]) in flags:
         return "binary"
-    for found, words in (
-        ("categorical", ("scope", "relpos", "zone", "closest")),
-        ("angular_velocity", ("angular_velocity", "angular_motion")),
-        ("angular", ("heading", "angle", "orientation")),
-        ("jerk", ("jerk",)),
-        ("acceleration", ("accel",)),
-        ("velocity", ("speed", "velocity", "_vx", "_vy")),
-        ("distance", ("dist",)),
-        ("position", ("_x", "_y", "_cm")),
-        ("shape", ("area", "elong", "eccen", "circul", "compact", "hourglass", "length", "width")),
-    ):
-        if any(n.endswith(w) if w in ("_x", "_y") else w in n for w in words):
-            return found
-    return "other"
+    return next((kind for kind, words in CLASSES if any(w in n for w in words)), "other")
 
 
 def unit(name: str, px_per_cm: float) -> tuple[str, float]:
     """(unit, factor from pixels) of a feature."""
     kind, cm = feature_class(name), 1 / px_per_cm
+    if "area" in name.lower():
+        return "cm2", cm * cm
     return {
         "distance": ("cm", cm), "position": ("cm", cm), "velocity": ("cm/s", cm), "acceleration": ("cm/s2", cm),
-        "jerk": ("cm/s3", cm), "angular": ("deg", 1.0), "angular_velocity": ("deg/s", 1.0),
-    }.get(kind, ("cm2", cm * cm) if "area" in name.lower() else ("", 1.0))
+        "jerk": ("cm/s3", cm), "angular": ("deg", 1.0),
+    }.get(kind, ("", 1.0))
 
 
 def frames(seconds: float, fps: float, least: int = 0) -> int:

@@ -136,12 +136,14 @@ def second_order(df: DataFrame, fps: float, stats: DataFrame | None = None, gap_
         dx, dy = c(f"{t}_x") - c(f"{s}_x"), c(f"{t}_y") - c(f"{s}_y")
         # where the subject stands, seen from its target
         along, across = G.body_frame(-dx, -dy, c(f"{t}_heading"))
-        extra |= {f"along_{s}": along, f"across_{s}": across, f"towards_{s}": G.approach(dx, dy, c(f"{s}_vx"), c(f"{s}_vy")) / fps, f"away_{s}": G.retreat(dx, dy, c(f"{s}_vx"), c(f"{s}_vy")) / fps}
+        extra |= {f"along_{s}": along, f"across_{s}": across, f"towards_{s}": G.approach(dx, dy, c(f"{s}_vx"), c(f"{s}_vy")), f"away_{s}": G.retreat(dx, dy, c(f"{s}_vx"), c(f"{s}_vy"))}
     df = df.withColumns(extra)
     # the plan so far is long, and each detector below reads it: it is worked out once
     df = stored(df.drop(*[f"{s}_{a}s" for s in "AB" for a in "xy"], "near_A", "near_B"), "pair-motion")
-    first_social = flag((c("touching") == 1) | (c("Engaged") == 1))
-    df = df.withColumn("social", first_social).withColumn("recent", W.recently(c("social"), w, recent).cast("int"))
+    # what counts as social for flight and avoidance, and for disengagement
+    close = ("Engaged", "Contact", "NoseNose", "NoseHead_AtoB", "NoseHead_BtoA", "HH", "HO", "Sniff_AtoB", "Sniff_BtoA")
+    closer = (*close, "NoseBody_AtoB", "NoseBody_BtoA", "NoseRear_AtoB", "NoseRear_BtoA")
+    df = df.withColumn("social", F.greatest(*[c(n) for n in closer])).withColumn("recent", W.recently(c("social"), w, recent).cast("int"))
 
     def directed(name: str, condition, gap_s: float, passes=None):
         nonlocal df
@@ -178,13 +180,14 @@ def second_order(df: DataFrame, fps: float, stats: DataFrame | None = None, gap_
     df = stored(df, "pair-avoidance")
     none = lambda *names: sum((c(f"{n}_{s}to{t}") for n in names for s, t in DIRECTIONS), F.lit(0)) == 0
     still = lambda s: (c(f"{s}_speed") < c(f"{s}_med") + 0.15 * c(f"{s}_mad")) & (c(f"disp_{s}") < 0.2 * dsr) & (c(f"{s}_accel") < c(f"{s}_acc_med")) & (c(f"{s}_jerk") < c(f"{s}_jerk_med") + c(f"{s}_mad"))
-    df = df.withColumn("StationaryProx", flag(still("A") & still("B") & (c("d") < 2.5 * dsr) & (c("Contact") == 0) & none("Follow", "Chase", "ActiveAvoid", "PassiveAvoid", "Flee")))
+    df = df.withColumn("StationaryProx", flag(still("A") & still("B") & (c("d") < 2.5 * dsr) & (c("Contact") == 0) & none("Follow", "Chase", "ActiveAvoid", "Flee")))
     df = _filled(df, ("StationaryProx",), fps, 0.2)
     df = df.withColumns({f"SocialOrient_{s}to{t}": flag((c(f"fe_{s}") < F.when(c(f"{s}_speed") > c(f"{s}_p35"), 65).otherwise(45)) & (c("d") < 5 * dsr) & (c(f"Flee_{s}to{t}") == 0) & (c(f"ActiveAvoid_{s}to{t}") == 0)) for s, t in DIRECTIONS})
-    active = flag((c("touching") == 1) | ~none("Follow", "Chase", "Approach"))
-    df = df.withColumn("active", active).withColumn("was_social", W.recently(F.greatest("social", "active"), w, recent))
-    slow = lambda s: c(f"{s}_speed") < c(f"{s}_med")
-    steady = lambda s: c(f"{s}_accel") < c(f"{s}_acc_med") + 2 * c(f"{s}_acc_mad")
+    active = flag((c("Contact") == 1) | (c("Sniff_AtoB") == 1) | (c("Sniff_BtoA") == 1) | ~none("Follow", "Chase", "Approach"))
+    later = [f"{n}_{s}to{t}" for n in ("Approach", "Follow", "Chase", "SocialOrient") for s, t in DIRECTIONS]
+    df = df.withColumn("active", active).withColumn("was_social", W.recently(F.greatest(*[c(n) for n in (*close, *later)]), w, recent))
+    slow = lambda s: c(f"{s}_speed") < c(f"{s}_med") + 0.5 * c(f"{s}_mad")
+    steady = lambda s: c(f"{s}_accel") < c(f"{s}_acc_med") + 1.5 * c(f"{s}_acc_mad")
     df = df.withColumn(
         "Disengaged",
         flag(

@@ -29,7 +29,7 @@ def aggregates(name: str, kind: str | None = None) -> list[Column]:
         return [F.avg(c).alias(f"{name}_mean"), half(c).alias(f"{name}_median")]
     if kind == "angular":
         return [circular_mean(c).alias(f"{name}_cmean")]
-    if kind in ("velocity", "acceleration", "angular_velocity"):
+    if kind in ("velocity", "acceleration"):
         return [half(c).alias(f"{name}_p50"), F.percentile(c, 0.95).alias(f"{name}_p95")]
     if kind == "jerk":
         return [half(F.abs(c)).alias(f"{name}_p50"), F.percentile(F.abs(c), 0.95).alias(f"{name}_p95")]

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 
 def usable_classes(table: DataFrame, label: str, folds: int) -> DataFrame:
-    """Rows of classes with a row for each fold at least. The count is joined: classes may be very unequal."""
+    """Rows of classes with a row for each fold at least."""
     counts = table.groupBy(label).agg(F.count("*").alias("_n")).where(F.col("_n") >= folds)
-    return table.join(F.broadcast(counts.select(label).limit(10_000)), label, "left_semi")
+    return table.join(counts.select(label), label, "left_semi")
 
 
 def with_folds(table: DataFrame, label: str, folds: int, group: str | None = None, seed: int = 42) -> DataFrame:

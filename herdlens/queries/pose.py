@@ -167,8 +167,8 @@ def locomotion_states(spark, sf_dir):
     return O.locomotion(df, FPS, PX_PER_CM, fast=40.0).select("session", "sidx", "track", "stationary", "running", "walking", "turning", "reversal")
 
 
-_ZONE = f"""case when y > {Y1 - STRIP} and x > {X1 - STRIP} then 'C4' when y > {Y1 - STRIP} and x < {X0 + STRIP} then 'C3' when y < {Y0 + STRIP} and x > {X1 - STRIP} then 'C2' when y < {Y0 + STRIP} and x < {X0 + STRIP} then 'C1'
-  when x > {X1 - STRIP} then 'W4' when x < {X0 + STRIP} then 'W3' when y > {Y1 - STRIP} then 'W2' when y < {Y0 + STRIP} then 'W1' else 'Open' end"""
+_ZONE = f"""case when y > {Y1 - STRIP} and x < {X0 + STRIP} then 'C4' when y > {Y1 - STRIP} and x > {X1 - STRIP} then 'C3' when y < {Y0 + STRIP} and x > {X1 - STRIP} then 'C2' when y < {Y0 + STRIP} and x < {X0 + STRIP} then 'C1'
+  when x < {X0 + STRIP} then 'W4' when y > {Y1 - STRIP} then 'W3' when x > {X1 - STRIP} then 'W2' when y < {Y0 + STRIP} then 'W1' else 'Open' end"""
 
 
 @query(

@@ -34,7 +34,7 @@ def test_zones(spark):
     df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(points)] + [(7, None, 5.0)], "i int, x double, y double")
     z = G.zone(F.col("x"), F.col("y"), (0, 0, 100, 100), 10)
     got = [(r.z, r.c) for r in df.select("i", z.alias("z"), G.coarse_zone(z).alias("c")).orderBy("i").collect()]
-    assert [g[0] for g in got] == ["Open", "W3", "W1", "C1", "C4", "Open", "W3", "Undetected"]
+    assert [g[0] for g in got] == ["Open", "W4", "W1", "C1", "C3", "Open", "W4", "Undetected"]
     assert [g[1] for g in got] == ["Center", "Perimeter", "Perimeter", "Corner", "Corner", "Center", "Perimeter", None]
 
 
@@ -121,11 +121,11 @@ def test_roll_up_needs_whole_bins(spark):
 
 
 def test_roles():
-    nodes = ["Nose", "ear_L", "ear_R", "body1", "hip_l", "hip_r", "tail_base", "tail"]
+    nodes = ["Nose", "ear_L", "ear_R", "centermass1", "hip_l", "hip_r", "tail_base", "tail1"]
     assert [N.find_node(nodes, r) for r in ("nose", "ear_l", "body", "tail_base", "hip_r")] == [0, 1, 3, 6, 5]
-    assert N.find_node(["front_nose_tip"], "nose") == 0 and N.find_node(["x"], "nose") is None
+    assert N.find_node(["front_nose_tip"], "nose") == 0 and N.find_node(["BL", "hl"], "hip_l") == 1 and N.find_node(["mid body"], "body") == 0 and N.find_node(["x"], "nose") is None
     assert N.tail_end_nodes(nodes) == [7] and N.tail_end_nodes(["tail", "body"]) == []
-    assert N.feature_class("thorax_to_nose_dist") == "distance" and N.feature_class("HO", frozenset({"ho"})) == "binary"
+    assert N.feature_class("thorax_to_nose_dist") == "distance" and N.feature_class("A_vs_B/HO") == "binary" and N.feature_class("hourglass_area") == "shape" and N.feature_class("thorax_x") == "position" and N.feature_class("nose_vx") == "velocity" and N.feature_class("covar") == "distance"
     assert N.frames(0.25, 30) == 8 and N.frames(0.25, 10) == 2
 
 
