@@ -125,6 +125,8 @@ def second_order(df: DataFrame, fps: float, stats: DataFrame | None = None, gap_
     of distance is over one frame; gap_lag_s takes it over that span.
     """
     c, dsr, w = F.col, F.col("dsr"), P.series()
+    # the plan so far is long; statistics and detectors read it more than once, so it is worked out here
+    df = stored(df.drop(*[f"{s}_{a}s" for s in "AB" for a in "xy"], "near_A", "near_B"), "pair-frames")
     df = df.join(stats if stats is not None else session_statistics(df), list(SERIES_KEYS))
     half, short = max(1, round(0.25 * fps)), max(2, round(0.3 * fps))
     recent = max(1, round(0.75 * fps))
@@ -138,46 +140,52 @@ def second_order(df: DataFrame, fps: float, stats: DataFrame | None = None, gap_
         along, across = G.body_frame(-dx, -dy, c(f"{t}_heading"))
         extra |= {f"along_{s}": along, f"across_{s}": across, f"towards_{s}": G.approach(dx, dy, c(f"{s}_vx"), c(f"{s}_vy")), f"away_{s}": G.retreat(dx, dy, c(f"{s}_vx"), c(f"{s}_vy"))}
     df = df.withColumns(extra)
-    # the plan so far is long, and each detector below reads it: it is worked out once
-    df = stored(df.drop(*[f"{s}_{a}s" for s in "AB" for a in "xy"], "near_A", "near_B"), "pair-motion")
+    df = stored(df, "pair-motion")
     # what counts as social for flight and avoidance, and for disengagement
     close = ("Engaged", "Contact", "NoseNose", "NoseHead_AtoB", "NoseHead_BtoA", "HH", "HO", "Sniff_AtoB", "Sniff_BtoA")
     closer = (*close, "NoseBody_AtoB", "NoseBody_BtoA", "NoseRear_AtoB", "NoseRear_BtoA")
     df = df.withColumn("social", F.greatest(*[c(n) for n in closer])).withColumn("recent", W.recently(c("social"), w, recent).cast("int"))
 
-    def directed(name: str, condition, gap_s: float, passes=None):
+    free, span = c("touching") == 0, lambda seconds: max(1, round(seconds * fps))
+
+    def detect(*behaviours):
+        """(name, condition, gap in seconds, what the first frames must show) of behaviours that don't ask for each other."""
         nonlocal df
-        for s, t in DIRECTIONS:
-            n = f"{name}_{s}to{t}"
-            df = df.withColumn(n, flag(condition(s, t, f"{s}to{t}")))
-            gap = max(1, round(gap_s * fps))
-            df = R.onset_gate(df, n, SERIES_KEYS, "sidx", gap, passes(s, t)) if passes else R.fill_gaps(df, n, SERIES_KEYS, "sidx", gap)
-
-    free = c("touching") == 0
-    directed("Follow", lambda s, t, st: (
+        flags = {f"{name}_{s}to{t}": (condition(s, t, f"{s}to{t}"), span(gap), passes(s) if passes else None) for name, condition, gap, passes in behaviours for s, t in DIRECTIONS}
+        df = stored(R.gates(df, flags, SERIES_KEYS, "sidx"), "detected")
+
+    follow = lambda s, t, st: (
         c("d").between(0.8 * dsr, 3.5 * dsr) & ((c("gap") < -0.15 * dsr) | (c("gap_std") < 0.25 * dsr)) & (c(f"along_{s}") < -0.2 * dsr) & (F.abs(f"across_{s}") < dsr)
         & (c("opposition") < 55) & (c(f"fe_{s}") < 50) & (c("cos_v") > 0.65) & (c(f"{s}_speed") > c(f"{s}_p35")) & (c(f"{t}_speed") > c(f"{s}_p35")) & (F.abs(f"{s}_av") < 120) & free & (c(f"pe_{s}") > 0.5)
-    ), 0.15, lambda s, t: c(f"{s}_speed") > c(f"{s}_med"))
-    directed("Chase", lambda s, t, st: (
+    )
+    chase = lambda s, t, st: (
         c("d").between(0.7 * dsr, 3.0 * dsr) & ((c("gap") < -0.2 * dsr) | (c("gap_std") < 0.3 * dsr)) & (c(f"along_{s}") < -0.15 * dsr) & (F.abs(f"across_{s}") < 1.2 * dsr)
         & (c("opposition") < 50) & (c(f"fe_{s}") < 45) & (c("cos_v") > 0.7) & (c(f"{s}_speed") > 0.95 * c(f"{t}_speed")) & (c(f"{s}_speed") > c(f"{s}_p70")) & (F.abs(f"{s}_av") < 140)
         & (c(f"Follow_{st}") == 0) & (c(f"pe_{s}") > 0.7)
-    ), 0.1, lambda s, t: c(f"{s}_accel") >= c(f"{s}_acc_med") + c(f"{s}_acc_mad"))
-    directed("Flee", lambda s, t, st: (
+    )
+    flee = lambda s, t, st: (
         (c("gap") > 0.3 * dsr) & (c(f"fe_{s}") > 130) & (c(f"{s}_speed") > F.greatest(c(f"{s}_med") + 2 * c(f"{s}_mad"), c(f"{s}_p75"))) & (c(f"away_{s}") > 0.2 * dsr) & (c("d") < 3.5 * dsr) & (c("recent") == 1)
-    ), 0.1, lambda s, t: (c(f"{s}_jerk") > c(f"{s}_jerk_p90")) | (c(f"{s}_accel") > c(f"{s}_acc_p80")))
-    df = stored(df, "pair-flight")
-    directed("Approach", lambda s, t, st: (
+    )
+    approach = lambda s, t, st: (
         c("d").between(dsr, 5 * dsr) & (c("gap") < -0.18 * dsr) & (c(f"fe_{s}") < 55) & (c(f"towards_{s}") > 0.12 * dsr) & c(f"{s}_speed").between(c(f"{s}_p35"), c(f"{s}_p95"))
         & (c("Contact") == 0) & (c(f"Follow_{st}") == 0) & (c(f"Chase_{st}") == 0) & (c(f"Flee_{st}") == 0) & (c(f"pe_{s}") > 0.6)
-    ), 0.1, lambda s, t: c(f"towards_{s}") > 0.05 * dsr)
-    directed("ActiveAvoid", lambda s, t, st: (
+    )
+    active_avoid = lambda s, t, st: (
         (c("gap") > 0.2 * dsr) & (c(f"fe_{s}") > 120) & (c(f"{s}_speed") > c(f"{s}_med") + 1.5 * c(f"{s}_mad")) & (c(f"away_{s}") > 0.15 * dsr) & (c("d") < 4 * dsr) & (c("recent") == 1) & (c("Contact") == 0) & (c(f"Flee_{st}") == 0)
-    ), 0.1, lambda s, t: c(f"{s}_accel") > c(f"{s}_acc_med"))
-    directed("PassiveAvoid", lambda s, t, st: (
+    )
+    passive_avoid = lambda s, t, st: (
         (c(f"fe_{s}") > 120) & (c(f"disp_{s}") < 0.2 * dsr) & (c(f"{s}_speed") < c(f"{s}_med") + 0.25 * c(f"{s}_mad")) & (c("gap") > -0.05 * dsr) & (c("d") < 3 * dsr) & (c("recent") == 1) & (c(f"{s}_accel") < c(f"{s}_acc_med"))
-    ), 0.15)
-    df = stored(df, "pair-avoidance")
+    )
+    detect(
+        ("Follow", follow, 0.15, lambda s: c(f"{s}_speed") > c(f"{s}_med")),
+        ("Flee", flee, 0.1, lambda s: (c(f"{s}_jerk") > c(f"{s}_jerk_p90")) | (c(f"{s}_accel") > c(f"{s}_acc_p80"))),
+        ("PassiveAvoid", passive_avoid, 0.15, None),
+    )
+    detect(
+        ("Chase", chase, 0.1, lambda s: c(f"{s}_accel") >= c(f"{s}_acc_med") + c(f"{s}_acc_mad")),
+        ("ActiveAvoid", active_avoid, 0.1, lambda s: c(f"{s}_accel") > c(f"{s}_acc_med")),
+    )
+    detect(("Approach", approach, 0.1, lambda s: c(f"towards_{s}") > 0.05 * dsr))
     none = lambda *names: sum((c(f"{n}_{s}to{t}") for n in names for s, t in DIRECTIONS), F.lit(0)) == 0
     still = lambda s: (c(f"{s}_speed") < c(f"{s}_med") + 0.15 * c(f"{s}_mad")) & (c(f"disp_{s}") < 0.2 * dsr) & (c(f"{s}_accel") < c(f"{s}_acc_med")) & (c(f"{s}_jerk") < c(f"{s}_jerk_med") + c(f"{s}_mad"))
     df = df.withColumn("StationaryProx", flag(still("A") & still("B") & (c("d") < 2.5 * dsr) & (c("Contact") == 0) & none("Follow", "Chase", "ActiveAvoid", "Flee")))

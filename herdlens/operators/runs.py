@@ -77,6 +77,33 @@ def onset_gate(df: DataFrame, flag: str, keys: Sequence[str], order: str, gap: i
     return df.withColumn(name, F.when((F.col(name) == 1) & (gated == 1), 1).otherwise(0)).drop("_r", "_p")
 
 
+def gates(df: DataFrame, flags: dict[str, tuple[Column, int, Column | None]], keys: Sequence[str], order: str, first: int = 3) -> DataFrame:
+    """Many flags at once: name -> (raw condition, gap to bridge, what must hold in a bout's first frames, if anything).
+
+    As fill_gaps and onset_gate, but every step is over the one window of the series, so all flags share its sort. A
+    bout's first frames are at most `first` rows away from any frame that still needs to know of them.
+    """
+    w = _w(keys, order)
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    c, columns = F.col, [*df.columns]
+    df = df.withColumns({"_n": F.row_number().over(w), **{n: F.coalesce(raw, F.lit(False)).cast("int") for n, (raw, _, _) in flags.items()}})
+    df = df.withColumns({f"_1_{n}": F.when(c(n) == 1, c("_n")) for n in flags})
+    df = df.withColumns({n: F.when(c(n) == 1, 1).when(F.first(f"_1_{n}", True).over(ahead) - F.last(f"_1_{n}", True).over(back) - 1 <= gap, 1).otherwise(0) for n, (_, gap, _) in flags.items()})
+    gated = {n: passes for n, (_, _, passes) in flags.items() if passes is not None}
+    if gated:
+        df = df.withColumns({f"_s_{n}": F.when((c(n) == 1) & (F.coalesce(F.lag(n).over(w), F.lit(0)) != 1), c("_n")) for n in gated})
+        df = df.withColumns({f"_b_{n}": F.last(f"_s_{n}", True).over(back) for n in gated})
+        df = df.withColumns({f"_p_{n}": F.when((c(n) == 1) & (c("_n") - c(f"_b_{n}") < first) & F.coalesce(passes, F.lit(False)), c(f"_b_{n}")) for n, passes in gated.items()})
+        seen = {}
+        for n in gated:
+            hit = F.coalesce(F.last(f"_p_{n}", True).over(back) == c(f"_b_{n}"), F.lit(False))
+            for k in range(1, first):
+                hit = hit | F.coalesce(F.lead(f"_p_{n}", k).over(w) == c(f"_b_{n}"), F.lit(False))
+            seen[n] = F.when((c(n) == 1) & hit, 1).otherwise(0)
+        df = df.withColumns(seen)
+    return df.select(*[x for x in columns if x not in flags], *flags)
+
+
 def onsets(flag: Column, w) -> Column:
     """Whether a run of ones begins here."""
     return (flag == 1) & (F.coalesce(F.lag(flag).over(w), F.lit(0)) != 1)

@@ -108,3 +108,14 @@ def test_second_marks_at_a_tie(spark):
     df = table(spark, series)
     got = {(r.k, r.second): r.mark for r in R.second_marks(df, "f", ["k"], "i", "i", 10.0).collect()}
     assert got == {(0, 0): 1, (0, 1): 1, (0, 2): 0, (1, 0): 1, (1, 1): 0, (1, 2): 0}
+
+
+def test_many_gates_at_once_are_like_each_alone(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    rows = [(k, i, rng.choice([0, 0, 1]), rng.choice([0, 1, 1]), rng.randint(0, 9)) for k in range(30) for i in range(rng.randint(1, 40))]
+    df = spark.createDataFrame(rows, "k int, i int, f int, g int, m int")
+    both = R.gates(df, {"f": (F.col("f") == 1, 2, F.col("m") > 7), "g": (F.col("g") == 1, 1, None)}, ["k"], "i")
+    assert column(both, "f") == column(R.onset_gate(df, "f", ["k"], "i", 2, F.col("m") > 7), "f")
+    assert column(both, "g") == column(R.fill_gaps(df, "g", ["k"], "i", 1), "g")
