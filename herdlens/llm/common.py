@@ -2,40 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import fresh_path, shared_dir, stored
+
+__all__ = ["BLANKS", "LOWER", "UPPER", "ascii_lower", "documents", "fresh_path", "shared_dir", "stored", "stored_ids"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: White space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\f\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir of the session.
+def stored_ids(df: DataFrame, name: str) -> DataFrame:
+    """As stored, in an eighth of the shuffle's partitions (8 at least): for tables of ids, far smaller than their texts.
 
-    Only a session without that setting (tests, local mode) gets a temporary folder of its own.
+    Fewer files are made and read; a store without permissions of its own starts a process for each.
     """
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="herdlens-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/herdlens/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: the lineage ends here and lost executors cost nothing."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spread = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    return stored(df.coalesce(spread), name)
 
 
 def ascii_lower(col: Column) -> Column:

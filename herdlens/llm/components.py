@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored_ids
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -16,17 +16,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     between two plain exchanges, which Spark can split. Rounds end when no edge is left.
     """
     spark = edges.sparkSession
-    left = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
+    left = stored_ids(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
     labels = None
     while not left.isEmpty():
         both = left.union(left.select("b", "a"))
-        parents = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("parent")), "cc-parents")
+        parents = stored_ids(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("parent")), "cc-parents")
         if labels is None:
             labels = parents.select("node", F.col("parent").alias("component"))
         else:
-            labels = stored(
+            labels = stored_ids(
                 labels.join(parents.select(F.col("node").alias("component"), "parent"), "component", "left").select("node", F.coalesce("parent", "component").alias("component")), "cc-labels"
             )
         a, b = (parents.select(F.col("node").alias(x), F.col("parent").alias(f"p{x}")) for x in "ab")
-        left = stored(left.join(a, "a").join(b, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "cc-edges")
+        left = stored_ids(left.join(a, "a").join(b, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "cc-edges")
     return labels if labels is not None else spark.createDataFrame([], "node long, component long")

@@ -18,8 +18,11 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from math import log
+from operator import itemgetter
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +31,9 @@ SPACE = "▁"
 N_BEST = 4
 #: Parts that a worker keeps; at the limit it forgets those not used since the last time.
 CACHE_PARTS = 250_000
+#: The loss of what can't be segmented in a second way.
+NEVER = 1 << 60
+_SCORE, _IDS, _LOSS = map(itemgetter, range(3))
 _BYTE = re.compile("<0x([0-9A-F]{2})>")
 
 
@@ -36,9 +42,12 @@ class Lattice:
 
     def __init__(self, pieces: dict[str, tuple[int, int]], byte_ids: list[int], byte_score: int):
         self.pieces, self.byte_ids, self.byte_score = pieces, byte_ids, byte_score
-        self.longest = max(map(len, pieces), default=1)
         self.inner = {a + b for p in pieces for a, b in zip(p, p[1:])}
-        self.first_chars = {p[0] for p in pieces}
+        # finds all pieces that stand in a text in one pass over it
+        self.finder = ahocorasick.Automaton()
+        for piece, (number, score) in pieces.items():
+            self.finder.add_word(piece, (len(piece), score, (number,)))
+        self.finder.make_automaton()
 
     @classmethod
     def load(cls, path: str) -> Lattice:
@@ -60,21 +69,54 @@ class Lattice:
     def edges(self, part: str) -> list[list[tuple[int, int, tuple[int, ...]]]]:
         """For each node, the edges that end there: (from, score, ids)."""
         ends: list[list] = [[] for _ in range(len(part) + 1)]
-        get = self.pieces.get
-        for i in range(len(part)):
-            single = False
-            for j in range(i + 1, min(len(part), i + self.longest) + 1):
-                found = get(part[i:j])
-                if found:
-                    ends[j].append((i, found[1], (found[0],)))
-                    single = single or j == i + 1
-                elif part[j - 2 : j] not in self.inner and j > i + 1:
-                    break
-            if not single:
-                raw = part[i].encode("utf-8", "surrogatepass")
-                ends[i + 1].append((i, self.byte_score * len(raw), tuple(self.byte_ids[b] for b in raw)))
+        single = set()
+        for last, (n, score, ids) in self.finder.iter(part):
+            ends[last + 1].append((last + 1 - n, score, ids))
+            if n == 1:
+                single.add(last)
+        if len(single) < len(part):
+            for i in range(len(part)):
+                if i not in single:
+                    raw = part[i].encode("utf-8", "surrogatepass")
+                    ends[i + 1].append((i, self.byte_score * len(raw), tuple(self.byte_ids[b] for b in raw)))
         return ends
 
+    def best(self, part: str) -> tuple[int, tuple[int, ...], int | None]:
+        """(score, ids, loss) of the best segmentation, and how much less the second best scores (None: there is none).
+
+        Scores forward and backward give the best total through each edge; the second best segmentation is the best
+        one through some edge that isn't on the best. Equal scores go to the edge found first.
+        """
+        ends = self.edges(part)
+        ahead, via = [0] * len(ends), [None] * len(ends)
+        for j in range(1, len(ends)):
+            top = None
+            for edge in ends[j]:
+                score = ahead[edge[0]] + edge[1]
+                if top is None or score > top:
+                    top, via[j] = score, edge
+            ahead[j] = top
+        back = [None] * len(ends)
+        back[-1], second = 0, None
+        on, j, ids = set(), len(ends) - 1, []
+        while j:
+            on.add(j)
+            ids.append(via[j][2])
+            j = via[j][0]
+        for j in range(len(ends) - 1, 0, -1):
+            rest = back[j]
+            if rest is None:
+                continue
+            for edge in ends[j]:
+                i, score = edge[0], edge[1] + rest
+                if back[i] is None or score > back[i]:
+                    back[i] = score
+                if edge is not via[j] or j not in on:
+                    total = ahead[i] + score
+                    if second is None or total > second:
+                        second = total
+        return ahead[-1], tuple(i for x in reversed(ids) for i in x), None if second is None else ahead[-1] - second
+
     def n_best(self, part: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
         """(score, ids) of the n best segmentations, or all if fewer; equal scores by their ids from the end."""
         ends = self.edges(part)
@@ -93,7 +135,9 @@ class Lattice:
         return out
 
     def cut(self, text: str) -> list[str]:
-        """Parts between which no piece can reach."""
+        """Parts between which no piece can reach. Words of letters alone stay as they are: they seldom can be cut."""
+        if text[1:].isalpha():
+            return [text]
         out, start = [], 0
         for k in range(1, len(text)):
             if text[k - 1 : k + 1] not in self.inner:
@@ -109,23 +153,24 @@ class Segmenter:
         self.units, self.old, self.parts, self.seconds = {}, {}, {}, {}
 
     def _part(self, part: str):
-        """(score, ids as bytes, loss of the second best or None)"""
+        """(score, ids as bytes, loss of the second best)"""
         found = self.parts.get(part)
         if found is None:
-            two = self.lattice.n_best(part, 2)
-            found = self.parts[part] = (two[0][0], np.array(two[0][1], "<u4").tobytes(), two[0][0] - two[1][0] if len(two) > 1 else None)
+            score, ids, loss = self.lattice.best(part)
+            found = self.parts[part] = (score, array("I", ids).tobytes(), NEVER if loss is None else loss)
         return found
 
     def _unit(self, unit: str):
-        """(score, ids, loss, parts) of what stands between two spaces: its loss is the least of its parts'."""
-        parts = [p for p in self.lattice.cut(unit)]
+        """As _part, of what stands between two spaces, with the space in front: its loss is the least of its parts'."""
+        parts = self.lattice.cut(unit)
+        if len(parts) == 1:
+            return self._part(unit)
         found = [self._part(p) for p in parts]
-        losses = [f[2] for f in found if f[2] is not None]
-        return sum(f[0] for f in found), b"".join(f[1] for f in found), min(losses, default=None)
+        return sum(f[0] for f in found), b"".join(f[1] for f in found), min(f[2] for f in found)
 
     def _look_up(self, units: list[str]) -> list:
-        get = self.units.get
-        found = list(map(get, units))
+        """Units without a space in front have it understood."""
+        found = list(map(self.units.get, units))
         if None in found:
             if len(self.units) > self.limit:
                 self.old, self.units = self.units, {}
@@ -134,34 +179,37 @@ class Segmenter:
             for i, f in enumerate(found):
                 if f is None:
                     u = units[i]
-                    f = self.units.get(u) or self.old.get(u)
-                    found[i] = self.units[u] = f or self._unit(u)
+                    f = self.units.get(u) or self.old.get(u) or self._unit(u if u[:1] == SPACE else SPACE + u)
+                    found[i] = self.units[u] = f
         return found
 
     def __call__(self, text: str) -> list[tuple[int, bytes]]:
         """(score, ids) of the text's n best segmentations, best first."""
         if not text:
             return [(0, b"")]
-        units = [SPACE + u for u in text.split(" ")]
-        if SPACE + SPACE in self.lattice.inner and ("  " in text or text[-1] == " " or text[0] == " "):
+        if SPACE in text or "  " in text or text[-1] == " " or text[0] == " ":
             # a run of spaces stays together with the word after it
-            units = re.findall(f"{SPACE}+[^{SPACE}]*", "".join(units))
-        elif SPACE in text:
-            units = re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", "".join(units))
+            units = re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))
+        else:
+            units = text.split(" ")
         found = self._look_up(units)
-        score, ids = sum(f[0] for f in found), [f[1] for f in found]
-        # parts that can differ from their best: those whose second best costs least
-        losses = heapq.nsmallest(self.n - 1, ((f[2], i) for i, f in enumerate(found) if f[2] is not None))
+        score, ids = sum(map(_SCORE, found)), list(map(_IDS, found))
+        # only the units whose second best costs least can differ from their best
+        losses = np.fromiter(map(_LOSS, found), np.int64, len(found))
+        if self.n > 1 and len(losses) > self.n:
+            cheap = np.flatnonzero(losses <= np.partition(losses, self.n - 2)[self.n - 2])
+        else:
+            cheap = np.arange(len(losses))
         combined = [(0, ())]
-        for _, i in losses:
-            other = self._alternatives(units[i])
-            combined = heapq.nsmallest(self.n, ((c + loss, (*chosen, (i, raw))) for c, chosen in combined for loss, raw in other))
+        for i in sorted(cheap.tolist(), key=losses.__getitem__)[: self.n - 1]:
+            if losses[i] < NEVER:
+                other = self._alternatives(units[i] if units[i][:1] == SPACE else SPACE + units[i])
+                combined = heapq.nsmallest(self.n, ((c + loss, (*chosen, (i, raw))) for c, chosen in combined for loss, raw in other))
         out = []
         for loss, chosen in combined:
-            mine = list(ids)
             for i, raw in chosen:
-                mine[i] = raw
-            out.append((score - loss, b"".join(mine)))
+                ids[i] = raw
+            out.append((score - loss, b"".join(ids)))
         return out
 
     def _alternatives(self, unit: str) -> list[tuple[int, bytes]]:
@@ -173,7 +221,7 @@ class Segmenter:
             combined = [(0, b"")]
             for part in self.lattice.cut(unit):
                 best = self.lattice.n_best(part, self.n)
-                mine = [(best[0][0] - s, np.array(ids, "<u4").tobytes()) for s, ids in best]
+                mine = [(best[0][0] - s, array("I", ids).tobytes()) for s, ids in best]
                 combined = heapq.nsmallest(self.n, ((a + b, x + y) for a, x in combined for b, y in mine))
             found = self.seconds[unit] = combined
         return found
@@ -183,7 +231,7 @@ class Decoder:
     """Text of ids: pieces joined, bytes put together, the space in front dropped."""
 
     def __init__(self, lattice: Lattice):
-        self.raw = {i: p.replace(SPACE, " ").encode() for p, (i, _) in lattice.pieces.items()} | {i: bytes([b]) for b, i in enumerate(lattice.byte_ids)}
+        self.raw: dict[int, bytes] = {i: p.replace(SPACE, " ").encode() for p, (i, _) in lattice.pieces.items()} | {i: bytes([b]) for b, i in enumerate(lattice.byte_ids)}
 
     def __call__(self, ids: bytes) -> str:
         text = b"".join(map(self.raw.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "surrogatepass")

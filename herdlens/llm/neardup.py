@@ -3,12 +3,15 @@
 1. One pass over the texts gives each document its number of distinct shingles, a 128-bit key of the shingle set and a
    MinHash signature. Documents of one set are one node from here on.
 2. Signatures are cut into bands; nodes that share a band's key are in one bucket. A bucket's members are compared
-   with its smallest node (a star, not all pairs).
+   with one of them (a star, not all pairs): the one whose buckets hold the most nodes, mostly the text that the others
+   were copied from.
 3. A candidate's signatures are compared batch by batch. With m of n values equal, the posterior of the similarity
    (uniform prior) is a Beta distribution; the pair goes when the chance of reaching the threshold falls below `miss`.
 4. Survivors are verified on their full shingle sets, and links joined into components.
-5. Buckets whose other members are then still in different components have what is left of their pairs compared, large
-   ones in blocks of members inside tasks, so every pair that shares a bucket is decided unless it is linked already.
+5. Buckets whose other members are then still in different components have what is left of their pairs compared in
+   blocks of members inside tasks: sequential test, then full sets, likeliest pairs first, without those that a link
+   found there has joined. A task returns the links that join components, not pairs. Each pair is decided in the first
+   bucket that it shares, unless it is joined already.
 
 With 32 bands of 4 values, a pair at similarity 0.8 shares no bucket with a chance of 5e-8.
 """
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, stored_ids
 from .components import connected_components
 from .textarrays import NOT_BLANK, blocks, mix64, shingles, text_buffers, words
 
@@ -32,8 +35,7 @@ SIMILARITY = (80, 100)
 BANDS, ROWS = 32, 4
 BATCH = 32
 MISS = 1e-6
-#: Buckets of up to so many members have their leftover pairs listed by a join; larger ones go through blocks.
-SMALL = 32
+#: Members of a bucket that stand on one side of a block; their signatures and sets are in one task's memory.
 BLOCK = 512
 #: Up to so many ids are sent to every executor (a set of 8-byte keys); beyond it, texts are shuffled to them.
 BROADCAST_IDS = 1_000_000
@@ -118,7 +120,8 @@ def _bands(batches):
             keys = np.broadcast_to(mix64(np.arange(7, 7 + BANDS, dtype=np.uint64)), sig.shape[:2])
             for j in range(ROWS):
                 keys = mix64(keys ^ sig[:, :, j])
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(np.repeat(np.arange(len(sig)), BANDS))), pa.array(keys.reshape(-1).view(np.int64))], ["node", "band"])
+            slots = np.tile(np.arange(BANDS, dtype=np.int32), len(sig))
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(np.repeat(np.arange(len(sig)), BANDS))), pa.array(keys.reshape(-1).view(np.int64)), pa.array(slots)], ["node", "band", "slot"])
 
 
 def _matrix(column) -> np.ndarray:
@@ -155,33 +158,75 @@ def _verify(k: int, share: tuple[int, int]):
     return run
 
 
-def _blockwise(threshold: float, miss: float):
-    """Pairs of one pair of blocks, in different components, that survive the sequential test."""
+def _shingled(k: int):
+    """Texts as the bytes of their sorted shingle hashes."""
+
+    def run(batches):
+        for batch in batches:
+            for at, sets, bounds in _sets(batch.column("text"), k):
+                raw = [sets[i:j].tobytes() for i, j in zip(bounds, bounds[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column("nd_doc").slice(at, len(raw)), pa.array(raw, pa.binary())], ["node", "shingles"])
+
+    return run
+
+
+def _blockwise(share: tuple[int, int], miss: float):
+    """The links of one pair of blocks that join components: a forest, so at most one a member."""
+    threshold = share[0] / share[1]
 
     def run(pdf):
         import pandas as pd
 
         left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        slot = int(pdf.slot.iloc[0])
         x, y = (np.frombuffer(b"".join(p.sig), np.uint32).reshape(-1, BANDS * ROWS) for p in (left, right))
-        found = []
+        cx, cy = left.component.to_numpy(), right.component.to_numpy()
+        likely = []
         for i in range(len(x)):
-            other = np.flatnonzero((right.component.values != left.component.values[i]) & (right.node.values != left.node.values[i]))
+            other = np.flatnonzero(cy != cx[i])
             if len(other):
                 other = other[plausible(np.broadcast_to(x[i], (len(other), x.shape[1])), y[other], threshold, miss)]
-                found += [(min(left.node.values[i], n), max(left.node.values[i], n)) for n in right.node.values[other]]
-        return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
+                equal = y[other] == x[i]
+                earlier = equal[:, : slot * ROWS].reshape(len(other), slot, ROWS).all(2).any(1)
+                likely += [(-int(n), i, int(j)) for n, j in zip(equal.sum(1)[~earlier], other[~earlier])]
+        joined: dict[int, int] = {}
+
+        def root(c):
+            while c in joined:
+                c = joined[c]
+            return c
+
+        sets = [[np.frombuffer(r, np.uint64) for r in p.shingles] for p in (left, right)]
+        nodes = left.node.to_numpy(), right.node.to_numpy()
+        found = []
+        for _, i, j in sorted(likely):
+            a, b = root(int(cx[i])), root(int(cy[j]))
+            if a != b:
+                p, q = sets[0][i], sets[1][j]
+                same = len(np.intersect1d(p, q, assume_unique=True))
+                if share[1] * same >= share[0] * (len(p) + len(q) - same):
+                    joined[max(a, b)] = min(a, b)
+                    found.append((nodes[0][i], nodes[1][j]))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
 
 
+def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """nd_doc, text of those documents. ids: nd_doc, distinct; few enough are broadcast, more are joined by a shuffle."""
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "nd_doc", "left_semi").dropDuplicates(["nd_doc"])
+
+
 def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, share, miss: float, name: str) -> DataFrame:
     """The pairs (a, b) that are linked: sequential test on signatures, then the full sets."""
     threshold = share[0] / share[1]
     sig = lambda x: nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"))
     likely = stored(pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_prune(threshold, miss), "a long, b long"), f"{name}-likely")
-    ids = stored(likely.select(F.col("a").alias("nd_doc")).union(likely.select("b")).distinct(), f"{name}-ids")
-    few = ids.count() <= BROADCAST_IDS
-    wanted = docs.join(F.broadcast(ids) if few else ids, "nd_doc", "left_semi").dropDuplicates(["nd_doc"])
+    ids = stored_ids(likely.select(F.col("a").alias("nd_doc")).union(likely.select("b")).distinct(), f"{name}-ids")
+    wanted = _texts_of(ids, docs)
     text = lambda x: wanted.select(F.col("nd_doc").alias(x), F.col("text").alias(f"text_{x}"))
     return stored(likely.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(k, share), "a long, b long"), f"{name}-links")
 
@@ -196,37 +241,36 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, share: tuple[int, int] = SI
     docs = docs.select(F.col("doc_id").cast("long").alias("nd_doc"), "text")
     sketches = stored(docs.mapInArrow(_sketch(k), "nd_doc long, n_shingles long, k1 long, k2 long, sig binary"), "sketches")
     whole = sketches.where("n_shingles > 0 and nd_doc is not null")
-    sets = stored(whole.groupBy("k1", "k2").agg(F.min("nd_doc").alias("node")), "sets")
+    sets = stored_ids(whole.groupBy("k1", "k2").agg(F.min("nd_doc").alias("node")), "sets")
     nodes = stored(whole.join(sets, (F.col("node") == F.col("nd_doc")) & (whole.k1 == sets.k1) & (whole.k2 == sets.k2), "left_semi").select(F.col("nd_doc").alias("node"), "sig").dropDuplicates(["node"]), "nodes")
-    banded = nodes.mapInArrow(_bands, "node long, band long")
-    members = stored(banded, "bands")
-    buckets = stored(members.groupBy("band").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    grouped = stored(members.join(buckets, "band").where("node <> centre"), "members")
-    stars = stored(grouped.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    members = stored(nodes.mapInArrow(_bands, "node long, band long, slot int"), "bands")
+    sizes = stored_ids(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
+    grouped = stored(members.join(sizes, "band"), "members")
+    company = grouped.groupBy("node").agg(F.sum("n").alias("company"))
+    centres = grouped.join(company, "node").groupBy("band").agg(F.min(F.struct(-F.col("company"), F.col("node"))).getField("node").alias("centre"))
+    grouped = stored_ids(grouped.join(stored_ids(centres, "centres"), "band").where("node <> centre"), "members")
+    stars = stored_ids(grouped.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     links = _links(stars, nodes, docs, k, share, miss, "star")
-    labels = stored(connected_components(links), "star-labels")
+    labels = connected_components(links)
 
     # what the stars left: buckets with other members in different components
-    left = grouped.where("n > 2").join(labels, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
-    left = stored(left, "left")
-    open_ = stored(left.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band"), "open")
+    left = grouped.where("n > 2").join(labels, "node", "left").select("band", "slot", "node", "n", F.coalesce("component", "node").alias("component"))
+    left = stored_ids(left, "left")
+    open_ = stored_ids(left.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band"), "open")
     if not open_.isEmpty():
-        left = stored(left.join(open_, "band"), "left-open")
-        small, large = left.where(F.col("n") <= SMALL), left.where(F.col("n") > SMALL)
-        x, y = (small.select("band", F.col("node").alias(s), F.col("component").alias(f"c{s}")) for s in "ab")
-        pairs = x.join(y, "band").where("a < b and ca <> cb").select("a", "b")
-        if not large.isEmpty():
-            n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-            own = F.pmod(F.xxhash64("node"), n_blocks).cast("int")
-            with_sig = large.join(nodes, "node").withColumn("nb", n_blocks).withColumn("own", own)
-            dealt = with_sig.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-            as_left = dealt.where("own <= other").select("band", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), "node", "component", "sig")
-            as_right = dealt.where("other <= own").select("band", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "node", "component", "sig")
-            pairs = pairs.union(as_left.union(as_right).groupBy("band", "i", "j").applyInPandas(_blockwise(share[0] / share[1], miss), "a long, b long"))
-        more = _links(stored(pairs.distinct(), "left-pairs"), nodes, docs, k, share, miss, "left")
-        labels = stored(connected_components(links.union(more)), "labels")
+        left = stored_ids(left.join(open_, "band"), "left-open")
+        ids = stored_ids(left.select(F.col("node").alias("nd_doc")).distinct(), "left-ids")
+        shingled = _texts_of(ids, docs).mapInArrow(_shingled(k), "node long, shingles binary")
+        whole_left = left.join(nodes, "node").join(shingled, "node")
+        n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        dealt = whole_left.withColumn("nb", n_blocks).withColumn("own", F.pmod(F.xxhash64("node"), n_blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+        columns = ["band", "slot", "i", "j", "side", "node", "component", "sig", "shingles"]
+        as_left = dealt.where("own <= other").withColumns({"i": F.col("own"), "j": F.col("other"), "side": F.lit(0)}).select(*columns)
+        as_right = dealt.where("other <= own").withColumns({"i": F.col("other"), "j": F.col("own"), "side": F.lit(1)}).select(*columns)
+        more = as_left.union(as_right).groupBy("band", "i", "j").applyInPandas(_blockwise(share, miss), "a long, b long")
+        labels = connected_components(links.union(stored(more, "left-links")))
     # component of each set, then of each document of the set
-    named = stored(sets.join(labels, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component")), "named")
+    named = stored_ids(sets.join(labels, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component")), "named")
     return whole.join(named, ["k1", "k2"]).select("nd_doc", "n_shingles", "component").union(
         sketches.where("n_shingles = 0 or nd_doc is null").select("nd_doc", "n_shingles", F.col("nd_doc").alias("component"))
     )
