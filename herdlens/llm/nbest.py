@@ -19,6 +19,7 @@ import heapq
 import re
 import zlib
 from array import array
+from itertools import chain
 from math import log
 from operator import itemgetter
 
@@ -43,6 +44,7 @@ class Lattice:
     def __init__(self, pieces: dict[str, tuple[int, int]], byte_ids: list[int], byte_score: int):
         self.pieces, self.byte_ids, self.byte_score = pieces, byte_ids, byte_score
         self.inner = {a + b for p in pieces for a, b in zip(p, p[1:])}
+        self.single = {p for p in pieces if len(p) == 1}
         # finds all pieces that stand in a text in one pass over it
         self.finder = ahocorasick.Automaton()
         for piece, (number, score) in pieces.items():
@@ -84,38 +86,34 @@ class Lattice:
     def best(self, part: str) -> tuple[int, tuple[int, ...], int | None]:
         """(score, ids, loss) of the best segmentation, and how much less the second best scores (None: there is none).
 
-        Scores forward and backward give the best total through each edge; the second best segmentation is the best
-        one through some edge that isn't on the best. Equal scores go to the edge found first.
+        One forward pass keeps the two best totals of each node: its second best comes by the best edge from the second
+        best before it, or by another edge. Equal scores go to the edge found first.
         """
-        ends = self.edges(part)
-        ahead, via = [0] * len(ends), [None] * len(ends)
-        for j in range(1, len(ends)):
-            top = None
-            for edge in ends[j]:
-                score = ahead[edge[0]] + edge[1]
-                if top is None or score > top:
-                    top, via[j] = score, edge
-            ahead[j] = top
-        back = [None] * len(ends)
-        back[-1], second = 0, None
-        on, j, ids = set(), len(ends) - 1, []
+        size = len(part) + 1
+        top, second, via = [-NEVER] * size, [-NEVER] * size, [None] * size
+        top[0] = 0
+        for last, edge in self._in_order(part):
+            j = last + 1
+            i = j - edge[0]
+            score = edge[1]
+            total = top[i] + score
+            if total > top[j]:
+                other = second[i] + score
+                second[j] = other if other > top[j] else top[j]
+                top[j], via[j] = total, edge
+            elif total > second[j]:
+                second[j] = total
+        j, ids = size - 1, []
         while j:
-            on.add(j)
             ids.append(via[j][2])
-            j = via[j][0]
-        for j in range(len(ends) - 1, 0, -1):
-            rest = back[j]
-            if rest is None:
-                continue
-            for edge in ends[j]:
-                i, score = edge[0], edge[1] + rest
-                if back[i] is None or score > back[i]:
-                    back[i] = score
-                if edge is not via[j] or j not in on:
-                    total = ahead[i] + score
-                    if second is None or total > second:
-                        second = total
-        return ahead[-1], tuple(i for x in reversed(ids) for i in x), None if second is None else ahead[-1] - second
+            j -= via[j][0]
+        return top[-1], tuple(chain.from_iterable(reversed(ids))), None if 2 * second[-1] < -NEVER else top[-1] - second[-1]
+
+    def _in_order(self, part: str):
+        """(last character, (characters, score, ids)) of each edge, by the node where it ends."""
+        if self.single.issuperset(part):
+            return self.finder.iter(part)
+        return ((j - 1, (j - i, score, ids)) for j, ends in enumerate(self.edges(part)) for i, score, ids in ends)
 
     def n_best(self, part: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
         """(score, ids) of the n best segmentations, or all if fewer; equal scores by their ids from the end."""
