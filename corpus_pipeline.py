@@ -33,8 +33,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of each row's best segmentations."""
-    return nbest.encode(docs, vocabulary("piece_bpe_32k.model"), keep_ids=False)
+    """Piece ids of each row's best segmentations, with their digests."""
+    return nbest.encode(docs, vocabulary("piece_bpe_32k.model"))
 
 
 STAGES = [

@@ -27,11 +27,14 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SPACE = "▁"
 N_BEST = 4
 #: Parts that a worker keeps; at the limit it forgets those not used since the last time.
 CACHE_PARTS = 250_000
+#: An output batch ends at either.
+OUT_ROWS, OUT_BYTES = 256, 1 << 23
 #: The loss of what can't be segmented in a second way.
 NEVER = 1 << 60
 _SCORE, _IDS, _LOSS = map(itemgetter, range(3))
@@ -236,22 +239,36 @@ class Decoder:
         return text[1:] if text[:1] == " " else text
 
 
+def _nested(rows: list[list[bytes]]) -> pa.Array:
+    """array<array<int>> of each row's id strings."""
+    flat = [x for row in rows for x in row]
+    outer = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    inner = np.cumsum([0, *(len(x) // 4 for x in flat)], dtype=np.int32)
+    values = pa.array(np.frombuffer(b"".join(flat), "<u4").astype(np.int32))
+    return pa.ListArray.from_arrays(pa.array(outer), pa.ListArray.from_arrays(pa.array(inner), values))
+
+
 def _encode(path: str, n: int, keep_ids: bool):
     def run(batches):
         lattice = Lattice.load(path)
         segmenter, decoder = Segmenter(lattice, n), Decoder(lattice)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = []
-                for text in batch.column("text").slice(at, 256).to_pylist():
-                    best = segmenter(text or "")
-                    same = decoder(best[0][1]) == (text or "").replace(SPACE, " ")
-                    rows.append((len(best[0][1]) // 4, zlib.crc32(best[0][1]), [s / 1e6 for s, _ in best], [zlib.crc32(x) for _, x in best], same, np.frombuffer(best[0][1], "<u4").astype(np.int32) if keep_ids else None))
-                cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, 256), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.float64())), pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.bool_()), pa.array(cols[5], pa.list_(pa.int32()))],
-                    [batch.schema.names[0], "n_pieces", "ids_crc32", "scores", "crc32s", "round_trip", "ids"],
-                )
+            begin, size, rows, found = 0, 0, [], []
+            for at, text in enumerate(chain.from_iterable(batch.column("text").slice(k, 256).to_pylist() for k in range(0, batch.num_rows, 256))):
+                best = segmenter(text or "")
+                same = decoder(best[0][1]) == (text or "").replace(SPACE, " ")
+                rows.append((len(best[0][1]) // 4, zlib.crc32(best[0][1]), [s / 1e6 for s, _ in best], [zlib.crc32(x) for _, x in best], same))
+                if keep_ids:
+                    found.append([x for _, x in best])
+                    size += sum(map(len, found[-1]))
+                if len(rows) == OUT_ROWS or size > OUT_BYTES or at + 1 == batch.num_rows:
+                    cols = list(zip(*rows))
+                    ids = _nested(found) if keep_ids else pa.nulls(len(rows), pa.list_(pa.list_(pa.int32())))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(begin, len(rows)), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.float64())), pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.bool_()), ids],
+                        [batch.schema.names[0], "n_pieces", "ids_crc32", "scores", "crc32s", "round_trip", "ids"],
+                    )
+                    begin, size, rows, found = at + 1, 0, [], []
 
     return run
 
@@ -259,13 +276,14 @@ def _encode(path: str, n: int, keep_ids: bool):
 def encode(docs: DataFrame, model: str, n: int = N_BEST, keep_ids: bool = True, id_column: str = "doc_id") -> DataFrame:
     """id, n_pieces, ids_crc32, scores, crc32s, round_trip, ids: of the best segmentation, and (arrays) of the n best.
 
-    crc32 of ids as little-endian unsigned 32-bit integers; round_trip: whether decoding gives the text back. A text
-    that holds U+2581 is read as if that were a space. Null and empty texts have no pieces, score 0 and one
-    segmentation. Texts with fewer than n segmentations have shorter arrays. Repeated rows get equal results, an empty
-    table none; columns but the id and text play no part.
+    ids holds the piece ids of each of the n best, best first, in the order of scores and crc32s. crc32 of ids as
+    little-endian unsigned 32-bit integers; round_trip: whether decoding the best gives the text back. A text that holds
+    U+2581 is read as if that were a space. Null and empty texts have no pieces, score 0 and one segmentation. Texts with
+    fewer than n segmentations have shorter arrays. Repeated rows get equal results, an empty table none; columns but
+    the id and text play no part.
     """
     kind = dict(docs.dtypes)[id_column]
-    schema = f"`{id_column}` {kind}, n_pieces long, ids_crc32 long, scores array<double>, crc32s array<long>, round_trip boolean, ids array<int>"
+    schema = f"`{id_column}` {kind}, n_pieces long, ids_crc32 long, scores array<double>, crc32s array<long>, round_trip boolean, ids array<array<int>>"
     out = docs.select(id_column, "text").mapInArrow(_encode(model, n, keep_ids), schema)
     return out if keep_ids else out.drop("ids")
 
@@ -280,7 +298,10 @@ def _decode(path: str):
     return run
 
 
-def decode(encoded: DataFrame, model: str, id_column: str = "doc_id") -> DataFrame:
-    """id and text of each row's ids; null ids give null, none the empty text."""
+def decode(encoded: DataFrame, model: str, id_column: str = "doc_id", which: int = 0) -> DataFrame:
+    """id and text of each row's ids of one segmentation, the best if `which` is 0.
+
+    Null ids and segmentations that a row hasn't give null, no ids the empty text.
+    """
     kind = dict(encoded.dtypes)[id_column]
-    return encoded.select(id_column, "ids").mapInArrow(_decode(model), f"`{id_column}` {kind}, text string")
+    return encoded.select(id_column, F.get("ids", F.lit(which)).alias("ids")).mapInArrow(_decode(model), f"`{id_column}` {kind}, text string")

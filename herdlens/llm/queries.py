@@ -50,7 +50,7 @@ def op4_line_dedup(spark, sf_dir):
 
 
 def op5_nbest_pieces(spark, sf_dir):
-    return nbest.encode(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"), keep_ids=False)
+    return nbest.encode(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
 
 def op6_sharding(spark, sf_dir):

@@ -72,3 +72,30 @@ def test_awkward_rows(awkward, empty, nulls):
     assert len(rows) == awkward.count() and all(r.round_trip for r in rows)
     assert by[3].n_pieces == by[4].n_pieces == 0 and by[3].scores == [0.0] and by[8].n_pieces > 60_000
     assert S.encode(empty, PATH).count() == 0 and S.encode(nulls, PATH).count() == 2
+
+
+def test_query_returns_ids_of_all_segmentations(spark, data):
+    import zlib
+
+    from herdlens.llm.queries import op5_nbest_pieces
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/sf0.001/documents.parquet").collect()}
+    out = op5_nbest_pieces(spark, f"{data}/sf0.001")
+    rows, segment = out.collect(), S.Segmenter(S.Lattice.load(PATH))
+    assert len(rows) == len(texts) and max(len(r.ids) for r in rows) == S.N_BEST
+    for r in rows:
+        raw = [np.array(x, "<u4").tobytes() for x in r.ids]
+        assert raw == [x for _, x in segment(texts[r.doc_id])] and [zlib.crc32(x) for x in raw] == r.crc32s
+        assert len(r.scores) == len(raw) and len(r.ids[0]) == r.n_pieces
+    for which in range(S.N_BEST):
+        back = {r.doc_id: r.text for r in S.decode(out, PATH, which=which).collect()}
+        assert all(back[r.doc_id] == (texts[r.doc_id].replace(S.SPACE, " ") if which < len(r.ids) else None) for r in rows)
+
+
+def test_small_batches(spark, awkward, monkeypatch):
+    want = sorted(map(repr, S.encode(awkward, PATH).collect()))
+    schema = S.encode(awkward, PATH).schema
+    monkeypatch.setattr(S, "OUT_BYTES", 8)
+    batches = awkward.select("doc_id", "text").coalesce(1).toArrow().to_batches()
+    got = spark.createDataFrame([r for b in S._encode(PATH, S.N_BEST, True)(batches) for r in zip(*b.to_pydict().values())], schema)
+    assert sorted(map(repr, got.collect())) == want
