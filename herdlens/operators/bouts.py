@@ -50,31 +50,43 @@ def indices(bouts: DataFrame, keys: Sequence[str], fps: float, short_s: float =
     return rows.groupBy(*keys).agg(F.count("*").alias("n_bouts"), share(mine).alias("EI"), share(mine & was).alias("RI"), share(short & ~mine & (F.col("disengager") == "A")).alias("RTI"))
 
 
-def windowed(bouts: DataFrame, seconds: Column, last_second: float, keys: Sequence[str] = KEYS) -> DataFrame:
+def with_last_second(table: DataFrame, frames: DataFrame, seconds: Column, keys: Sequence[str] = KEYS) -> DataFrame:
+    """table with last_second: the highest `seconds` of the frames of the same keys; null without frames."""
+    return table.join(frames.groupBy(*keys).agg(F.max(seconds).cast("double").alias("last_second")), list(keys), "left")
+
+
+def _minutes(last_second: float | Column) -> Column:
+    """Minutes begun until then, one at least."""
+    last = last_second if isinstance(last_second, Column) else F.lit(float(last_second))
+    return F.greatest(F.lit(1), F.ceil(last / 60).cast("int"))
+
+
+def windowed(bouts: DataFrame, seconds: Column, last_second: float | Column, keys: Sequence[str] = KEYS) -> DataFrame:
     """Each bout once for its minute, for every cumulative window that holds it, and for the whole session.
 
-    scope 'minute' or 'cumulative' with number i (0-based minute, minutes so far), or 'full'. A bout at the very end of
-    a last whole minute is in 'full' only.
+    scope 'minute' or 'cumulative' with number i (0-based minute, minutes so far), or 'full'. last_second says how long
+    the session is: with_last_second takes it from each session's frames. A bout at the very end of a last whole minute
+    is in 'full' only.
     """
-    n = int(-(-last_second // 60)) or 1
+    n = _minutes(last_second)
     minute = F.floor(seconds / 60).cast("int")
     rows = bouts.withColumn("_m", minute)
     kinds = F.when(
         F.col("_m") < n,
         F.concat(
             F.array(F.struct(F.lit("full").alias("scope"), F.lit(0).alias("number")), F.struct(F.lit("minute").alias("scope"), F.col("_m").alias("number"))),
-            F.transform(F.sequence(F.col("_m") + 1, F.lit(n)), lambda i: F.struct(F.lit("cumulative").alias("scope"), i.alias("number"))),
+            F.transform(F.sequence(F.col("_m") + 1, n), lambda i: F.struct(F.lit("cumulative").alias("scope"), i.alias("number"))),
         ),
     ).otherwise(F.array(F.struct(F.lit("full").alias("scope"), F.lit(0).alias("number"))))
     return rows.withColumn("_k", F.explode(kinds)).select(*bouts.columns, F.col("_k.scope").alias("scope"), F.col("_k.number").alias("number"))
 
 
-def spine(pairs: DataFrame, last_second: float, keys: Sequence[str] = KEYS) -> DataFrame:
+def spine(pairs: DataFrame, last_second: float | Column, keys: Sequence[str] = KEYS) -> DataFrame:
     """All windows of all pairs, so that those without bouts are kept by a left join."""
-    n = int(-(-last_second // 60)) or 1
-    kinds = [("full", 0), *[("minute", i) for i in range(n)], *[("cumulative", i + 1) for i in range(n)]]
-    windows = F.array(*[F.struct(F.lit(s).alias("scope"), F.lit(i).alias("number")) for s, i in kinds])
-    return pairs.select(*keys).distinct().withColumn("_k", F.explode(windows)).select(*keys, F.col("_k.scope").alias("scope"), F.col("_k.number").alias("number"))
+    kind = lambda s: lambda i: F.struct(F.lit(s).alias("scope"), i.alias("number"))
+    minutes = F.sequence(F.lit(1), F.col("_n"))
+    windows = F.concat(F.array(kind("full")(F.lit(0))), F.transform(minutes, lambda i: kind("minute")(i - 1)), F.transform(minutes, kind("cumulative")))
+    return pairs.select(*keys, _minutes(last_second).alias("_n")).groupBy(*keys).agg(F.max("_n").alias("_n")).withColumn("_k", F.explode(windows)).select(*keys, F.col("_k.scope").alias("scope"), F.col("_k.number").alias("number"))
 
 
 def active_at(bouts: DataFrame, frame: int) -> DataFrame:

@@ -106,8 +106,11 @@ _LAST = 120.0
 
 
 def _windowed(spark, sf_dir):
-    """Bouts by windows; a second has two frames here, so that signals last some minutes."""
-    return T.windowed(_paired(spark, sf_dir)[1], F.col("start") / _MINUTE, _LAST)
+    """Bouts by windows; a second has two frames here, so that signals last some minutes: as many as each session's own
+    frames, and _LAST at least."""
+    frames, found = _paired(spark, sf_dir)
+    found = T.with_last_second(found, frames, F.col("sidx") / _MINUTE)
+    return T.windowed(found, F.col("start") / _MINUTE, F.greatest(F.lit(_LAST), "last_second"))
 
 
 @query(

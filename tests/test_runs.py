@@ -119,3 +119,28 @@ def test_many_gates_at_once_are_like_each_alone(spark):
     both = R.gates(df, {"f": (F.col("f") == 1, 2, F.col("m") > 7), "g": (F.col("g") == 1, 1, None)}, ["k"], "i")
     assert column(both, "f") == column(R.onset_gate(df, "f", ["k"], "i", 2, F.col("m") > 7), "f")
     assert column(both, "g") == column(R.fill_gaps(df, "g", ["k"], "i", 1), "g")
+
+
+def test_bout_indices_cover_the_whole_session(spark, data, monkeypatch):
+    from herdlens.queries import runs as Q
+
+    # user 1 has 700 frames, which are 5.8 minutes at two frames a second; user 2 has one minute
+    rows = [(u, i, float(i % 7), int(i % 10 < 4)) for u, n in ((1, 700), (2, 100)) for i in range(n)]
+    monkeypatch.setattr(Q, "signal", lambda *a: spark.createDataFrame(rows, "user_id long, idx int, value double, flag int"))
+    got = {(r.session, r.scope, r.number): r.n_bouts for r in Q.bout_indices(spark, "").collect()}
+    assert [got["1", "full", 0], got["2", "full", 0]] == [70, 10]
+    assert [got["1", "minute", i] for i in range(6)] == [12] * 5 + [10] and ("1", "minute", 6) not in got
+    assert [got["1", "cumulative", i] for i in range(1, 7)] == [12, 24, 36, 48, 60, 70] and ("1", "cumulative", 7) not in got
+    assert got["2", "minute", 0] == 10 and ("2", "minute", 1) not in got
+
+
+def test_spine_by_session(spark):
+    from herdlens.operators import bouts as T
+
+    pairs = spark.createDataFrame([("a", 0, 1), ("b", 0, 1)], "session string, tA int, tB int")
+    frames = spark.createDataFrame([("a", 0, 1, 0), ("a", 0, 1, 250), ("b", 0, 1, 30)], "session string, tA int, tB int, sidx int")
+    from pyspark.sql import functions as F
+
+    out = T.spine(T.with_last_second(pairs, frames, F.col("sidx")), F.col("last_second")).groupBy("session", "scope").count().collect()
+    assert {(r.session, r.scope): r["count"] for r in out} == {("a", "full"): 1, ("a", "minute"): 5, ("a", "cumulative"): 5, ("b", "full"): 1, ("b", "minute"): 1, ("b", "cumulative"): 1}
+    assert T.spine(pairs, 120.0).count() == 2 * 5
