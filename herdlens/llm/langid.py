@@ -26,10 +26,11 @@ DIMENSIONS = 16
 EPOCHS = 4
 RATE = 2.0
 SEED = 7
-#: Bound of the training sample: rows a language (on average; twice that in all is never exceeded), bytes taken of each.
+#: Bound of the training sample: rows a language and rows in all, shared among the languages when they are many (on
+#: average; twice that and a row a language are never exceeded), bytes taken of each.
 ROWS_PER_LANGUAGE = 600
+ROWS_IN_ALL = 64 * ROWS_PER_LANGUAGE
 SAMPLE_BYTES = 4000
-MAX_LANGUAGES = 64
 UNDETERMINED = "und"
 
 _SQUASH = _LOWER.copy()
@@ -69,22 +70,25 @@ def subwords(data: np.ndarray, offsets: np.ndarray):
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # (orders, buckets, languages)
+    table: np.ndarray  # (orders, languages, buckets); with a layer (orders, dimensions, buckets)
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
+    #: (dimensions, languages): of many languages the embeddings are kept apart from the layer, so size doesn't grow
+    layer: np.ndarray | None = None
 
     def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        total, count = np.zeros((len(offsets) - 1, len(self.languages))), np.zeros(len(offsets) - 1)
+        total, count = np.zeros((len(offsets) - 1, self.table.shape[1])), np.zeros(len(offsets) - 1)
         for k, (buckets, bounds) in enumerate(subwords(data, offsets)):
             n = np.diff(bounds)
             some = np.flatnonzero(n)
             if len(some):
                 starts = bounds[:-1][some]
-                for c in range(len(self.languages)):
+                for c in range(self.table.shape[1]):
                     total[some, c] += np.add.reduceat(self.table[k, c][buckets], starts)
                 count += n
-        return total / np.maximum(count, 1)[:, None] + self.bias
+        mean = total / np.maximum(count, 1)[:, None]
+        return (mean if self.layer is None else mean @ self.layer) + self.bias
 
     def probabilities(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return softmax(self.logits(data, offsets) / self.temperature)
@@ -101,7 +105,8 @@ def train(texts: list[str], labels: list[str], max_rejected: float = 0.001, most
         return None
     random = np.random.default_rng(SEED)
     languages = sorted(set(labels))
-    y = np.array([languages.index(x) for x in labels])
+    number = {x: i for i, x in enumerate(languages)}
+    y = np.array([number[x] for x in labels])
     data, offsets = text_buffers(pa.array(texts, pa.large_string()))
     rows = []
     for a, b in blocks(offsets):
@@ -111,6 +116,9 @@ def train(texts: list[str], labels: list[str], max_rejected: float = 0.001, most
     order = random.permutation(len(rows))
     cut = len(rows) - len(rows) // 5
     fit, held = order[:cut], order[cut:] if len(rows) >= 5 else order
+    # a language that chance left out is learnt from the first of its rows
+    alone = held[np.unique(y[held], return_index=True)[1]]
+    fit = np.concatenate([fit, alone[~np.isin(y[alone], y[fit])]])
     emb = random.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (len(ORDERS) * BUCKETS, DIMENSIONS)).astype(np.float32)
     layer, bias = np.zeros((DIMENSIONS, len(languages)), np.float32), np.zeros(len(languages), np.float32)
     steps, done = EPOCHS * len(fit), 0
@@ -130,8 +138,9 @@ def train(texts: list[str], labels: list[str], max_rejected: float = 0.001, most
             bias -= np.float32(0.05) * rate * error
             # a row's share is small: embeddings take the step of the mean, spread over its subwords
             emb[index] = own - rate * len(index) ** 0.5 * share * back
-    table = np.ascontiguousarray((emb @ layer).reshape(len(ORDERS), BUCKETS, -1).transpose(0, 2, 1)).astype(np.float32)
-    model = Model(languages, table, bias.astype(float))
+    many = len(languages) > DIMENSIONS
+    table = np.ascontiguousarray((emb if many else emb @ layer).reshape(len(ORDERS), BUCKETS, -1).transpose(0, 2, 1)).astype(np.float32)
+    model = Model(languages, table, bias.astype(float), layer=layer.astype(float) if many else None)
     del emb, rows
     held_data, held_offsets = text_buffers(pa.array([texts[i] for i in held], pa.large_string()))
     logits, gold = np.concatenate([model.logits(held_data[held_offsets[a] : held_offsets[b]], held_offsets[a : b + 1]) for a, b in blocks(held_offsets)]), y[held]
@@ -146,17 +155,19 @@ def learn(docs: DataFrame, usable: Column, rows: int = ROWS_PER_LANGUAGE) -> Mod
     """Trains on a bounded sample of the rows where `usable` holds and text and lang are not null.
 
     The sample is chosen by a hash of doc_id at a rate for each language, so rare languages are as well covered as
-    common ones; of each row, SAMPLE_BYTES characters from the middle are used. The bounds hold at any input size.
+    common ones; of each row, SAMPLE_BYTES characters from the middle are used. Every language is learnt: when they are
+    many, each has fewer rows, one at least. The bounds hold at any input size.
     """
     labelled = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    chance = F.crc32(F.concat(F.lit("sample:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")) / F.lit(2.0**32)
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min(chance).alias("least")).orderBy("lang").collect()
     if not counts:
         return None
-    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, rows / r["count"])) for r in counts], "lang string, rate double")
-    chance = F.crc32(F.concat(F.lit("sample:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")) / F.lit(2.0**32)
+    rows = min(rows, max(1, ROWS_IN_ALL // len(counts)))
+    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, rows / r["n"]), r["least"]) for r in counts], "lang string, rate double, least double")
     start = F.greatest(F.lit(1), F.floor((F.char_length("text") - SAMPLE_BYTES) / 2).cast("int") + 1)
     sample = (
-        labelled.join(F.broadcast(rates), "lang").where(chance < F.col("rate")).select("doc_id", "lang", F.col("text").substr(start, F.lit(SAMPLE_BYTES)).alias("text")).limit(2 * rows * len(counts)).collect()
+        labelled.join(F.broadcast(rates), "lang").where((chance < F.col("rate")) | (chance == F.col("least"))).select("doc_id", "lang", F.col("text").substr(start, F.lit(SAMPLE_BYTES)).alias("text")).limit((2 * rows + 1) * len(counts)).collect()
     )
     sample.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"]))
     return train([r["text"] for r in sample], [r["lang"] for r in sample])

@@ -49,3 +49,22 @@ def test_awkward_rows(awkward, empty, nulls):
 
 def test_no_model_gives_und(awkward):
     assert {r.lang_pred for r in L.predict(awkward, None).collect()} == {"und"}
+
+
+def test_every_language_is_learnt(spark):
+    names = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqr"]  # 80, more than any cap before
+    rows = [(80 * k + i, f"{n * 3} {n[::-1] * 4} {n}{k}", n) for k in range(12) for i, n in enumerate(names)] + [(9999, "zz9 zyx zyxzyx", "rare")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.learn(docs, F.lit(True))
+    assert model.languages == sorted([*names, "rare"]) and model.table.shape[1] == L.DIMENSIONS
+    got = L.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert {r.lang_pred for r in got} >= {*names[:1], *names[-1:]} and len({r.lang_pred for r in got}) > 64
+
+
+def test_rows_in_all_are_shared(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{i % 5}", f"l{i % 5}") for i in range(500)], "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(L, "ROWS_IN_ALL", 5)
+    monkeypatch.setattr(L, "train", lambda texts, labels: seen.append(labels))
+    L.learn(docs, F.lit(True))
+    assert set(seen[0]) == {f"l{i}" for i in range(5)} and len(seen[0]) <= 3 * 5
