@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import fresh_path, shared_dir, stored
+from ..storage import discard, fresh_path, shared_dir, stored
 
-__all__ = ["BLANKS", "LOWER", "UPPER", "ascii_lower", "documents", "fresh_path", "shared_dir", "stored", "stored_ids"]
+__all__ = ["BLANKS", "LOWER", "UPPER", "ascii_lower", "discard", "documents", "fresh_path", "shared_dir", "stored", "stored_ids"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()

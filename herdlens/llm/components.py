@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored_ids
+from .common import discard, stored_ids
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -27,14 +27,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = left.union(left.select("b", "a"))
         parents = both.groupBy(F.col("a").alias("node")).agg(F.min(order("b")).alias("m"))
         parents = stored_ids(parents.select("node", F.least(order("node"), "m").getField("n").alias("parent")), "cc-parents")
+        before = []
         if labels is None:
             labels = parents.select("node", F.col("parent").alias("component"))
         else:
+            before = [parents, labels] if turn > 2 else [parents]
             labels = stored_ids(
                 labels.join(parents.select(F.col("node").alias("component"), "parent"), "component", "left").select("node", F.coalesce("parent", "component").alias("component")), "cc-labels"
             )
         a, b = (parents.select(F.col("node").alias(x), F.col("parent").alias(f"p{x}")) for x in "ab")
+        before.append(left)
         left = stored_ids(left.join(a, "a").join(b, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "cc-edges")
+        discard(*before)
     if labels is None:
         return spark.createDataFrame([], "node long, component long")
     if turn > 2:  # parents by hash need not be the smallest

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from herdlens.llm import neardup as N
 from herdlens.llm.components import connected_components
@@ -80,14 +81,23 @@ def test_same_components_as_brute_force(spark):
         assert got == brute(docs, 4)
 
 
-def test_blocks_find_what_a_star_misses(spark, monkeypatch):
-    """Small blocks: members of one bucket are compared over several tasks."""
-    monkeypatch.setattr(N, "BLOCK", 4)
+@pytest.mark.parametrize("more_stars", [0, 2])
+def test_blocks_find_what_a_star_misses(spark, monkeypatch, more_stars):
+    """Small blocks and parts: stars and members of one bucket are dealt over several tasks."""
+    for name, value in (("BLOCK", 4), ("SET_BLOCK", 2), ("STAR", 3), ("PAIRS", 7), ("MORE_STARS", more_stars)):
+        monkeypatch.setattr(N, name, value)
     docs = copies(5)
     got = {r.nd_doc: r.component for r in N.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), k=4).collect()}
     assert got == {i: c for i, (_, c) in brute(docs, 4).items()}
 
 
+def test_rows_of_one_doc_id_with_different_texts(spark):
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    docs = [(7, one), (7, two), (7, two), (3, one + " end"), (5, two + " end"), (9, "alone here")]
+    got = sorted((r.nd_doc, r.component) for r in N.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == [(3, 3), (5, 5), (7, 3), (7, 5), (7, 5), (9, 9)]
+
+
 def test_awkward_rows(awkward, empty, nulls):
     got = sorted(((r.nd_doc, r.n_shingles, r.component) for r in N.near_duplicates(awkward).collect()), key=str)
     assert len(got) == awkward.count()
