@@ -6,6 +6,8 @@ for a query, the largest |d(q, p) - d(x, p)| over the pivots p is a lower bound
 upper bound of the inner product. Candidates are evaluated in the order of their bounds, until the next bound is below
 the k-th best product: exact, whatever the pivots are.
 
+Vectors stay where they are read: a task works out the table of a block of rows once, and the stored queries go past it.
+
 Pivots come from a bounded sample of rows by farthest-first choice; they decide the speed only.
 """
 
@@ -17,11 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .vectors import QUERY_ROWS, SHARD_ROWS, best, matrix, shards, usable
+from .vectors import QUERY_ROWS, best, matrix, query_blocks, store_queries, usable
 
 PIVOTS = 32
 SAMPLE = 1024
 CHUNK = 128
+#: How many times larger each next chunk of candidates is.
+GROWTH = 8
 
 
 def lifted(x: np.ndarray, longest: float) -> np.ndarray:
@@ -44,7 +48,8 @@ def pivot_table(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def top_products(q_ids, q, ids, x, table, pivots, longest: float, k: int):
-    """For each query (ids, products) of its k largest inner products in this block, ties to smaller ids, itself left out."""
+    """For each query (ids, products, evaluated): its k largest inner products in this block, ties to smaller ids, itself
+    left out, and how many candidates were evaluated for them."""
     q_table = pivot_table(np.concatenate([q, np.zeros((len(q), 1))], 1), pivots)
     size, by_pivot, q_pivot = (q * q).sum(1), np.ascontiguousarray(table.T, np.float32), q_table.astype(np.float32)
     far = np.empty_like(by_pivot)
@@ -55,13 +60,14 @@ def top_products(q_ids, q, ids, x, table, pivots, longest: float, k: int):
         gap = np.maximum(gap - 1e-5 * (1 + q_table[i].max() + longest**0.5), 0.0)
         bound = (size[i] + longest - gap * gap) / 2 + 1e-9 * (size[i] + longest)
         left = np.flatnonzero(ids != q_ids[i])
-        got_i, got_s, step = np.empty(0, np.int64), np.empty(0), max(CHUNK, 2 * k)
+        got_i, got_s, step, evaluated = np.empty(0, np.int64), np.empty(0), max(CHUNK, 2 * k), 0
         while len(left):
             if len(left) > step:  # those with the highest bounds come next
                 part = np.argpartition(bound[left], len(left) - step)
                 rows, left = left[part[-step:]], left[part[:-step]]
             else:
                 rows, left = left, left[:0]
+            evaluated += len(rows)
             scores = (x if 4 * len(rows) > 3 * len(x) else x[rows]) @ q[i]
             scores = scores[rows] if len(scores) > len(rows) else scores
             if len(got_s) == k:
@@ -75,42 +81,33 @@ def top_products(q_ids, q, ids, x, table, pivots, longest: float, k: int):
             got_i, got_s = got_i[first], got_s[first]
             if len(got_s) == k:
                 left = left[bound[left] >= got_s[-1]]  # no row whose bound is below the k-th best can be among them
-            step *= 8  # where bounds tell little, few and large chunks
-        yield got_i, got_s
+            step *= GROWTH  # where bounds tell little, few and large chunks
+        yield got_i, got_s, evaluated
 
 
-def _search(pivots: np.ndarray, longest: float, k: int):
+def _search(files: list[str], query_rows: int, pivots: np.ndarray, longest: float, k: int):
     def run(batches):
         for batch in batches:
-            for r in range(batch.num_rows):
-                rows, block = batch.column("rows")[r].values, batch.column("queries")[r].values
-                ids, x = rows.field("id").to_numpy(), matrix(rows.field("v"))
-                table, q_ids, q = matrix(rows.field("to_pivots")), block.field("id").to_numpy(), matrix(block.field("v"))
+            if not batch.num_rows:
+                continue
+            ids, x = batch.column("id").to_numpy(), matrix(batch.column("v"))
+            table = pivot_table(lifted(x, longest), pivots)
+            for q_ids, q in query_blocks(files, query_rows):
                 found = list(top_products(q_ids, q, ids, x, table, pivots, longest, k))
-                n = [len(i) for i, _ in found]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(q_ids, n)), pa.array(np.concatenate([i for i, _ in found])), pa.array(np.rint(np.concatenate([s for _, s in found])).astype(np.int64))], ["query_id", "vec_id", "score"]
-                )
-
-    return run
-
-
-def _tabled(pivots: np.ndarray, longest: float):
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                table = pivot_table(lifted(matrix(batch.column("v")), longest), pivots)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(table))], [*batch.schema.names, "to_pivots"])
+                n = [len(f[0]) for f in found]
+                columns = np.repeat(q_ids, n), np.concatenate([f[0] for f in found]), np.rint(np.concatenate([f[1] for f in found])).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
 
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, id_column: str, vector: str, k: int, scale: int = 64, rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, id_column: str, vector: str, k: int, scale: int = 64, query_rows: int = QUERY_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k largest integer inner products of floor(scale * x), exactly.
 
     Rows but the query's own are candidates; ties go to smaller ids; with fewer than k candidates all are returned.
     Vectors that are null or hold null or non-finite components, and rows without id, take no part; zero vectors do.
-    All vectors must have one length, and products must stay below 2^53.
+    All vectors must have one length, and products must stay below 2^53. A task sends on k rows a query and block of
+    rows (an Arrow batch), and keeps the best k of a query before they are shuffled.
     """
 
     def whole(df):
@@ -119,21 +116,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_column: str, vector: str, k
 
     spark = vectors.sparkSession
     fine = stored(whole(vectors), "vectors")
-    longest, total = fine.agg(F.max(F.expr("aggregate(v, 0D, (a, x) -> a + x * x)")), F.count("*")).first()
-    if not total:
+    longest = fine.agg(F.max(F.expr("aggregate(v, 0D, (a, x) -> a + x * x)"))).first()[0]
+    if longest is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     sample = fine.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
     pivots = choose_pivots(lifted(np.array([r["v"] for r in sample]), longest))
-    dealt = shards(fine, "id", "v", rows, total)
-    tabled = dealt.mapInArrow(_tabled(pivots, longest), "id long, v array<double>, shard int, to_pivots array<double>")
-    tables = stored(tabled.groupBy("shard").agg(F.collect_list(F.struct("id", "v", "to_pivots")).alias("rows")), "pivot-tables")
-    asked = stored(whole(queries), "queries")
-    n = max(1, -(-asked.count() // query_rows))
-    blocks = asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("long").alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("queries"))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    spread = max(1, min(tables.count() * n, 4 * spark.sparkContext.defaultParallelism))
-    pairs = tables.withColumn("block", every).join(blocks, "block").repartition(spread, "shard", "block").select("rows", "queries")
-    found = pairs.mapInArrow(_search(pivots, longest, k), "query_id long, vec_id long, score long")
+    files = store_queries(whole(queries), "id", "v")
+    found = fine.mapInArrow(_search(files, query_rows, pivots, longest, k), "query_id long, vec_id long, score long")
     return best(found, k, F.desc("score"))
 
 

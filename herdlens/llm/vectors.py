@@ -1,11 +1,19 @@
-"""Shards of vectors and blocks of queries, shared by the searches."""
+"""Shards of vectors and blocks of queries, shared by the searches.
+
+Shards stay in their tasks. Queries are stored once in the shared folder, and each task reads them there block by block,
+so nothing is shuffled or copied for a shard and a block to meet.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Vectors a shard holds, about, and queries that a task takes at a time.
 SHARD_ROWS = 4096
 QUERY_ROWS = 512
@@ -25,6 +33,25 @@ def shards(df: DataFrame, id_column: str, vector: str, rows: int, total: int) ->
     return df.select(F.col(id_column).alias("id"), F.col(vector).alias("v")).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
 
 
+def store_queries(df: DataFrame, id_column: str, vector: str) -> list[str]:
+    """Files with the rows of df as (id, v), for query_blocks."""
+    fine = df.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    return sorted(stored(fine.coalesce(max(1, fine.sparkSession.sparkContext.defaultParallelism)), "queries").inputFiles())
+
+
+def query_blocks(files: list[str], rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of up to `rows` queries at a time, read in a task."""
+    import pyarrow.parquet as pq
+    from pyarrow.fs import FileSystem
+
+    for uri in files:
+        fs, path = FileSystem.from_uri(uri)
+        with fs.open_input_file(path) as f:
+            for batch in pq.ParquetFile(f).iter_batches(rows, columns=["id", "v"]):
+                if batch.num_rows:
+                    yield batch.column("id").to_numpy(), matrix(batch.column("v"))
+
+
 def matrix(column) -> np.ndarray:
     """An Arrow list column without nulls as rows of doubles."""
     column = column.combine_chunks() if hasattr(column, "combine_chunks") else column

@@ -5,8 +5,8 @@ of the vantage point, with its k-th best so far at t, has to look inside the bal
 and outside only if m - d <= t / f (f: the pruning factor). With f = 1 that is the triangle inequality and results are
 exact; larger factors prune more and may miss neighbours.
 
-Trees are built once, one task a shard, and stored; each tree then meets blocks of queries. Queries that reach a node
-are handled together.
+Trees are built once, one task a shard, and stored. To search, each tree stays in one task and the stored queries go
+past it block by block. Queries of a block that reach a node are handled together.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .vectors import QUERY_ROWS, SHARD_ROWS, best, matrix, shards, usable
+from .vectors import QUERY_ROWS, SHARD_ROWS, best, query_blocks, shards, store_queries, usable
 
 LEAF = 64
 #: 1: exact. Random vectors of many dimensions gain little from pruning, so exactness costs little here.
@@ -108,18 +108,17 @@ def build(vectors: DataFrame, id_column: str, vector: str, rows: int = SHARD_ROW
     return stored(shards(fine, id_column, vector, rows, total).groupBy("shard").applyInPandas(_build_shard, "shard int, tree binary"), "trees")
 
 
-def _search(k: int, factor: float):
+def _search(files: list[str], query_rows: int, k: int, factor: float):
     def run(batches):
         import pickle
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                tree = pickle.loads(batch.column("tree")[i].as_py())
-                block = batch.column("queries")[i].values
-                ids, q = block.field("id").to_numpy(), matrix(block.field("v"))
-                d, found = tree.search(ids, q, k, factor)
-                some = found >= 0
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, some.sum(1))), pa.array(found[some]), pa.array(d[some])], ["query_id", "vec_id", "score"])
+            for raw in batch.column("tree"):
+                tree = pickle.loads(raw.as_py())
+                for ids, q in query_blocks(files, query_rows):
+                    d, found = tree.search(ids, q, k, factor)
+                    some = found >= 0
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, some.sum(1))), pa.array(found[some]), pa.array(d[some])], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -128,17 +127,11 @@ def search(trees: DataFrame, queries: DataFrame, id_column: str, vector: str, k:
     """query_id, rank, vec_id, score: each query's k nearest rows but itself, by Euclidean distance, ties to smaller ids.
 
     Null vectors, zero vectors and those with null or non-finite components are neither found nor searched for, as are
-    rows without id. With fewer candidates than k all are returned. All vectors must have one length. Every shard's
-    tree meets every block of queries; a task sends on k rows a query.
+    rows without id. With fewer candidates than k all are returned. All vectors must have one length. A task sends on k
+    rows a query and tree.
     """
-    fine = queries.where(usable(queries, vector, zero_ok=False) & F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    fine = stored(fine, "queries")
-    n = max(1, -(-fine.count() // query_rows))
-    blocks = fine.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("queries"))
-    # the stated query set against all rows: each tree meets each block of queries once
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    pairs = trees.withColumn("block", every).join(blocks, "block")
-    spread = max(1, min(trees.count() * n, 4 * trees.sparkSession.sparkContext.defaultParallelism))
-    pairs = pairs.select("shard", "tree", "block", "queries").repartition(spread, "shard", "block")
-    found = pairs.select("tree", "queries").mapInArrow(_search(k, factor), "query_id long, vec_id long, score double")
+    files = store_queries(queries.where(usable(queries, vector, zero_ok=False) & F.col(id_column).isNotNull()), id_column, vector)
+    # no key: trees are dealt out one by one, so a task has one or a few
+    spread = max(1, min(trees.count(), 4 * trees.sparkSession.sparkContext.defaultParallelism))
+    found = trees.select("tree").repartition(spread).mapInArrow(_search(files, query_rows, k, factor), "query_id long, vec_id long, score double")
     return best(found, k, F.col("score"))

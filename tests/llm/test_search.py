@@ -53,10 +53,24 @@ def test_products_like_brute_force(spark, data):
         if i % 20 == 0:
             best = sorted((-int(a @ b), j) for j, b in rows if j != i)[:20]
             want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
-    got = pivots.top_k(v, v.where("vec_id % 20 = 0"), "vec_id", "embedding", 20, rows=64, query_rows=8)
+    got = pivots.top_k(v, v.where("vec_id % 20 = 0"), "vec_id", "embedding", 20, query_rows=8)
     assert sorted(map(tuple, got.collect())) == want
 
 
+def test_pivots_leave_out_far_clusters():
+    """Where vectors stand in groups, bounds end the search early, with the same results."""
+    rng = np.random.default_rng(3)
+    x = np.rint(64 * (10 * rng.normal(size=(40, 8))[rng.integers(40, size=4000)] + 0.1 * rng.normal(size=(4000, 8))))
+    ids, longest = np.arange(4000), (x * x).sum(1).max()
+    chosen = pivots.choose_pivots(pivots.lifted(x[:1024], longest))
+    table = pivots.pivot_table(pivots.lifted(x, longest), chosen)
+    found = list(pivots.top_products(ids[:50], x[:50], ids, x, table, chosen, longest, 20))
+    for q, (got, scores, _) in enumerate(found):
+        want = sorted((-s, i) for i, s in enumerate(x @ x[q]) if i != q)[:20]
+        assert list(zip(-scores, got)) == want
+    assert np.mean([n for _, _, n in found]) < 0.5 * len(x)
+
+
 def test_ties_zeros_and_repeated_vectors(spark):
     v = spark.createDataFrame([(i, [float(i % 3), 1.0, 0.0]) for i in range(30)] + [(100, [0.0, 0.0, 0.0])] + BAD, "vec_id long, embedding array<double>")
     got = pivots.top_k(v, v.where("vec_id in (0, 100)"), "vec_id", "embedding", 4).collect()
