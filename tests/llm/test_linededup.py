@@ -48,6 +48,13 @@ def test_awkward_rows(awkward, empty, nulls):
     assert got.count() == awkward.count() and D.dedup_lines(empty).count() == 0 and D.dedup_lines(nulls).count() == 2
 
 
+def test_bitmaps_tell_which_lines_stay(spark):
+    docs = [(0, "a line that is shared"), (1, "\n".join(["a line that is shared" if i in (0, 63, 64, 130) else f"own line {i}, long enough" for i in range(200)]))]
+    by = {r.doc_id: r.keep_bitmap for r in D.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    stays = lambda words, i: words.get(i // 64, -1) >> (i % 64) & 1
+    assert by[0] == {} and sorted(by[1]) == [0, 1, 2] and [i for i in range(200) if not stays(by[1], i)] == [0, 63, 64, 130]
+
+
 def test_rows_of_one_id_are_one_document(spark):
     docs = [(5, "a line that is shared"), (5, "other\na line that is shared"), (4, "nothing of that"), (7, "a line that is shared\nx")]
     got = result(spark.createDataFrame(docs, "doc_id long, text string"))
