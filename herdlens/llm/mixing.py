@@ -6,7 +6,7 @@ Documents stand in a fixed order within their source; the prefix sums of expecte
 per source, cross integer boundaries, and a document is emitted once for each boundary that it crosses. The order goes
 by size, so the words taken miss the target by about one document's size.
 
-The prefix sum is distributed: documents fall in buckets (source, size class, doc_id modulo `subs`), which are counted
+The prefix sum is distributed: documents fall in buckets (source, size class, hash of doc_id), which are counted
 with map-side aggregation; only bucket counts are summed along a source, so a source or a size that holds a third of
 all rows is spread over many tasks.
 """
@@ -36,6 +36,11 @@ def _size_class(size: Column) -> Column:
     return (bits * 8 + F.floor(size / F.pow(F.lit(2.0), shift)).cast("int") % 8).cast("int")
 
 
+def _leading_bits(text: Column) -> Column:
+    """The first 32 bits of a text's MD5."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def _keyed(docs: DataFrame, subs: int) -> DataFrame:
     """mix_* columns: the source's key (null apart from any string, and last), size, bucket."""
     return (
@@ -43,7 +48,7 @@ def _keyed(docs: DataFrame, subs: int) -> DataFrame:
         .withColumn("mix_source", F.coalesce("source", F.lit("")))
         .withColumn("mix_size", n_words(F.col("text")))
         .withColumn("mix_class", _size_class(F.col("mix_size")))
-        .withColumn("mix_sub", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(subs)).cast("int"))
+        .withColumn("mix_sub", (_leading_bits(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))) % subs).cast("int"))
     )
 
 
@@ -53,6 +58,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) ->
     Weights go round the sources by code point, null last. With caps c = max_repeat * size, targets are
     min(c, level * weight) with one level for all: sources in order of c / weight are capped until the level that the
     rest share stays below the next c / weight: the largest of the levels that fit. There resharing by weight ends.
+    The level is one number of all sources, so their sums (a row a source) meet in one task: meant for up to millions
+    of sources, whatever the number of documents.
     """
     per = sizes.groupBy("mix_null", "mix_source").agg(F.sum("mix_size").alias("source_size"))
     place = F.row_number().over(Window.orderBy("mix_null", "mix_source")) - 1
@@ -75,15 +82,14 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) ->
 
 def _offset(seed: int) -> Column:
     """The source's random offset in [0, 1): 32 bits of an MD5 of seed and source."""
-    text = F.concat(F.lit(f"{seed}:"), F.col("mix_null").cast("string"), F.lit(":"), F.col("mix_source"))
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return _leading_bits(F.concat(F.lit(f"{seed}:"), F.col("mix_null").cast("string"), F.lit(":"), F.col("mix_source"))).cast("double") / F.lit(4294967296.0)
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, subs: int = SUBS, seed: int = SEED, keep=None) -> DataFrame:
     """docs with size, source_size, target and copies (0 to max_repeat): how often each row is to be emitted.
 
     docs: doc_id, text, source and any others; `keep` names the columns that stay (all). Null text has size 0, null
-    source is a source, null doc_id counts as 0 in the order, repeated rows are documents of their own, sources
+    source is a source, null doc_ids come first in the order, spread by their texts, repeated rows are documents of their own, sources
     without words have target 0 and give no copies, and an empty table gives an empty one. Columns named mix_*, size,
     source_size, target or copies are replaced.
     """
@@ -98,12 +104,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, subs: in
         .select(*bucket, "before", "source_size", "target", _offset(seed).alias("offset"))
     )
     plan = stored(plan, "mix-plan")
-    row = Window.partitionBy(*bucket).orderBy("mix_size", "mix_id")
+    row = Window.partitionBy(*bucket).orderBy("mix_size", "mix_id", "mix_text")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     upto = lambda rank: F.floor(rank * F.col("rate") + F.col("offset"))
     return (
         _keyed(docs, subs)
-        .select(*keep, *bucket, "mix_size", F.col("doc_id").alias("mix_id"))
+        .select(*keep, *bucket, "mix_size", F.col("doc_id").alias("mix_id"), F.xxhash64("text").alias("mix_text"))
         .withColumn("mix_row", F.row_number().over(row))
         .join(plan, bucket, "left")  # every bucket is there; an inner join would test its keys on the texts again
         .withColumn("rate", F.least(rate, F.lit(float(max_repeat))))
@@ -124,7 +130,7 @@ ORACLE_SQL = f"""
 with d as (
   select doc_id, source, (source is null)::int sn, coalesce(source, '') s,
     len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) size from documents),
-b as (select *, length(bin(size)) * 8 + (size >> greatest(length(bin(size)) - 4, 0)) % 8 cls, doc_id % {SUBS} sub from d),
+b as (select *, length(bin(size)) * 8 + (size >> greatest(length(bin(size)) - 4, 0)) % 8 cls, ('0x' || substr(md5(doc_id::varchar), 1, 8))::ubigint % {SUBS} sub from d),
 per as (select sn, s, sum(size)::bigint source_size, [5, 2, 1][1 + (row_number() over (order by sn, s) - 1) % 3] w from b group by sn, s),
 lev as (select *, {MAX_REPEAT} * source_size cap, (sum(source_size) over ())::bigint total from per),
 lev2 as (select *, coalesce(sum(cap) over (order by cap / w, sn, s rows between unbounded preceding and 1 preceding), 0)::bigint capped,
