@@ -5,8 +5,11 @@ are not letters as one space. Each n-gram has a hashed bucket, each bucket an em
 n-grams' embeddings, and a linear layer with softmax gives the languages' probabilities. After training, buckets times
 layer is one table of scores, and predicting is a gather and a mean.
 
-A temperature fitted on labelled rows kept out of training calibrates the probabilities. The rejection threshold is
-the highest probability that at most `max_rejected` of those rows miss, and never above `most_threshold`.
+A temperature fitted on labelled rows kept out of training calibrates the probabilities. A text is rejected if its
+language is less likely than not, or below the lowest probability down to which at most `max_error` of the calibration
+rows that are accepted are wrong.
+
+Texts of the sample become n-gram counts in tasks; the driver gets those of a bounded number of rows.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .textarrays import _LOWER, blocks, text_buffers
@@ -27,10 +30,11 @@ EPOCHS = 4
 RATE = 2.0
 SEED = 7
 #: Bound of the training sample: rows a language and rows in all, shared among the languages when they are many (on
-#: average; twice that and a row a language are never exceeded), bytes taken of each.
+#: average; twice that and a row a language are never exceeded). Rows are whole texts.
 ROWS_PER_LANGUAGE = 600
-ROWS_IN_ALL = 64 * ROWS_PER_LANGUAGE
-SAMPLE_BYTES = 4000
+ROWS_IN_ALL = 16 * ROWS_PER_LANGUAGE
+#: Share of the accepted calibration rows that may be wrong, and the probability below which a text is always rejected.
+MAX_ERROR, LEAST_SURE = 0.01, 0.5
 UNDETERMINED = "und"
 
 _SQUASH = _LOWER.copy()
@@ -74,6 +78,9 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
+    #: of the calibration rows: how many are accepted, and how many of those are wrong
+    accepted: float = 1.0
+    error: float = 0.0
     #: (dimensions, languages): of many languages the embeddings are kept apart from the layer, so size doesn't grow
     layer: np.ndarray | None = None
 
@@ -99,20 +106,29 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[str], max_rejected: float = 0.001, most_threshold: float = 0.5) -> Model | None:
-    """The model fitted on four fifths of the rows, calibrated on the others. None without rows."""
-    if not texts:
+def gram_counts(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text its different n-grams, as order times BUCKETS plus bucket, and how often each occurs."""
+    grams = [np.split(x + k * BUCKETS, bounds[1:-1]) for k, (x, bounds) in enumerate(subwords(data, offsets))]
+    return [np.unique(np.concatenate(x), return_counts=True) for x in zip(*grams)]
+
+
+def _counted(batches):
+    for batch in batches:
+        data, offsets = text_buffers(batch.column("text"))
+        rows = [r for a, b in blocks(offsets) for r in gram_counts(data[offsets[a] : offsets[b]], offsets[a : b + 1])]
+        columns = [pa.array([r[i].astype(np.int32) for r in rows], pa.list_(pa.int32())) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), *columns], ["lang", "h", "grams", "counts"])
+
+
+def train(sample: list[tuple[np.ndarray, np.ndarray]], labels: list[str], max_error: float = MAX_ERROR, least_sure: float = LEAST_SURE) -> Model | None:
+    """The model fitted on four fifths of the rows (n-grams, counts), calibrated on the others. None without rows."""
+    if not sample:
         return None
     random = np.random.default_rng(SEED)
     languages = sorted(set(labels))
     number = {x: i for i, x in enumerate(languages)}
     y = np.array([number[x] for x in labels])
-    data, offsets = text_buffers(pa.array(texts, pa.large_string()))
-    rows = []
-    for a, b in blocks(offsets):
-        grams = [np.split(x + k * BUCKETS, bounds[1:-1]) for k, (x, bounds) in enumerate(subwords(data[offsets[a] : offsets[b]], offsets[a : b + 1]))]
-        found = [np.unique(np.concatenate(x), return_counts=True) for x in zip(*grams)]
-        rows += [(i.astype(np.int32), (c / max(1, c.sum()))[:, None].astype(np.float32)) for i, c in found]
+    rows = [(np.asarray(i, np.int32), (np.asarray(c) / max(1, np.sum(c)))[:, None].astype(np.float32)) for i, c in sample]
     order = random.permutation(len(rows))
     cut = len(rows) - len(rows) // 5
     fit, held = order[:cut], order[cut:] if len(rows) >= 5 else order
@@ -139,38 +155,49 @@ def train(texts: list[str], labels: list[str], max_rejected: float = 0.001, most
             # a row's share is small: embeddings take the step of the mean, spread over its subwords
             emb[index] = own - rate * len(index) ** 0.5 * share * back
     many = len(languages) > DIMENSIONS
-    table = np.ascontiguousarray((emb if many else emb @ layer).reshape(len(ORDERS), BUCKETS, -1).transpose(0, 2, 1)).astype(np.float32)
+    flat = emb if many else emb @ layer
+    table = np.ascontiguousarray(flat.reshape(len(ORDERS), BUCKETS, -1).transpose(0, 2, 1)).astype(np.float32)
     model = Model(languages, table, bias.astype(float), layer=layer.astype(float) if many else None)
-    del emb, rows
-    held_data, held_offsets = text_buffers(pa.array([texts[i] for i in held], pa.large_string()))
-    logits, gold = np.concatenate([model.logits(held_data[held_offsets[a] : held_offsets[b]], held_offsets[a : b + 1]) for a, b in blocks(held_offsets)]), y[held]
+    means = np.array([(flat[rows[i][0]] * rows[i][1]).sum(0, dtype=float) for i in held])
+    logits, gold = (means @ model.layer if many else means) + model.bias, y[held]
     loss = lambda t: -np.log(softmax(logits / t)[np.arange(len(gold)), gold] + 1e-12).mean()
     model.temperature = float(min(np.geomspace(0.5, 20, 61), key=loss))
-    best = np.sort(softmax(logits / model.temperature).max(1))
-    model.threshold = float(min(most_threshold, best[int(max_rejected * len(best))]))
+    p = softmax(logits / model.temperature)
+    sure = np.argsort(-p.max(1), kind="stable")
+    wrong = np.cumsum((p.argmax(1) != gold)[sure]) / np.arange(1, len(sure) + 1)
+    fine = np.flatnonzero(wrong <= max_error)
+    last = int(fine[-1]) if len(fine) else -1
+    # with all rows accepted nothing speaks against lower probabilities
+    lowest = 0.0 if last + 1 == len(sure) else float(p.max(1)[sure[last]]) if last >= 0 else 1.0
+    model.threshold = max(lowest, least_sure)
+    taken = p.max(1) >= model.threshold
+    model.accepted, model.error = float(taken.mean()), float((p.argmax(1) != gold)[taken].mean()) if taken.any() else 0.0
     return model
 
 
 def learn(docs: DataFrame, usable: Column, rows: int = ROWS_PER_LANGUAGE) -> Model | None:
     """Trains on a bounded sample of the rows where `usable` holds and text and lang are not null.
 
-    The sample is chosen by a hash of doc_id at a rate for each language, so rare languages are as well covered as
-    common ones; of each row, SAMPLE_BYTES characters from the middle are used. Every language is learnt: when they are
-    many, each has fewer rows, one at least. The bounds hold at any input size.
+    Different texts of a language are drawn by a hash of language and text, at a rate for each language, so rare
+    languages are as well covered as common ones, copies count once, and neither doc_ids nor the order of rows play a
+    part. Every language is learnt: when they are many, each has fewer rows, one at least. The bounds hold at any input
+    size.
     """
-    labelled = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    chance = F.crc32(F.concat(F.lit("sample:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")) / F.lit(2.0**32)
+    labelled = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    labelled = labelled.withColumn("h", F.xxhash64(F.lit("sample"), F.col("lang"), F.col("text")))
+    chance = F.shiftrightunsigned("h", 32) / F.lit(2.0**32)
     counts = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min(chance).alias("least")).orderBy("lang").collect()
     if not counts:
         return None
     rows = min(rows, max(1, ROWS_IN_ALL // len(counts)))
     rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, rows / r["n"]), r["least"]) for r in counts], "lang string, rate double, least double")
-    start = F.greatest(F.lit(1), F.floor((F.char_length("text") - SAMPLE_BYTES) / 2).cast("int") + 1)
-    sample = (
-        labelled.join(F.broadcast(rates), "lang").where((chance < F.col("rate")) | (chance == F.col("least"))).select("doc_id", "lang", F.col("text").substr(start, F.lit(SAMPLE_BYTES)).alias("text")).limit((2 * rows + 1) * len(counts)).collect()
-    )
-    sample.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"]))
-    return train([r["text"] for r in sample], [r["lang"] for r in sample])
+    drawn = labelled.join(F.broadcast(rates), "lang").where((chance < F.col("rate")) | (chance == F.col("least"))).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    bounded = drawn.withColumn("place", place).where(F.col("place") <= 2 * rows + 1).select("lang", "h", "text")
+    sample = bounded.mapInArrow(_counted, "lang string, h long, grams array<int>, counts array<int>").toArrow().to_batches()
+    found = [(lang, h, grams.values.to_numpy(), counts.values.to_numpy()) for b in sample for lang, h, grams, counts in zip(b.column("lang").to_pylist(), b.column("h").to_pylist(), b.column("grams"), b.column("counts"))]
+    found.sort(key=lambda r: r[:2])
+    return train([r[2:] for r in found], [r[0] for r in found])
 
 
 def _has_letter(raw: np.ndarray) -> bool:
@@ -221,19 +248,30 @@ def held_out(doc_id: Column) -> Column:
 
 
 def filter_languages(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs without the rows that are rejected, in one pass: all columns go along with the text."""
+    """docs without the rows that are rejected, with the predicted language as lang, in one pass.
+
+    All other columns go along with the text unchanged; a table without lang gets none.
+    """
     columns = docs.columns
 
     def run(batches):
         model = shared.value
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
-            stay = []
+            stay, names = [], []
             for a, b in blocks(offsets):
                 letters = np.array([_has_letter(data[offsets[i] : offsets[i + 1]]) for i in range(a, b)])
-                sure = model.probabilities(data[offsets[a] : offsets[b]], offsets[a : b + 1]).max(1) >= model.threshold if model is not None else np.zeros(b - a, bool)
-                stay += list(letters & sure)
-            yield batch.filter(pa.array(stay, pa.bool_()))
+                if model is None:
+                    stay += [False] * (b - a)
+                    continue
+                p = model.probabilities(data[offsets[a] : offsets[b]], offsets[a : b + 1])
+                kept = letters & (p.max(1) >= model.threshold)
+                stay += kept.tolist()
+                names += [model.languages[i] for i in p.argmax(1)[kept]]
+            out = batch.filter(pa.array(stay, pa.bool_()))
+            if "lang" in columns:
+                out = out.set_column(columns.index("lang"), "lang", pa.array(names, pa.string()))
+            yield out
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(run, docs.schema).select(*columns)

@@ -1,5 +1,6 @@
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ def test_awkward_rows(awkward, empty, nulls):
         assert {r.lang_pred for r in L.predict(table, None).collect()} <= {"und"}
         assert L.filter_languages(table, None).count() == 0
     kept = L.filter_languages(awkward, model)
-    assert kept.columns == awkward.columns and kept.where("doc_id in (3, 4, 5, 6)").count() == 0
+    assert kept.columns == awkward.columns and {r.lang for r in kept.collect()} <= set(model.languages) and kept.where("doc_id in (3, 4, 5, 6)").count() == 0
 
 
 def test_no_model_gives_und(awkward):
@@ -65,6 +66,33 @@ def test_rows_in_all_are_shared(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"word{i % 5}", f"l{i % 5}") for i in range(500)], "doc_id long, text string, lang string")
     seen = []
     monkeypatch.setattr(L, "ROWS_IN_ALL", 5)
-    monkeypatch.setattr(L, "train", lambda texts, labels: seen.append(labels))
+    monkeypatch.setattr(L, "train", lambda rows, labels: seen.append((labels, [r[0].tolist() for r in rows])))
     L.learn(docs, F.lit(True))
-    assert set(seen[0]) == {f"l{i}" for i in range(5)} and len(seen[0]) <= 3 * 5
+    assert set(seen[0][0]) == {f"l{i}" for i in range(5)} and len(seen[0][0]) <= 3 * 5
+    # neither doc_ids nor the order of rows play a part
+    L.learn(docs.withColumn("doc_id", F.lit(None).cast("long")).repartition(7), F.lit(True))
+    assert seen[0] == seen[1]
+
+
+def test_whole_texts_and_copies_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(L, "train", lambda rows, labels: seen.append((labels, [int(r[1].sum()) for r in rows])))
+    long = "ab " * 50_000
+    L.learn(spark.createDataFrame([(None, long, "A")] * 50 + [(1, "x", "B")], "doc_id long, text string, lang string"), F.lit(True))
+    assert seen[0][0] == ["A", "B"] and seen[0][1][0] == 3 * (len(long) + 1) - 6
+
+
+def test_rejection_keeps_the_stated_error():
+    """A third of language B's rows carry A's wording under B's label: they can't be told, and are rejected."""
+    rng = np.random.default_rng(1)
+    rows, labels = [], []
+    for i in range(1200):
+        own = i % 2
+        mixed = own and i % 3 == 0
+        grams = np.unique(rng.integers(0, 40, 8) + (100 if mixed else 40 * own))
+        rows.append((grams, np.ones(len(grams), int)))
+        labels.append("AB"[int(rng.random() < 0.5)] if mixed else "AB"[own])
+    model = L.train(rows, labels)
+    assert model.threshold > 0.5 and model.error <= 0.01 and 0.6 < model.accepted < 0.95
+    clean = L.train([r for i, r in enumerate(rows) if not (i % 2 and i % 3 == 0)], [x for i, x in enumerate(labels) if not (i % 2 and i % 3 == 0)])
+    assert clean.threshold == 0.5 and clean.accepted == 1 and clean.error == 0
