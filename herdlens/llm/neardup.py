@@ -317,7 +317,7 @@ def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
 def _links(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, share, miss: float) -> DataFrame:
     """The pairs (centre a, member b) that are linked: sequential test on signatures, then the full sets."""
     sig = lambda x: sets.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"))
-    likely = stored_ids(pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_prune(share[0] / share[1], miss), "a long, b long"), "likely")
+    likely = stored(pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_prune(share[0] / share[1], miss), "a long, b long"), "likely")
     sizes = stored_ids(likely.groupBy("a").agg(F.count("*").alias("n")), "star-sizes")
     part = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / STAR)).cast("int")
     members = likely.join(sizes, "a").select("a", part.alias("part"), F.lit(1).alias("role"), F.col("b").alias("node"))
@@ -326,7 +326,7 @@ def _links(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, share, mi
     seats = stored_ids(seats.join(sets.select("node", "doc", "k1", "k2"), "node"), "seats")
     ids = stored_ids(seats.select(F.col("doc").alias("nd_doc")).distinct(), "star-docs")
     placed = seats.join(_texts_of(ids, docs), F.col("doc") == F.col("nd_doc")).select("a", "part", "role", "node", "k1", "k2", "text")
-    links = stored_ids(placed.repartition("a", "part").sortWithinPartitions("a", "part", "role", "node").mapInArrow(_verify(k, share), "a long, b long"), "links")
+    links = stored(placed.repartition("a", "part").sortWithinPartitions("a", "part", "role", "node").mapInArrow(_verify(k, share), "a long, b long"), "links")
     discard(likely, sizes, seats, ids)
     return links
 
@@ -355,11 +355,11 @@ def _by_blocks(left: DataFrame, sets: DataFrame, docs: DataFrame, k: int, share,
     as_right = signed.withColumns({"j": own_j, "side": F.lit(1)}).withColumn("i", F.explode(F.sequence(F.lit(0), n_i - 1)))
     dealt = as_left.select(*columns).union(as_right.select(*columns)).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "side")
     types = "band long, i int, j int, p int, q int, side int, slot int, node long, component long"
-    likely = stored_ids(dealt.mapInArrow(_screen(share[0] / share[1], miss), types), "screened")
+    likely = stored(dealt.mapInArrow(_screen(share[0] / share[1], miss), types), "screened")
     named = likely.join(sets.select("node", "doc", "k1", "k2", "sig"), "node")
     ids = stored_ids(likely.select("node").distinct().join(sets.select("node", "doc"), "node").select(F.col("doc").alias("nd_doc")).distinct(), "left-docs")
     shingled = _texts_of(ids, docs).mapInArrow(_shingled(k), "doc long, k1 long, k2 long, shingles binary")
-    links = stored_ids(named.join(shingled, ["doc", "k1", "k2"]).groupBy("band", "i", "j", "p", "q").applyInPandas(_blockwise(share, miss), "a long, b long"), "left-links")
+    links = stored(named.join(shingled, ["doc", "k1", "k2"]).groupBy("band", "i", "j", "p", "q").applyInPandas(_blockwise(share, miss), "a long, b long"), "left-links")
     discard(likely, ids)
     return links
 
