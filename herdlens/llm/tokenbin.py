@@ -9,8 +9,9 @@ File format (all numbers little-endian):
 A reader takes the table from the file's end and decompresses only the frames that it is asked for. Standard zstandard
 tools read the frames and skip the table.
 
-Files hold ascending ranges of doc_id. Documents are encoded once, where they are read; their frames, not their texts,
-are shuffled to the file that they belong to.
+Files hold ascending ranges of (doc_id, crc32, size), so even one doc_id with very many rows is spread over files.
+Documents are encoded once, where they are read; their frames, not their texts, are shuffled to the file that they
+belong to.
 """
 
 from __future__ import annotations
@@ -19,26 +20,26 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, stored
+from .common import discard, fresh_path, stored
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 ENTRY = np.dtype([("doc_id", "<i8"), ("packed", "<u4"), ("size", "<u4"), ("crc32", "<u4")])
+_ENTRY = struct.Struct("<qIII")
 END_ID = 1
 LEVEL = 3
 #: Words whose ids a worker keeps; at the limit it forgets those not used since the last time.
 CACHE_WORDS = 200_000
 #: Frames' bytes a file holds, about.
 FILE_BYTES = 128 << 20
-#: Quantiles of doc_id that file bounds are taken from.
-CUTS = 2048
-#: Documents that a reading task takes from a file at a time.
-READ_DOCS = 4096
+#: Documents that a reading task takes from a file at a time, and files whose sizes are summed in one step.
+READ_DOCS, SUM_FILES = 1024, 1024
 
 
 #: Letters up to U+00FF, which normal form C leaves alone, then ASCII punctuation but the apostrophe of contractions.
@@ -52,12 +53,31 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+def _splits_words(tokenizer) -> bool:
+    """Whether a tokenizer does what WordEncoder takes for granted, by the steps that its file names."""
+    import json
+
+    steps = json.loads(tokenizer.to_str())
+    listed = lambda step, key: (step or {}).get(key, [step])
+    normal, split = listed(steps["normalizer"], "normalizers"), listed(steps["pre_tokenizer"], "pretokenizers")
+    return (
+        [(n or {}).get("type") for n in normal] == ["NFC", "Replace", "Lowercase"]
+        and (normal[1]["pattern"], normal[1]["content"]) == ({"Regex": "\\s+"}, " ")
+        and [(p or {}).get("type") for p in split] == ["Split", "ByteLevel"]
+        and split[0]["pattern"] == {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
+        and (split[0]["behavior"], split[0]["invert"], split[1]["add_prefix_space"], split[1]["use_regex"]) == ("Removed", True, False, False)
+        and steps["post_processor"] is None
+        and steps["truncation"] is None
+    )
+
+
 class WordEncoder:
     """Ids of whole texts, encoding each different word once while it is remembered.
 
     For lower-casing byte-level tokenizers that drop white space and split letters from punctuation: texts are cut at
     spaces and line feeds, which no token crosses. Plain words go to the tokenizer's model at once, their letters and
-    their punctuation each; all other pieces, and texts that hold a special token's string, go through all of it.
+    their punctuation each; all other pieces, and texts that hold a special token's string, go through all of it. With
+    a tokenizer whose file describes other steps, every text goes through all of it.
     """
 
     def __init__(self, path: str, cache: int = CACHE_WORDS):
@@ -66,6 +86,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
+        self.by_words = _splits_words(self.tokenizer)
         self.limit, self.new, self.old, self.parts = cache, {"": b""}, {}, {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -98,7 +119,7 @@ class WordEncoder:
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids, as the bytes of little-endian unsigned 32-bit integers."""
         for text in texts:
-            if any(s in text for s in self.specials):
+            if not self.by_words or any(s in text for s in self.specials):
                 yield self._encode([text])[0]
             else:
                 pieces = text.replace("\n", " ").split(" ")
@@ -146,13 +167,14 @@ def write_file(uri: str, rows) -> int:
     fs, path = _open(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
     part = f"{path}.{uuid.uuid4().hex}.part"
-    table, total = [], 0
+    table, n, total = bytearray(), 0, 0
     with fs.open_output_stream(part, compression=None) as out:
         for doc_id, size, crc, frame in rows:
             out.write(frame)
             total += len(frame)
-            table.append((doc_id, len(frame), size, crc))
-        body = np.array(table, ENTRY).tobytes() + struct.pack("<QI", len(table), SEEKABLE)
+            table += _ENTRY.pack(doc_id, len(frame), size, crc)
+            n += 1
+        body = bytes(table) + struct.pack("<QI", n, SEEKABLE)
         out.write(struct.pack("<II", SKIPPABLE, len(body)) + body)
     fs.move(part, path)
     return total + len(body) + 8
@@ -191,22 +213,24 @@ def read_ids(uri: str, which: np.ndarray, table: np.ndarray | None = None) -> It
 
 def _write(folder: str):
     def run(batches):
-        """Rows come sorted by (file, doc_id); each file is whole in one task. A file's frames are never all in memory."""
-        rows = ((f, d, s, c, x) for b in batches for f, d, s, c, x in zip(*(b.column(n).to_pylist() for n in ("file", "doc_id", "size", "crc32", "frame"))))
-        row = next(rows, None)
-        while row is not None:
-            file, n, ids = row[0], 0, 0
-
-            def of_file():
-                nonlocal row, n, ids
-                while row is not None and row[0] == file:
-                    n, ids = n + 1, ids + row[2] // 4
-                    yield row[1:]
-                    row = next(rows, None)
+        """Each task writes the file of its range. The file's frames are never all in memory, its seek table is."""
+        from pyspark import TaskContext
+
+        file, n, ids = TaskContext.get().partitionId(), 0, 0
 
+        def rows():
+            nonlocal n, ids
+            for batch in batches:
+                for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "size", "crc32", "frame"))):
+                    n, ids = n + 1, ids + row[1] // 4
+                    yield row
+
+        source = rows()
+        first = next(source, None)
+        if first is not None:
             uri = f"{folder}/{file:08d}.ids"
-            size = write_file(uri, of_file())
-            yield pa.RecordBatch.from_pylist([{"file": file, "uri": uri, "n_docs": n, "n_ids": ids, "bytes": size}], schema=pa.schema([("file", pa.int64()), ("uri", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("bytes", pa.int64())]))
+            size = write_file(uri, chain([first], source))
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (file, uri, n, ids, size)], ["file", "uri", "n_docs", "n_ids", "bytes"])
 
     return run
 
@@ -215,44 +239,53 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id
     """Writes docs' (doc_id, text) token ids and returns one row a file: file, uri, n_docs, n_ids, bytes.
 
     Null and empty texts have the end id alone. Null doc_ids are written as the smallest 64-bit integer. Rows of one
-    doc_id all are written, in one file, in no fixed order. An empty table gives no files.
+    doc_id all are written, in the order of their ids' crc32 and size. There are as many files as file_bytes asks for
+    (of small tables up to 64, of 1 MB at least), each a range by a sample of rows. An empty table gives no files.
+    Without a folder, files are in the session's part of the shared folder and go with it.
     """
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "ids")
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")
     frames = stored(docs.mapInArrow(_encode(tokenizer, end_id, level), "doc_id long, size long, crc32 long, frame binary"), "frames")
     total = frames.agg(F.sum(F.octet_length("frame"))).first()[0] or 0
-    n_files = max(1, min(CUTS, -(-total // file_bytes), CUTS), min(64, total >> 20))
-    # bounds of a fixed number; ids between two of them are in one file
-    cuts = frames.agg(F.percentile_approx("doc_id", [i / n_files for i in range(1, n_files)], 20_000)).first()[0] if n_files > 1 else []
-    cuts = sorted(set(cuts or []))
-    file = F.aggregate(F.array(*[F.lit(c) for c in cuts]), F.lit(0), lambda n, c: n + (F.col("doc_id") > c).cast("int")) if cuts else F.lit(0)
-    placed = frames.withColumn("file", file.cast("long"))
-    ordered = placed.repartitionById(len(cuts) + 1, F.col("file").cast("int")).sortWithinPartitions("file", "doc_id")
-    return stored(ordered.mapInArrow(_write(folder), "file long, uri string, n_docs long, n_ids long, bytes long"), "files")
+    n_files = max(1, -(-total // file_bytes), min(64, total >> 20))
+    # equal rows may be in any order; their row numbers let ranges part them
+    numbered = frames.withColumn("row", F.monotonically_increasing_id())
+    ordered = numbered.repartitionByRange(n_files, "doc_id", "crc32", "size", "row").sortWithinPartitions("doc_id", "crc32", "size")
+    files = stored(ordered.mapInArrow(_write(folder), "file long, uri string, n_docs long, n_ids long, bytes long"), "files")
+    discard(frames)
+    return files
 
 
 def _read(batches):
     for batch in batches:
-        for uri, start, first, n in zip(*(batch.column(c).to_pylist() for c in ("uri", "start", "first_doc", "n"))):
-            table = read_table(uri)
-            at = start + int(table["size"][:first].astype(np.int64).sum()) // 4
-            for lo in range(first, first + n, 1024):
-                rows = []
-                for doc_id, ids in read_ids(uri, np.arange(lo, min(first + n, lo + 1024)), table):
-                    rows.append((doc_id, at, len(ids), zlib.crc32(ids.tobytes())))
-                    at += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+        for uri, start, n in zip(*(batch.column(c).to_pylist() for c in ("uri", "start", "n_docs"))):
+            rows, at = [], start
+            for doc_id, ids in read_ids(uri, np.arange(n)):
+                rows.append((doc_id, at, len(ids), zlib.crc32(ids.tobytes())))
+                at += len(ids)
+                if len(rows) == READ_DOCS:
+                    yield _digests(rows)
+                    rows = []
+            if rows:
+                yield _digests(rows)
+
+
+def _digests(rows) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_digests(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, read back from the files. files: what write_ids returned.
 
-    Files are a few hundred MB each, so their offsets are a running sum over a short table.
+    A task reads whole files, their seek tables once. Offsets are running sums in two steps: of groups of SUM_FILES
+    files, then within each.
     """
-    from pyspark.sql import Window
-
-    start = F.coalesce(F.sum("n_ids").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    chunk = F.explode(F.sequence(F.lit(0), F.col("n_docs") - 1, F.lit(READ_DOCS))).alias("first_doc")
-    chunks = stored(files.withColumn("start", start).where("n_docs > 0").select("uri", "start", "n_docs", chunk).withColumn("n", F.least(F.lit(READ_DOCS), F.col("n_docs") - F.col("first_doc"))).repartition(files.sparkSession.sparkContext.defaultParallelism * 2), "chunks")
-    return chunks.select("uri", "start", "first_doc", "n").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    group = F.floor(F.col("file") / SUM_FILES)
+    before = lambda window: F.coalesce(F.sum("n_ids").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    grouped = files.withColumn("group", group)
+    sums = grouped.groupBy("group").agg(F.sum("n_ids").alias("n_ids")).select("group", before(Window.orderBy("group")).alias("base"))
+    start = F.col("base") + before(Window.partitionBy("group").orderBy("file"))
+    placed = stored(grouped.join(sums, "group").select("file", "uri", "n_docs", start.alias("start")), "file-starts")
+    spread = max(1, min(placed.count(), 1 << 20))
+    return placed.repartition(spread).select("uri", "start", "n_docs").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -52,6 +52,27 @@ def test_files_round_trip(spark, data, tokenizer, tmp_path):
         assert len(list(B.read_ids(uri, np.array([1])))) == 1
 
 
+def test_files_follow_their_size_and_one_id_is_spread(spark, tmp_path):
+    docs = spark.createDataFrame([(5, f"text {i % 9} of one id " * 20) for i in range(600)] + [(1, "a"), (9, "z")], "doc_id long, text string")
+    folders = [f"file://{tmp_path}/{i}" for i in "ab"]
+    files = [B.write_ids(docs, PATH, f, file_bytes=1 << 10) for f in folders]
+    n = files[0].agg({"bytes": "sum", "n_docs": "sum", "n_docs": "max"}).first()
+    assert files[0].count() > 20 and n["max(n_docs)"] < 120
+    one, two = (sorted(map(tuple, B.read_digests(f).collect()), key=lambda r: r[1]) for f in files)
+    assert one == two and [r[0] for r in one] == [1, *[5] * 600, 9]
+    assert [r[1] for r in one] == np.concatenate([[0], np.cumsum([r[2] for r in one])])[:-1].tolist()
+
+
+def test_other_tokenizers_go_through_the_library(tokenizer):
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    other, encoder = Tokenizer.from_file(path), B.WordEncoder(path)
+    assert B._splits_words(tokenizer) and not encoder.by_words
+    texts = ["Don't  Stop\n now", "", "ÀÉ naïve 123"]
+    assert list(encoder(texts)) == [np.array(other.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def test_awkward_rows(awkward, empty, nulls):
     got = B.read_digests(B.write_ids(awkward, PATH)).collect()
     assert len(got) == awkward.count()
