@@ -3,10 +3,10 @@
 The lattice of a text has a node between characters and an edge for each piece that stands there; a character without
 a piece of its own has an edge of its byte pieces. Forward Viterbi gives each node the best score from the start,
 which is an exact heuristic for an A* search from the end back to the start: paths leave the queue best first, so the
-N-th to arrive is the N-th best.
+N-th to arrive is the N-th best, and what is first in the queue then has the score of the next.
 
-Scores are log-probabilities by Zipf's law on a piece's rank in the vocabulary, as whole millionths, so sums are exact
-in any order and ties are real; a piece list without ranks can be given scores of its own.
+Scores are the model's own, as whole millionths, so sums are exact in any order and ties are real. A byte edge costs
+ten more than the lowest score of a piece of one character. (A BPE model's scores are the ranks of its merges, negated.)
 
 No piece crosses certain pairs of characters (those that stand side by side in no piece). Texts are cut there, and
 each different part is searched once while it is remembered. The N best of a text combine those of its parts; only the
@@ -15,12 +15,11 @@ N parts whose second best costs least can differ from their best in them.
 
 from __future__ import annotations
 
-import heapq
 import re
 import zlib
 from array import array
+from heapq import heappop, heappush, heappushpop, nsmallest
 from itertools import chain
-from math import log
 from operator import itemgetter
 
 import ahocorasick
@@ -38,6 +37,7 @@ OUT_ROWS, OUT_BYTES = 256, 1 << 23
 #: The loss of what can't be segmented in a second way.
 NEVER = 1 << 60
 _SCORE, _IDS, _LOSS = map(itemgetter, range(3))
+_EDGE_IDS = itemgetter(2)
 _BYTE = re.compile("<0x([0-9A-F]{2})>")
 
 
@@ -59,80 +59,94 @@ class Lattice:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces, byte_ids, rank = {}, [0] * 256, 0
+        pieces, byte_ids = {}, [0] * 256
         for i in range(model.vocab_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
                 byte_ids[int(_BYTE.fullmatch(piece)[1], 16)] = i
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                rank += 1
-                pieces[piece] = (i, rank)
-        total = sum(1 / r for r in range(1, rank + 1))
-        zipf = lambda r: round(-1e6 * log(r * total))
-        return cls({p: (i, zipf(r)) for p, (i, r) in pieces.items()}, byte_ids, zipf(2 * rank))
-
-    def edges(self, part: str) -> list[list[tuple[int, int, tuple[int, ...]]]]:
-        """For each node, the edges that end there: (from, score, ids)."""
-        ends: list[list] = [[] for _ in range(len(part) + 1)]
-        single = set()
-        for last, (n, score, ids) in self.finder.iter(part):
-            ends[last + 1].append((last + 1 - n, score, ids))
-            if n == 1:
-                single.add(last)
-        if len(single) < len(part):
-            for i in range(len(part)):
-                if i not in single:
-                    raw = part[i].encode("utf-8", "surrogatepass")
-                    ends[i + 1].append((i, self.byte_score * len(raw), tuple(self.byte_ids[b] for b in raw)))
-        return ends
-
-    def best(self, part: str) -> tuple[int, tuple[int, ...], int | None]:
-        """(score, ids, loss) of the best segmentation, and how much less the second best scores (None: there is none).
-
-        One forward pass keeps the two best totals of each node: its second best comes by the best edge from the second
-        best before it, or by another edge. Equal scores go to the edge found first.
-        """
-        size = len(part) + 1
-        top, second, via = [-NEVER] * size, [-NEVER] * size, [None] * size
-        top[0] = 0
-        for last, edge in self._in_order(part):
-            j = last + 1
-            i = j - edge[0]
-            score = edge[1]
-            total = top[i] + score
-            if total > top[j]:
-                other = second[i] + score
-                second[j] = other if other > top[j] else top[j]
-                top[j], via[j] = total, edge
-            elif total > second[j]:
-                second[j] = total
-        j, ids = size - 1, []
-        while j:
-            ids.append(via[j][2])
-            j -= via[j][0]
-        return top[-1], tuple(chain.from_iterable(reversed(ids))), None if 2 * second[-1] < -NEVER else top[-1] - second[-1]
+                pieces[piece] = (i, round(1e6 * model.get_score(i)))
+        lowest = min((score for piece, (_, score) in pieces.items() if len(piece) == 1), default=0)
+        return cls(pieces, byte_ids, lowest - 10_000_000)
+
+    def forward(self, part: str):
+        """The edges as (last character, (characters, score, ids)) by where they end, and each node's best score from the start."""
+        edges, best = self._in_order(part), [-NEVER] * (len(part) + 1)
+        best[0] = 0
+        for last, edge in edges:
+            total = best[last + 1 - edge[0]] + edge[1]
+            if total > best[last + 1]:
+                best[last + 1] = total
+        return edges, best
 
     def _in_order(self, part: str):
-        """(last character, (characters, score, ids)) of each edge, by the node where it ends."""
+        found = list(self.finder.iter(part))
         if self.single.issuperset(part):
-            return self.finder.iter(part)
-        return ((j - 1, (j - i, score, ids)) for j, ends in enumerate(self.edges(part)) for i, score, ids in ends)
+            return found
+        for i, c in enumerate(part):
+            if c not in self.single:
+                raw = c.encode("utf-8", "surrogatepass")
+                found.append((i, (1, self.byte_score, tuple(self.byte_ids[b] for b in raw))))
+        return sorted(found, key=itemgetter(0))
+
+    def first(self, part: str) -> tuple[int, tuple[int, ...], int]:
+        """(score, ids, loss) of the best segmentation, and how much less the second scores (NEVER: there is none).
+
+        The A* search up to the arrival of its first path. With an exact heuristic it goes straight on along that path,
+        and of the paths that wait only the best total matters: that of the second.
+        """
+        edges, best = self.forward(part)
+        node, behind, total, waiting, path, at = len(part), 0, -best[-1], NEVER, [], len(edges) - 1
+        while node:
+            onward, last = None, node - 1
+            while edges[at][0] > last:
+                at -= 1
+            while at >= 0 and edges[at][0] == last:
+                edge = edges[at][1]
+                at -= 1
+                cost = behind - edge[1] - best[node - edge[0]]
+                if cost > total:
+                    if cost < waiting:
+                        waiting = cost
+                elif onward is None:
+                    onward = edge
+                else:
+                    waiting = total
+                    onward = min(onward, edge, key=_EDGE_IDS)
+            behind -= onward[1]
+            node -= onward[0]
+            path.append(onward[2])
+        path.reverse()
+        return -total, tuple(chain.from_iterable(path)), waiting - total if waiting < NEVER else NEVER
 
     def n_best(self, part: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
         """(score, ids) of the n best segmentations, or all if fewer; equal scores by their ids from the end."""
-        ends = self.edges(part)
-        best = [0] * len(ends)
-        for j in range(1, len(ends)):
-            best[j] = max(best[i] + s for i, s, _ in ends[j])
-        queue, out = [(-best[-1], (), len(part), 0, ())], []
+        edges, best = self.forward(part)
+        ends: list[list] = [[] for _ in best]
+        for last, edge in edges:
+            ends[last + 1].append(edge)
+        queue, out = [(-best[-1], (), len(part), 0)], []
         while queue and len(out) < n:
-            total, _, node, behind, path = heapq.heappop(queue)
-            if node == 0:
-                out.append((-total, tuple(i for ids in reversed(path) for i in ids)))
-                continue
-            for i, s, ids in ends[node]:
-                step = (*path, ids)
-                heapq.heappush(queue, (-(best[i] + behind + s), step, i, behind + s, step))
+            total, path, node, behind = heappop(queue)
+            while node:
+                # of the edges that end here, one goes on with this total; the others wait
+                onward = None
+                for edge in ends[node]:
+                    i = node - edge[0]
+                    cost = behind - edge[1]
+                    entry = (cost - best[i], (*path, edge[2]), i, cost)
+                    if onward is None:
+                        onward = entry
+                    elif entry < onward:
+                        heappush(queue, onward)
+                        onward = entry
+                    else:
+                        heappush(queue, entry)
+                if queue and queue[0] < onward:
+                    onward = heappushpop(queue, onward)
+                _, path, node, behind = onward
+                total = onward[0]
+            out.append((-total, tuple(chain.from_iterable(reversed(path)))))
         return out
 
     def cut(self, text: str) -> list[str]:
@@ -157,8 +171,8 @@ class Segmenter:
         """(score, ids as bytes, loss of the second best)"""
         found = self.parts.get(part)
         if found is None:
-            score, ids, loss = self.lattice.best(part)
-            found = self.parts[part] = (score, array("I", ids).tobytes(), NEVER if loss is None else loss)
+            score, ids, loss = self.lattice.first(part)
+            found = self.parts[part] = (score, array("I", ids).tobytes(), loss)
         return found
 
     def _unit(self, unit: str):
@@ -177,11 +191,10 @@ class Segmenter:
                 self.old, self.units = self.units, {}
             if len(self.parts) > self.limit:
                 self.parts.clear()
-            for i, f in enumerate(found):
-                if f is None:
-                    u = units[i]
-                    f = self.units.get(u) or self.old.get(u) or self._unit(u if u[:1] == SPACE else SPACE + u)
-                    found[i] = self.units[u] = f
+            for i in [i for i, f in enumerate(found) if f is None]:
+                u = units[i]
+                f = self.units.get(u) or self.old.get(u) or self._unit(u if u[:1] == SPACE else SPACE + u)
+                found[i] = self.units[u] = f
         return found
 
     def __call__(self, text: str) -> list[tuple[int, bytes]]:
@@ -205,7 +218,7 @@ class Segmenter:
         for i in sorted(cheap.tolist(), key=losses.__getitem__)[: self.n - 1]:
             if losses[i] < NEVER:
                 other = self._alternatives(units[i] if units[i][:1] == SPACE else SPACE + units[i])
-                combined = heapq.nsmallest(self.n, ((c + loss, (*chosen, (i, raw))) for c, chosen in combined for loss, raw in other))
+                combined = nsmallest(self.n, ((c + loss, (*chosen, (i, raw))) for c, chosen in combined for loss, raw in other))
         out = []
         for loss, chosen in combined:
             for i, raw in chosen:
@@ -223,7 +236,7 @@ class Segmenter:
             for part in self.lattice.cut(unit):
                 best = self.lattice.n_best(part, self.n)
                 mine = [(best[0][0] - s, array("I", ids).tobytes()) for s, ids in best]
-                combined = heapq.nsmallest(self.n, ((a + b, x + y) for a, x in combined for b, y in mine))
+                combined = nsmallest(self.n, ((a + b, x + y) for a, x in combined for b, y in mine))
             found = self.seconds[unit] = combined
         return found
 
@@ -256,7 +269,7 @@ def _encode(path: str, n: int, keep_ids: bool):
             begin, size, rows, found = 0, 0, [], []
             for at, text in enumerate(chain.from_iterable(batch.column("text").slice(k, 256).to_pylist() for k in range(0, batch.num_rows, 256))):
                 best = segmenter(text or "")
-                same = decoder(best[0][1]) == (text or "").replace(SPACE, " ")
+                same = decoder(best[0][1]) == (text or "")
                 rows.append((len(best[0][1]) // 4, zlib.crc32(best[0][1]), [s / 1e6 for s, _ in best], [zlib.crc32(x) for _, x in best], same))
                 if keep_ids:
                     found.append([x for _, x in best])
@@ -278,7 +291,7 @@ def encode(docs: DataFrame, model: str, n: int = N_BEST, keep_ids: bool = True,
 
     ids holds the piece ids of each of the n best, best first, in the order of scores and crc32s. crc32 of ids as
     little-endian unsigned 32-bit integers; round_trip: whether decoding the best gives the text back. A text that holds
-    U+2581 is read as if that were a space. Null and empty texts have no pieces, score 0 and one segmentation. Texts with
+    U+2581 is read as if that were a space, so it doesn't. Null and empty texts have no pieces, score 0 and one segmentation. Texts with
     fewer than n segmentations have shorter arrays. Repeated rows get equal results, an empty table none; columns but
     the id and text play no part.
     """

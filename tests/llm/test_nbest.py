@@ -29,7 +29,7 @@ def brute(lattice, part):
                 single = single or j == i + 1
         if not single:
             raw = part[i].encode()
-            go(i + 1, score + lattice.byte_score * len(raw), (*ids, *(lattice.byte_ids[b] for b in raw)))
+            go(i + 1, score + lattice.byte_score, (*ids, *(lattice.byte_ids[b] for b in raw)))
 
     go(0, 0, ())
     return sorted(found, reverse=True)
@@ -51,9 +51,20 @@ def test_second_best_loss(lattice):
     for _ in range(300):
         part = S.SPACE + "".join(rng.choice("thenorxé☃") for _ in range(rng.randint(1, 9)))
         want = brute(lattice, part)
-        score, ids, loss = lattice.best(part)
-        assert score == want[0][0] and (score, ids) in want
-        assert loss == (want[0][0] - want[1][0] if len(want) > 1 else None)
+        score, ids, loss = lattice.first(part)
+        assert score == want[0][0] and (score, ids) in want and lattice.n_best(part, 1) == [(score, ids)]
+        assert loss == (want[0][0] - want[1][0] if len(want) > 1 else S.NEVER)
+        assert [s for s, _ in lattice.n_best(part, 6)] == [s for s, _ in want[:6]]
+
+
+def test_scores_are_the_models_own(lattice):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    for piece in ("▁the", "er", "▁", "z"):
+        i, score = lattice.pieces[piece]
+        assert model.id_to_piece(i) == piece and score == round(1e6 * model.get_score(i))
+    assert lattice.byte_score < min(s for p, (_, s) in lattice.pieces.items() if len(p) == 1)
 
 
 def test_encode_and_decode(spark, data):
@@ -65,12 +76,14 @@ def test_encode_and_decode(spark, data):
     assert out.where("size(scores) > 1 and scores[0] < scores[1]").count() == 0
 
 
-def test_awkward_rows(awkward, empty, nulls):
+def test_awkward_rows(spark, awkward, empty, nulls):
     got = S.encode(awkward, PATH)
     rows = got.collect()
     by = {r.doc_id: r for r in rows}
     assert len(rows) == awkward.count() and all(r.round_trip for r in rows)
     assert by[3].n_pieces == by[4].n_pieces == 0 and by[3].scores == [0.0] and by[8].n_pieces > 60_000
+    odd = spark.createDataFrame([(1, "a▁b"), (2, "a b")], "doc_id long, text string")
+    assert {r.doc_id: r.round_trip for r in S.encode(odd, PATH).collect()} == {1: False, 2: True}
     assert S.encode(empty, PATH).count() == 0 and S.encode(nulls, PATH).count() == 2
 
 
