@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from herdlens.llm import langid, linededup, mixing, nbest, neardup
-from herdlens.llm.common import stored
+from herdlens.llm.common import discard, stored
 from herdlens.llm.queries import vocabulary
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known with enough certainty."""
+    """Documents whose language is known with enough certainty, with that language as lang."""
     return langid.filter_languages(docs, langid.learn(docs, ~langid.held_out(F.col("doc_id"))))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the text that is left of each and its length."""
-    out = linededup.dedup_lines(docs)
+    """Documents with the text that is left of each and its length; those of which nothing but blanks is left go."""
+    out = linededup.dedup_lines(docs).where(F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
     new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
     return out.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
 
@@ -50,9 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs, f"stage-{i + 1}")
-    return docs
+    """Piece ids of all that the stages keep. What a stage returned goes when the next one's result is stored."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{i + 1}")
+        discard(*before)
+        before = [docs]
+    return STAGES[-1][1](spark, docs, sf_dir)
