@@ -14,7 +14,7 @@ from .fixtures import FPS, MOVING_SQL, NODES, POSE_SQL, PX_PER_CM, ROI, STRIP, W
 X0, Y0, X1, Y1 = ROI
 
 
-def _savgol_sql(col: str, width: int, poly: int, deriv: int, rate: float) -> str:
+def savgol_sql(col: str, width: int, poly: int, deriv: int, rate: float) -> str:
     taps, half = savgol_taps(width, poly, deriv, rate), width // 2
 
     def at(p):
@@ -38,7 +38,7 @@ def pose_trim_and_video_frames(spark, sf_dir):
     return rounded(O.with_video_frames(O.trim(O.clean(p), FPS, 2.0), frame_map), ["session", "sidx", "vframe", "track", "node"])
 
 
-_KIN = ", ".join(f"{_savgol_sql(c, 5, 3, d, FPS)} {n}{c}" for d, n in ((1, "v"), (2, "a"), (3, "j")) for c in "xy")
+_KIN = ", ".join(f"{savgol_sql(c, 5, 3, d, FPS)} {n}{c}" for d, n in ((1, "v"), (2, "a"), (3, "j")) for c in "xy")
 
 
 @query(
@@ -54,7 +54,7 @@ def pose_kinematics(spark, sf_dir):
 @query(
     "with " + POSE_SQL + ", m as (select session, sidx, track, node, list_sort([coalesce(lag(x) over w, x), x, coalesce(lead(x) over w, x)])[2] x, list_sort([coalesce(lag(y) over w, y), y, coalesce(lead(y) over w, y)])[2] y from pose window w as (partition by session, track, node order by sidx)), "
     "q as (select *, row_number() over w - 1 pos, count(*) over (partition by session, track, node) n from m window w as (partition by session, track, node order by sidx)) "
-    f"select session, sidx, track, node, round({_savgol_sql('x', 5, 2, 0, 1.0)}, 3) + 0.0 x, round({_savgol_sql('y', 5, 2, 0, 1.0)}, 3) + 0.0 y from q window w as (partition by session, track, node order by sidx)"
+    f"select session, sidx, track, node, round({savgol_sql('x', 5, 2, 0, 1.0)}, 3) + 0.0 x, round({savgol_sql('y', 5, 2, 0, 1.0)}, 3) + 0.0 y from q window w as (partition by session, track, node order by sidx)"
 )
 def pose_smoothing(spark, sf_dir):
     return rounded(O.smooth(pose(spark, sf_dir)), ["session", "sidx", "track", "node"], 3)
