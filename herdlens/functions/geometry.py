@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -111,39 +109,40 @@ def elongation(xs: Column, ys: Column) -> tuple[Column, Column]:
     return F.when(enough, F.sqrt(major / minor)), F.when(enough, F.sqrt(F.lit(1.0) - minor / major))
 
 
-def hull(points: np.ndarray) -> tuple[float, float]:
-    """(area, perimeter) of the convex hull, by the monotone chain."""
-    p = np.unique(points, axis=0)
-    if len(p) < 3:
-        return 0.0, 0.0
+def hull(xs: Column, ys: Column) -> tuple[Column, Column]:
+    """(area, perimeter) of the convex hull of an animal's nodes (arrays of one length).
 
-    def chain(rows):
-        out = []
-        for q in rows:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]) <= 0:
-                out.pop()
-            out.append(q)
-        return out[:-1]
+    A step between two nodes is an edge of the hull if no node is on its right and those in line are between its ends.
+    That compares few nodes with each other, without leaving the JVM. Null with no valid node.
+    """
+    both = F.arrays_zip(xs.alias("x"), ys.alias("y"))
+    known = F.filter(both, lambda p: p["x"].isNotNull() & p["y"].isNotNull() & ~F.isnan(p["x"]) & ~F.isnan(p["y"]))
+    points = F.array_distinct(F.transform(known, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))))
 
-    ring = np.array(chain(p) + chain(p[::-1]))
-    nxt = np.roll(ring, -1, 0)
-    return abs((ring[:, 0] * nxt[:, 1] - nxt[:, 0] * ring[:, 1]).sum()) / 2, float(np.hypot(*(nxt - ring).T).sum())
+    def edge(p, q):
+        dx, dy = q["x"] - p["x"], q["y"] - p["y"]
 
+        def fits(r):
+            turn = dx * (r["y"] - p["y"]) - dy * (r["x"] - p["x"])
+            along = dx * (r["x"] - p["x"]) + dy * (r["y"] - p["y"])
+            return (turn > 0) | ((turn == 0) & along.between(0, dx * dx + dy * dy))
 
-def circularity(xs: Column, ys: Column) -> Column:
-    """4 pi area / perimeter^2 of the hull of an animal's nodes (arrays of one length); null below three valid nodes."""
+        return ((dx != 0) | (dy != 0)) & F.forall(points, fits)
 
-    def one(x, y):
-        pts = np.array([x, y], float).T
-        pts = pts[np.isfinite(pts).all(1)]
-        area, around = hull(pts) if len(pts) >= 3 else (0.0, 0.0)
-        return 4 * np.pi * area / around**2 if area > 1e-10 else np.nan
+    def measured(p, q):
+        dx, dy = q["x"] - p["x"], q["y"] - p["y"]
+        return F.struct(((p["x"] * q["y"] - q["x"] * p["y"]) / 2).alias("area"), F.sqrt(dx * dx + dy * dy).alias("length"))
 
-    @F.pandas_udf("double")
-    def of_rows(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([one(*r) for r in zip(x, y)], dtype=float)
+    edges = F.flatten(F.transform(points, lambda p: F.transform(F.filter(points, lambda q: edge(p, q)), lambda q: measured(p, q))))
+    total = lambda name: F.aggregate(edges, F.lit(0.0), lambda s, e: s + e[name])
+    some = F.size(points) > 0
+    return F.when(some, F.abs(total("area"))), F.when(some, total("length"))
 
-    return F.nanvl(of_rows(xs, ys), F.lit(None).cast("double"))
+
+def circularity(xs: Column, ys: Column) -> Column:
+    """4 pi area / perimeter^2 of the hull of an animal's nodes; null below three valid nodes and for those in line."""
+    area, around = hull(xs, ys)
+    return F.when(area > 1e-10, 4 * F.pi() * area / (around * around))
 
 
 def clip01(v: Column) -> Column:

@@ -86,9 +86,12 @@ def first_order(df: DataFrame, fps: float, n_nodes: int, nose: int = 0, rear: in
 
 
 def engagement_speeds(df: DataFrame, flag_name: str = "Engaged", prefix: str = "Engage") -> DataFrame:
-    """Mean speed of the two while the flag is set, and at its onsets."""
-    mean = (F.col("A_speed") + F.col("B_speed")) / 2
-    return df.withColumns({f"{prefix}Speed": R.masked(F.col(flag_name), mean), f"{prefix}OnsetSpeed": F.when(R.onsets(F.col(flag_name), P.series()), mean)})
+    """{prefix}Speed_A and _B: each animal's distance moved in the frame while the flag is set; {prefix}OnsetSpeed_A and
+    _B: the same at the flag's onsets only. df: A_x, A_y, B_x, B_y and the flag."""
+    w, c = P.series(), F.col
+    df = df.withColumns({f"_step_{s}": W.step(c(f"{s}_x"), c(f"{s}_y"), w) for s in "AB"}).withColumn("_onset", R.onsets(c(flag_name), w))
+    speeds = {f"{prefix}Speed_{s}": R.masked(c(flag_name), c(f"_step_{s}")) for s in "AB"} | {f"{prefix}OnsetSpeed_{s}": F.when(c("_onset"), c(f"_step_{s}")) for s in "AB"}
+    return df.withColumns(speeds).drop("_step_A", "_step_B", "_onset")
 
 
 def session_statistics(df: DataFrame) -> DataFrame:

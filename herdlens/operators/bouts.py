@@ -103,6 +103,18 @@ def summary(df: DataFrame, flags: Sequence[str], keys: Sequence[str], order: str
     return sums.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.*")
 
 
+def engagement(df: DataFrame, fps: float, keys: Sequence[str] = KEYS, order: str = "sidx") -> DataFrame:
+    """keys, engagement_s, n_engagement_bouts, mean onset speeds of A and B (px a frame), ED_index (engaged over
+    disengaged frames; null without the latter). df: Engaged, Disengaged, EngageOnsetSpeed_A and _B."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    onset = ((F.col("Engaged") == 1) & (F.coalesce(F.lag("Engaged").over(w), F.lit(0)) != 1)).cast("int")
+    sums = df.withColumn("_o", onset).groupBy(*keys).agg(F.sum("Engaged").alias("e"), F.sum("Disengaged").alias("d"), F.sum("_o").alias("o"), *[F.round(F.avg(f"EngageOnsetSpeed_{s}"), 3).alias(s) for s in "AB"])
+    return sums.select(
+        *keys, F.round(F.col("e") / fps, 2).alias("engagement_s"), F.col("o").alias("n_engagement_bouts"), F.col("A").alias("mean_engage_onset_spd_A"), F.col("B").alias("mean_engage_onset_spd_B"),
+        F.round(F.col("e") / F.when(F.col("d") > 0, F.col("d")), 3).alias("ED_index"),
+    )
+
+
 def feature_table(bouts: DataFrame, frames: DataFrame, aggregates: Sequence[Column], keys: Sequence[str] = KEYS, least: int = 3) -> DataFrame:
     """One row a bout of at least that many frames, with aggregates of its frames' features."""
     long = bouts.where(F.col("n") >= least)

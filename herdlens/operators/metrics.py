@@ -52,13 +52,13 @@ def bout_seconds(df: DataFrame, distance: str, keys: Sequence[str], fps: float,
     return R.drop_short(df, "near_bout", keys, "sidx", max(1, round(least_s * fps)))
 
 
-def contact_times(df: DataFrame, distance: str, label: str, fps: float, px_per_cm: float, windows: Sequence[int] = (30, 60), proximity_cm: float = 3.0, contact_cm: float = 1.0) -> DataFrame:
+def contact_times(df: DataFrame, distance: str, label: str, fps: float, px_per_cm: float, windows: Sequence[int] = (30, 60), proximity_cm: float = 3.0, contact_cm: float = 1.0, least_s: float = 1.0) -> DataFrame:
     """Proximity and contact seconds of pairs: in all, and for windows of so many seconds (0-30s, ...)."""
     keys = ("session", "tA", "tB")
     subject = F.concat_ws("-", F.col("tA").cast("string"), F.col("tB").cast("string"))
     out = None
     for kind, cm in (("Proximity", proximity_cm), ("Contact", contact_cm)):
-        marked = bout_seconds(df.select(*keys, "sidx", "vframe", distance), distance, keys, fps, cm * px_per_cm)
+        marked = bout_seconds(df.select(*keys, "sidx", "vframe", distance), distance, keys, fps, cm * px_per_cm, least_s=least_s)
         total = _long(marked.groupBy(*keys).agg(F.sum("near_bout").alias("n")), subject, [(kind, label, F.col("n") / fps, "s")])
         out = total if out is None else out.unionByName(total)
         for width in windows:

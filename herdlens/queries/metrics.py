@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import angles as A
 from ..functions import geometry as G
 from ..operators import behaviours as B
 from ..operators import bins as N
+from ..operators import bouts as T
 from ..operators import metrics as M
 from ..operators import ml
 from ..operators import pairs as P
 from ..operators import pose as O
+from ..storage import stored
 from . import query
-from .fixtures import FPS, MOVING_SQL, NODES, PAIR_SQL, PX_PER_CM, ROI, STRIP, moving, node_pairs, pairs
-from .pairs import _CROSS, KEYS, all_behaviours
-from .pose import _ZONE
+from .fixtures import FPS, MOVING_SQL, NODES, PAIR_SQL, PX_PER_CM, ROI, STRIP, moving, node_pairs, pairs, pose
+from .pairs import _CROSS, KEYS, OPP, SECOND_SQL, TO_A, TO_B, all_behaviours
+from .pose import _ZONE, savgol_sql
 from .runs import drop_sql, fill_sql
 
 TRACK = ["session", "track"]
@@ -103,19 +106,19 @@ def downsampled(spark, sf_dir):
     return N.downsample(moving(spark, sf_dir), TRACK, "sidx", 100).select(*TRACK, "sidx")
 
 
-_LOCO = "with " + MOVING_SQL + f", m as (select session, track::varchar subject, sum(speed) / {FPS} path, avg(speed) mean, quantile_cont(speed, 0.5) med, quantile_cont(speed, 0.95) p95 from moving group by 1, 2)"
-
-
 @query(
-    _LOCO + f""" select session, 'Locomotion' category, metric, subject, round(v / {PX_PER_CM}, 4) as "value", unit from (
-  select session, subject, 'Distance' metric, path v, 'cm' unit from m union all select session, subject, 'Mean speed', mean, 'cm/s' from m union all select session, subject, 'Median speed', med, 'cm/s' from m union all select session, subject, 'P95 speed', p95, 'cm/s' from m)"""
+    "with " + MOVING_SQL + f""", q as (select *, row_number() over (partition by session, track order by sidx) - 1 pos, count(*) over (partition by session, track) n from moving),
+k as (select session, sidx, track, speed / {FPS} step, {', '.join(f"{savgol_sql(c, 5, 3, d, FPS)} {n}{c}" for d, n in ((1, "v"), (2, "a")) for c in "xy")} from q window w as (partition by session, track order by sidx)),
+m as (select session, track::varchar subject, sum(step) path, avg(sqrt(vx * vx + vy * vy)) mean, quantile_cont(sqrt(vx * vx + vy * vy), 0.5) med, quantile_cont(sqrt(vx * vx + vy * vy), 0.95) p95, avg(sqrt(ax * ax + ay * ay)) acc, quantile_cont(sqrt(ax * ax + ay * ay), 0.95) acc95 from k group by 1, 2),
+l as (select session, subject, unnest([{', '.join(f"{{'metric': '{m}', 'v': {c}, 'unit': '{u}'}}" for m, c, u in (("Distance", "path", "cm"), ("Mean speed", "mean", "cm/s"), ("Median speed", "med", "cm/s"), ("P95 speed", "p95", "cm/s"), ("Mean acceleration", "acc", "cm/s2"), ("P95 acceleration", "acc95", "cm/s2")))}], recursive := true) from m)
+select session, 'Locomotion' category, metric, subject, round(v / {PX_PER_CM}, 4) as "value", unit from l"""
 )
 def locomotion_metrics(spark, sf_dir):
     from ..operators import windows as W
 
-    df = moving(spark, sf_dir).withColumns({"path": W.running(F.col("speed") / FPS, O.series()), "accel": F.col("speed")})
-    out = M.locomotion(df, PX_PER_CM).where(~F.col("metric").contains("acceleration"))
-    return out.select("session", "category", "metric", "subject", "value", "unit")
+    k = O.kinematics(pose(spark, sf_dir).where(F.col("node") == NODES.index("body")), FPS)
+    df = k.withColumn("path", W.running(W.step(F.col("x"), F.col("y"), O.series()), O.series()))
+    return M.locomotion(df, PX_PER_CM).select("session", "category", "metric", "subject", "value", "unit")
 
 
 _KEYED = "session, track"
@@ -149,11 +152,61 @@ def proximity_bout_seconds(spark, sf_dir):
     return marked.groupBy("session", "tA", "tB").agg(F.round(F.sum("near_bout") / FPS, 4).alias("seconds"))
 
 
-@query()
+#: Nodes of the regions whose pairs have metrics of their own.
+REGIONS = {"Nose": (0,), "Head": (0, 1, 2), "Body": (3, 4, 5), "Tail": (6, 7)}
+REGION_PAIRS = [("Nose", "Nose"), ("Head", "Head"), ("Head", "Body"), ("Head", "Tail"), ("Body", "Body"), ("Body", "Tail"), ("Tail", "Tail")]
+#: The fixture's animals are close and seldom stay so: four pixels a centimetre, bouts of 0.3 s.
+_WIDE_CM, _SHORT_S = 4.0, 0.3
+
+
+def _contact_sql(source: str, label: str, tag: str) -> tuple[list[str], list[str]]:
+    """CTEs and selects of one distance: seconds of proximity and contact in all, in 30 s and in 60 s."""
+    ctes, selects = [], []
+    who = 'session, "tA", "tB"'
+    for kind, cm in (("Proximity", 3.0), ("Contact", 1.0)):
+        t = f"{tag}_{kind}"
+        ctes += [f"{t}_0 as (select *, coalesce(d <= {cm * _WIDE_CM}, false)::int nb from {source})", fill_sql("nb", 1, f"{t}_0", f"{t}_1", who, "sidx"), drop_sql("nb", max(1, round(_SHORT_S * FPS)), f"{t}_1", f"{t}_2", who, "sidx")]
+        row = "select session, '{0}' category, {1} metric, \"tA\"::varchar || '-' || \"tB\"::varchar subject, round(sum(nb) / {2}, 4) as \"value\", 's' unit from {3}"
+        selects.append(row.format(kind, f"'{label}'", FPS, f"{t}_2") + f" group by {who}")
+        for width in (30, 60):
+            i, step, unit = f"floor(sidx / {FPS} / {width})::int", width if width < 60 else width // 60, "s" if width < 60 else "min"
+            selects.append(row.format(kind, f"'{label} ' || ({i} * {step})::varchar || '–' || (({i} + 1) * {step})::varchar || '{unit}'", FPS, f"{t}_2") + f" group by {who}, {i}")
+    return ctes, selects
+
+
+def _all_contacts_sql() -> str:
+    parts = [_contact_sql("d_all", "All nodes", "al")] + [_contact_sql(f"d_{a}{b}", f"{a}-{b}", f"{a}{b}") for a, b in REGION_PAIRS]
+    ctes = ["""d_all as (select session, sidx, "tA", "tB", min(d) d from x where i <> 7 and j <> 7 group by 1, 2, 3, 4)"""]
+    for a, b in REGION_PAIRS:
+        p, q = (f"({', '.join(map(str, REGIONS[r]))})" for r in (a, b))
+        ctes.append(f"""d_{a}{b} as (select session, sidx, "tA", "tB", min(d) d from x where (i in {p} and j in {q}) or (i in {q} and j in {p}) group by 1, 2, 3, 4)""")
+    return "with " + _CROSS + ",\n" + ",\n".join(ctes + [c for p in parts for c in p[0]]) + "\n" + "\nunion all ".join(x for p in parts for x in p[1])
+
+
+@query(_all_contacts_sql())
 def contact_metrics(spark, sf_dir):
+    """All nodes but tail ends, then the seven pairs of regions."""
     d, _ = P.min_distance(NODES, exclude=[7])
-    df = node_pairs(spark, sf_dir).select(*KEYS, F.col("sidx").alias("vframe"), d.alias("d"))
-    return M.contact_times(df, "d", "All nodes", FPS, PX_PER_CM)
+    regions = {f"{a}-{b}": P.region_distance(REGIONS[a], REGIONS[b]) for a, b in REGION_PAIRS}
+    df = node_pairs(spark, sf_dir).select(*KEYS, F.col("sidx").alias("vframe"), d.alias("All nodes"), *[r.alias(n) for n, r in regions.items()])
+    df = stored(df, "region-distances")
+    out = None
+    for label in ["All nodes", *regions]:
+        part = M.contact_times(df.withColumn("d", F.col(f"`{label}`")), "d", label, FPS, _WIDE_CM, least_s=_SHORT_S)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    "with " + PAIR_SQL + f""", g as (select session, "tA", "tB", sqrt(("B_x" - "A_x") ** 2 + ("B_y" - "A_y") ** 2) d, {OPP.format('"A_heading"', TO_B)} a, {OPP.format('"B_heading"', TO_A)} b from pair),
+m as (select session, "tA", "tB", (avg(a) filter (d <= {3.0 * _WIDE_CM}) + avg(b) filter (d <= {3.0 * _WIDE_CM})) / 2 v from g group by 1, 2, 3)
+select session, 'Orientation' category, 'Mean angle in proximity' metric, "tA"::varchar || '-' || "tB"::varchar subject, round(v, 4) as "value", 'deg' unit from m"""
+)
+def angle_in_proximity(spark, sf_dir):
+    c, df = F.col, pairs(spark, sf_dir)
+    dx, dy = c("B_x") - c("A_x"), c("B_y") - c("A_y")
+    df = df.withColumns({"d": F.sqrt(dx * dx + dy * dy), "fe_A": A.face_error(c("A_heading"), dx, dy), "fe_B": A.face_error(c("B_heading"), -dx, -dy)})
+    return M.angle_in_proximity(df, _WIDE_CM).select("session", "category", "metric", "subject", "value", "unit")
 
 
 @query(
@@ -193,10 +246,31 @@ def forest_report(spark, sf_dir):
     return ml.report(ml.out_of_fold(rows, 3, trees=20), labels)
 
 
-@query()
+_TOTALS = ["Engaged", "Contact", "StationaryProx", "Disengaged", *[f"{n}_{d}" for n in ("Follow", "Chase", "Flee", "Approach", "ActiveAvoid", "PassiveAvoid", "SocialOrient") for d in ("AtoB", "BtoA")]]
+_PAIR_ROWS = 'partition by session, "tA", "tB" order by sidx'
+
+
+@query(
+    "with " + SECOND_SQL + f", l as (select session, sidx, \"tA\", \"tB\", unnest([{', '.join(f"{{'behaviour': '{n}', 'f': {n}, 'o': ({n} = 1 and coalesce(lag({n}) over w, 0) <> 1)::int}}" for n in _TOTALS)}], recursive := true) from detected window w as ({_PAIR_ROWS})) "
+    f'select session, "tA", "tB", behaviour, round(sum(f) / {FPS}, 4) as seconds, sum(o)::bigint n_bouts from l group by 1, 2, 3, 4'
+)
 def behaviour_totals(spark, sf_dir):
-    from ..operators import bouts as T
+    return T.summary(all_behaviours(spark, sf_dir), _TOTALS, ["session", "tA", "tB"], "sidx", FPS)
 
-    df = B.engagement_speeds(all_behaviours(spark, sf_dir))
-    return T.summary(df, ["Engaged", "Contact", "StationaryProx", "Disengaged", "Approach_AtoB", "Approach_BtoA"], ["session", "tA", "tB"], "sidx", FPS)
 
+@query(
+    "with " + SECOND_SQL + f""", o as (select *, (Engaged = 1 and coalesce(lag(Engaged) over ({_PAIR_ROWS}), 0) <> 1)::int o from detected)
+select session, "tA", "tB", round(sum(Engaged) / {FPS}, 2) engagement_s, sum(o)::bigint n_engagement_bouts, round(avg(a_step) filter (o = 1), 3) "mean_engage_onset_spd_A", round(avg(b_step) filter (o = 1), 3) "mean_engage_onset_spd_B",
+  round(sum(Engaged) / nullif(sum(Disengaged), 0), 3) "ED_index" from o group by 1, 2, 3"""
+)
+def engagement_summary(spark, sf_dir):
+    return T.engagement(B.engagement_speeds(all_behaviours(spark, sf_dir)), FPS)
+
+
+@query(
+    "with " + SECOND_SQL + f""", o as (select *, (Disengaged = 1 and coalesce(lag(Disengaged) over ({_PAIR_ROWS}), 0) <> 1)::int o from detected)
+select session, sidx, "tA", "tB", case when Disengaged = 1 then round(a_step, 4) end "DisengageSpeed_A", case when Disengaged = 1 then round(b_step, 4) end "DisengageSpeed_B", case when o = 1 then round(a_step, 4) end "DisengageOnsetSpeed_A", case when o = 1 then round(b_step, 4) end "DisengageOnsetSpeed_B" from o"""
+)
+def disengagement_speeds(spark, sf_dir):
+    names = [f"Disengage{n}_{s}" for n in ("Speed", "OnsetSpeed") for s in "AB"]
+    return B.engagement_speeds(all_behaviours(spark, sf_dir), "Disengaged", "Disengage").select(*KEYS, *[F.round(n, 4).alias(n) for n in names])

@@ -16,12 +16,12 @@ from .pose import savgol_sql
 from .runs import fill_sql
 
 KEYS = ["session", "sidx", "tA", "tB"]
-_OPP = "case when abs({0} - {1}) % 360 > 180 then 360 - abs({0} - {1}) % 360 else abs({0} - {1}) % 360 end"
-_TO_B, _TO_A = 'degrees(atan2("B_y" - "A_y", "B_x" - "A_x"))', 'degrees(atan2("A_y" - "B_y", "A_x" - "B_x"))'
+OPP = "case when abs({0} - {1}) % 360 > 180 then 360 - abs({0} - {1}) % 360 else abs({0} - {1}) % 360 end"
+TO_B, TO_A = 'degrees(atan2("B_y" - "A_y", "B_x" - "A_x"))', 'degrees(atan2("A_y" - "B_y", "A_x" - "B_x"))'
 
 
 @query(
-    "with " + PAIR_SQL + f""", g as (select *, sqrt(("B_x" - "A_x") * ("B_x" - "A_x") + ("B_y" - "A_y") * ("B_y" - "A_y")) d, {_OPP.format('"A_heading"', '"B_heading"')} opp, {_OPP.format('"A_heading"', _TO_B)} fe, cos(radians("A_heading")) c, sin(radians("A_heading")) s from pair),
+    "with " + PAIR_SQL + f""", g as (select *, sqrt(("B_x" - "A_x") * ("B_x" - "A_x") + ("B_y" - "A_y") * ("B_y" - "A_y")) d, {OPP.format('"A_heading"', '"B_heading"')} opp, {OPP.format('"A_heading"', TO_B)} fe, cos(radians("A_heading")) c, sin(radians("A_heading")) s from pair),
 f as (select *, ("B_x" - "A_x") * c + ("B_y" - "A_y") * s lon, ("B_y" - "A_y") * c - ("B_x" - "A_x") * s lat from g)
 select session, sidx, "tA", "tB", round(d, 4) d, round(opp, 4) opposition, round(fe, 4) face_error, round(lon, 4) + 0.0 along, round(lat, 4) + 0.0 across,
   case when abs(lat) > abs(lon) then (case when lat > 0 then 'Left' else 'Right' end) else (case when lon >= 0 then 'Front' else 'Behind' end) end position,
@@ -47,7 +47,7 @@ _GRAD = "(case when lag(sidx) over w is null and lead(sidx) over w is null then
   "A_speed" - avg("A_speed") over p ca, "B_speed" - avg("B_speed") over p cb, stddev_pop("A_speed") over p * stddev_pop("B_speed") over p sp
   from pair window w as (partition by session, "tA", "tB" order by sidx), p as (partition by session, "tA", "tB"))
 select session, sidx, "tA", "tB", round(d, 4) inter_dist, round(d - coalesce(lag(d) over (partition by session, "tA", "tB" order by sidx), d), 4) + 0.0 inter_disp,
-  round({_OPP.format('"A_heading"', _TO_B)}, 4) "angle_AtoB", round({_OPP.format('"B_heading"', _TO_A)}, 4) "angle_BtoA",
+  round({OPP.format('"A_heading"', TO_B)}, 4) "angle_AtoB", round({OPP.format('"B_heading"', TO_A)}, 4) "angle_BtoA",
   round(case when sqrt(ax * ax + ay * ay) * sqrt(bx * bx + by_ * by_) > 1e-12 then (ax * bx + ay * by_) / (sqrt(ax * ax + ay * ay) * sqrt(bx * bx + by_ * by_)) else 0 end, 4) + 0.0 cos_sim,
   round(ca * cb, 1) + 0.0 speed_cov, round(case when sp > 1e-12 then ca * cb / sp else 0 end, 4) + 0.0 speed_corr from v"""
 )
@@ -112,11 +112,11 @@ cross_ as (select a.session, a.sidx, a.track "tA", b.track "tB", a.node i, b.nod
 closest as (select session, sidx, "tA", "tB", min(d) contact, arg_min({{'d': d, 'x': bx, 'y': by_}}, {{'d': d, 'j': j}}) filter (i = 0 and j <> 7) na, arg_min({{'d': d, 'x': ax, 'y': ay}}, {{'d': d, 'j': i}}) filter (j = 0 and i <> 7) nb from cross_ group by 1, 2, 3, 4),
 f as (select a.session, a.sidx, a.track "tA", b.track "tB", dsr, contact, na, nb, a.hd ha, b.hd hb, a.x3 ax, a.y3 ay, b.x3 bx, b.y3 by_,
   sqrt((a.x3 - b.x3) ** 2 + (a.y3 - b.y3) ** 2) d, sqrt((a.x0 - b.x0) ** 2 + (a.y0 - b.y0) ** 2) nn, sqrt((a.hx - b.hx) ** 2 + (a.hy - b.hy) ** 2) hh, sqrt((a.x0 - b.hx) ** 2 + (a.y0 - b.hy) ** 2) nha, sqrt((b.x0 - a.hx) ** 2 + (b.y0 - a.hy) ** 2) nhb,
-  sqrt((a.x0 - b.x6) ** 2 + (a.y0 - b.y6) ** 2) nra, sqrt((b.x0 - a.x6) ** 2 + (b.y0 - a.y6) ** 2) nrb, sqrt((a.x0 - b.x3) ** 2 + (a.y0 - b.y3) ** 2) nba, sqrt((b.x0 - a.x3) ** 2 + (b.y0 - a.y3) ** 2) nbb, """ + _OPP.format("a.hd", "b.hd") + " opp, " + _OPP.format("a.hd", "degrees(atan2(b.y3 - a.y3, b.x3 - a.x3))") + " fa, " + _OPP.format("b.hd", "degrees(atan2(a.y3 - b.y3, a.x3 - b.x3))") + """ fb
+  sqrt((a.x0 - b.x6) ** 2 + (a.y0 - b.y6) ** 2) nra, sqrt((b.x0 - a.x6) ** 2 + (b.y0 - a.y6) ** 2) nrb, sqrt((a.x0 - b.x3) ** 2 + (a.y0 - b.y3) ** 2) nba, sqrt((b.x0 - a.x3) ** 2 + (b.y0 - a.y3) ** 2) nbb, """ + OPP.format("a.hd", "b.hd") + " opp, " + OPP.format("a.hd", "degrees(atan2(b.y3 - a.y3, b.x3 - a.x3))") + " fa, " + OPP.format("b.hd", "degrees(atan2(a.y3 - b.y3, a.x3 - b.x3))") + """ fb
   from h a join h b on a.session = b.session and a.sidx = b.sidx and a.track < b.track join scale s on s.session = a.session join closest c on c.session = a.session and c.sidx = a.sidx and c."tA" = a.track and c."tB" = b.track),
 g as (select session, sidx, "tA", "tB", dsr, ax a_x, ay a_y, bx b_x, by_ b_y, ha a_h, hb b_h, d, opp, fa a_fe, fb b_fe, (nn < 0.5 * dsr)::int NoseNose, ((hh < 0.85 * dsr or least(nha, nhb) < 0.9 * dsr) and fa < 70 and fb < 70 and opp > 60)::int HH, (nn < 0.55 * dsr and fa < 45 and fb < 45 and opp > 120)::int HO,
   (contact < 0.25 * dsr)::int Contact, (opp < 30)::int CoOriented, (opp > 150)::int AntiOriented, (d < 3 * dsr and fa < 60 and fb < 60)::int Engaged, (nha < 0.7 * dsr)::int NoseHead_AtoB, (nhb < 0.7 * dsr)::int NoseHead_BtoA, (nba < 0.7 * dsr)::int NoseBody_AtoB, (nbb < 0.7 * dsr)::int NoseBody_BtoA, (nra < 0.7 * dsr)::int NoseRear_AtoB, (nrb < 0.7 * dsr)::int NoseRear_BtoA,
-  (na.d < 0.7 * dsr and """ + _OPP.format("ha", "degrees(atan2(na.y - ay, na.x - ax))") + " < 90)::int Sniff_AtoB, (nb.d < 0.7 * dsr and " + _OPP.format("hb", "degrees(atan2(nb.y - by_, nb.x - bx))") + " < 90)::int Sniff_BtoA from f),\n"
+  (na.d < 0.7 * dsr and """ + OPP.format("ha", "degrees(atan2(na.y - ay, na.x - ax))") + " < 90)::int Sniff_AtoB, (nb.d < 0.7 * dsr and " + OPP.format("hb", "degrees(atan2(nb.y - by_, nb.x - bx))") + " < 90)::int Sniff_BtoA from f),\n"
     + _fills("g", {"HH": 1, "HO": 1, "Sniff_AtoB": 1, "Sniff_BtoA": 1, "Engaged": 3})[0]
 )
 _FIRST_FLAGS = ["NoseNose", "HH", "HO", "Contact", "CoOriented", "AntiOriented", "Engaged", *[f"{n}_{d}" for n in ("NoseHead", "NoseBody", "NoseRear", "Sniff") for d in ("AtoB", "BtoA")]]

@@ -79,9 +79,22 @@ def pose_repair(spark, sf_dir):
     return rounded(repaired(gappy, FPS), ["session", "sidx", "track", "node"])
 
 
-@query()
+_INTERPOLATED = "coalesce({0}, case when {0}0 is null then {0}1 when {0}1 is null then {0}0 else {0}0 + ({0}1 - {0}0) * (sidx - t0) / (t1 - t0) end)"
+
+
+@query(
+    "with " + WIDE_SQL + """, g as (select session, sidx, track, nose_x - body_x dx, nose_y - body_y dy, sqrt((nose_x - body_x) ** 2 + (nose_y - body_y) ** 2) size from wide),
+u as (select *, case when size >= 1 then dx / size end c, case when size >= 1 then dy / size end s, case when size >= 1 then sidx end t from g),
+k as (select *, last_value(c ignore nulls) over b c0, last_value(s ignore nulls) over b s0, last_value(t ignore nulls) over b t0, first_value(c ignore nulls) over a c1, first_value(s ignore nulls) over a s1, first_value(t ignore nulls) over a t1 from u
+  window b as (partition by session, track order by sidx rows between unbounded preceding and current row), a as (partition by session, track order by sidx rows between current row and unbounded following)),
+h as (select session, sidx, track, coalesce(degrees(atan2(""" + _INTERPOLATED.format("s") + ", " + _INTERPOLATED.format("c") + """)), 0) h from k),
+j as (select *, h - lag(h) over w e from h window w as (partition by session, track order by sidx)),
+r as (select *, first_value(h) over w + sum(coalesce(e + 180 - 360 * floor((e + 180) / 360) - 180, 0)) over w v, row_number() over w - 1 pos, count(*) over (partition by session, track) n from j window w as (partition by session, track order by sidx)),
+f as (select session, sidx, track, case when n >= 15 then """ + savgol_sql("v", 15, 3, 0, 1.0) + """ else v end v from r window w as (partition by session, track order by sidx))
+select session, sidx, track, round(v + 180 - 360 * floor((v + 180) / 360) - 180, 3) + 0.0 body_heading from f"""
+)
 def pose_body_heading(spark, sf_dir):
-    return O.body_heading(wide(spark, sf_dir)).select("session", "sidx", "track", F.round("body_heading", 3).alias("body_heading"))
+    return O.body_heading(wide(spark, sf_dir)).select("session", "sidx", "track", (F.round("body_heading", 3) + 0.0).alias("body_heading"))
 
 
 @query(
@@ -105,7 +118,13 @@ def hourglass_areas(spark, sf_dir):
     return wide(spark, sf_dir).select("session", "sidx", "track", F.round(area, 4).alias("area"), F.when(low > 1, F.round(ratio, 4)).alias("ratio"))
 
 
-@query()
+@query(
+    "with " + POSE_SQL + """, e as (select p.session, p.sidx, p.track, p.node i, q.node j, any_value((p.x * q.y - q.x * p.y) / 2) area, any_value(sqrt((q.x - p.x) ** 2 + (q.y - p.y) ** 2)) len,
+  bool_and(r.node in (p.node, q.node) or (q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) > 0) hull
+  from pose p join pose q on p.session = q.session and p.sidx = q.sidx and p.track = q.track and p.node <> q.node join pose r on p.session = r.session and p.sidx = r.sidx and p.track = r.track group by 1, 2, 3, 4, 5),
+m as (select session, sidx, track, coalesce(sum(area) filter (hull), 0) area, coalesce(sum(len) filter (hull), 0) len from e group by 1, 2, 3)
+select session, sidx, track, case when area > 1e-10 then round(4 * pi() * area / (len * len), 4) end circularity from m"""
+)
 def hull_circularity(spark, sf_dir):
     return O.node_arrays(pose(spark, sf_dir), len(NODES)).select("session", "sidx", "track", F.round(G.circularity(F.col("xs"), F.col("ys")), 4).alias("circularity"))
 

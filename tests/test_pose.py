@@ -129,9 +129,37 @@ def test_roles():
     assert N.frames(0.25, 30) == 8 and N.frames(0.25, 10) == 2
 
 
-def test_hull():
-    assert G.hull(np.array([[0, 0], [4, 0], [4, 3], [0, 3], [1, 1], [0, 0]], float)) == (12.0, 14.0)
-    assert G.hull(np.array([[0, 0], [1, 1], [2, 2.0]]))[0] == 0
+def monotone_chain(points):
+    """(area, perimeter) of the hull."""
+    p = sorted(set(points))
+    if len(p) < 3:
+        return 0.0, 2 * math.dist(p[0], p[-1]) if p else None
+
+    def half(rows):
+        out = []
+        for q in rows:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(q)
+        return out[:-1]
+
+    ring = half(p) + half(p[::-1])
+    steps = list(zip(ring, ring[1:] + ring[:1]))
+    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in steps)) / 2, sum(math.dist(a, b) for a, b in steps)
+
+
+def test_hull(spark):
+    rng = np.random.default_rng(2)
+    shapes = [[(0, 0), (4, 0), (4, 3), (0, 3), (1, 1), (0, 0)], [(0, 0), (1, 1), (2, 2)], [(0, 0), (2, 0), (4, 0), (4, 4), (2, 2)], [(5, 5)], [(1, 2), (1, 2)]]
+    shapes += [[tuple(map(float, q)) for q in rng.integers(0, 5, (8, 2))] for _ in range(60)] + [[tuple(map(float, q)) for q in rng.normal(size=(8, 2))] for _ in range(20)]
+    rows = [(i, [float(x) for x, _ in s] + [None, 1.0], [float(y) for _, y in s] + [1.0, float("nan")]) for i, s in enumerate(shapes)] + [(999, [None], [1.0])]
+    df = spark.createDataFrame(rows, "i int, xs array<double>, ys array<double>")
+    area, around = G.hull(F.col("xs"), F.col("ys"))
+    got = {r.i: (r.a, r.p, r.c) for r in df.select("i", area.alias("a"), around.alias("p"), G.circularity(F.col("xs"), F.col("ys")).alias("c")).collect()}
+    for i, s in enumerate(shapes):
+        a, p = monotone_chain([(float(x), float(y)) for x, y in s])
+        assert got[i][:2] == pytest.approx((a, p)) and got[i][2] == (pytest.approx(4 * math.pi * a / p**2) if a > 1e-10 else None)
+    assert got[999] == (None, None, None)
 
 
 def test_elongation(spark):
