@@ -10,14 +10,15 @@ ten more than the lowest score of a piece of one character. (A BPE model's score
 
 No piece crosses certain pairs of characters (those that stand side by side in no piece). Texts are cut there, and
 each different part is searched once while it is remembered. The N best of a text combine those of its parts; only the
-N parts whose second best costs least can differ from their best in them.
+N parts whose second best costs least can differ from their best in them. So the best is returned as ids, and each other
+one as its few replacements in the best; segmentation() gives its ids.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 import zlib
-from array import array
 from heapq import heappop, heappush, heappushpop, nsmallest
 from itertools import chain
 from operator import itemgetter
@@ -25,7 +26,7 @@ from operator import itemgetter
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
@@ -36,11 +37,15 @@ CACHE_PARTS = 250_000
 OUT_ROWS, OUT_BYTES = 256, 1 << 23
 #: The loss of what can't be segmented in a second way.
 NEVER = 1 << 60
-_SCORE, _IDS, _LOSS = map(itemgetter, range(3))
-_EDGE_IDS = itemgetter(2)
+_LAST, _EDGE_IDS = itemgetter(0), itemgetter(2)
 _BYTE = re.compile("<0x([0-9A-F]{2})>")
 
 
+def _raw(*ids: int) -> bytes:
+    """ids as little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Lattice:
     """pieces: piece -> (id, score); byte_ids: id of each byte; byte_score: score of a byte piece."""
 
@@ -51,7 +56,7 @@ class Lattice:
         # finds all pieces that stand in a text in one pass over it
         self.finder = ahocorasick.Automaton()
         for piece, (number, score) in pieces.items():
-            self.finder.add_word(piece, (len(piece), score, (number,)))
+            self.finder.add_word(piece, (len(piece), score, _raw(number)))
         self.finder.make_automaton()
 
     @classmethod
@@ -71,7 +76,13 @@ class Lattice:
 
     def forward(self, part: str):
         """The edges as (last character, (characters, score, ids)) by where they end, and each node's best score from the start."""
-        edges, best = self._in_order(part), [-NEVER] * (len(part) + 1)
+        edges = list(self.finder.iter(part))
+        if not self.single.issuperset(part):
+            for i, c in enumerate(part):
+                if c not in self.single:
+                    edges.append((i, (1, self.byte_score, _raw(*(self.byte_ids[b] for b in c.encode("utf-8", "surrogatepass"))))))
+            edges.sort(key=_LAST)
+        best = [-NEVER] * (len(part) + 1)
         best[0] = 0
         for last, edge in edges:
             total = best[last + 1 - edge[0]] + edge[1]
@@ -79,17 +90,7 @@ class Lattice:
                 best[last + 1] = total
         return edges, best
 
-    def _in_order(self, part: str):
-        found = list(self.finder.iter(part))
-        if self.single.issuperset(part):
-            return found
-        for i, c in enumerate(part):
-            if c not in self.single:
-                raw = c.encode("utf-8", "surrogatepass")
-                found.append((i, (1, self.byte_score, tuple(self.byte_ids[b] for b in raw))))
-        return sorted(found, key=itemgetter(0))
-
-    def first(self, part: str) -> tuple[int, tuple[int, ...], int]:
+    def first(self, part: str) -> tuple[int, bytes, int]:
         """(score, ids, loss) of the best segmentation, and how much less the second scores (NEVER: there is none).
 
         The A* search up to the arrival of its first path. With an exact heuristic it goes straight on along that path,
@@ -117,10 +118,10 @@ class Lattice:
             node -= onward[0]
             path.append(onward[2])
         path.reverse()
-        return -total, tuple(chain.from_iterable(path)), waiting - total if waiting < NEVER else NEVER
+        return -total, b"".join(path), waiting - total if waiting < NEVER else NEVER
 
-    def n_best(self, part: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
-        """(score, ids) of the n best segmentations, or all if fewer; equal scores by their ids from the end."""
+    def n_best(self, part: str, n: int) -> list[tuple[int, bytes]]:
+        """(score, ids) of the n best segmentations, or all if fewer; equal scores by their ids from the end, as bytes."""
         edges, best = self.forward(part)
         ends: list[list] = [[] for _ in best]
         for last, edge in edges:
@@ -146,7 +147,7 @@ class Lattice:
                     onward = heappushpop(queue, onward)
                 _, path, node, behind = onward
                 total = onward[0]
-            out.append((-total, tuple(chain.from_iterable(reversed(path)))))
+            out.append((-total, b"".join(reversed(path))))
         return out
 
     def cut(self, text: str) -> list[str]:
@@ -168,20 +169,21 @@ class Segmenter:
         self.units, self.old, self.parts, self.seconds = {}, {}, {}, {}
 
     def _part(self, part: str):
-        """(score, ids as bytes, loss of the second best)"""
+        """(score, ids, loss of the second best)"""
         found = self.parts.get(part)
         if found is None:
-            score, ids, loss = self.lattice.first(part)
-            found = self.parts[part] = (score, array("I", ids).tobytes(), loss)
+            found = self.parts[part] = self.lattice.first(part)
         return found
 
     def _unit(self, unit: str):
         """As _part, of what stands between two spaces, with the space in front: its loss is the least of its parts'."""
-        parts = self.lattice.cut(unit)
-        if len(parts) == 1:
-            return self._part(unit)
-        found = [self._part(p) for p in parts]
-        return sum(f[0] for f in found), b"".join(f[1] for f in found), min(f[2] for f in found)
+        if unit[1:].isalpha():
+            return self.lattice.first(unit)
+        found = [self._part(p) for p in self.lattice.cut(unit)]
+        if len(found) == 1:
+            return found[0]
+        scores, ids, losses = zip(*found)
+        return sum(scores), b"".join(ids), min(losses)
 
     def _look_up(self, units: list[str]) -> list:
         """Units without a space in front have it understood."""
@@ -191,40 +193,39 @@ class Segmenter:
                 self.old, self.units = self.units, {}
             if len(self.parts) > self.limit:
                 self.parts.clear()
+            known, old = self.units, self.old
             for i in [i for i, f in enumerate(found) if f is None]:
                 u = units[i]
-                f = self.units.get(u) or self.old.get(u) or self._unit(u if u[:1] == SPACE else SPACE + u)
-                found[i] = self.units[u] = f
+                f = known.get(u) or old.get(u) or self._unit(u if u[:1] == SPACE else SPACE + u)
+                found[i] = known[u] = f
         return found
 
-    def __call__(self, text: str) -> list[tuple[int, bytes]]:
-        """(score, ids) of the text's n best segmentations, best first."""
+    def __call__(self, text: str) -> tuple[bytes, list[tuple[int, list[tuple[int, int, bytes]]]]]:
+        """The ids of the best segmentation, and for each of the n best, best first: score, replacements in the best.
+
+        A replacement: the first piece that goes, how many go, the ids that come. In order of place; the best has none.
+        """
         if not text:
-            return [(0, b"")]
+            return b"", [(0, [])]
         if SPACE in text or "  " in text or text[-1] == " " or text[0] == " ":
             # a run of spaces stays together with the word after it
             units = re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))
         else:
             units = text.split(" ")
-        found = self._look_up(units)
-        score, ids = sum(map(_SCORE, found)), list(map(_IDS, found))
+        scores, ids, losses = zip(*self._look_up(units))
+        score, losses = sum(scores), np.array(losses, np.int64)
         # only the units whose second best costs least can differ from their best
-        losses = np.fromiter(map(_LOSS, found), np.int64, len(found))
         if self.n > 1 and len(losses) > self.n:
             cheap = np.flatnonzero(losses <= np.partition(losses, self.n - 2)[self.n - 2])
         else:
             cheap = np.arange(len(losses))
-        combined = [(0, ())]
-        for i in sorted(cheap.tolist(), key=losses.__getitem__)[: self.n - 1]:
+        combined, chosen = [(0, ())], sorted(cheap.tolist(), key=losses.__getitem__)[: self.n - 1]
+        for i in chosen:
             if losses[i] < NEVER:
                 other = self._alternatives(units[i] if units[i][:1] == SPACE else SPACE + units[i])
-                combined = nsmallest(self.n, ((c + loss, (*chosen, (i, raw))) for c, chosen in combined for loss, raw in other))
-        out = []
-        for loss, chosen in combined:
-            for i, raw in chosen:
-                ids[i] = raw
-            out.append((score - loss, b"".join(ids)))
-        return out
+                combined = nsmallest(self.n, ((c + loss, (*made, (i, raw)) if raw != ids[i] else made) for c, made in combined for loss, raw in other))
+        place = {i: sum(map(len, ids[:i])) // 4 for i in chosen} if len(combined) > 1 else {}
+        return b"".join(ids), [(score - loss, [(place[i], len(ids[i]) // 4, raw) for i, raw in sorted(made)]) for loss, made in combined]
 
     def _alternatives(self, unit: str) -> list[tuple[int, bytes]]:
         """(loss, ids) of the unit's n best."""
@@ -235,8 +236,7 @@ class Segmenter:
             combined = [(0, b"")]
             for part in self.lattice.cut(unit):
                 best = self.lattice.n_best(part, self.n)
-                mine = [(best[0][0] - s, array("I", ids).tobytes()) for s, ids in best]
-                combined = nsmallest(self.n, ((a + b, x + y) for a, x in combined for b, y in mine))
+                combined = nsmallest(self.n, ((a + best[0][0] - s, x + y) for a, x in combined for s, y in best))
             found = self.seconds[unit] = combined
         return found
 
@@ -252,53 +252,68 @@ class Decoder:
         return text[1:] if text[:1] == " " else text
 
 
-def _nested(rows: list[list[bytes]]) -> pa.Array:
-    """array<array<int>> of each row's id strings."""
-    flat = [x for row in rows for x in row]
-    outer = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-    inner = np.cumsum([0, *(len(x) // 4 for x in flat)], dtype=np.int32)
-    values = pa.array(np.frombuffer(b"".join(flat), "<u4").astype(np.int32))
-    return pa.ListArray.from_arrays(pa.array(outer), pa.ListArray.from_arrays(pa.array(inner), values))
+def _lists(values: pa.Array, sizes: list[int]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes], dtype=np.int32)), values)
+
+
+def _ids(rows: list[bytes]) -> pa.Array:
+    """array<int> of each row's ids."""
+    return _lists(pa.array(np.frombuffer(b"".join(rows), "<u4").astype(np.int32)), [len(x) // 4 for x in rows])
 
 
-def _encode(path: str, n: int, keep_ids: bool):
+def _replacements(rows: list[list[list[tuple[int, int, bytes]]]]) -> pa.Array:
+    """array<array<struct<at, n, ids>>> of each row's replacements."""
+    each = [made for row in rows for made in row]
+    flat = [x for made in each for x in made]
+    structs = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.int32()), _ids([x[2] for x in flat])], ["at", "n", "ids"])
+    return _lists(_lists(structs, list(map(len, each))), list(map(len, rows)))
+
+
+ENCODED = "n_pieces long, ids_crc32 long, scores array<double>, round_trip boolean, ids array<int>, others array<array<struct<at: int, n: int, ids: array<int>>>>"
+
+
+def _encode(path: str, n: int):
     def run(batches):
         lattice = Lattice.load(path)
         segmenter, decoder = Segmenter(lattice, n), Decoder(lattice)
         for batch in batches:
-            begin, size, rows, found = 0, 0, [], []
+            begin, size, rows = 0, 0, []
             for at, text in enumerate(chain.from_iterable(batch.column("text").slice(k, 256).to_pylist() for k in range(0, batch.num_rows, 256))):
-                best = segmenter(text or "")
-                same = decoder(best[0][1]) == (text or "")
-                rows.append((len(best[0][1]) // 4, zlib.crc32(best[0][1]), [s / 1e6 for s, _ in best], [zlib.crc32(x) for _, x in best], same))
-                if keep_ids:
-                    found.append([x for _, x in best])
-                    size += sum(map(len, found[-1]))
+                ids, best = segmenter(text or "")
+                rows.append((len(ids) // 4, zlib.crc32(ids), [score / 1e6 for score, _ in best], decoder(ids) == (text or ""), ids, [made for _, made in best[1:]]))
+                size += len(ids)
                 if len(rows) == OUT_ROWS or size > OUT_BYTES or at + 1 == batch.num_rows:
                     cols = list(zip(*rows))
-                    ids = _nested(found) if keep_ids else pa.nulls(len(rows), pa.list_(pa.list_(pa.int32())))
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(begin, len(rows)), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.float64())), pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.bool_()), ids],
-                        [batch.schema.names[0], "n_pieces", "ids_crc32", "scores", "crc32s", "round_trip", "ids"],
+                        [batch.column(0).slice(begin, len(rows)), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.float64())), pa.array(cols[3], pa.bool_()), _ids(cols[4]), _replacements(cols[5])],
+                        [batch.schema.names[0], "n_pieces", "ids_crc32", "scores", "round_trip", "ids", "others"],
                     )
-                    begin, size, rows, found = at + 1, 0, [], []
+                    begin, size, rows = at + 1, 0, []
 
     return run
 
 
-def encode(docs: DataFrame, model: str, n: int = N_BEST, keep_ids: bool = True, id_column: str = "doc_id") -> DataFrame:
-    """id, n_pieces, ids_crc32, scores, crc32s, round_trip, ids: of the best segmentation, and (arrays) of the n best.
+def encode(docs: DataFrame, model: str, n: int = N_BEST, id_column: str = "doc_id") -> DataFrame:
+    """id, n_pieces, ids_crc32, scores, round_trip, ids, others: a row for each of docs.
 
-    ids holds the piece ids of each of the n best, best first, in the order of scores and crc32s. crc32 of ids as
-    little-endian unsigned 32-bit integers; round_trip: whether decoding the best gives the text back. A text that holds
-    U+2581 is read as if that were a space, so it doesn't. Null and empty texts have no pieces, score 0 and one segmentation. Texts with
-    fewer than n segmentations have shorter arrays. Repeated rows get equal results, an empty table none; columns but
-    the id and text play no part.
+    ids: piece ids of the best segmentation; ids_crc32: of them as little-endian unsigned 32-bit integers; others: for
+    each further one of the n best what it replaces in ids (at: first piece from 0, n: pieces that go, ids that come);
+    scores: of all of them. round_trip: whether decoding the best gives the text back. A text that holds U+2581 is read
+    as if that were a space, so it doesn't. Null and empty texts have no pieces, score 0 and one segmentation. Texts
+    with fewer than n segmentations have shorter arrays. Repeated rows get equal results, an empty table none; columns
+    but the id and text play no part.
     """
-    kind = dict(docs.dtypes)[id_column]
-    schema = f"`{id_column}` {kind}, n_pieces long, ids_crc32 long, scores array<double>, crc32s array<long>, round_trip boolean, ids array<array<int>>"
-    out = docs.select(id_column, "text").mapInArrow(_encode(model, n, keep_ids), schema)
-    return out if keep_ids else out.drop("ids")
+    return docs.select(id_column, "text").mapInArrow(_encode(model, n), f"`{id_column}` {dict(docs.dtypes)[id_column]}, {ENCODED}")
+
+
+def segmentation(which: int = 0) -> Column:
+    """The ids of one segmentation, of columns ids and others; null where a row hasn't so many."""
+    if which == 0:
+        return F.col("ids")
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("ids"))
+    between = lambda done, to: F.slice("ids", done["at"] + 1, to - done["at"])
+    step = lambda done, x: F.struct((x["at"] + x["n"]).alias("at"), F.concat(done["ids"], between(done, x["at"]), x["ids"]).alias("ids"))
+    return F.aggregate(F.get("others", F.lit(which - 1)), start, step, lambda done: F.concat(done["ids"], between(done, F.size("ids"))))
 
 
 def _decode(path: str):
@@ -317,4 +332,4 @@ def decode(encoded: DataFrame, model: str, id_column: str = "doc_id", which: int
     Null ids and segmentations that a row hasn't give null, no ids the empty text.
     """
     kind = dict(encoded.dtypes)[id_column]
-    return encoded.select(id_column, F.get("ids", F.lit(which)).alias("ids")).mapInArrow(_decode(model), f"`{id_column}` {kind}, text string")
+    return encoded.select(id_column, segmentation(which).alias("ids")).mapInArrow(_decode(model), f"`{id_column}` {kind}, text string")

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from herdlens.llm import nbest as S
 from herdlens.llm.queries import vocabulary
@@ -32,7 +33,19 @@ def brute(lattice, part):
             go(i + 1, score + lattice.byte_score, (*ids, *(lattice.byte_ids[b] for b in raw)))
 
     go(0, 0, ())
-    return sorted(found, reverse=True)
+    return sorted(((score, S._raw(*ids)) for score, ids in found), reverse=True)
+
+
+def whole(found):
+    """(score, ids) of each segmentation that a Segmenter returned."""
+    ids, out = found[0], []
+    for score, made in found[1]:
+        raw, at = b"", 0
+        for place, n, new in made:
+            raw += ids[4 * at : 4 * place] + new
+            at = place + n
+        out.append((score, raw + ids[4 * at :]))
+    return out
 
 
 @pytest.mark.parametrize("n", [1, 2, 4])
@@ -40,9 +53,9 @@ def test_n_best_of_texts_like_brute_force(lattice, n):
     rng, segment, decode = random.Random(n), S.Segmenter(lattice, n, cache=40), S.Decoder(lattice)
     for _ in range(200):
         text = "".join(rng.choice("the  on,.\nañx☃") for _ in range(rng.randint(1, 11)))
-        want, got = brute(lattice, S.SPACE + text.replace(" ", S.SPACE)), segment(text)
+        want, got = brute(lattice, S.SPACE + text.replace(" ", S.SPACE)), whole(segment(text))
         assert [s for s, _ in got] == [s for s, _ in want[:n]]
-        assert set(got) <= {(s, np.array(i, "<u4").tobytes()) for s, i in want} and len(set(got)) == len(got)
+        assert set(got) <= set(want) and len(set(got)) == len(got)
         assert all(decode(ids) == text for _, ids in got)
 
 
@@ -94,15 +107,16 @@ def test_query_returns_ids_of_all_segmentations(spark, data):
 
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/sf0.001/documents.parquet").collect()}
     out = op5_nbest_pieces(spark, f"{data}/sf0.001")
+    out = out.withColumn("all", F.array(*[S.segmentation(k) for k in range(S.N_BEST)]))
     rows, segment = out.collect(), S.Segmenter(S.Lattice.load(PATH))
-    assert len(rows) == len(texts) and max(len(r.ids) for r in rows) == S.N_BEST
+    assert len(rows) == len(texts) and max(len(r.others) for r in rows) == S.N_BEST - 1
     for r in rows:
-        raw = [np.array(x, "<u4").tobytes() for x in r.ids]
-        assert raw == [x for _, x in segment(texts[r.doc_id])] and [zlib.crc32(x) for x in raw] == r.crc32s
-        assert len(r.scores) == len(raw) and len(r.ids[0]) == r.n_pieces
+        raw = [np.array(x, "<u4").tobytes() for x in r.all if x is not None]
+        assert raw == [x for _, x in whole(segment(texts[r.doc_id]))] and len(set(raw)) == len(raw)
+        assert len(r.scores) == len(raw) == len(r.others) + 1 and len(r.ids) == r.n_pieces and zlib.crc32(raw[0]) == r.ids_crc32
     for which in range(S.N_BEST):
         back = {r.doc_id: r.text for r in S.decode(out, PATH, which=which).collect()}
-        assert all(back[r.doc_id] == (texts[r.doc_id].replace(S.SPACE, " ") if which < len(r.ids) else None) for r in rows)
+        assert all(back[r.doc_id] == (texts[r.doc_id].replace(S.SPACE, " ") if which <= len(r.others) else None) for r in rows)
 
 
 def test_small_batches(spark, awkward, monkeypatch):
@@ -110,5 +124,5 @@ def test_small_batches(spark, awkward, monkeypatch):
     schema = S.encode(awkward, PATH).schema
     monkeypatch.setattr(S, "OUT_BYTES", 8)
     batches = awkward.select("doc_id", "text").coalesce(1).toArrow().to_batches()
-    got = spark.createDataFrame([r for b in S._encode(PATH, S.N_BEST, True)(batches) for r in zip(*b.to_pydict().values())], schema)
+    got = spark.createDataFrame([r for b in S._encode(PATH, S.N_BEST)(batches) for r in zip(*b.to_pydict().values())], schema)
     assert sorted(map(repr, got.collect())) == want

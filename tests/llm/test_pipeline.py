@@ -52,4 +52,4 @@ def test_awkward_rows_go_through(spark, awkward, empty, nulls):
 
 def test_last_stage_returns_ids(spark, awkward):
     rows = C.encode_pieces(spark, awkward.select("doc_id", "text", "lang", "source", "n_chars"), "").collect()
-    assert len(rows) == awkward.count() and all(len(r.ids) == len(r.crc32s) and len(r.ids[0]) == r.n_pieces for r in rows)
+    assert len(rows) == awkward.count() and all(len(r.scores) == len(r.others) + 1 and len(r.ids) == r.n_pieces for r in rows)
