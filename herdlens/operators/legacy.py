@@ -10,9 +10,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.angles import opposition
+from ..functions.angles import bearing, opposition
+from ..functions.geometry import body_frame
+from ..storage import stored
+from . import pairs as P
 from . import runs as R
 from . import windows as W
+from .bouts import interval_join
+
+KEYS = ("session", "tA", "tB")
 
 # Behaviours in order of precedence, with their scores.
 SCORES = (
@@ -36,69 +42,176 @@ def gate(flag: Column, fps: float, seconds: float = 5.0) -> Column:
     return F.when(F.col("sidx") < int(seconds * fps), 0).otherwise(flag)
 
 
-def proximity(df: DataFrame) -> DataFrame:
-    return df.withColumn("prox", (F.col("d") <= 3 * F.col("dsr")).cast("int"))
-
-
-def cones(df: DataFrame) -> DataFrame:
-    """vision: Binocular, Monocular or none within 10 dsr by the better of two targets; hearing by the body's angle."""
-    best = F.least("fe_body", "fe_nose")
-    near = F.col("d") <= 10 * F.col("dsr")
-    return df.withColumns(
-        {
-            "vision": F.when(near & (best <= 20), "B").when(near & (best <= 120), F.when(F.col("side") > 0, "ML").otherwise("MR")).otherwise("N"),
-            "hearing": F.when(F.col("fe_body") <= 60, "B").when(F.col("fe_body") <= 150, "M").otherwise("R"),
-        }
-    )
+def lags(fps: float) -> dict[str, int]:
+    """Frames of the spans that the detectors look back over."""
+    frames = lambda seconds, least=1: max(least, round(seconds * fps))
+    return {"second": max(1, int(fps)), "half": frames(0.5), "still": frames(0.5, 2), "flight": frames(0.4), "recent": frames(0.75)}
 
 
 def one_hot(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
     return df.withColumns({f"{column}_{v}": F.coalesce(F.col(column) == v, F.lit(False)).cast("int") for v in values})
 
 
-def avoidance(df: DataFrame, fps: float, keys=("session", "tA", "tB")) -> DataFrame:
-    """activeAvoid and passiveAvoid of A. df: d, fe_A, A_speed, away_A, disp_A, touching, follow, prox, dsr, med, mad."""
-    w, bl, c = Window.partitionBy(*keys).orderBy("sidx"), 2 * F.col("dsr"), F.col
-    df = df.withColumns({"_gap": lagged(c("d"), w, max(1, round(0.5 * fps))), "_recent": W.recently((c("touching") == 1) | (c("prox") == 1), w, max(1, round(0.75 * fps)))})
-    relevant = ((c("d") <= 4 * bl) | c("_recent")) & c("_recent") & (c("touching") == 0) & (c("fe_A") > 120)
-    active = relevant & (c("A_speed") > c("med") + 1.5 * c("mad")) & (c("away_A") > 0.15 * bl) & (c("_gap") > 0.2 * bl)
-    passive = relevant & ~F.coalesce(active, F.lit(False)) & (c("follow") == 0) & (c("A_speed") <= c("med") + 0.25 * c("mad")) & (c("disp_A") <= 0.2 * bl) & (c("_gap") >= -0.05 * bl) & (c("d") <= 3 * bl)
-    return df.withColumns({n: F.coalesce(f, F.lit(False)).cast("int") for n, f in (("activeAvoid", active), ("passiveAvoid", passive))}).drop("_gap", "_recent")
+def _flag(condition: Column, gate_frames: int) -> Column:
+    return F.when(F.col("sidx") >= gate_frames, F.coalesce(condition, F.lit(False)).cast("int")).otherwise(0)
+
+
+def _mean_of(*values: Column) -> Column:
+    """Of those that are known."""
+    known = F.filter(F.array(*values), lambda v: v.isNotNull())
+    return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda s, v: s + v) / F.size(known))
+
 
+def _speed(x: Column, y: Column, w, frames: int) -> dict[str, Column]:
+    """Velocity over a span, a frame; 0 while there is none."""
+    vx, vy = lagged(x, w, frames) / frames, lagged(y, w, frames) / frames
+    return {"vx": vx, "vy": vy, "speed": F.sqrt(vx * vx + vy * vy)}
+
+
+def motion(df: DataFrame, fps: float, nose: int = 0, ears: tuple[int, int] = (1, 2), body: int = 3) -> DataFrame:
+    """Geometry and motion of subject A and stranger B that the detectors ask for; the node arrays stay.
+
+    df: A_xs, A_ys, B_xs, B_ys and dsr. gap is from A's nose to B's body. Spans without a frame to look back to give 0.
+    """
+    c, w, n = F.col, Window.partitionBy(*KEYS).orderBy("sidx"), lags(fps)
+    at = lambda s, a, k: F.get(c(f"{s}_{a}s"), F.lit(k))
+    out = {}
+    for s in "AB":
+        for a in "xy":
+            out |= {f"{s}_{a}": at(s, a, body), f"{s}_n{a}": at(s, a, nose), f"{s}_h{a}": _mean_of(at(s, a, nose), at(s, a, ears[0]), at(s, a, ears[1]))}
+        out[f"ear_{s}"] = F.struct((at(s, "x", ears[1]) - at(s, "x", ears[0])).alias("x"), (at(s, "y", ears[1]) - at(s, "y", ears[0])).alias("y"))
+    df = df.withColumns(out)
+    df = df.withColumns({f"{s}_heading": bearing(c(f"{s}_nx") - c(f"{s}_x"), c(f"{s}_ny") - c(f"{s}_y")) for s in "AB"})
+    d = lambda p, q: F.sqrt((c(f"{p}x") - c(f"{q}x")) ** 2 + (c(f"{p}y") - c(f"{q}y")) ** 2)
+    face = lambda s, p, q: opposition(c(f"{s}_heading"), bearing(c(f"{q}x") - c(f"{p}x"), c(f"{q}y") - c(f"{p}y")))
+    df = df.withColumns({"d": d("A_", "B_"), "gap": d("A_n", "B_"), "fe_A": face("A", "A_", "B_"), "opposition": opposition(c("A_heading"), c("B_heading"))})
+    turned = lambda s: F.coalesce(opposition(c(f"{s}_heading"), F.lag(f"{s}_heading", n["second"]).over(w)), F.lit(0.0)) * (fps / n["second"])
+    out = {f"gap_{k}": lagged(c("gap"), w, n[k]) for k in ("second", "half", "flight")}
+    out["spread"] = F.when(F.row_number().over(w) > n["second"], trailing_std(c("gap"), w, n["second"])) if n["second"] > 3 else F.lit(None).cast("double")
+    for s in "AB":
+        out |= {f"{s}_lag_{k}": v for k, v in _speed(c(f"{s}_x"), c(f"{s}_y"), w, n["second"]).items()} | {f"{s}_{k}": v for k, v in _speed(c(f"{s}_x"), c(f"{s}_y"), w, 1).items()}
+        out |= {f"{s}_turn": turned(s), f"{s}_disp": n["half"] * _speed(c(f"{s}_x"), c(f"{s}_y"), w, n["half"])["speed"]}
+    out["A_still"] = n["still"] * _speed(c("A_x"), c("A_y"), w, n["still"])["speed"]
+    df = df.withColumns(out)
+    along, across = body_frame(c("A_x") - c("B_x"), c("A_y") - c("B_y"), c("B_heading"))
+    towards = (c("A_vx") * (c("B_x") - c("A_x")) + c("A_vy") * (c("B_y") - c("A_y"))) / (c("d") + 1e-9)
+    size = lambda s: F.sqrt(c(f"{s}_lag_vx") ** 2 + c(f"{s}_lag_vy") ** 2)
+    cos = F.when((size("A") >= 1e-6) & (size("B") >= 1e-6), (c("A_lag_vx") * c("B_lag_vx") + c("A_lag_vy") * c("B_lag_vy")) / (size("A") * size("B"))).otherwise(0.0)
+    return df.withColumns({"along": along, "across": across, "towards": towards, "cos_v": cos})
+
+
+def cones(df: DataFrame) -> DataFrame:
+    """vision (B, ML, MR, N) and hearing (B, ML, MR, R, N) of A within 10 dsr; the sides by the line of its ears.
 
-def follow_chase(df: DataFrame, fps: float, keys=("session", "tA", "tB")) -> DataFrame:
-    """follow and chase of A by one-second lags. df: d, fe_A, delta_heading, along_A, across_A, cos_v, A_av, B_av, both
-    speeds with their quantiles A_p35, A_p45, A_p70, A_p95, B_p35, B_p95, touching, dsr."""
-    w, bl, c, lag = Window.partitionBy(*keys).orderBy("sidx"), 2 * F.col("dsr"), F.col, max(1, round(fps))
-    df = df.withColumns({"_gap": lagged(c("d"), w, lag), "_std": trailing_std(c("d"), w, lag)})
-    calm = c("touching") == 0
+    Vision asks for B's body, then its nose, and takes the better; hearing asks for the body.
+    """
+    c, reach = F.col, 10 * F.col("dsr")
+
+    def seen(x: str, y: str):
+        dx, dy = c(x) - c("A_x"), c(y) - c("A_y")
+        side = F.when(c("ear_A.x") * dy - c("ear_A.y") * dx > 0, "ML").otherwise("MR")
+        return F.sqrt(dx * dx + dy * dy) <= reach, opposition(c("A_heading"), bearing(dx, dy)), side
+
+    (near, angle, side), (near2, angle2, side2) = seen("B_x", "B_y"), seen("B_nx", "B_ny")
+    vision = F.when((near & (angle <= 20)) | (near2 & (angle2 <= 20)), "B").when(near & (angle <= 120), side).when(near2 & (angle2 <= 120), side2).otherwise("N")
+    hearing = F.when(~near, "N").when(angle <= 60, "B").when(angle <= 150, side).otherwise("R")
+    return df.withColumns({"vision": vision, "hearing": hearing})
+
+
+def contacts(df: DataFrame, gate_frames: int, nodes: int, body: int = 3, tail: Sequence[int] = (6, 7)) -> DataFrame:
+    """prox, hh (heads together), ho (nose to nose, face to face), sniff (A's nose at B) and touching, any of the last three."""
+    c, dsr = F.col, F.col("dsr")
+    d = lambda p, q: F.sqrt((c(f"{p}x") - c(f"{q}x")) ** 2 + (c(f"{p}y") - c(f"{q}y")) ** 2)
+    face = {s: opposition(c(f"{s}_heading"), bearing(c(f"{t}_nx") - c(f"{s}_nx"), c(f"{t}_ny") - c(f"{s}_ny"))) for s, t in (("A", "B"), ("B", "A"))}
+    nose_at = lambda s, t, k: F.sqrt((c(f"{s}_nx") - F.get(c(f"{t}_xs"), F.lit(k))) ** 2 + (c(f"{s}_ny") - F.get(c(f"{t}_ys"), F.lit(k))) ** 2)
+    at_head = F.least(*[nose_at(s, t, k) for s, t in (("A", "B"), ("B", "A")) for k in (0, 1, 2)])
+    hh = ((at_head <= 0.9 * dsr) | (d("A_h", "B_h") <= 0.85 * dsr)) & (face["A"] <= 70) & (face["B"] <= 70) & (c("opposition") >= 60)
+    ho = (d("A_n", "B_n") <= 0.55 * dsr) & (face["A"] <= 45) & (face["B"] <= 45) & (c("opposition") >= 120)
+    near = P.nearest_node("A", "B", 0, list(range(nodes)))
+    df = df.withColumn("_near", near)
+    facing = opposition(c("A_heading"), bearing(c("_near.x") - c("A_nx"), c("_near.y") - c("A_ny"))) <= 90
+    sniff = facing & ~c("_near.j").isin(list(tail)) & (c("_near.d") <= F.when(c("_near.j") == body, 0.7).otherwise(0.5) * dsr)
+    df = df.withColumns({"prox": _flag(c("d") <= 3 * dsr, gate_frames), "hh": _flag(hh, gate_frames), "ho": _flag(ho, gate_frames), "sniff": _flag(sniff, gate_frames)}).drop("_near")
+    return df.withColumn("touching", F.greatest("hh", "ho", "sniff"))
+
+
+def _quantiles(df: DataFrame, gate_frames: int, wanted: dict[str, tuple[str, Sequence[float]]]) -> DataFrame:
+    """df with {name}_p{percent}: exact quantiles of columns over each series' frames from the gate on."""
+    late = lambda column: F.when(F.col("sidx") >= gate_frames, F.col(column))
+    per = df.groupBy(*KEYS).agg(*[F.percentile(late(column), F.array(*[F.lit(q) for q in qs])).alias(name) for name, (column, qs) in wanted.items()])
+    return df.join(per.select(*KEYS, *[F.col(name)[i].alias(f"{name}_p{round(100 * q)}") for name, (_, qs) in wanted.items() for i, q in enumerate(qs)]), list(KEYS))
+
+
+def _baseline(df: DataFrame, gate_frames: int, name: str, column: str, where: Column | None = None) -> DataFrame:
+    """df with {name}_med and {name}_mad of a column over the frames from the gate on where `where` holds; over all of
+    those if it never does. Two aggregates: deviations need the median."""
+    rows = df.where(F.col("sidx") >= gate_frames).select(*KEYS, F.col(column).alias("_v"), (where if where is not None else F.lit(True)).alias("_c"))
+    own = F.when(F.col("_c"), F.col("_v"))
+    med = rows.groupBy(*KEYS).agg(F.coalesce(F.percentile(own, 0.5), F.percentile("_v", 0.5)).alias(f"{name}_med"), F.max("_c").alias("_any"))
+    off = F.abs(F.col("_v") - F.col(f"{name}_med"))
+    mad = rows.join(med, list(KEYS)).groupBy(*KEYS).agg(F.percentile(F.when(F.col("_c") | ~F.col("_any"), off), 0.5).alias(f"{name}_mad"), F.first(f"{name}_med").alias(f"{name}_med"))
+    return df.join(mad, list(KEYS), "left").fillna(0.0, [f"{name}_med", f"{name}_mad"])
+
+
+def detectors(df: DataFrame, fps: float, nodes: int, gate_s: float = 5.0, body: int = 3, tail: Sequence[int] = (6, 7)) -> DataFrame:
+    """All behaviours of A towards B by the earlier rules, as 0 or 1 and 0 before the gate, with vision and hearing.
+
+    df: pair frames with A_xs, A_ys, B_xs, B_ys and dsr. Adds prox, hh, ho, sniff, follow, chase, activeAvoid,
+    passiveAvoid, flee, approach, statProx, orient and disengage.
+    """
+    c, w, n, gate_ = F.col, Window.partitionBy(*KEYS).orderBy("sidx"), lags(fps), int(gate_s * fps)
+    bl, dsr = 2 * c("dsr"), c("dsr")
+    df = cones(contacts(motion(df, fps, body=body), gate_, nodes, body, tail))
+    df = stored(df.drop(*[f"{s}_{a}s" for s in "AB" for a in "xy"], "ear_A", "ear_B"), "legacy-motion")
+    df = _quantiles(df, gate_, {"A_lag": ("A_lag_speed", (0.35, 0.45, 0.7, 0.95)), "B_lag": ("B_lag_speed", (0.35, 0.95)), "A": ("A_speed", (0.35, 0.75, 0.95))})
+    free = c("touching") == 0
+    turning = lambda most: (c("A_turn") <= most) & (c("B_turn") <= most)
+    behind = lambda back, side: (c("along") <= -back * bl) & (F.abs("across") <= side * bl)
+    aligned = lambda heading, face, cos: (c("opposition") <= heading) & (c("fe_A") <= face) & (c("cos_v") >= cos)
+    steady = lambda most: F.coalesce(c("spread") <= most * bl, F.lit(False))
     follow = (
-        c("A_speed").between(c("A_p35"), c("A_p95")) & c("B_speed").between(c("B_p35"), c("B_p95")) & (F.abs("A_av") <= 120) & (F.abs("B_av") <= 120)
-        & (c("along_A") <= -0.2 * bl) & (F.abs("across_A") <= bl) & (c("delta_heading") <= 55) & (c("fe_A") <= 50) & (c("cos_v") >= 0.65)
-        & c("d").between(0.8 * bl, 3.5 * bl) & ((c("_gap") < -0.15 * bl) | (c("_std") <= 0.25 * bl)) & calm
+        c("A_lag_speed").between(c("A_lag_p35"), c("A_lag_p95")) & c("B_lag_speed").between(c("B_lag_p35"), c("B_lag_p95")) & turning(120) & behind(0.2, 1.0) & aligned(55, 50, 0.65)
+        & c("d").between(0.8 * bl, 3.5 * bl) & ((c("gap_second") < -0.15 * bl) | steady(0.25)) & free
     )
-    df = df.withColumn("follow", F.coalesce(follow, F.lit(False)).cast("int"))
-    onset = (c("_gap") < -0.2 * bl) & c("d").between(0.7 * bl, 3 * bl) & (c("A_speed") >= c("A_p70"))
-    keep = (c("_std") <= 0.3 * bl) & (c("A_speed") >= 0.95 * c("B_speed")) & (c("follow") == 1)
-    chase = (
-        (c("A_speed") >= c("A_p45")) & (c("B_speed") >= c("B_p35")) & (F.abs("A_av") <= 140) & (F.abs("B_av") <= 140) & (c("along_A") <= -0.15 * bl) & (F.abs("across_A") <= 1.2 * bl)
-        & (c("fe_A") <= 45) & (c("delta_heading") <= 50) & (c("cos_v") >= 0.7) & (F.coalesce(onset, F.lit(False)) | F.coalesce(keep, F.lit(False))) & calm
+    df = df.withColumn("follow", _flag(follow, gate_))
+    pursuit = ((c("gap_second") < -0.2 * bl) & (c("A_lag_speed") >= c("A_lag_p70"))) | (steady(0.3) & (c("A_lag_speed") >= 0.95 * c("B_lag_speed")) & (c("follow") == 1))
+    chase = (c("A_lag_speed") >= c("A_lag_p45")) & (c("B_lag_speed") >= c("B_lag_p35")) & turning(140) & behind(0.15, 1.2) & aligned(50, 45, 0.7) & c("d").between(0.7 * bl, 3 * bl) & pursuit & free
+    df = df.withColumn("chase", _flag(chase, gate_))
+    social, pressed = (c("touching") == 1) | (c("prox") == 1), (c("touching") == 1) | (c("chase") == 1) | (c("follow") == 1) | (c("prox") == 1)
+    df = df.withColumns({"recent": W.recently(social, w, n["recent"]), "pressed": W.recently(pressed, w, n["recent"])})
+    middle = df.groupBy(*KEYS).agg(F.avg("A_x").alias("_mx"), F.avg("A_y").alias("_my"))
+    df = df.join(middle, list(KEYS)).withColumn("_radius", F.sqrt((c("A_x") - c("_mx")) ** 2 + (c("A_y") - c("_my")) ** 2)).drop("_mx", "_my")
+    df = _quantiles(df, 0, {"_r": ("_radius", (0.75,))})
+    df = stored(_baseline(_baseline(_baseline(_baseline(df, gate_, "calm", "A_speed", ~social), gate_, "loose", "A_speed", ~pressed), gate_, "A", "A_speed"), gate_, "B", "B_speed"), "legacy-baselines")
+    away = -c("towards")
+    shy = c("recent") & free & (c("fe_A") > 120)
+    active = shy & (c("A_speed") > c("calm_med") + 1.5 * c("calm_mad")) & (away > 0.15 * bl) & (c("gap_half") > 0.2 * bl)
+    df = df.withColumn("activeAvoid", _flag(active, gate_))
+    passive = (
+        shy & (c("activeAvoid") == 0) & (c("follow") == 0) & (c("A_speed") <= c("calm_med") + 0.25 * c("calm_mad")) & (c("A_still") <= 0.2 * bl) & (c("gap_half") >= -0.05 * bl)
+        & ((c("d") <= 3 * bl) | (c("_radius") >= c("_r_p75")))
     )
-    return df.withColumn("chase", F.coalesce(chase, F.lit(False)).cast("int")).drop("_gap", "_std")
-
-
-def flee_approach(df: DataFrame, fps: float, keys=("session", "tA", "tB")) -> DataFrame:
-    """flee and approach of A. df as for follow_chase, with away_A, towards_A, prox, med, mad, A_p75."""
-    w, bl, c = Window.partitionBy(*keys).orderBy("sidx"), 2 * F.col("dsr"), F.col
-    pressed = (c("touching") == 1) | (c("chase") == 1) | (c("follow") == 1) | (c("prox") == 1)
-    df = df.withColumns({"_p": W.recently(pressed, w, max(1, round(0.75 * fps))), "_g4": lagged(c("d"), w, max(1, round(0.4 * fps))), "_g5": lagged(c("d"), w, max(1, round(0.5 * fps))), "_soon": W.soon((c("touching") == 1) | (c("prox") == 1), w, max(1, round(0.5 * fps)))})
-    flee = c("_p") & (c("d") <= 3.5 * bl) & (c("fe_A") > 130) & (c("A_speed") >= F.greatest(c("med") + 2 * c("mad"), c("A_p75"))) & (c("away_A") > 0.2 * bl) & (c("_g4") > 0.3 * bl)
-    df = df.withColumn("flee", F.coalesce(flee, F.lit(False)).cast("int"))
+    flee = c("pressed") & (c("d") <= 3.5 * bl) & (c("fe_A") > 130) & (c("A_speed") >= F.greatest(c("loose_med") + 2 * c("loose_mad"), c("A_p75"))) & (away > 0.2 * bl) & (c("gap_flight") > 0.3 * bl)
+    df = df.withColumns({"passiveAvoid": _flag(passive, gate_), "flee": _flag(flee, gate_)})
+    shuns, busy = (c("activeAvoid") == 1) | (c("passiveAvoid") == 1), (c("follow") == 1) | (c("chase") == 1)
     approach = (
-        c("A_speed").between(c("A_p35"), c("A_p95")) & (c("fe_A") <= 55) & c("d").between(bl, 5 * bl) & (c("towards_A") > 0.12 * bl) & (c("_g5") < -0.18 * bl)
-        & (c("touching") == 0) & (c("follow") + c("chase") + c("flee") == 0) & (c("_soon") | (c("d") <= 3.5 * bl))
+        c("A_speed").between(c("A_p35"), c("A_p95")) & (c("fe_A") <= 55) & c("d").between(bl, 5 * bl) & (c("towards") > 0.12 * bl) & (c("gap_half") < -0.18 * bl) & free & ~busy & ~shuns & (c("flee") == 0)
+        & (W.soon(social, w, n["half"]) | (c("d") <= 3.5 * bl))
     )
-    return df.withColumn("approach", F.coalesce(approach, F.lit(False)).cast("int")).drop("_p", "_g4", "_g5", "_soon")
+    still = lambda s: (c(f"{s}_speed") <= c(f"{s}_med") + 0.15 * c(f"{s}_mad")) & (c(f"{s}_disp") <= 0.2 * bl)
+    together = ((c("prox") == 1) | (c("d") <= 2.5 * dsr)) & still("A") & still("B") & free & ~busy & ~shuns & (c("flee") == 0)
+    df = df.withColumns({"approach": _flag(approach, gate_), "statProx": _flag(together, gate_)})
+    joining = busy | (c("approach") == 1)
+    orient = ((c("d") <= 5 * bl) | (c("prox") == 1)) & ~shuns & (c("flee") == 0) & ((c("fe_A") <= 45) | ((c("fe_A") <= 65) & (joining | (c("touching") == 1))))
+    df = df.withColumn("orient", _flag(orient, gate_))
+    engaged = joining | (c("orient") == 1) | (c("touching") == 1) | (c("prox") == 1)
+    lately = W.recently(engaged, w, n["recent"])
+    strong = shuns & (c("A_speed") > c("A_med") + 1.2 * c("A_mad")) & (away > 0.15 * bl)
+    disengage = (
+        lately & free & ~joining & (c("flee") == 0) & ~strong & ((c("fe_A") >= 95) | ((c("orient") == 0) & (c("fe_A") > 55)))
+        & ((c("gap_half") > 0.05 * bl) | (c("A_speed") <= c("A_med") + 0.35 * c("A_mad")) | (away > 0.03 * bl))
+    )
+    return df.withColumn("disengage", _flag(disengage, gate_))
 
 
 def filtered(df: DataFrame, flags: Sequence[str], keys: Sequence[str], fps: float) -> DataFrame:
@@ -165,19 +278,57 @@ def instigators(bouts: DataFrame, frames: DataFrame, fps: float, before_s: float
     return rows.withColumn("instigator", who).select(*bouts.columns, "instigator")
 
 
-def identity_switches(pose: DataFrame) -> DataFrame:
-    """Unchanged rows. The switch costs of the earlier variant are equal for keeping and swapping, so it never swaps."""
-    return pose
+def instigators_by_path(bouts: DataFrame, frames: DataFrame, fps: float, before_s: float = 1.0) -> DataFrame:
+    """bouts with instigator A, B or Shared, by the frames of a second before the onset.
+
+    The one whose nose came closer to the other's body by over 0.1 px more, and moved at over half the other's speed.
+    Shared with fewer than two frames. frames: A_nx, A_ny, B_nx, B_ny (noses), A_x, A_y, B_x, B_y (bodies).
+    """
+    c, back = F.col, max(1, round(before_s * fps))
+    w = Window.partitionBy(*KEYS).orderBy("sidx")
+    reach = lambda s, t: F.sqrt((c(f"{s}_nx") - c(f"{t}_x")) ** 2 + (c(f"{s}_ny") - c(f"{t}_y")) ** 2)
+    moved = frames.select(*KEYS, "sidx", *[reach(s, t).alias(f"_d{s}") for s, t in (("A", "B"), ("B", "A"))], *[W.step(c(f"{s}_nx"), c(f"{s}_ny"), w).alias(f"_v{s}") for s in "AB"])
+    spans = bouts.select(*KEYS, "bout", F.greatest(F.lit(0), c("start") - back).alias("_s"), (c("start") - 1).alias("_e")).where("_e >= _s")
+    later = lambda name: F.avg(F.when(c("sidx") > c("_s"), c(name)))
+    per = interval_join(spans, moved, KEYS, "_s", "_e").groupBy(*KEYS, "bout").agg(
+        F.count("*").alias("_n"), *[(F.max_by(f"_d{s}", "sidx") - F.min_by(f"_d{s}", "sidx")).alias(f"_g{s}") for s in "AB"], *[later(f"_v{s}").alias(f"_m{s}") for s in "AB"]
+    )
+    came = lambda s, t: (c(f"_g{s}") < c(f"_g{t}") - 0.1) & (c(f"_m{s}") > 0.5 * c(f"_m{t}")) & (c("_n") >= 2)
+    return bouts.join(per, [*KEYS, "bout"], "left").withColumn("instigator", F.when(came("A", "B"), "A").when(came("B", "A"), "B").otherwise("Shared")).select(*bouts.columns, "instigator")
+
 
+def identities(df: DataFrame, columns: Sequence[str], penalty: float) -> DataFrame:
+    """df with A_ and B_ columns swapped back where two animals' tracks change places, and `swapped`.
 
-def switch_candidates(df: DataFrame, most: float) -> DataFrame:
-    """Frames where swapping two animals' tracks would make both move less, by more than `most`: a check that does decide."""
-    w, c = Window.partitionBy("session", "tA", "tB").orderBy("sidx"), F.col
+    A frame changes places if swapping makes both move less by more than `penalty`; an odd number of changes so far
+    means swapped. (The least total cost over all ways to swap is found frame by frame, as a change costs the same in
+    either state.) df: A_x, A_y, B_x, B_y. A change into or out of missing places isn't seen. The earlier rules compared
+    a cost with itself and so never swapped: penalty infinity.
+    """
+    w, c = Window.partitionBy(*KEYS).orderBy("sidx"), F.col
     p = lambda n: F.lag(n).over(w)
     d = lambda a, b: F.sqrt((c(f"{a}_x") - p(f"{b}_x")) ** 2 + (c(f"{a}_y") - p(f"{b}_y")) ** 2)
-    keep, swap = d("A", "A") + d("B", "B"), d("A", "B") + d("B", "A")
-    return df.withColumn("switch", F.coalesce(keep - swap > most, F.lit(False)).cast("int"))
+    change = F.coalesce(d("A", "A") + d("B", "B") - d("A", "B") - d("B", "A") > penalty, F.lit(False)).cast("int")
+    df = df.withColumn("_change", change).withColumn("swapped", (F.sum("_change").over(w.rowsBetween(Window.unboundedPreceding, 0)) % 2).cast("int")).drop("_change")
+    pick = lambda own, other: F.when(c("swapped") == 1, c(other)).otherwise(c(own))
+    return df.withColumns({f"A_{n}": pick(f"A_{n}", f"B_{n}") for n in columns} | {f"B_{n}": pick(f"B_{n}", f"A_{n}") for n in columns})
+
+
+def summary(df: DataFrame, flag: str, fps: float, keys: Sequence[str] = KEYS) -> DataFrame:
+    """keys, total_s, n_bouts, durations (array, in order of time) of a flag's runs; a run ends at the frame after its
+    last, but the series' last frame ends it too."""
+    last = df.groupBy(*keys).agg(F.max("sidx").alias("_last"))
+    found = R.bouts(df, flag, keys, "sidx").join(last, list(keys)).select(*keys, "start", ((F.least(F.col("end") + 1, F.col("_last")) - F.col("start")) / fps).alias("s"))
+    return found.groupBy(*keys).agg(F.round(F.sum("s"), 4).alias("total_s"), F.count("*").alias("n_bouts"), F.transform(F.array_sort(F.collect_list(F.struct("start", "s"))), lambda r: F.round(r["s"], 4)).alias("durations"))
+
+
+def padded(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, row, {behaviour}: each behaviour's intervals one under the other, shorter lists with nulls. df: what intervals returns."""
+    text = F.format_string("%.2f-%.2f", F.col("start_s"), F.col("end_s"))
+    row = F.row_number().over(Window.partitionBy(*keys, "behaviour").orderBy("start_s"))
+    return df.select(*keys, "behaviour", row.alias("row"), text.alias("span")).groupBy(*keys, "row").pivot("behaviour").agg(F.first("span"))
 
 
-def polar_angle(ax: Column, ay: Column, bx: Column, by: Column, heading: Column) -> Column:
-    return opposition(heading, F.degrees(F.atan2(by - ay, bx - ax)))
+def cm_per_px(dsr: Column, body_cm: float = 3.0) -> Column:
+    """Scale by the width of a body."""
+    return body_cm / dsr

@@ -18,4 +18,4 @@ def query(sql: str | None = None, name: str | None = None):
     return register
 
 
-from . import metrics, pairs, pose, runs, streams  # noqa: E402, F401
+from . import legacy, metrics, pairs, pose, runs, streams  # noqa: E402, F401
