@@ -20,6 +20,14 @@ PX_PER_CM = 2.0
 
 POSE_SQL = """pose as (select 's' || (vec_id // 250) session, (vec_id % 250)::int sidx, (i // 8)::int track, (i % 8)::int node,
   100 * embedding[2 * i + 1]::double x, 100 * embedding[2 * i + 2]::double y from embeddings, range(32) r(i))"""
+#: Four animals on one winding path, each some frames behind the one before, now closing up and now falling back, with
+#: rests and looks over the shoulder; the vectors make the tremor. All behaviours occur.
+_FRONT, _LEFT = (7.0, 4.0, 4.0, 0.0, -3.0, -3.0, -6.0, -11.0), (0.0, 2.5, -2.5, 0.0, 4.0, -4.0, 0.0, 0.0)
+STAGED_SQL = f"""place as (select 's' || (vec_id // 250) session, (vec_id % 250)::int sidx, k::int track, embedding, vec_id % 250 + 14 * sin(vec_id % 250 / 14.0) t from embeddings, range(4) r(k)),
+path as (select *, t - track * (2.4 + 1.2 * sin(t / 9.0 + track)) - 2.2 * sin(t / 2.7 + 2 * track) u from place),
+stance as (select *, 200 * cos(u / 25) px, 150 * sin(u / 18) py, atan2(150 / 18.0 * cos(u / 18), -8 * sin(u / 25)) + case when sin(t / 13.0 + 2 * track) > 0.85 then pi() else 0 end phi from path),
+pose as (select session, sidx, track, i::int node, px + ahead * cos(phi) - aside * sin(phi) + 0.3 * embedding[2 * (8 * track + i) + 1]::double x, py + ahead * sin(phi) + aside * cos(phi) + 0.3 * embedding[2 * (8 * track + i) + 2]::double y
+  from stance, (select unnest(range(8)) i, unnest({list(_FRONT)})::double ahead, unnest({list(_LEFT)})::double aside))"""
 #: One row an animal and frame: body and nose, heading of the body axis.
 WIDE_SQL = (
     POSE_SQL
@@ -51,6 +59,23 @@ def pose(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of pose, by STAGED_SQL."""
+    c, late = F.col, F.col("vec_id") % 250
+    track = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("track")
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", track)
+    df = df.withColumn("t", late + 14 * F.sin(late / 14.0))
+    df = df.withColumn("u", c("t") - c("track") * (2.4 + 1.2 * F.sin(c("t") / 9.0 + c("track"))) - 2.2 * F.sin(c("t") / 2.7 + 2 * c("track")))
+    phi = F.atan2(150 / 18.0 * F.cos(c("u") / 18), -8 * F.sin(c("u") / 25)) + F.when(F.sin(c("t") / 13.0 + 2 * c("track")) > 0.85, F.pi()).otherwise(0.0)
+    df = df.withColumns({"phi": phi, "px": 200 * F.cos(c("u") / 25), "py": 150 * F.sin(c("u") / 18)}).withColumn("node", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    ahead, aside = (F.get(F.array(*[F.lit(x) for x in xs]), c("node")) for xs in (_FRONT, _LEFT))
+    tremor = lambda k: 0.3 * F.get(c("embedding"), (2 * (8 * c("track") + c("node")) + k).cast("int")).cast("double")
+    return df.select(
+        F.concat(F.lit("s"), F.floor(c("vec_id") / 250).cast("string")).alias("session"), late.cast("int").alias("sidx"), "track", "node",
+        (c("px") + ahead * F.cos("phi") - aside * F.sin("phi") + tremor(0)).alias("x"), (c("py") + ahead * F.sin("phi") + aside * F.cos("phi") + tremor(1)).alias("y"),
+    )
+
+
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.nodes_wide(pose(spark, sf_dir), {n: i for i, n in enumerate(NODES)})
 

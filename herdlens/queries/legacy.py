@@ -8,11 +8,11 @@ from ..operators import legacy as L
 from ..operators import runs as R
 from ..storage import stored
 from . import query
-from .fixtures import FPS, NODES
+from .fixtures import FPS, NODES, STAGED_SQL, staged
 from .pairs import _FIRST, _KEYS_SQL, KEYS, OPP, scaled
 from .runs import bouts_sql
 
-#: The fixture's animals are close: half of their body scale.
+#: Half of the body scale, so that lengths of two scales are those of the second-order rules.
 FACTOR = 0.5
 GATE = int(5 * FPS)
 FLAGS = ["prox", "hh", "ho", "sniff", "follow", "chase", "activeAvoid", "passiveAvoid", "flee", "approach", "statProx", "orient", "disengage"]
@@ -65,7 +65,7 @@ def _detectors_sql() -> str:
     busy, shuns = "(follow = 1 or chase = 1)", "(activeAvoid = 1 or passiveAvoid = 1)"
     still = " and ".join(f"{s}_now <= {s}all_med + 0.15 * {s}all_mad and {s}_disp <= 0.2 * {bl}" for s in "ab")
     ctes = [
-        _FIRST.split(",\ncross_ as")[0].format(factor=FACTOR),
+        STAGED_SQL + _FIRST.split(",\ncross_ as")[0].format(factor=FACTOR),
         f"p0 as (select {pair}, {_distance('a.x3', 'a.y3', 'b.x3', 'b.y3')} d, {_distance('a.x0', 'a.y0', 'b.x3', 'b.y3')} gap, {OPP.format('a.hd', 'b.hd')} opp, {OPP.format('a.hd', _turn('b.x3 - a.x3', 'b.y3 - a.y3'))} fe, {OPP.format('a.hd', _turn('b.x0 - a.x0', 'b.y0 - a.y0'))} na, {OPP.format('b.hd', _turn('a.x0 - b.x0', 'a.y0 - b.y0'))} nb, "
         f"{_distance('a.x0', 'a.y0', 'b.x0', 'b.y0')} nn, {head} hc, least({at_head}) at_head, list_sort([{nearest}])[1] near from h a join h b on a.session = b.session and a.sidx = b.sidx and a.track < b.track join scale s on s.session = a.session)",
         f"p1 as (select *, case when ({d1} <= 10 * dsr and {a1} <= 20) or ({d2} <= 10 * dsr and {a2} <= 20) then 'B' when {d1} <= 10 * dsr and {a1} <= 120 then {s1} when {d2} <= 10 * dsr and {a2} <= 120 then {s2} else 'N' end vision, "
@@ -97,7 +97,7 @@ LEGACY_SQL = _detectors_sql()
 
 
 def detected(spark, sf_dir):
-    return L.detectors(scaled(spark, sf_dir, FACTOR), FPS, len(NODES))
+    return L.detectors(scaled(spark, sf_dir, FACTOR, staged), FPS, len(NODES))
 
 
 @query("with " + LEGACY_SQL + f' select session, sidx, "tA", "tB", vision, hearing, {", ".join(FLAGS)} from legacy')

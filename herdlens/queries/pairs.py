@@ -11,7 +11,7 @@ from ..operators import behaviours as B
 from ..operators import pairs as P
 from ..operators import pose as O
 from . import query
-from .fixtures import FPS, NODES, PAIR_SQL, POSE_SQL, node_pairs, pairs, pose, rounded
+from .fixtures import FPS, NODES, PAIR_SQL, POSE_SQL, STAGED_SQL, node_pairs, pairs, pose, rounded, staged
 from .pose import savgol_sql
 from .runs import fill_sql
 
@@ -77,9 +77,9 @@ def node_distances(spark, sf_dir):
     return rounded(out, KEYS)
 
 
-def scaled(spark, sf_dir, factor: float = 0.25) -> DataFrame:
-    """Pair frames with node arrays, headings, motion and the body scale (a share of it: the fixture's animals are close)."""
-    p = pose(spark, sf_dir)
+def scaled(spark, sf_dir, factor: float = 0.25, source=pose) -> DataFrame:
+    """Pair frames with node arrays, headings, motion and a share of the body scale."""
+    p = source(spark, sf_dir)
     c = F.col
     wide = O.nodes_wide(p, {n: i for i, n in enumerate(NODES)})
     heading = A.bearing(c("nose_x") - c("body_x"), c("nose_y") - c("body_y"))
@@ -102,8 +102,9 @@ def _fills(source: str, flags: dict[str, int]) -> tuple[str, str]:
     return ",\n".join(steps), at
 
 
+#: After a pose: to be formatted with the body scale's factor.
 _FIRST = (
-    POSE_SQL + """,
+    """,
 w as (select session, sidx, track, """ + ", ".join(f"max(case when node = {i} then {c} end) {c}{i}" for i in range(8) for c in "xy") + """ from pose group by 1, 2, 3),
 h as (select *, degrees(atan2(y0 - y3, x0 - x3)) hd, (x1 + x2) / 2 hx, (y1 + y2) / 2 hy from w),
 hip as (select session, track, sqrt((x4 - x5) * (x4 - x5) + (y4 - y5) * (y4 - y5)) d from w), band as (select session, track, quantile_cont(d, 0.2) lo, quantile_cont(d, 0.8) hi from hip group by 1, 2),
@@ -122,7 +123,7 @@ g as (select session, sidx, "tA", "tB", dsr, ax a_x, ay a_y, bx b_x, by_ b_y, ha
 _FIRST_FLAGS = ["NoseNose", "HH", "HO", "Contact", "CoOriented", "AntiOriented", "Engaged", *[f"{n}_{d}" for n in ("NoseHead", "NoseBody", "NoseRear", "Sniff") for d in ("AtoB", "BtoA")]]
 
 
-@query("with " + _FIRST.format(factor=0.25) + f" select session, sidx, \"tA\", \"tB\", {', '.join(_FIRST_FLAGS)} from g_4")
+@query("with " + POSE_SQL + _FIRST.format(factor=0.25) + f" select session, sidx, \"tA\", \"tB\", {', '.join(_FIRST_FLAGS)} from g_4")
 def first_order_behaviours(spark, sf_dir):
     return B.first_order(scaled(spark, sf_dir), FPS, len(NODES)).select(*KEYS, *_FIRST_FLAGS)
 
@@ -131,7 +132,7 @@ SECOND = [*[f"{n}_{d}" for n in ("Follow", "Chase", "Flee", "Approach", "ActiveA
 
 
 def all_behaviours(spark, sf_dir) -> DataFrame:
-    first = B.first_order(scaled(spark, sf_dir, 1.0), FPS, len(NODES))
+    first = B.first_order(scaled(spark, sf_dir, 1.0, staged), FPS, len(NODES))
     return B.second_order(first, FPS)
 
 
@@ -164,7 +165,7 @@ def _second_sql() -> tuple[str, str]:
     kin = ", ".join(f"{savgol_sql(c, 5, 3, d, FPS)} {n}{c}" for d, n in ((1, "v"), (2, "a"), (3, "j")) for c in "xy")
     of = lambda side: ", ".join(f"{side}k.{c} {side}_{c}" for c in ("vx", "vy", "speed", "accel", "jerk")) + f", {side}k.av {side}_av"
     ctes = [
-        _FIRST.format(factor=1.0),
+        STAGED_SQL + _FIRST.format(factor=1.0),
         "q as (select *, row_number() over (partition by session, track order by sidx) - 1 pos, count(*) over (partition by session, track) n from pose where node = 3)",
         f"k0 as (select session, sidx, track, {kin} from q window w as (partition by session, track order by sidx))",
         f"""kin as (select session, sidx, track, vx, vy, sqrt(vx * vx + vy * vy) speed, sqrt(ax * ax + ay * ay) accel, sqrt(jx * jx + jy * jy) jerk,
