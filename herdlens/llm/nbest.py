@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 N_BEST = 4
 #: Parts that a worker keeps; at the limit it forgets those not used since the last time.
-CACHE_PARTS = 250_000
+CACHE_PARTS = 500_000
 #: An output batch ends at either.
 OUT_ROWS, OUT_BYTES = 256, 1 << 23
 #: The loss of what can't be segmented in a second way.
@@ -167,6 +167,7 @@ class Segmenter:
     def __init__(self, lattice: Lattice, n: int = N_BEST, cache: int = CACHE_PARTS):
         self.lattice, self.n, self.limit = lattice, n, cache
         self.units, self.old, self.parts, self.seconds = {}, {}, {}, {}
+        self.decoder, self.lossy = Decoder(lattice), set()
 
     def _part(self, part: str):
         """(score, ids, loss of the second best)"""
@@ -196,17 +197,24 @@ class Segmenter:
             known, old = self.units, self.old
             for i in [i for i, f in enumerate(found) if f is None]:
                 u = units[i]
-                f = known.get(u) or old.get(u) or self._unit(u if u[:1] == SPACE else SPACE + u)
+                f = known.get(u) or old.get(u)
+                if f is None:
+                    whole = u if u[:1] == SPACE else SPACE + u
+                    f = self._unit(whole)
+                    if self.decoder.bytes(f[1]) != whole.replace(SPACE, " ").encode("utf-8", "surrogatepass"):
+                        self.lossy.add(u)
                 found[i] = known[u] = f
         return found
 
-    def __call__(self, text: str) -> tuple[bytes, list[tuple[int, list[tuple[int, int, bytes]]]]]:
-        """The ids of the best segmentation, and for each of the n best, best first: score, replacements in the best.
+    def __call__(self, text: str) -> tuple[bytes, list[tuple[int, list[tuple[int, int, bytes]]]], bool]:
+        """The ids of the best segmentation; for each of the n best, best first: score, replacements in the best; whether
+        the best decodes to the text.
 
         A replacement: the first piece that goes, how many go, the ids that come. In order of place; the best has none.
+        A text's bytes are those of its units one after the other, so it decodes if they do, each tried once.
         """
         if not text:
-            return b"", [(0, [])]
+            return b"", [(0, [])], True
         if SPACE in text or "  " in text or text[-1] == " " or text[0] == " ":
             # a run of spaces stays together with the word after it
             units = re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))
@@ -225,7 +233,8 @@ class Segmenter:
                 other = self._alternatives(units[i] if units[i][:1] == SPACE else SPACE + units[i])
                 combined = nsmallest(self.n, ((c + loss, (*made, (i, raw)) if raw != ids[i] else made) for c, made in combined for loss, raw in other))
         place = {i: sum(map(len, ids[:i])) // 4 for i in chosen} if len(combined) > 1 else {}
-        return b"".join(ids), [(score - loss, [(place[i], len(ids[i]) // 4, raw) for i, raw in sorted(made)]) for loss, made in combined]
+        best = [(score - loss, [(place[i], len(ids[i]) // 4, raw) for i, raw in sorted(made)]) for loss, made in combined]
+        return b"".join(ids), best, SPACE not in text and self.lossy.isdisjoint(units)
 
     def _alternatives(self, unit: str) -> list[tuple[int, bytes]]:
         """(loss, ids) of the unit's n best."""
@@ -247,8 +256,11 @@ class Decoder:
     def __init__(self, lattice: Lattice):
         self.raw: dict[int, bytes] = {i: p.replace(SPACE, " ").encode() for p, (i, _) in lattice.pieces.items()} | {i: bytes([b]) for b, i in enumerate(lattice.byte_ids)}
 
+    def bytes(self, ids: bytes) -> bytes:
+        return b"".join(map(self.raw.__getitem__, memoryview(ids).cast("I")))
+
     def __call__(self, ids: bytes) -> str:
-        text = b"".join(map(self.raw.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "surrogatepass")
+        text = self.bytes(ids).decode("utf-8", "surrogatepass")
         return text[1:] if text[:1] == " " else text
 
 
@@ -275,12 +287,12 @@ ENCODED = "n_pieces long, ids_crc32 long, scores array<double>, round_trip boole
 def _encode(path: str, n: int):
     def run(batches):
         lattice = Lattice.load(path)
-        segmenter, decoder = Segmenter(lattice, n), Decoder(lattice)
+        segmenter = Segmenter(lattice, n)
         for batch in batches:
             begin, size, rows = 0, 0, []
             for at, text in enumerate(chain.from_iterable(batch.column("text").slice(k, 256).to_pylist() for k in range(0, batch.num_rows, 256))):
-                ids, best = segmenter(text or "")
-                rows.append((len(ids) // 4, zlib.crc32(ids), [score / 1e6 for score, _ in best], decoder(ids) == (text or ""), ids, [made for _, made in best[1:]]))
+                ids, best, same = segmenter(text or "")
+                rows.append((len(ids) // 4, zlib.crc32(ids), [score / 1e6 for score, _ in best], same, ids, [made for _, made in best[1:]]))
                 size += len(ids)
                 if len(rows) == OUT_ROWS or size > OUT_BYTES or at + 1 == batch.num_rows:
                     cols = list(zip(*rows))
