@@ -19,6 +19,8 @@ from . import windows as W
 
 SERIES_KEYS = ("session", "tA", "tB")
 DIRECTIONS = (("A", "B"), ("B", "A"))
+#: What second_order adds.
+SECOND_FLAGS = (*[f"{n}_{d}" for n in ("Follow", "Chase", "Flee", "Approach", "ActiveAvoid", "PassiveAvoid", "SocialOrient", "VisualAttn", "AuditoryAttn") for d in ("AtoB", "BtoA")], "StationaryProx", "Disengaged")
 
 
 def flag(condition: Column) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import runs as R
+
 KEYS = ("session", "tA", "tB")
 #: Frames in a bucket of the interval join.
 BUCKET = 256
@@ -22,15 +24,10 @@ def interval_join(spans: DataFrame, frames: DataFrame, keys: Sequence[str], star
     return spread.join(frames.withColumn("_bucket", F.floor(F.col(at) / bucket)), [*keys, "_bucket"]).where(F.col(at).between(F.col(start), F.col(end))).drop("_bucket")
 
 
-def with_initiators(bouts: DataFrame, frames: DataFrame, fps: float, before_s: float = 0.3, after_s: float = 0.5, angle_a: str = "fe_A", angle_b: str = "fe_B") -> DataFrame:
-    """bouts with initiator and disengager ('A' or 'B'): who faced the other more closely in the frames up to the onset,
-    and who faced away more in the frames after the end. No frames count as 90 degrees each; A at a tie."""
-    pre, post = max(1, round(before_s * fps)), max(1, round(after_s * fps))
+def _attributed(bouts: DataFrame, spans: DataFrame, frames: DataFrame, angle_a: str, angle_b: str) -> DataFrame:
+    """bouts with initiator and disengager by the mean angles in the frames of their spans (keys, bout, _s, _e, _side: 0
+    before, 1 after). No frames count as 90 degrees each; A at a tie."""
     f = frames.select(*KEYS, "sidx", F.col(angle_a).alias("_a"), F.col(angle_b).alias("_b"))
-    base = bouts.select(*KEYS, "bout", "start", "end")
-    spans = base.select(*KEYS, "bout", F.greatest(F.lit(0), F.col("start") - pre).alias("_s"), F.col("start").alias("_e"), F.lit(0).alias("_side")).union(
-        base.select(*KEYS, "bout", F.col("end") + 1, F.col("end") + post, F.lit(1))
-    )
     side = lambda c, k: F.avg(F.when(F.col("_side") == k, F.col(c)))
     means = interval_join(spans, f, KEYS, "_s", "_e").groupBy(*KEYS, "bout").agg(side("_a", 0).alias("a0"), side("_b", 0).alias("b0"), side("_a", 1).alias("a1"), side("_b", 1).alias("b1"))
     # rounded, so that ties don't hang on the order in which a mean was summed
@@ -39,6 +36,54 @@ def with_initiators(bouts: DataFrame, frames: DataFrame, fps: float, before_s: f
     return joined.withColumns({"initiator": F.when(value("a0") <= value("b0"), "A").otherwise("B"), "disengager": F.when(value("a1") >= value("b1"), "A").otherwise("B")}).drop("a0", "b0", "a1", "b1")
 
 
+def with_initiators(bouts: DataFrame, frames: DataFrame, fps: float, before_s: float = 0.3, after_s: float = 0.5, angle_a: str = "fe_A", angle_b: str = "fe_B") -> DataFrame:
+    """bouts with initiator and disengager ('A' or 'B'): who faced the other more closely in the frames up to the onset,
+    and who faced away more in the frames after the end."""
+    pre, post = max(1, round(before_s * fps)), max(1, round(after_s * fps))
+    base = bouts.select(*KEYS, "bout", "start", "end")
+    spans = base.select(*KEYS, "bout", F.greatest(F.lit(0), F.col("start") - pre).alias("_s"), F.col("start").alias("_e"), F.lit(0).alias("_side")).union(
+        base.select(*KEYS, "bout", F.col("end") + 1, F.col("end") + post, F.lit(1))
+    )
+    return _attributed(bouts, spans, frames, angle_a, angle_b)
+
+
+def flagged_bins(frames: DataFrame, flag: str, seconds: Column, fps: float, bin_s: float) -> DataFrame:
+    """keys, place (from 0, over bins that have frames), bin, first and last sidx, {flag}: set in more than half of the
+    frames that a bin has, or should have."""
+    expected = max(1, round(fps * bin_s))
+    per = frames.groupBy(*KEYS, F.floor(seconds / bin_s).cast("int").alias("bin")).agg(F.sum(flag).alias("_n"), F.count("*").alias("_all"), F.min("sidx").alias("first"), F.max("sidx").alias("last"))
+    place = F.row_number().over(Window.partitionBy(*KEYS).orderBy("bin")) - 1
+    return per.select(*KEYS, place.alias("place"), "bin", "first", "last", (F.col("_n") / F.greatest(F.lit(expected), F.col("_all")) > 0.5).cast("int").alias(flag))
+
+
+def binned_bouts(frames: DataFrame, flag: str, seconds: Column, fps: float, bin_s: float = 0.25, before: int = 2, after: int = 3, angle_a: str = "fe_A", angle_b: str = "fe_B") -> DataFrame:
+    """Bouts of bins with initiator and disengager: bout, start, end (places of bins), start_s, and last_s of the pair.
+
+    Angles are averaged over all frames from the first to the last of the bins: those up to `before` ahead of the onset
+    with its own, and up to `after` behind the end; a bout at the very end takes its own last two.
+    """
+    bins = flagged_bins(frames, flag, seconds, fps, bin_s)
+    found = R.bouts(bins, flag, KEYS, "place")
+    ends = bins.groupBy(*KEYS).agg(F.max("place").alias("_last"), F.max("bin").alias("_bin"))
+    found = found.join(ends, list(KEYS))
+    at_end = F.col("end") == F.col("_last")
+    near = found.select(*KEYS, "bout", F.greatest(F.lit(0), F.col("start") - before).alias("_s"), F.col("start").alias("_e"), F.lit(0).alias("_side")).union(
+        found.select(*KEYS, "bout", F.when(at_end, F.greatest(F.lit(0), F.col("end") - 1)).otherwise(F.col("end") + 1), F.when(at_end, F.col("end")).otherwise(F.least(F.col("_last"), F.col("end") + after)), F.lit(1))
+    )
+    spans = interval_join(near, bins.select(*KEYS, "place", "first", "last"), KEYS, "_s", "_e", "place").groupBy(*KEYS, "bout", "_side").agg(F.min("first").alias("_s"), F.max("last").alias("_e"))
+    start = bins.select(*KEYS, F.col("place").alias("start"), (F.col("bin") * bin_s).alias("start_s"))
+    named = _attributed(found, spans, frames, angle_a, angle_b).join(start, [*KEYS, "start"])
+    return named.withColumn("last_s", F.col("_bin") * bin_s).drop("_last", "_bin")
+
+
+def binned_indices(frames: DataFrame, flag: str, seconds: Column, fps: float, bin_s: float = 0.25, short_s: float = 3.0) -> DataFrame:
+    """keys, scope, number and the indices of bouts of bins, of the windows that have any: every minute begun by the last
+    bin's start, all minutes so far, and the whole."""
+    found = binned_bouts(frames, flag, seconds, fps, bin_s)
+    minutes = (F.floor(F.col("last_s") / 60) + 1) * 60
+    return indices(windowed(found, F.col("start_s"), minutes), [*KEYS, "scope", "number"], 1 / bin_s, short_s)
+
+
 def indices(bouts: DataFrame, keys: Sequence[str], fps: float, short_s: float = 3.0) -> DataFrame:
     """keys, n_bouts and for A: EI (share initiated), RI (share initiated by A after one by B), RTI (share of bouts of up
     to short_s that B initiated and A left). Alternation is between bouts of the same group; null without bouts."""
@@ -122,6 +167,30 @@ def feature_table(bouts: DataFrame, frames: DataFrame, aggregates: Sequence[Colu
     return interval_join(long, frames, keys, "start", "end").groupBy(*columns).agg(*aggregates)
 
 
+def behaviour_table(frames: DataFrame, flags: Sequence[str], by_role: Sequence[str], of_pair: Sequence[str], fps: float, least: int = 3, keys: Sequence[str] = KEYS, order: str = "sidx") -> DataFrame:
+    """One row a bout of at least `least` frames of any of the flags, with the features of its frames.
+
+    keys, behaviour (without direction), direction, bout, start, end, duration_s, group (of the pair), and for every
+    feature its median, 95th percentile and mean: actor_{f} and target_{f} of A_{f} and B_{f} (A acts unless the flag ends
+    in _BtoA), and those of the pair. Frames are numbered for all flags over one window and taken once for each flag
+    that is set, so bouts and frames aren't joined.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    starts = frames.withColumns({f"_s_{f}": ((F.col(f) == 1) & (F.coalesce(F.lag(f).over(w), F.lit(0)) != 1)).cast("int") for f in flags})
+    numbered = starts.withColumns({f"_b_{f}": F.sum(f"_s_{f}").over(w.rowsBetween(Window.unboundedPreceding, 0)) for f in flags})
+    plain = lambda f: f.removesuffix("_AtoB").removesuffix("_BtoA")
+    each = F.array(*[F.when(F.col(f) == 1, F.struct(F.lit(plain(f)).alias("behaviour"), F.lit(f.rpartition("_")[2] if plain(f) != f else "").alias("direction"), F.col(f"_b_{f}").alias("bout"))) for f in flags])
+    long = numbered.withColumn("_e", F.explode(F.filter(each, lambda e: e.isNotNull())))
+    turned = F.col("_e.direction") == "BtoA"
+    features = {f"{role}_{f}": F.when(turned, F.col(f"{b}_{f}")).otherwise(F.col(f"{a}_{f}")) for f in by_role for role, a, b in (("actor", "A", "B"), ("target", "B", "A"))} | {f: F.col(f) for f in of_pair}
+    rows = long.select(*keys, order, "_e.*", *[v.alias(f"_v_{n}") for n, v in features.items()])
+    stats = [F.percentile(f"_v_{n}", F.array(F.lit(0.5), F.lit(0.95))).alias(f"_p_{n}") for n in features] + [F.avg(f"_v_{n}").alias(f"{n}_mean") for n in features]
+    per = rows.groupBy(*keys, "behaviour", "direction", "bout").agg(F.min(order).alias("start"), F.max(order).alias("end"), F.count("*").alias("n"), *stats).where(F.col("n") >= least)
+    out = [(c, d) for n in features for c, d in ((f"{n}_p50", F.col(f"_p_{n}")[0]), (f"{n}_p95", F.col(f"_p_{n}")[1]), (f"{n}_mean", F.col(f"{n}_mean")))]
+    group = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
+    return per.select(*keys, "behaviour", "direction", "bout", "start", "end", F.round(F.col("n") / fps, 4).alias("duration_s"), group.alias("group"), *[v.alias(n) for n, v in out])
+
+
 def by_role(frames: DataFrame, features: Sequence[str], actor: str) -> DataFrame:
     """actor_{f} and target_{f} instead of A_{f} and B_{f}: `actor` is a column of 'A' or 'B'."""
     out = {}

@@ -329,6 +329,34 @@ def padded(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.select(*keys, "behaviour", row.alias("row"), text.alias("span")).groupBy(*keys, "row").pivot("behaviour").agg(F.first("span"))
 
 
+#: Columns of the earlier output, in its order.
+MATRIX = ("approach", "follow", "chase", "sniff", "hh", "ho", "activeAvoid", "passiveAvoid", "flee", "disengage", "statProx", "orient", "prox")
+SENSES = {"hearing": (("binaural", ("B",)), ("monaural", ("ML", "MR")), ("rear", ("R",))), "vision": (("binocular", ("B",)), ("monocular", ("ML", "MR")), ("no_vision", ("N",)))}
+
+
+def output(found: DataFrame, fps: float, gate_s: float = 5.0) -> dict[str, DataFrame]:
+    """The earlier output's sections as tables, by pair: metadata, times (totals of each behaviour and sense), intervals
+    (with instigators of nearness and sniffing) and matrix (filtered flags by frame). found: what detectors returns."""
+    found = stored(found, "legacy-found")
+    senses = {n: F.col(c).isin(*labels) & (F.col("sidx") >= int(gate_s * fps)) for c, kinds in SENSES.items() for n, labels in kinds}
+    rows = found.withColumns({n: v.cast("int") for n, v in senses.items()})
+    flags = [*MATRIX, *senses]
+    matrix = stored(filtered(rows.select(*KEYS, "sidx", *flags), MATRIX, KEYS, fps), "legacy-matrix")
+    whole = F.array(F.struct(F.lit("duration_s").alias("key"), (F.count("*") / fps).alias("value")), F.struct(F.lit("frames"), F.count("*").cast("double")), F.struct(F.lit("duration_after_gate_s"), F.sum((F.col("sidx") >= int(gate_s * fps)).cast("int")) / fps), F.struct(F.lit("frames_after_gate"), F.sum((F.col("sidx") >= int(gate_s * fps)).cast("int")).cast("double")))
+    times = F.array(*[F.struct(F.lit(n).alias("behaviour"), F.round(F.sum(n) / fps, 4).alias("seconds")) for n in flags])
+    starts = None
+    for n in ("prox", "sniff"):
+        part = instigators_by_path(R.bouts(matrix, n, KEYS, "sidx"), found, fps).select(*KEYS, F.lit(n).alias("behaviour"), (F.col("start") / fps).alias("start_s"), "instigator")
+        starts = part if starts is None else starts.unionByName(part)
+    spans = intervals(matrix, MATRIX, KEYS, fps).withColumn("duration_s", F.round(F.col("end_s") - F.col("start_s"), 4))
+    return {
+        "metadata": found.groupBy(*KEYS).agg(whole.alias("m")).select(*KEYS, F.explode("m").alias("r")).select(*KEYS, "r.*"),
+        "times": matrix.groupBy(*KEYS).agg(times.alias("t")).select(*KEYS, F.explode("t").alias("r")).select(*KEYS, "r.*"),
+        "intervals": spans.join(starts, [*KEYS, "behaviour", "start_s"], "left"),
+        "matrix": matrix.select(*KEYS, "sidx", *flags),
+    }
+
+
 def cm_per_px(dsr: Column, body_cm: float = 3.0) -> Column:
     """Scale by the width of a body."""
     return body_cm / dsr

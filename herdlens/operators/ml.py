@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 
 def usable_classes(table: DataFrame, label: str, folds: int) -> DataFrame:
     """Rows of classes with a row for each fold at least."""
@@ -16,11 +20,27 @@ def usable_classes(table: DataFrame, label: str, folds: int) -> DataFrame:
     return table.join(counts.select(label), label, "left_semi")
 
 
+#: Buckets that rows are ranked in before ranks are put together.
+RANK_BUCKETS = 256
+
+
+def _ranked(df: DataFrame, keys: Sequence[str], order: Column, name: str) -> DataFrame:
+    """df with each row's rank from 0 within its keys by a hash, without all rows of a key in one task: ranks within
+    buckets of the hash, plus the sizes of the buckets before (a short table)."""
+    df = df.withColumn("_o", order).withColumn("_b", F.pmod(F.col("_o"), F.lit(RANK_BUCKETS)))
+    sizes = df.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_o"))
+    return df.join(sizes.select(*keys, "_b", before.alias("_before")), [*keys, "_b"]).withColumn(name, F.col("_before") + place - 1).drop("_o", "_b", "_before")
+
+
 def with_folds(table: DataFrame, label: str, folds: int, group: str | None = None, seed: int = 42) -> DataFrame:
-    """fold: whole groups together if there are enough of them, else spread evenly by a hash."""
+    """fold: whole groups together, as many in each fold, if there are enough of them; else each class spread evenly."""
+    fold = F.pmod(F.col("_rank"), F.lit(folds)).cast("int").alias("fold")
     if group and table.select(group).distinct().limit(folds).count() >= folds:
-        return table.withColumn("fold", F.pmod(F.xxhash64(F.col(group), F.lit(seed)), F.lit(folds)).cast("int"))
-    return table.withColumn("fold", F.pmod(F.xxhash64(*table.columns, F.lit(seed)), F.lit(folds)).cast("int"))
+        dealt = _ranked(table.select(group).distinct(), [], F.xxhash64(F.col(group), F.lit(seed)), "_rank")
+        return table.join(dealt.select(group, fold), group)
+    return _ranked(table, [label], F.xxhash64(*table.columns, F.lit(seed)), "_rank").select(*table.columns, fold)
 
 
 def prepared(table: DataFrame, features: Sequence[str], label: str) -> tuple[DataFrame, list[str]]:
@@ -72,37 +92,72 @@ def confusion(predicted: DataFrame, labels: Sequence[str]) -> DataFrame:
 
 
 def permutation_importance(model: RandomForestClassificationModel, rows: DataFrame, features: Sequence[str], repeats: int = 5, seed: int = 42) -> DataFrame:
-    """feature, importance: mean loss of accuracy when a feature's values are dealt to other rows.
+    """feature, importance_mean, importance_std: loss of accuracy when a feature's values are dealt to other rows.
 
-    Values are shuffled by a join on two random orders within hash buckets, so no row order is global.
+    In each repeat rows stand in a random order in hash buckets, and each row takes the next one's value. All features
+    and repeats are scored in one pass.
     """
-    spark = rows.sparkSession
-    base = rows.select("y", *features).withColumn("_b", F.pmod(F.xxhash64("y", *features), F.lit(64)))
-    accuracy = lambda df: model.transform(VectorAssembler(inputCols=list(features), outputCol="features").transform(df)).agg(F.avg((F.col("prediction") == F.col("y")).cast("double"))).first()[0]
-    whole, out = accuracy(base), []
-    for f in features:
-        losses = []
-        for r in range(repeats):
-            order = lambda s: F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64("y", *features, F.lit(s)), *features))  # noqa: E731, B023
-            left = base.withColumn("_i", order(seed + 2 * r))
-            right = base.select("_b", F.col(f), order(seed + 2 * r + 1).alias("_i"))
-            losses.append(whole - accuracy(left.drop(f).join(right, ["_b", "_i"])))
-        out.append((f, float(sum(losses) / len(losses))))
-    return spark.createDataFrame(out, "feature string, importance double").orderBy(F.desc("importance"), "feature")
+    base = rows.select("y", F.array(*[F.col(f).cast("double") for f in features]).alias("_x"))
+    spread = F.pmod(F.xxhash64("_x", F.lit(seed)), F.lit(64))
+    orders = [Window.partitionBy("_b").orderBy(F.xxhash64("_x", "y", F.lit(seed + r)), "_x") for r in range(repeats)]
+    whole = [w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing) for w in orders]
+    partners = F.array(*[F.coalesce(F.lead("_x").over(w), F.first("_x").over(all_)) for w, all_ in zip(orders, whole)])
+    base = base.withColumn("_b", spread).withColumn("_p", partners).select("y", "_x", F.posexplode("_p").alias("repeat", "_other"))
+    tried = base.select("y", "repeat", "_x", "_other", F.explode(F.sequence(F.lit(-1), F.lit(len(features) - 1))).alias("_f"))
+    x = F.transform("_x", lambda v, i: F.when(i == F.col("_f"), F.get(F.col("_other"), i)).otherwise(v))  # -1: as it is
+    scored = model.transform(tried.select("y", "repeat", "_f", array_to_vector(x).alias("features")))
+    accuracy = scored.groupBy("_f", "repeat").agg(F.avg((F.col("prediction") == F.col("y")).cast("double")).alias("a"))
+    own = accuracy.where("_f = -1").agg(F.max("a").alias("own"))
+    name = F.get(F.array(*[F.lit(f) for f in features]), F.col("_f")).alias("feature")
+    loss = F.col("own") - F.col("a")
+    out = accuracy.where("_f >= 0").join(F.broadcast(own)).groupBy(name).agg(F.round(F.avg(loss), 6).alias("importance_mean"), F.round(F.stddev_pop(loss), 6).alias("importance_std"))
+    return out.orderBy(F.desc("importance_mean"), "feature")
 
 
 def class_importance(model: RandomForestClassificationModel, rows: DataFrame, features: Sequence[str], labels: Sequence[str], top: int = 15) -> DataFrame:
-    """class, feature, importance, rank: trees' importances weighted by how well each tree tells the class."""
-    spark = rows.sparkSession
-    out: dict[tuple[str, str], float] = {}
-    weights: dict[str, float] = {}
-    for tree in model.trees:
-        hits = {r["y"]: r["a"] for r in tree.transform(rows.select("features", "y")).groupBy("y").agg(F.avg((F.col("prediction") == F.col("y")).cast("double")).alias("a")).collect()}
-        for i, label in enumerate(labels):
-            weight = hits.get(float(i), 0.0)
-            weights[label] = weights.get(label, 0.0) + weight
-            for j, v in zip(tree.featureImportances.indices.tolist() if hasattr(tree.featureImportances, "indices") else range(len(features)), tree.featureImportances.values.tolist()):
-                out[label, features[j]] = out.get((label, features[j]), 0.0) + weight * v
-    table = spark.createDataFrame([(c, f, v / weights[c]) for (c, f), v in out.items() if weights[c] > 0], "class string, feature string, importance double")
+    """class, feature, importance, rank: trees' importances weighted by how well each tree tells the class.
+
+    All trees predict in one pass; one row a class comes to the driver, and one number a tree and class.
+    """
+    spark, scored = rows.sparkSession, rows.select("features", "y")
+    for i, tree in enumerate(model.trees):
+        scored = tree.copy().setPredictionCol(f"_{i}").setRawPredictionCol("").setProbabilityCol("").transform(scored)
+    hits = [F.avg((F.col(f"_{i}") == F.col("y")).cast("double")) for i in range(len(model.trees))]
+    weights = {int(r["y"]): r["w"] for r in scored.groupBy("y").agg(F.array(*hits).alias("w")).collect()}
+    gini = np.array([t.featureImportances.toArray() for t in model.trees])
+    table = []
+    for i, label in enumerate(labels):
+        w = np.array(weights.get(i, [0.0] * len(gini)))
+        if w.sum() > 0:
+            table += [(label, f, float(v)) for f, v in zip(features, w @ gini / w.sum())]
     rank = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("importance"), "feature"))
-    return table.withColumn("rank", rank).where(F.col("rank") <= top)
+    out = spark.createDataFrame(table, "class string, feature string, importance double").withColumn("rank", rank)
+    return out.where(F.col("rank") <= top).withColumn("importance", F.round("importance", 6))
+
+
+def validate(table: DataFrame, features: Sequence[str], label: str = "behaviour", group: str | None = "group", folds: int = 5, trees: int = 100, repeats: int = 5, top: int = 15, seed: int = 42) -> dict[str, DataFrame]:
+    """How well a forest tells the classes by their features, and by which: bouts (with rf_prediction), report, confusion,
+    importance (of each feature) and class_importance.
+
+    Classes with fewer rows than folds are left out; ValueError without rows, or if no class is left.
+    """
+    if table.isEmpty():
+        raise ValueError("no bouts to learn from")
+    fine = usable_classes(table, label, folds)
+    if fine.isEmpty():
+        raise ValueError(f"all classes have fewer than {folds} bouts")
+    rows, labels = prepared(with_folds(fine, label, folds, group, seed), features, label)
+    rows = stored(rows, "forest-rows")
+    predicted = stored(out_of_fold(rows, folds, trees, seed), "forest-predicted")
+    final = forest(trees, seed).fit(rows)
+    names = F.array(*[F.lit(x) for x in labels])
+    return {
+        "bouts": predicted.select(*table.columns, "fold", F.get(names, F.col("prediction").cast("int")).alias("rf_prediction")),
+        "report": report(predicted, labels), "confusion": confusion(predicted, labels),
+        "importance": permutation_importance(final, rows, features, repeats, seed), "class_importance": class_importance(final, rows, features, labels, top),
+    }
+
+
+def validate_or_nothing(table: DataFrame, features: Sequence[str], **how) -> dict[str, DataFrame]:
+    """As validate, but without rows there are no tables."""
+    return {} if table.isEmpty() else validate(table, features, **how)

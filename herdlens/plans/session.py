@@ -18,7 +18,9 @@ from ..functions.names import find_node, tail_end_nodes
 from ..operators import behaviours as B
 from ..operators import bins as N
 from ..operators import bouts as T
+from ..operators import legacy as L
 from ..operators import metrics as M
+from ..operators import ml
 from ..operators import pairs as P
 from ..operators import pose as O
 from ..operators import repair, runs
@@ -110,6 +112,31 @@ class Analysis:
         frames = self.second_order if flag not in self.first_order.columns else self.first_order
         return T.with_initiators(runs.bouts(frames, flag, T.KEYS, "sidx"), frames, self.fps)
 
+    def pair_bins(self, seconds: float = 0.25) -> DataFrame:
+        first = [f for f in ("NoseNose", "HH", "HO", "Contact", "Engaged", "Sniff_AtoB", "Sniff_BtoA")]
+        return N.binned(self.second_order, list(T.KEYS), ["d", "opposition", "EngageSpeed_A", "EngageSpeed_B"], "vframe", self.fps, seconds, [*first, *B.SECOND_FLAGS])
+
+    @cached_property
+    def engagement_indices(self) -> DataFrame:
+        """Indices of bouts at the resolution of bins, for the whole, minutes and minutes so far."""
+        return T.binned_indices(self.first_order, "Engaged", F.col("vframe") / self.fps, self.fps)
+
+    @cached_property
+    def bout_table(self) -> DataFrame:
+        frames = self.second_order.withColumnsRenamed({"fe_A": "A_fe", "fe_B": "B_fe"})
+        return stored(T.behaviour_table(frames, B.SECOND_FLAGS, ["speed", "accel", "jerk", "fe"], ["d", "opposition", "gap"], self.fps), "bout-table")
+
+    def forest(self, **how) -> dict[str, DataFrame]:
+        """How well behaviours' bouts can be told apart; no tables without bouts."""
+        features = [c for c in self.bout_table.columns if c.endswith(("_p50", "_p95", "_mean"))]
+        return ml.validate_or_nothing(self.bout_table, features, **how)
+
+    def earlier(self, gate_s: float = 5.0) -> dict[str, DataFrame]:
+        """The earlier rules' tables, with the lower track of each pair as subject."""
+        frames = self.pairs.select("session", "sidx", "tA", "tB", "A_xs", "A_ys", "B_xs", "B_ys", "dsr")
+        tails = sorted({*tail_end_nodes(self.nodes), *[n for n in [find_node(self.nodes, "tail_base")] if n is not None]})
+        return L.output(L.detectors(frames, self.fps, len(self.nodes), gate_s, self.node("body"), tails), self.fps, gate_s)
+
     def bins(self, seconds: float = 0.25) -> DataFrame:
         return N.binned(self.animals, ["session", "track"], ["x", "y", "speed", "accel", "jerk", "heading", "elongation"], "vframe", self.fps, seconds, ["stationary", "walking", "running", "turning"])
 
@@ -129,6 +156,7 @@ class Analysis:
             "tracking": self.kinematics, "animal_features": self.animals.drop("xs", "ys"), "pair_features": self.pairs.drop("A_xs", "A_ys", "B_xs", "B_ys"),
             "first_order": self.first_order.select("session", "sidx", "tA", "tB", "NoseNose", "HH", "HO", "Contact", "Engaged", "Sniff_AtoB", "Sniff_BtoA"), "second_order": self.second_order,
             "behaviour_summary": T.summary(self.first_order, ["Engaged", "Contact", "HH", "HO"], keys, "sidx", self.fps), "zones": O.zone_summary(self.animals, "zone", self.fps), "entropy": O.position_entropy(self.animals, "x", "y", self.roi),
+            "engagement": T.engagement(self.second_order, self.fps), "pair_bins_025": self.pair_bins(0.25), "pair_bins_1": N.rolled_up(self.pair_bins(0.25), keys), "engagement_indices": self.engagement_indices, "bout_table": self.bout_table,
             "bins_025": self.bins(0.25), "bins_1": N.rolled_up(self.bins(0.25), ["session", "track"]), "metrics": self.metrics, "per_second": M.per_second(self.pairs, self.fps, self.px_per_cm, list(self.regions)),
             "matrix": N.feature_matrix(self.animals, F.col("vframe") / self.fps, {"speed": "p95", "heading": "angle", "jerk": "abs", "path_efficiency": "range"}),
         }

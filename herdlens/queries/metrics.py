@@ -18,7 +18,7 @@ from . import query
 from .fixtures import FPS, MOVING_SQL, NODES, PAIR_SQL, PX_PER_CM, ROI, STRIP, moving, node_pairs, pairs, pose
 from .pairs import _CROSS, KEYS, OPP, SECOND_SQL, TO_A, TO_B, all_behaviours
 from .pose import _ZONE, savgol_sql
-from .runs import drop_sql, fill_sql
+from .runs import bouts_sql, drop_sql, fill_sql
 
 TRACK = ["session", "track"]
 #: Bins of a second here: the fixture has ten frames a second.
@@ -234,20 +234,91 @@ def cumulative_proximity(spark, sf_dir):
     return M.cumulative_time(df, near, ["session", "tA", "tB"], FPS, "near_s").select(*KEYS, F.round("near_s", 4).alias("near_s"))
 
 
+_BOUT_FLAGS = B.SECOND_FLAGS
+_ROLES, _OF_PAIR = {"speed": ("a_speed", "b_speed"), "fe": ("a_fe", "b_fe"), "accel": ("a_accel", "b_accel")}, {"d": "d", "opposition": "opp"}
+FEATURES = [f"{n}_{x}" for n in (*[f"{r}_{f}" for f in _ROLES for r in ("actor", "target")], *_OF_PAIR) for x in ("p50", "p95", "mean")]
+
+
+def _bout_table_sql() -> str:
+    starts = ", ".join(f"({f} = 1 and coalesce(lag({f}) over w, 0) <> 1)::int s_{f}" for f in _BOUT_FLAGS)
+    numbers = ", ".join(f"sum(s_{f}) over w b_{f}" for f in _BOUT_FLAGS)
+    plain = lambda f: f.removesuffix("_AtoB").removesuffix("_BtoA")
+    parts = []
+    for f in _BOUT_FLAGS:
+        direction = f.rpartition("_")[2] if plain(f) != f else ""
+        swap = direction == "BtoA"
+        columns = [f"{(b if swap else a)} actor_{n}, {(a if swap else b)} target_{n}" for n, (a, b) in _ROLES.items()] + [f"{x} v_{n}" for n, x in _OF_PAIR.items()]
+        parts.append(f"select session, sidx, \"tA\", \"tB\", '{plain(f)}' behaviour, '{direction}' direction, b_{f} bout, {', '.join(columns)} from n2 where {f} = 1")
+    values = [*[f"{r}_{f}" for f in _ROLES for r in ("actor", "target")], *_OF_PAIR]
+    column = lambda n: f"v_{n}" if n in _OF_PAIR else n
+    stats = ", ".join(f"round(quantile_cont({column(n)}, 0.5), 4) {n}_p50, round(quantile_cont({column(n)}, 0.95), 4) {n}_p95, round(avg({column(n)}), 4) {n}_mean" for n in values)
+    return (
+        f"with {SECOND_SQL}, n1 as (select *, {starts} from detected window w as ({_PAIR_ROWS})), n2 as (select *, {numbers} from n1 window w as ({_PAIR_ROWS})), l as ({' union all '.join(parts)}) "
+        f'select session, "tA", "tB", behaviour, direction, bout::bigint bout, min(sidx)::int as "start", max(sidx)::int as "end", round(count(*) / {FPS}, 4) duration_s, session || \'/\' || "tA" || \'/\' || "tB" as "group", {stats} from l group by session, "tA", "tB", behaviour, direction, bout having count(*) >= 3'
+    )
+
+
+_PAIR_ROWS = 'partition by session, "tA", "tB" order by sidx'
+
+
+def _bout_table(spark, sf_dir):
+    frames = all_behaviours(spark, sf_dir).withColumnsRenamed({"fe_A": "A_fe", "fe_B": "B_fe"})
+    return T.behaviour_table(frames, _BOUT_FLAGS, list(_ROLES), list(_OF_PAIR), FPS)
+
+
+@query(_bout_table_sql())
+def behaviour_bout_table(spark, sf_dir):
+    return _bout_table(spark, sf_dir).select("session", "tA", "tB", "behaviour", "direction", "bout", "start", "end", "duration_s", "group", *[F.round(f, 4).alias(f) for f in FEATURES])
+
+
+def _validated(spark, sf_dir, table: str):
+    return ml.validate(stored(_bout_table(spark, sf_dir), "bout-table"), FEATURES)[table]
+
+
 @query()
 def forest_report(spark, sf_dir):
-    """Out-of-fold report of a forest that tells languages of documents by their letters."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    letters = "etaoinsqz"
-    size = F.greatest(F.length("text"), F.lit(1))
-    table = docs.where("lang is not null and text is not null").select("lang", "source", *[(F.length("text") - F.length(F.replace(F.lower("text"), F.lit(x), F.lit("")))).cast("double").alias(f"n_{x}") for x in letters], size.cast("double").alias("size"))
-    table = table.select("lang", "source", *[(F.col(f"n_{x}") / F.col("size")).alias(x) for x in letters])
-    rows, labels = ml.prepared(ml.with_folds(ml.usable_classes(table, "lang", 3), "lang", 3, "source"), list(letters), "lang")
-    return ml.report(ml.out_of_fold(rows, 3, trees=20), labels)
+    """How well a forest tells the second-order behaviours' bouts apart, out of fold: five folds of pairs, 100 trees."""
+    return _validated(spark, sf_dir, "report")
+
+
+@query()
+def forest_confusion(spark, sf_dir):
+    return _validated(spark, sf_dir, "confusion")
+
+
+@query()
+def forest_importance(spark, sf_dir):
+    return _validated(spark, sf_dir, "importance")
+
+
+@query()
+def forest_class_importance(spark, sf_dir):
+    return _validated(spark, sf_dir, "class_importance")
+
+
+#: Sessions of 25 s are too short for minutes: here frames are 0.6 s apart, and bins of 3 s have five.
+_SLOW, _SLOW_BIN = FPS / 6, 3.0
+
+
+@query(
+    "with " + SECOND_SQL + f""", k as (select session, "tA", "tB", floor(sidx / {_SLOW} / {_SLOW_BIN})::int bin, sum(Engaged) n, count(*) c, min(sidx) lo, max(sidx) hi from detected group by 1, 2, 3, 4),
+b0 as (select session, "tA", "tB", bin, lo, hi, (row_number() over (partition by session, "tA", "tB" order by bin) - 1)::int sidx, (n / greatest({max(1, round(_SLOW * _SLOW_BIN))}, c) > 0.5)::int eng, max(bin) over (partition by session, "tA", "tB") last_bin, (count(*) over (partition by session, "tA", "tB") - 1)::int last from k),
+""" + bouts_sql("eng", "b0", "bb", 'session, "tA", "tB"', "sidx") + f""",
+bt as (select bb.*, z.last, z.last_bin, z.bin * {_SLOW_BIN} start_s from bb join b0 z on z.session = bb.session and z."tA" = bb."tA" and z."tB" = bb."tB" and z.sidx = bb.s),
+sp as (select bt.session, bt."tA", bt."tB", bout, 0 side, min(lo) f, max(hi) t from bt join b0 z on z.session = bt.session and z."tA" = bt."tA" and z."tB" = bt."tB" and z.sidx between greatest(0, s - 2) and s group by all
+  union all select bt.session, bt."tA", bt."tB", bout, 1, min(lo), max(hi) from bt join b0 z on z.session = bt.session and z."tA" = bt."tA" and z."tB" = bt."tB" and z.sidx between (case when e = bt.last then greatest(0, e - 1) else e + 1 end) and (case when e = bt.last then e else e + 3 end) group by all),
+an as (select sp.session, sp."tA", sp."tB", bout, avg(a_fe) filter (side = 0) a0, avg(b_fe) filter (side = 0) b0, avg(a_fe) filter (side = 1) a1, avg(b_fe) filter (side = 1) b1 from sp join detected g on g.session = sp.session and g."tA" = sp."tA" and g."tB" = sp."tB" and g.sidx between f and t group by all),
+ib as (select bt.*, case when round(coalesce(a0, 90), 9) <= round(coalesce(b0, 90), 9) then 'A' else 'B' end initiator, case when round(coalesce(a1, 90), 9) >= round(coalesce(b1, 90), 9) then 'A' else 'B' end disengager, floor(start_s / 60)::int m, floor(last_bin * {_SLOW_BIN} / 60)::int + 1 minutes from bt left join an using (session, "tA", "tB", bout)),
+w as (select *, 'full' scope, 0 number from ib union all select *, 'minute', m from ib union all select ib.*, 'cumulative', i::int from ib, range(1, 100) r(i) where i > m and i <= minutes),
+l as (select *, lag(initiator) over (partition by session, "tA", "tB", scope, number order by s, bout) prev from w)
+select session, "tA", "tB", scope, number, count(*) n_bouts, round(sum((initiator = 'A')::int) / count(*), 4) "EI", round(sum((initiator = 'A' and coalesce(prev = 'B', false))::int) / count(*), 4) "RI", round(sum(((e - s + 1) * {_SLOW_BIN} <= 3 and initiator <> 'A' and disengager = 'A')::int) / count(*), 4) "RTI" from l group by 1, 2, 3, 4, 5"""
+)
+def engagement_bin_indices(spark, sf_dir):
+    frames = stored(all_behaviours(spark, sf_dir).select(*KEYS, "Engaged", "fe_A", "fe_B"), "engaged-frames")
+    return T.binned_indices(frames, "Engaged", F.col("sidx") / _SLOW, _SLOW, _SLOW_BIN)
 
 
 _TOTALS = ["Engaged", "Contact", "StationaryProx", "Disengaged", *[f"{n}_{d}" for n in ("Follow", "Chase", "Flee", "Approach", "ActiveAvoid", "PassiveAvoid", "SocialOrient") for d in ("AtoB", "BtoA")]]
-_PAIR_ROWS = 'partition by session, "tA", "tB" order by sidx'
 
 
 @query(

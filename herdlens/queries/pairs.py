@@ -128,7 +128,7 @@ def first_order_behaviours(spark, sf_dir):
     return B.first_order(scaled(spark, sf_dir), FPS, len(NODES)).select(*KEYS, *_FIRST_FLAGS)
 
 
-SECOND = [*[f"{n}_{d}" for n in ("Follow", "Chase", "Flee", "Approach", "ActiveAvoid", "PassiveAvoid", "SocialOrient", "VisualAttn", "AuditoryAttn") for d in ("AtoB", "BtoA")], "StationaryProx", "Disengaged"]
+SECOND = B.SECOND_FLAGS
 
 
 def all_behaviours(spark, sf_dir) -> DataFrame:

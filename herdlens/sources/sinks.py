@@ -8,15 +8,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Outputs that need two animals.
-PAIR_OUTPUTS = frozenset({"pair_features", "first_order", "second_order", "behaviour_summary", "contact", "per_second", "synchrony", "bout_table"})
+PAIR_OUTPUTS = frozenset({"pair_features", "first_order", "second_order", "behaviour_summary", "contact", "per_second", "synchrony", "bout_table", "pair_bins_025", "pair_bins_1", "engagement_indices", "engagement"})
+#: Tables that belong together, by the set's name.
+SETS = {
+    "main": ("tracking", "animal_features", "pair_features", "first_order", "second_order", "behaviour_summary", "engagement", "zones", "entropy"),
+    "key_metrics": ("metrics", "per_second"),
+    "binned": ("bins_025", "pair_bins_025", "engagement_indices", "bins_1", "pair_bins_1"),
+    "forest": ("bouts", "report", "confusion", "importance", "class_importance"),
+    "earlier": ("metadata", "times", "intervals", "matrix"),
+}
 
 
-def write_tables(tables: dict[str, DataFrame], folder: str, format: str = "parquet", wanted: Iterable[str] | None = None, animals: int = 2, mode: str = "errorifexists") -> list[str]:
+def write_set(name: str, tables: dict[str, DataFrame], base: str, format: str = "csv", wanted: Iterable[str] | None = None, animals: int = 2) -> tuple[str, list[str]]:
+    """Writes a set's tables below the first free folder {base}_{name}, empty ones left out: (folder, names)."""
+    some = next(iter(tables.values()))
+    folder = unique_path(some.sparkSession, f"{base}_{name}")
+    chosen = set(SETS[name]) & (set(wanted) if wanted is not None else set(SETS[name]))
+    return folder, write_tables(tables, folder, format, chosen, animals, skip_empty=True)
+
+
+def write_tables(tables: dict[str, DataFrame], folder: str, format: str = "parquet", wanted: Iterable[str] | None = None, animals: int = 2, mode: str = "errorifexists", skip_empty: bool = False) -> list[str]:
     """Writes the wanted tables (all) and returns their names. Tables are lazy, so what isn't wanted is never computed.
 
     With one animal, tables about pairs are left out. CSV has no nested columns: they are written as JSON text.
     """
     names = [n for n in tables if (wanted is None or n in set(wanted)) and (animals > 1 or n not in PAIR_OUTPUTS)]
+    names = [n for n in names if not (skip_empty and tables[n].isEmpty())]
     for n in names:
         df = tables[n]
         if format == "csv":

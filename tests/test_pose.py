@@ -190,10 +190,18 @@ def test_write_and_read(spark, tmp_path):
     assert sinks.unique_path(spark, f"file://{tmp_path}/out").endswith("out_1") and sinks.unique_path(spark, f"file://{tmp_path}/new").endswith("new")
 
 
-def test_whole_analysis(spark, data):
+def test_whole_analysis(spark, data, tmp_path):
     from herdlens.plans.session import Analysis
     from herdlens.queries.fixtures import NODES, ROI, pose
 
     p = pose(spark, f"{data}/sf0.001").where("session = 's0' and track < 2").withColumn("vframe", F.col("sidx"))
     a = Analysis(p, NODES, 10.0, ROI, regions={"NoseNose_region": ([0], [0])})
     assert a.metrics.count() > 20 and a.animals.count() == 400 and a.bouts("Engaged").where("initiator not in ('A', 'B')").count() == 0
+    some = p.where("sidx < 200")
+    b = Analysis(some, NODES, 10.0, ROI, repair=False, trim_s=0.0)
+    assert b.engagement_indices.columns == ["session", "tA", "tB", "scope", "number", "n_bouts", "EI", "RI", "RTI"] and b.pair_bins().count() == 80
+    folder, names = sinks.write_set("earlier", b.earlier(), f"file://{tmp_path}/s0")
+    assert folder.endswith("s0_earlier") and names == ["metadata", "times", "intervals", "matrix"]
+    meta = {r.key: float(r.value) for r in spark.read.option("header", True).csv(f"{folder}/metadata").collect()}
+    assert meta == {"duration_s": 20.0, "frames": 200.0, "duration_after_gate_s": 15.0, "frames_after_gate": 150.0}
+    assert sinks.write_set("earlier", b.earlier(), f"file://{tmp_path}/s0", wanted=["metadata"])[0].endswith("s0_earlier_1")

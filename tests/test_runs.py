@@ -4,6 +4,9 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
+from herdlens.operators import bouts as T
 from herdlens.operators import runs as R
 
 
@@ -144,3 +147,27 @@ def test_spine_by_session(spark):
     out = T.spine(T.with_last_second(pairs, frames, F.col("sidx")), F.col("last_second")).groupBy("session", "scope").count().collect()
     assert {(r.session, r.scope): r["count"] for r in out} == {("a", "full"): 1, ("a", "minute"): 5, ("a", "cumulative"): 5, ("b", "full"): 1, ("b", "minute"): 1, ("b", "cumulative"): 1}
     assert T.spine(pairs, 120.0).count() == 2 * 5
+
+
+def test_bouts_of_bins(spark):
+    """Bins of three frames; B faces A before the first bout and turns away after it, the second bout ends the series."""
+    flags = [0, 0, 0, 1, 1, 0, 1, 1, 1, 0, 0, 1, 0, 0, 0, 0, 0, 0, 1, 1, 1]
+    rows = [("s", 0, 1, i, f, 50.0, 10.0 if i < 9 else 170.0) for i, f in enumerate(flags)]
+    frames = spark.createDataFrame(rows, "session string, tA int, tB int, sidx int, near int, fe_A double, fe_B double")
+    bins = {r.place: r.near for r in T.flagged_bins(frames, "near", F.col("sidx") / 3.0, 3.0, 1.0).collect()}
+    assert [bins[i] for i in range(7)] == [0, 1, 1, 0, 0, 0, 1]
+    found = sorted((r.start, r.end, r.initiator, r.disengager, r.start_s, r.last_s) for r in T.binned_bouts(frames, "near", F.col("sidx") / 3.0, 3.0, 1.0).collect())
+    # the second bout's own last two bins stand for what comes after it
+    assert found == [(1, 2, "B", "B", 1.0, 6.0), (6, 6, "A", "B", 6.0, 6.0)]
+    indices = {(r.scope, r.number): (r.n_bouts, r.EI, r.RI) for r in T.binned_indices(frames, "near", F.col("sidx") / 3.0, 3.0, 1.0).collect()}
+    assert indices == {("full", 0): (2, 0.5, 0.5), ("minute", 0): (2, 0.5, 0.5), ("cumulative", 1): (2, 0.5, 0.5)}
+
+
+def test_bouts_of_many_behaviours(spark):
+    rows = [("s", 0, 1, i, int(2 <= i < 6), int(4 <= i < 9), int(i == 1), float(i), 10.0 * i, 1.0) for i in range(12)]
+    frames = spark.createDataFrame(rows, "session string, tA int, tB int, sidx int, Go_AtoB int, Go_BtoA int, Still int, A_v double, B_v double, d double")
+    found = {(r.behaviour, r.direction): r for r in T.behaviour_table(frames, ["Go_AtoB", "Go_BtoA", "Still"], ["v"], ["d"], 10.0).collect()}
+    assert set(found) == {("Go", "AtoB"), ("Go", "BtoA")}
+    a, b = found["Go", "AtoB"], found["Go", "BtoA"]
+    assert (a.start, a.end, a.duration_s, a.group, a.actor_v_p50, a.target_v_mean, a.d_p95) == (2, 5, 0.4, "s/0/1", 3.5, 35.0, 1.0)
+    assert (b.start, b.end, b.actor_v_p50, b.target_v_p50) == (4, 8, 60.0, 6.0)
