@@ -115,9 +115,10 @@ def gram_counts(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray,
 def _counted(batches):
     for batch in batches:
         data, offsets = text_buffers(batch.column("text"))
-        rows = [r for a, b in blocks(offsets) for r in gram_counts(data[offsets[a] : offsets[b]], offsets[a : b + 1])]
-        columns = [pa.array([r[i].astype(np.int32) for r in rows], pa.list_(pa.int32())) for i in (0, 1)]
-        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), *columns], ["lang", "h", "grams", "counts"])
+        for a, b in blocks(offsets):
+            rows = gram_counts(data[offsets[a] : offsets[b]], offsets[a : b + 1])
+            columns = [pa.array([r[i].astype(np.int32) for r in rows], pa.list_(pa.int32())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("lang").slice(a, b - a), batch.column("h").slice(a, b - a), *columns], ["lang", "h", "grams", "counts"])
 
 
 def train(sample: list[tuple[np.ndarray, np.ndarray]], labels: list[str], max_error: float = MAX_ERROR, least_sure: float = LEAST_SURE) -> Model | None:
@@ -250,28 +251,25 @@ def held_out(doc_id: Column) -> Column:
 def filter_languages(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs without the rows that are rejected, with the predicted language as lang, in one pass.
 
-    All other columns go along with the text unchanged; a table without lang gets none.
+    Only texts go to Python, and a language and a decision come back; all other columns are unchanged. A table without
+    lang gets none.
     """
-    columns = docs.columns
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
+    def told(texts: pa.Array) -> pa.Array:
         model = shared.value
-        for batch in batches:
-            data, offsets = text_buffers(batch.column("text"))
-            stay, names = [], []
-            for a, b in blocks(offsets):
-                letters = np.array([_has_letter(data[offsets[i] : offsets[i + 1]]) for i in range(a, b)])
-                if model is None:
-                    stay += [False] * (b - a)
-                    continue
-                p = model.probabilities(data[offsets[a] : offsets[b]], offsets[a : b + 1])
-                kept = letters & (p.max(1) >= model.threshold)
-                stay += kept.tolist()
-                names += [model.languages[i] for i in p.argmax(1)[kept]]
-            out = batch.filter(pa.array(stay, pa.bool_()))
-            if "lang" in columns:
-                out = out.set_column(columns.index("lang"), "lang", pa.array(names, pa.string()))
-            yield out
-
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(run, docs.schema).select(*columns)
+        data, offsets = text_buffers(texts)
+        names, stay = [None] * len(texts), [False] * len(texts)
+        for a, b in blocks(offsets) if model is not None else ():
+            p = model.probabilities(data[offsets[a] : offsets[b]], offsets[a : b + 1])
+            for i, best, sure in zip(range(a, b), p.argmax(1), p.max(1) >= model.threshold):
+                names[i], stay[i] = model.languages[best], bool(sure) and _has_letter(data[offsets[i] : offsets[i + 1]])
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(stay, pa.bool_())], ["lang", "keep"])
+
+    # not deterministic as far as the optimizer knows: it must not be worked out twice, for the filter and for lang
+    tell = F.arrow_udf(told, "struct<lang: string, keep: boolean>").asNondeterministic()
+    name = "told"
+    while name in docs.columns:
+        name += "_"
+    kept = docs.withColumn(name, tell("text")).where(F.col(f"{name}.keep"))
+    return kept.select(*[F.col(f"{name}.lang").alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
