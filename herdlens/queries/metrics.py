@@ -308,10 +308,10 @@ bt as (select bb.*, z.last, z.last_bin, z.bin * {_SLOW_BIN} start_s from bb join
 sp as (select bt.session, bt."tA", bt."tB", bout, 0 side, min(lo) f, max(hi) t from bt join b0 z on z.session = bt.session and z."tA" = bt."tA" and z."tB" = bt."tB" and z.sidx between greatest(0, s - 2) and s group by all
   union all select bt.session, bt."tA", bt."tB", bout, 1, min(lo), max(hi) from bt join b0 z on z.session = bt.session and z."tA" = bt."tA" and z."tB" = bt."tB" and z.sidx between (case when e = bt.last then greatest(0, e - 1) else e + 1 end) and (case when e = bt.last then e else e + 3 end) group by all),
 an as (select sp.session, sp."tA", sp."tB", bout, avg(a_fe) filter (side = 0) a0, avg(b_fe) filter (side = 0) b0, avg(a_fe) filter (side = 1) a1, avg(b_fe) filter (side = 1) b1 from sp join detected g on g.session = sp.session and g."tA" = sp."tA" and g."tB" = sp."tB" and g.sidx between f and t group by all),
-ib as (select bt.*, case when round(coalesce(a0, 90), 9) <= round(coalesce(b0, 90), 9) then 'A' else 'B' end initiator, case when round(coalesce(a1, 90), 9) >= round(coalesce(b1, 90), 9) then 'A' else 'B' end disengager, floor(start_s / 60)::int m, floor(last_bin * {_SLOW_BIN} / 60)::int + 1 minutes from bt left join an using (session, "tA", "tB", bout)),
-w as (select *, 'full' scope, 0 number from ib union all select *, 'minute', m from ib union all select ib.*, 'cumulative', i::int from ib, range(1, 100) r(i) where i > m and i <= minutes),
-l as (select *, lag(initiator) over (partition by session, "tA", "tB", scope, number order by s, bout) prev from w)
-select session, "tA", "tB", scope, number, count(*) n_bouts, round(sum((initiator = 'A')::int) / count(*), 4) "EI", round(sum((initiator = 'A' and coalesce(prev = 'B', false))::int) / count(*), 4) "RI", round(sum(((e - s + 1) * {_SLOW_BIN} <= 3 and initiator <> 'A' and disengager = 'A')::int) / count(*), 4) "RTI" from l group by 1, 2, 3, 4, 5"""
+ib as (select bt.*, case when round(coalesce(a0, 90), 9) <= round(coalesce(b0, 90), 9) then 'A' else 'B' end initiator, case when round(coalesce(a1, 90), 9) >= round(coalesce(b1, 90), 9) then 'A' else 'B' end disengager, floor(start_s / 60)::int m, floor(last_bin * {_SLOW_BIN} / 60)::int + 1 n_minutes from bt left join an using (session, "tA", "tB", bout)),
+sc as (select *, 'full' scope, 0 number from ib union all select *, 'minute', m from ib union all select ib.*, 'cumulative', i::int from ib, range(1, 100) r(i) where i > m and i <= n_minutes),
+pv as (select *, lag(initiator) over (partition by session, "tA", "tB", scope, number order by s, bout) prev from sc)
+select session, "tA", "tB", scope, number, count(*) n_bouts, round(sum((initiator = 'A')::int) / count(*), 4) "EI", round(sum((initiator = 'A' and coalesce(prev = 'B', false))::int) / count(*), 4) "RI", round(sum(((e - s + 1) * {_SLOW_BIN} <= 3 and initiator <> 'A' and disengager = 'A')::int) / count(*), 4) "RTI" from pv group by 1, 2, 3, 4, 5"""
 )
 def engagement_bin_indices(spark, sf_dir):
     frames = stored(all_behaviours(spark, sf_dir).select(*KEYS, "Engaged", "fe_A", "fe_B"), "engaged-frames")
