@@ -342,7 +342,9 @@ def output(found: DataFrame, fps: float, gate_s: float = 5.0) -> dict[str, DataF
     rows = found.withColumns({n: v.cast("int") for n, v in senses.items()})
     flags = [*MATRIX, *senses]
     matrix = stored(filtered(rows.select(*KEYS, "sidx", *flags), MATRIX, KEYS, fps), "legacy-matrix")
-    whole = F.array(F.struct(F.lit("duration_s").alias("key"), (F.count("*") / fps).alias("value")), F.struct(F.lit("frames"), F.count("*").cast("double")), F.struct(F.lit("duration_after_gate_s"), F.sum((F.col("sidx") >= int(gate_s * fps)).cast("int")) / fps), F.struct(F.lit("frames_after_gate"), F.sum((F.col("sidx") >= int(gate_s * fps)).cast("int")).cast("double")))
+    sizes = found.groupBy(*KEYS).agg(F.count("*").alias("all"), F.sum((F.col("sidx") >= int(gate_s * fps)).cast("int")).alias("late"))
+    named = {"duration_s": F.col("all") / fps, "frames": F.col("all"), "duration_after_gate_s": F.col("late") / fps, "frames_after_gate": F.col("late")}
+    metadata = sizes.withColumn("r", F.explode(F.array(*[F.struct(F.lit(n).alias("key"), v.cast("double").alias("value")) for n, v in named.items()])))
     times = F.array(*[F.struct(F.lit(n).alias("behaviour"), F.round(F.sum(n) / fps, 4).alias("seconds")) for n in flags])
     starts = None
     for n in ("prox", "sniff"):
@@ -350,7 +352,7 @@ def output(found: DataFrame, fps: float, gate_s: float = 5.0) -> dict[str, DataF
         starts = part if starts is None else starts.unionByName(part)
     spans = intervals(matrix, MATRIX, KEYS, fps).withColumn("duration_s", F.round(F.col("end_s") - F.col("start_s"), 4))
     return {
-        "metadata": found.groupBy(*KEYS).agg(whole.alias("m")).select(*KEYS, F.explode("m").alias("r")).select(*KEYS, "r.*"),
+        "metadata": metadata.select(*KEYS, "r.*"),
         "times": matrix.groupBy(*KEYS).agg(times.alias("t")).select(*KEYS, F.explode("t").alias("r")).select(*KEYS, "r.*"),
         "intervals": spans.join(starts, [*KEYS, "behaviour", "start_s"], "left"),
         "matrix": matrix.select(*KEYS, "sidx", *flags),
