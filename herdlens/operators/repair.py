@@ -80,27 +80,50 @@ def pchip(t: np.ndarray, v: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (1 + 2 * s) * (1 - s) ** 2 * v[i] + s * (1 - s) ** 2 * h[i] * m[i] + s * s * (3 - 2 * s) * v[i + 1] + s * s * (s - 1) * h[i] * m[i + 1]
 
 
+def _filtered(v: np.ndarray, q: float, r: float, start: float):
+    """A constant-velocity model filtered forward, missing values predicted: (position, speed) and covariance (three
+    numbers) of each frame before and after its value. Plain numbers: a 2 by 2 matrix is too small for array calls."""
+    p, u, a, b, c = start, 0.0, 1.0, 0.0, 1.0
+    ahead, known = [], []
+    for i, z in enumerate(v.tolist()):
+        if i:
+            p, a, b, c = p + u, a + 2 * b + c + q, b + c, c + q
+        ahead.append((p, u, a, b, c))
+        if z == z:
+            k, m = a / (a + r), b / (a + r)
+            p, u, a, b, c = p + k * (z - p), u + m * (z - p), a - k * a, b - k * b, c - m * b
+        known.append((p, u, a, b, c))
+    return ahead, known
+
+
 def kalman_smooth(v: np.ndarray, q: float = 1e-3, r: float = 1e-2) -> np.ndarray:
     """Positions of a constant-velocity model, filtered forward and smoothed back; missing values are predicted."""
-    f, eye = np.array([[1.0, 1.0], [0.0, 1.0]]), np.eye(2)
-    state, cov = np.array([v[np.isfinite(v)][0], 0.0]), eye
-    ahead, ahead_p, known, known_p = [], [], [], []
-    for i, z in enumerate(v):
-        if i:
-            state, cov = f @ state, f @ cov @ f.T + q * eye
-        ahead.append(state)
-        ahead_p.append(cov)
-        if np.isfinite(z):
-            gain = cov[:, 0] / (cov[0, 0] + r)
-            state, cov = state + gain * (z - state[0]), cov - np.outer(gain, cov[0])
-        known.append(state)
-        known_p.append(cov)
-    out = known[-1]
-    smooth = [out]
-    for i in range(len(v) - 2, -1, -1):
-        out = known[i] + known_p[i] @ f.T @ np.linalg.inv(ahead_p[i + 1]) @ (out - ahead[i + 1])
-        smooth.append(out)
-    return np.array(smooth[::-1])[:, 0]
+    ahead, known = _filtered(v, q, r, float(v[np.isfinite(v)][0]))
+    p, u = known[-1][:2]
+    out = [p]
+    for (p0, u0, a, b, c), (p1, u1, a1, b1, c1) in zip(known[-2::-1], ahead[:0:-1]):
+        det, dp, du = a1 * c1 - b1 * b1, p - p1, u - u1
+        # gain: covariance times the transposed step, times the inverse of what was predicted
+        x, y = (c1 * dp - b1 * du) / det, (a1 * du - b1 * dp) / det
+        p, u = p0 + (a + b) * x + b * y, u0 + (b + c) * x + c * y
+        out.append(p)
+    return np.array(out[::-1])
+
+
+def fill_converging(v: np.ndarray, fps: float, short_s: float = 0.25, q: float = 1e-3, r: float = 1e-2) -> np.ndarray:
+    """The earlier filler: short inner gaps by monotone cubics, all others by the mean of the filters that run over the
+    whole series forward and backward, both from its first value. Few or no values as in fill."""
+    v = v.astype(float).copy()
+    ok = np.isfinite(v)
+    if ok.sum() < 3:
+        return np.full(len(v), v[ok].mean() if ok.any() else 0.0)
+    t, short, out = np.arange(len(v), dtype=float), max(2, round(short_s * fps)), v.copy()
+    for a, b in gaps(~ok):
+        if a > 0 and b < len(v) - 1 and b - a + 1 <= short:
+            out[a : b + 1] = pchip(t[ok], v[ok], t[a : b + 1])
+    start = float(v[ok][0])
+    forward, backward = (np.array([k[0] for k in _filtered(x, q, r, start)[1]]) for x in (out, out[::-1]))
+    return np.where(np.isfinite(out), out, (forward + backward[::-1]) / 2)
 
 
 def fill(v: np.ndarray, fps: float, short_s: float = 0.25) -> np.ndarray:
@@ -131,8 +154,11 @@ def fill(v: np.ndarray, fps: float, short_s: float = 0.25) -> np.ndarray:
     return out
 
 
-def repaired(pose: DataFrame, fps: float, mask: bool = True) -> DataFrame:
-    """pose with outliers masked and gaps filled. Smoothing (operators.pose.smooth) follows with window functions."""
+def repaired(pose: DataFrame, fps: float, mask: bool = True, filler=fill) -> DataFrame:
+    """pose with outliers masked and gaps filled. Smoothing (operators.pose.smooth) follows with window functions.
+
+    A task has one node's series of one session at a time: a session is a recording of hours at most.
+    """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sidx")
@@ -140,6 +166,6 @@ def repaired(pose: DataFrame, fps: float, mask: bool = True) -> DataFrame:
         if mask:
             mask_speed_outliers(x, y)
             mask_drift_outliers(x, y, fps)
-        return pdf.assign(x=fill(x, fps), y=fill(y, fps))
+        return pdf.assign(x=filler(x, fps), y=filler(y, fps))
 
     return pose.groupBy("session", "track", "node").applyInPandas(one, pose.schema)

@@ -150,3 +150,15 @@ def test_fill(gap):
 
 def test_fill_of_little():
     assert (repair.fill(np.full(5, np.nan), 24) == 0).all() and (repair.fill(np.array([np.nan, 4, 6, np.nan]), 24) == 5).all()
+
+
+def test_earlier_filler():
+    line = 2.0 * np.arange(60) + 5
+    v = line.copy()
+    v[[10, 11, 30, 31, 32, 33, 34, 35, 36, 37, 38, 39, 58, 59]] = np.nan
+    out = repair.fill_converging(v, 24)
+    ok = np.isfinite(v)
+    assert (out[ok] == v[ok]).all() and np.isfinite(out).all() and np.allclose(out[[10, 11]], line[[10, 11]])
+    # the mean of two predictions that run on from either side
+    assert np.abs(out[30:40] - line[30:40]).max() < 8
+    assert (repair.fill_converging(np.full(5, np.nan), 24) == 0).all() and (repair.fill_converging(np.array([np.nan, 4, 6]), 24) == 5).all()
