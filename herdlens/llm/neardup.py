@@ -41,7 +41,7 @@ MISS = 1e-6
 #: Members of a star that one task takes on.
 STAR = 128
 #: Members of a bucket that stand on one side of a block of signatures, and of a block of sets.
-BLOCK, SET_BLOCK = 512, 256
+BLOCK, SET_BLOCK = 512, 128
 #: Rounds of further stars; whatever they leave goes through blocks.
 MORE_STARS = 8
 #: Pairs whose signatures are compared at a time.
