@@ -7,7 +7,6 @@ whose readers are all stored themselves can go before, by discard().
 from __future__ import annotations
 
 import atexit
-import re
 import tempfile
 import uuid
 
@@ -18,7 +17,7 @@ def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session. In local mode without it (tests), a temporary folder; on a cluster, an error."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not place:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        if not (spark.sparkContext.master + "[").startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="herdlens-")
         spark.conf.set("spark.checkpoint.dir", place)
