@@ -124,5 +124,5 @@ def test_small_batches(spark, awkward, monkeypatch):
     schema = S.encode(awkward, PATH).schema
     monkeypatch.setattr(S, "OUT_BYTES", 8)
     batches = awkward.select("doc_id", "text").coalesce(1).toArrow().to_batches()
-    got = spark.createDataFrame([r for b in S._encode(PATH, S.N_BEST)(batches) for r in zip(*b.to_pydict().values())], schema)
+    got = spark.createDataFrame([r for b in S._encode(PATH, S.N_BEST, 50)(batches) for r in zip(*b.to_pydict().values())], schema)
     assert sorted(map(repr, got.collect())) == want
