@@ -34,7 +34,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each row's best segmentations, with their digests."""
-    return nbest.encode(docs, vocabulary("piece_bpe_32k.model"))
+    return nbest.encode(docs, vocabulary("piece_bpe_32k.model"), cache=100_000)  # workers hold what earlier stages left, too
 
 
 STAGES = [
