@@ -40,16 +40,28 @@ def store_queries(df: DataFrame, id_column: str, vector: str) -> list[str]:
 
 
 def query_blocks(files: list[str], rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, vectors) of up to `rows` queries at a time, read in a task."""
+    """(ids, vectors) of `rows` queries at a time (the last has what is left), read in a task, filled over files."""
+    import pyarrow as pa
     import pyarrow.parquet as pq
     from pyarrow.fs import FileSystem
 
+    waiting, n = [], 0
     for uri in files:
         fs, path = FileSystem.from_uri(uri)
         with fs.open_input_file(path) as f:
             for batch in pq.ParquetFile(f).iter_batches(rows, columns=["id", "v"]):
-                if batch.num_rows:
-                    yield batch.column("id").to_numpy(), matrix(batch.column("v"))
+                waiting.append(batch)
+                n += batch.num_rows
+                if n >= rows:
+                    table = pa.Table.from_batches(waiting)
+                    yield _block(table.slice(0, rows))
+                    waiting, n = table.slice(rows).to_batches(), n - rows
+    if n:
+        yield _block(pa.Table.from_batches(waiting))
+
+
+def _block(table) -> tuple[np.ndarray, np.ndarray]:
+    return table.column("id").to_numpy(), matrix(table.column("v"))
 
 
 def matrix(column) -> np.ndarray:
