@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import langid, licenses, linededup, mixing, nbest, neardup, pivots, sharding, tokenbin, vptree
+from . import importance, langid, licenses, linededup, mixing, nbest, neardup, pivots, sharding, tokenbin, vptree
 from .common import documents
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -79,6 +79,11 @@ def op10_language_id(spark, sf_dir):
     return langid.predict(docs, model).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_importance_resampling(spark, sf_dir):
+    out = importance.resample(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -90,6 +95,7 @@ QUERIES = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_source_mixing": op9_source_mixing,
     "op10_language_id": op10_language_id,
+    "op11_importance_resampling": op11_importance_resampling,
 }
 
 ORACLE_SQL = {
@@ -97,4 +103,5 @@ ORACLE_SQL = {
     "op4_line_dedup": linededup.ORACLE_SQL,
     "op8_exact_top_k": pivots.ORACLE_SQL,
     "op9_source_mixing": mixing.ORACLE_SQL,
+    "op11_importance_resampling": importance.ORACLE_SQL,
 }

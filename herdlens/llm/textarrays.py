@@ -82,6 +82,25 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[n
     return hashes, np.searchsorted(starts, offsets).astype(np.int64)
 
 
+def word_places(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes with A-Z lower-cased; where each word begins; its bytes; and where each text's words begin (one more
+    than texts).
+
+    data: the bytes from offsets[0] to offsets[-1].
+    """
+    offsets = offsets - offsets[0]
+    low = _LOWER[data]
+    inside = is_word[low]
+    before = np.zeros_like(inside)
+    before[1:] = inside[:-1]
+    before[offsets[:-1][offsets[:-1] < len(data)]] = False
+    starts = np.flatnonzero(inside & ~before)
+    after = np.zeros_like(inside)
+    after[:-1] = inside[1:]
+    after[offsets[1:][(offsets[1:] > 0)] - 1] = False
+    return low, starts, np.flatnonzero(inside & ~after) + 1 - starts, np.searchsorted(starts, offsets).astype(np.int64)
+
+
 def shingles(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of each text's distinct k-word shingles, and their bounds.
 
