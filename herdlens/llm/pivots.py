@@ -6,7 +6,7 @@ for a query, the largest |d(q, p) - d(x, p)| over the pivots p is a lower bound
 upper bound of the inner product. Candidates are evaluated in the order of their bounds, until the next bound is below
 the k-th best product: exact, whatever the pivots are.
 
-Vectors stay where they are read: a task works out the table of a block of rows once, and the stored queries go past it.
+Vectors stay where they are read: a task works out the table of its rows once, and the stored queries go past it once.
 
 Pivots come from a bounded sample of rows by farthest-first choice; they decide the speed only.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .vectors import QUERY_ROWS, best, matrix, query_blocks, store_queries, usable
+from .vectors import QUERY_ROWS, best, gathered, matrix, query_blocks, store_queries, usable
 
 PIVOTS = 32
 SAMPLE = 1024
@@ -87,10 +87,8 @@ def top_products(q_ids, q, ids, x, table, pivots, longest: float, k: int):
 
 def _search(files: list[str], query_rows: int, pivots: np.ndarray, longest: float, k: int):
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, x = batch.column("id").to_numpy(), matrix(batch.column("v"))
+        for rows in gathered(batches):
+            ids, x = rows.column("id").to_numpy(), matrix(rows.column("v"))
             table = pivot_table(lifted(x, longest), pivots)
             for q_ids, q in query_blocks(files, query_rows):
                 found = list(top_products(q_ids, q, ids, x, table, pivots, longest, k))
@@ -106,8 +104,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_column: str, vector: str, k
 
     Rows but the query's own are candidates; ties go to smaller ids; with fewer than k candidates all are returned.
     Vectors that are null or hold null or non-finite components, and rows without id, take no part; zero vectors do.
-    All vectors must have one length, and products must stay below 2^53. A task sends on k rows a query and block of
-    rows (an Arrow batch), and keeps the best k of a query before they are shuffled.
+    All vectors must have one length, and products must stay below 2^53. A task sends on k rows a query (and TASK_BYTES
+    of its rows), and keeps the best k of a query before they are shuffled.
     """
 
     def whole(df):

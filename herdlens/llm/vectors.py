@@ -1,7 +1,8 @@
 """Shards of vectors and blocks of queries, shared by the searches.
 
 Shards stay in their tasks. Queries are stored once in the shared folder, and each task reads them there block by block,
-so nothing is shuffled or copied for a shard and a block to meet.
+so nothing is shuffled or copied for a shard and a block to meet. A task puts together what it holds, up to TASK_BYTES,
+and reads the queries once for all of that.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from .common import stored
 #: Vectors a shard holds, about, and queries that a task takes at a time.
 SHARD_ROWS = 4096
 QUERY_ROWS = 512
+#: Bytes of vectors that meet the queries in one reading of them.
+TASK_BYTES = 1 << 26
 
 
 def usable(df: DataFrame, vector: str, zero_ok: bool) -> Column:
@@ -33,14 +36,36 @@ def shards(df: DataFrame, id_column: str, vector: str, rows: int, total: int) ->
     return df.select(F.col(id_column).alias("id"), F.col(vector).alias("v")).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
 
 
-def store_queries(df: DataFrame, id_column: str, vector: str) -> list[str]:
-    """Files with the rows of df as (id, v), for query_blocks."""
-    fine = df.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+def gathered(batches, most: int = TASK_BYTES):
+    """Arrow tables of the batches put together, each of about `most` bytes; none without rows."""
+    import pyarrow as pa
+
+    waiting, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            waiting.append(batch)
+            size += batch.nbytes
+        if size >= most:
+            yield pa.Table.from_batches(waiting)
+            waiting, size = [], 0
+    if waiting:
+        yield pa.Table.from_batches(waiting)
+
+
+def store_queries(df: DataFrame, id_column: str, vector: str, *more: str) -> list[str]:
+    """Files with the rows of df as (id, v) and the columns in `more`, for query_blocks."""
+    fine = df.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), *more)
     return sorted(stored(fine.coalesce(max(1, fine.sparkSession.sparkContext.defaultParallelism)), "queries").inputFiles())
 
 
 def query_blocks(files: list[str], rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, vectors) of `rows` queries at a time (the last has what is left), read in a task, filled over files."""
+    for table in query_tables(files, rows):
+        yield table.column("id").to_numpy(), matrix(table.column("v"))
+
+
+def query_tables(files: list[str], rows: int):
+    """As query_blocks, as Arrow tables with all columns."""
     import pyarrow as pa
     import pyarrow.parquet as pq
     from pyarrow.fs import FileSystem
@@ -49,19 +74,15 @@ def query_blocks(files: list[str], rows: int) -> Iterator[tuple[np.ndarray, np.n
     for uri in files:
         fs, path = FileSystem.from_uri(uri)
         with fs.open_input_file(path) as f:
-            for batch in pq.ParquetFile(f).iter_batches(rows, columns=["id", "v"]):
+            for batch in pq.ParquetFile(f).iter_batches(rows):
                 waiting.append(batch)
                 n += batch.num_rows
                 if n >= rows:
                     table = pa.Table.from_batches(waiting)
-                    yield _block(table.slice(0, rows))
+                    yield table.slice(0, rows)
                     waiting, n = table.slice(rows).to_batches(), n - rows
     if n:
-        yield _block(pa.Table.from_batches(waiting))
-
-
-def _block(table) -> tuple[np.ndarray, np.ndarray]:
-    return table.column("id").to_numpy(), matrix(table.column("v"))
+        yield pa.Table.from_batches(waiting)
 
 
 def matrix(column) -> np.ndarray:

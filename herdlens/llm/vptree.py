@@ -6,7 +6,7 @@ and outside only if m - d <= t / f (f: the pruning factor). With f = 1 that is t
 exact; larger factors prune more and may miss neighbours.
 
 Trees are built once, one task a shard, and stored. To search, each tree stays in one task and the stored queries go
-past it block by block. Queries of a block that reach a node are handled together.
+past all trees of the task block by block, read once. Queries of a block that reach a node are handled together.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .vectors import QUERY_ROWS, SHARD_ROWS, best, query_blocks, shards, store_queries, usable
+from .vectors import QUERY_ROWS, SHARD_ROWS, best, gathered, query_blocks, shards, store_queries, usable
 
 LEAF = 64
 #: 1: exact. Random vectors of many dimensions gain little from pruning, so exactness costs little here.
@@ -53,12 +53,14 @@ class Tree:
         self.nodes[at] = (vantage, (float(d[inside].max()), float(d[~inside].min())), radius, a, b)
         return at
 
-    def search(self, q_ids: np.ndarray, q: np.ndarray, k: int, factor: float = FACTOR):
-        """(distances, ids), each (queries, k), nearest first, ties to smaller ids; inf and -1 where there are fewer."""
-        self.top_d, self.top_i = np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+    def search(self, q_ids: np.ndarray, q: np.ndarray, k: int, factor: float = FACTOR, found=None):
+        """(distances, ids), each (queries, k), nearest first, ties to smaller ids; where there are fewer, distances are
+        inf and ids say nothing. found: what other trees gave for these queries; the best of all are returned, and what
+        is known already prunes from the start."""
+        self.top_d, self.top_i = found or (np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max))
         if len(self.ids):
             self._visit(self.root, np.arange(len(q)), q_ids, q, k, factor)
-        return self.top_d, np.where(np.isinf(self.top_d), -1, self.top_i)
+        return self.top_d, self.top_i
 
     def _offer(self, who, rows, d, q_ids) -> None:
         d = np.where(self.ids[rows][None] == q_ids[who][:, None], np.inf, d)
@@ -112,13 +114,15 @@ def _search(files: list[str], query_rows: int, k: int, factor: float):
     def run(batches):
         import pickle
 
-        for batch in batches:
-            for raw in batch.column("tree"):
-                tree = pickle.loads(raw.as_py())
-                for ids, q in query_blocks(files, query_rows):
-                    d, found = tree.search(ids, q, k, factor)
-                    some = found >= 0
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, some.sum(1))), pa.array(found[some]), pa.array(d[some])], ["query_id", "vec_id", "score"])
+        for rows in gathered(batches):
+            trees = [pickle.loads(raw.as_py()) for raw in rows.column("tree")]
+            for ids, q in query_blocks(files, query_rows):
+                found = None
+                for tree in trees:
+                    found = tree.search(ids, q, k, factor, found)
+                d, i = found
+                some = np.isfinite(d)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, some.sum(1))), pa.array(i[some]), pa.array(d[some])], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -127,11 +131,11 @@ def search(trees: DataFrame, queries: DataFrame, id_column: str, vector: str, k:
     """query_id, rank, vec_id, score: each query's k nearest rows but itself, by Euclidean distance, ties to smaller ids.
 
     Null vectors, zero vectors and those with null or non-finite components are neither found nor searched for, as are
-    rows without id. With fewer candidates than k all are returned. All vectors must have one length. A task sends on k
-    rows a query and tree.
+    rows without id. With fewer candidates than k all are returned; ids may be negative. All vectors must have one length.
+    A task sends on k rows a query (and TASK_BYTES of its trees).
     """
     files = store_queries(queries.where(usable(queries, vector, zero_ok=False) & F.col(id_column).isNotNull()), id_column, vector)
     # no key: trees are dealt out one by one, so a task has one or a few
-    spread = max(1, min(trees.count(), 4 * trees.sparkSession.sparkContext.defaultParallelism))
+    spread = max(1, min(trees.count(), 2 * trees.sparkSession.sparkContext.defaultParallelism))
     found = trees.select("tree").repartition(spread).mapInArrow(_search(files, query_rows, k, factor), "query_id long, vec_id long, score double")
     return best(found, k, F.col("score"))

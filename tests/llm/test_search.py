@@ -31,8 +31,8 @@ def test_tree_is_exact_at_factor_one(spread):
     if spread:
         _, rough = tree.search(ids[q], x[q], 10, factor=1.5)
         assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(found, rough)]) >= 0.9
-    _, few = vptree.Tree(ids[:4], x[:4]).search(ids[:1], x[:1], 10)
-    assert (few[0] >= 0).sum() == 3
+    d, few = vptree.Tree(ids[:4] - 1000, x[:4]).search(ids[:1] - 1000, x[:1], 10)
+    assert np.isfinite(d[0]).sum() == 3 and set(few[0][np.isfinite(d[0])]) == set(ids[1:4] - 1000)
 
 
 def test_search_like_brute_force(spark, data):
@@ -84,3 +84,27 @@ def test_nothing_to_find(spark, rows):
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"id": F.lit(1), "v": F.lit("x"), "shard": F.lit(0), "score": F.lit(1)})
     assert vptree.search(vptree.build(v, "vec_id", "embedding"), v, "vec_id", "embedding", 3).count() == 0
     assert pivots.top_k(v, v, "vec_id", "embedding", 3).count() == 0
+
+
+def test_negative_ids_and_queries_read_once_a_task(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=3).tolist()) for i in range(-40, 40)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ids, x = [i for i, _ in rows], np.array([e for _, e in rows])
+    got = vptree.search(vptree.build(v, "vec_id", "embedding", rows=16), v, "vec_id", "embedding", 5, query_rows=30)
+    want = nearest(ids, x, ids, 5)
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got.collect()) == [w[:3] for w in sorted(want)]
+    whole = np.floor(64 * x).astype(int)
+    products = [(i, r + 1, j, -s) for i, a in zip(ids, whole) for r, (s, j) in enumerate(sorted((-int(a @ b), j) for j, b in zip(ids, whole) if j != i)[:5])]
+    assert sorted(map(tuple, pivots.top_k(v, v, "vec_id", "embedding", 5, query_rows=30).collect())) == sorted(products)
+
+    reads = []
+    once = lambda files, rows: reads.append(files) or iter([(np.array(ids), x)])
+    monkeypatch.setattr(vptree, "query_blocks", once)
+    monkeypatch.setattr(pivots, "query_blocks", once)
+    trees = vptree.build(v, "vec_id", "embedding", rows=16).select("tree").toArrow().to_batches(max_chunksize=1)
+    assert len(trees) > 3 and len(list(vptree._search(["f"], 30, 5, 1.0)(trees))) == 1 and len(reads) == 1
+    batches = v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")).toArrow().to_batches(max_chunksize=7)
+    longest = float((x * x).sum(1).max())
+    list(pivots._search(["f"], 30, pivots.choose_pivots(pivots.lifted(x, longest)), longest, 5)(batches))
+    assert len(batches) > 10 and len(reads) == 2
