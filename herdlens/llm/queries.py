@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import importance, langid, licenses, linededup, mixing, nbest, neardup, pivots, sharding, tokenbin, vptree
+from . import annuli, importance, langid, licenses, linededup, mixing, nbest, neardup, pivots, sharding, tokenbin, vptree
 from .common import documents
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -84,6 +84,12 @@ def op11_importance_resampling(spark, sf_dir):
     return out.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_hard_negatives(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    vectors = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return annuli.hard_negatives(vectors, vectors.where("vec_id % 100 = 0"), "vec_id", "embedding", "label")
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -96,6 +102,7 @@ QUERIES = {
     "op9_source_mixing": op9_source_mixing,
     "op10_language_id": op10_language_id,
     "op11_importance_resampling": op11_importance_resampling,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL = {
@@ -104,4 +111,5 @@ ORACLE_SQL = {
     "op8_exact_top_k": pivots.ORACLE_SQL,
     "op9_source_mixing": mixing.ORACLE_SQL,
     "op11_importance_resampling": importance.ORACLE_SQL,
+    "op13_hard_negatives": annuli.ORACLE_SQL,
 }
