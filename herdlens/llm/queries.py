@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import annuli, importance, langid, licenses, linededup, mixing, nbest, neardup, pivots, sharding, tokenbin, vptree
+from . import annuli, importance, langid, licenses, linededup, mixing, nbest, neardup, pivots, sharding, tokenbin, toxicity, vptree
 from .common import documents
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -84,6 +84,12 @@ def op11_importance_resampling(spark, sf_dir):
     return out.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_toxicity(spark, sf_dir):
+    docs, labels = documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.learn(docs, labels, ~toxicity.held_out(F.col("doc_id")))
+    return toxicity.predict(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op13_hard_negatives(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     vectors = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
@@ -102,6 +108,7 @@ QUERIES = {
     "op9_source_mixing": op9_source_mixing,
     "op10_language_id": op10_language_id,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_toxicity": op12_toxicity,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
