@@ -108,6 +108,12 @@ def _index_type(buckets: int) -> str:
     return "<u2" if buckets <= 1 << 16 else "<u4"
 
 
+def _narrow(counts: np.ndarray) -> bytes:
+    """In as few bytes each (1, 2 or 4) as the largest needs."""
+    most = int(counts.max(initial=0))
+    return counts.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
+
+
 def _as_blocks(buckets: int, orders: int):
     def run(batches):
         for batch in batches:
@@ -121,7 +127,7 @@ def _as_blocks(buckets: int, orders: int):
                         pa.array([n_words], pa.list_(pa.int64())),
                         pa.array([indptr], pa.list_(pa.int64())),
                         pa.array([indices.astype(_index_type(buckets)).tobytes()], pa.binary()),
-                        pa.array([counts.astype("<u4").tobytes()], pa.binary()),
+                        pa.array([_narrow(counts)], pa.binary()),
                     ],
                     ["ids", "n_words", "indptr", "indices", "counts"],
                 )
@@ -131,7 +137,8 @@ def _as_blocks(buckets: int, orders: int):
 
 def count_matrix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", buckets: int = BUCKETS, orders: int = ORDERS) -> DataFrame:
     """The stored document-by-bucket matrix: ids, n_words and indptr (one more than ids) as arrays, indices and counts as
-    little-endian unsigned integers (indices of 16 bits if the buckets allow it, counts of 32). A row a block.
+    little-endian unsigned integers (indices of 16 bits if the buckets allow it, counts as narrow as the block allows). A
+    row a block.
 
     Words are runs of 0-9, a-z (A-Z lower-cased, nothing else) and characters beyond ASCII. A null text has none, and
     every row of docs is a row of the matrix, repeated ones too.
@@ -144,7 +151,9 @@ def count_matrix(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
 
 def _cells(batch, buckets: int):
     for indices, counts in zip(batch.column("indices"), batch.column("counts")):
-        yield np.frombuffer(indices.as_buffer(), _index_type(buckets)), np.frombuffer(counts.as_buffer(), "<u4").astype(np.int64)
+        index = np.frombuffer(indices.as_buffer(), _index_type(buckets))
+        width = len(counts.as_buffer()) // len(index) if len(index) else 1
+        yield index, np.frombuffer(counts.as_buffer(), f"<u{width}").astype(np.int64)
 
 
 def column_sums(matrix: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
