@@ -20,8 +20,9 @@ import gc
 import re
 import struct
 import zlib
+from bisect import insort
 from functools import lru_cache
-from heapq import heappop, heappush, heappushpop, nsmallest
+from heapq import nsmallest
 from itertools import chain
 from operator import itemgetter
 
@@ -34,16 +35,23 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 N_BEST = 4
 #: Parts that a worker keeps, over all its tasks; at the limit it forgets those not used since the last time. Twice as
-#: many, of some 340 bytes each, are in its memory at most.
-CACHE_PARTS = 300_000
+#: many, of so many bytes each, are in its memory at most; longer ones count by their length.
+CACHE_PARTS, PART_BYTES = 300_000, 340
 #: An output batch ends at either.
 OUT_ROWS, OUT_BYTES = 256, 1 << 23
 #: The loss of what can't be segmented in a second way.
 NEVER = 1 << 60
+#: Beyond the score of any text: pieces for long runs of blanks cost a billion each.
+UNREACHED = 1 << 100
 _LAST, _EDGE_IDS = itemgetter(0), itemgetter(2)
 _BYTE = re.compile("<0x([0-9A-F]{2})>")
 
 
+def _size(text: str, ids: bytes) -> int:
+    """Bytes that an entry takes, about: no less than an ordinary one."""
+    return max(PART_BYTES, 300 + 2 * len(text) + len(ids))
+
+
 def _raw(*ids: int) -> bytes:
     """ids as little-endian unsigned 32-bit integers."""
     return struct.pack(f"<{len(ids)}I", *ids)
@@ -85,7 +93,7 @@ class Lattice:
                 if c not in self.single:
                     edges.append((i, (1, self.byte_score, _raw(*(self.byte_ids[b] for b in c.encode("utf-8", "surrogatepass"))))))
             edges.sort(key=_LAST)
-        best = [-NEVER] * (len(part) + 1)
+        best = [-UNREACHED] * (len(part) + 1)
         best[0] = 0
         for last, edge in edges:
             total = best[last + 1 - edge[0]] + edge[1]
@@ -100,7 +108,7 @@ class Lattice:
         and of the paths that wait only the best total matters: that of the second.
         """
         edges, best = self.forward(part)
-        node, behind, total, waiting, path, at = len(part), 0, -best[-1], NEVER, [], len(edges) - 1
+        node, behind, total, waiting, path, at = len(part), 0, -best[-1], UNREACHED, [], len(edges) - 1
         while node:
             onward, last = None, node - 1
             while edges[at][0] > last:
@@ -121,36 +129,48 @@ class Lattice:
             node -= onward[0]
             path.append(onward[2])
         path.reverse()
-        return -total, b"".join(path), waiting - total if waiting < NEVER else NEVER
+        return -total, b"".join(path), waiting - total if waiting < UNREACHED else NEVER
 
     def n_best(self, part: str, n: int) -> list[tuple[int, bytes]]:
-        """(score, ids) of the n best segmentations, or all if fewer; equal scores by their ids from the end, as bytes."""
+        """(score, ids) of the n best segmentations, or all if fewer; the best of equal ones as first() has it, others as
+        the search meets them.
+
+        What waits in the queue has its exact total, and no two entries lead to one segmentation. So only as many need to
+        wait as are still wanted, and paths are links to what they go on from: memory grows with the part's length.
+        """
         edges, best = self.forward(part)
-        ends: list[list] = [[] for _ in best]
-        for last, edge in edges:
-            ends[last + 1].append(edge)
-        queue, out = [(-best[-1], (), len(part), 0)], []
+        begin, at = [0] * (len(part) + 2), 0
+        for node in range(len(part) + 2):
+            while at < len(edges) and edges[at][0] + 1 < node:
+                at += 1
+            begin[node] = at
+        queue, out, turn = [(-best[-1], 0, None, len(part), 0)], [], 0
         while queue and len(out) < n:
-            total, path, node, behind = heappop(queue)
+            total, _, path, node, behind = queue.pop(0)
             while node:
                 # of the edges that end here, one goes on with this total; the others wait
                 onward = None
-                for edge in ends[node]:
+                for k in range(begin[node], begin[node + 1]):
+                    edge = edges[k][1]
                     i = node - edge[0]
                     cost = behind - edge[1]
-                    entry = (cost - best[i], (*path, edge[2]), i, cost)
+                    to = cost - best[i]
                     if onward is None:
-                        onward = entry
-                    elif entry < onward:
-                        heappush(queue, onward)
-                        onward = entry
-                    else:
-                        heappush(queue, entry)
-                if queue and queue[0] < onward:
-                    onward = heappushpop(queue, onward)
-                _, path, node, behind = onward
-                total = onward[0]
-            out.append((-total, b"".join(reversed(path))))
+                        onward = to, edge, i, cost
+                        continue
+                    if to < onward[0] or (to == onward[0] and edge[2] < onward[1][2]):
+                        (to, edge, i, cost), onward = onward, (to, edge, i, cost)
+                    turn += 1
+                    if len(queue) < n - len(out) - 1 or (queue and to < queue[-1][0]):
+                        insort(queue, (to, turn, (edge[2], path), i, cost))
+                        del queue[n - len(out) - 1 :]
+                _, edge, node, behind = onward
+                path = edge[2], path
+            ids = []
+            while path is not None:
+                ids.append(path[0])
+                path = path[1]
+            out.append((-total, b"".join(ids)))
         return out
 
     def cut(self, text: str) -> list[str]:
@@ -167,9 +187,13 @@ class Lattice:
 
 
 class Segmenter:
+    """Segments texts and remembers units and parts, in about as many bytes as `cache` ordinary ones take, however long
+    they are."""
+
     def __init__(self, lattice: Lattice, n: int = N_BEST, cache: int = CACHE_PARTS):
-        self.lattice, self.n, self.limit = lattice, n, cache
+        self.lattice, self.n, self.limit = lattice, n, cache * PART_BYTES
         self.units, self.old, self.parts, self.seconds = {}, {}, {}, {}
+        self.units_size = self.parts_size = self.seconds_size = 0
         self.decoder, self.lossy = Decoder(lattice), set()
 
     def _part(self, part: str):
@@ -177,6 +201,7 @@ class Segmenter:
         found = self.parts.get(part)
         if found is None:
             found = self.parts[part] = self.lattice.first(part)
+            self.parts_size += _size(part, found[1])
         return found
 
     def _unit(self, unit: str):
@@ -193,19 +218,22 @@ class Segmenter:
         """Units without a space in front have it understood."""
         found = list(map(self.units.get, units))
         if None in found:
-            if len(self.units) > self.limit:
-                self.old, self.units = self.units, {}
-            if len(self.parts) > self.limit:
-                self.parts.clear()
+            if self.units_size > self.limit:
+                self.old, self.units, self.units_size, self.lossy = self.units, {}, 0, {u for u in self.lossy if u in self.units}
+            if self.parts_size > self.limit:
+                self.parts, self.parts_size = {}, 0
             known, old = self.units, self.old
             for i in [i for i, f in enumerate(found) if f is None]:
                 u = units[i]
-                f = known.get(u) or old.get(u)
+                f = known.get(u)
                 if f is None:
-                    whole = u if u[:1] == SPACE else SPACE + u
-                    f = self._unit(whole)
-                    if self.decoder.bytes(f[1]) != whole.replace(SPACE, " ").encode("utf-8", "surrogatepass"):
-                        self.lossy.add(u)
+                    f = old.get(u)
+                    if f is None:
+                        whole = u if u[:1] == SPACE else SPACE + u
+                        f = self._unit(whole)
+                        if self.decoder.bytes(f[1]) != whole.replace(SPACE, " ").encode("utf-8", "surrogatepass"):
+                            self.lossy.add(u)
+                    self.units_size += _size(u, f[1])
                 found[i] = known[u] = f
         return found
 
@@ -243,13 +271,24 @@ class Segmenter:
         """(loss, ids) of the unit's n best."""
         found = self.seconds.get(unit)
         if found is None:
-            if len(self.seconds) > self.limit // 10:
-                self.seconds.clear()
-            combined = [(0, b"")]
-            for part in self.lattice.cut(unit):
-                best = self.lattice.n_best(part, self.n)
-                combined = nsmallest(self.n, ((a + best[0][0] - s, x + y) for a, x in combined for s, y in best))
-            found = self.seconds[unit] = combined
+            if self.seconds_size > self.limit // 10:
+                self.seconds, self.seconds_size = {}, 0
+            parts = self.lattice.cut(unit)
+            best = [self._part(p) for p in parts]
+            # again only the parts whose second best costs least
+            chosen = [i for i in nsmallest(self.n - 1, range(len(parts)), key=lambda i: best[i][2]) if best[i][2] < NEVER]
+            combined = [(0, ())]
+            for i in chosen:
+                other = self.lattice.n_best(parts[i], self.n)
+                combined = nsmallest(self.n, ((loss + other[0][0] - s, (*made, (i, raw)) if raw != best[i][1] else made) for loss, made in combined for s, raw in other), key=_LAST)
+            found = []
+            for loss, made in combined:
+                ids = [b[1] for b in best]
+                for i, raw in made:
+                    ids[i] = raw
+                found.append((loss, b"".join(ids)))
+            self.seconds[unit] = found
+            self.seconds_size += sum(_size(unit, raw) for _, raw in found)
         return found
 
 

@@ -126,3 +126,26 @@ def test_small_batches(spark, awkward, monkeypatch):
     batches = awkward.select("doc_id", "text").coalesce(1).toArrow().to_batches()
     got = spark.createDataFrame([r for b in S._encode(PATH, S.N_BEST, 50)(batches) for r in zip(*b.to_pydict().values())], schema)
     assert sorted(map(repr, got.collect())) == want
+
+
+def test_long_unbroken_text_takes_memory_by_its_length(lattice):
+    """200,000 letters, digits, blanks or one letter, without a space that cuts them."""
+    import resource
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(letters) for _ in range(200_000)) for letters in ("abcdefghijklmnopqrstuvwxyz", "ACGT", "aZ09+/=", "a", " ")]
+    for text in texts:
+        segment = S.Segmenter(lattice, 4)
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+        ids, best, same = segment(text)
+        assert same and len(best) == 4 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000, text[:9]
+        assert [s for s, _ in best] == sorted((s for s, _ in best), reverse=True) and S.Decoder(lattice)(ids) == text
+        assert len({raw for _, raw in whole((ids, best, same))}) == 4
+
+
+def test_cache_is_bounded_in_bytes(lattice):
+    rng, segment = random.Random(6), S.Segmenter(lattice, 2, cache=200)
+    for i in range(60):
+        segment("".join(rng.choice("abc019") for _ in range(2000)) + f" x{i}")
+        held = sum(S._size(u, f[1]) for d in (segment.units, segment.old, segment.parts) for u, f in d.items())
+        assert held <= 3 * (200 * S.PART_BYTES + 2 * 60_000)
