@@ -33,6 +33,9 @@ SEED = 7
 #: average; twice that and a row a language are never exceeded). Rows are whole texts.
 ROWS_PER_LANGUAGE = 600
 ROWS_IN_ALL = 16 * ROWS_PER_LANGUAGE
+#: Bound of the different n-grams of all sampled texts, which are 8 bytes each at the driver: each language's rows end
+#: with the one that reaches its equal share. A text has at most 196,608.
+GRAMS_IN_ALL = 24_000_000
 #: Share of the accepted calibration rows that may be wrong, and the probability below which a text is always rejected.
 MAX_ERROR, LEAST_SURE = 0.01, 0.5
 UNDETERMINED = "und"
@@ -182,7 +185,7 @@ def learn(docs: DataFrame, usable: Column, rows: int = ROWS_PER_LANGUAGE) -> Mod
     Different texts of a language are drawn by a hash of language and text, at a rate for each language, so rare
     languages are as well covered as common ones, copies count once, and neither doc_ids nor the order of rows play a
     part. Every language is learnt: when they are many, each has fewer rows, one at least. The bounds hold at any input
-    size.
+    size; with very long texts GRAMS_IN_ALL is the one that binds, and fewer rows are taken.
     """
     labelled = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     labelled = labelled.withColumn("h", F.xxhash64(F.lit("sample"), F.col("lang"), F.col("text")))
@@ -195,7 +198,10 @@ def learn(docs: DataFrame, usable: Column, rows: int = ROWS_PER_LANGUAGE) -> Mod
     drawn = labelled.join(F.broadcast(rates), "lang").where((chance < F.col("rate")) | (chance == F.col("least"))).groupBy("lang", "h").agg(F.first("text").alias("text"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     bounded = drawn.withColumn("place", place).where(F.col("place") <= 2 * rows + 1).select("lang", "h", "text")
-    sample = bounded.mapInArrow(_counted, "lang string, h long, grams array<int>, counts array<int>").toArrow().to_batches()
+    counted = bounded.mapInArrow(_counted, "lang string, h long, grams array<int>, counts array<int>")
+    before = F.sum(F.size("grams")).over(Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, -1))
+    counted = counted.withColumn("before", before).where(F.coalesce("before", F.lit(0)) < GRAMS_IN_ALL // len(counts)).drop("before")
+    sample = counted.toArrow().to_batches()
     found = [(lang, h, grams.values.to_numpy(), counts.values.to_numpy()) for b in sample for lang, h, grams, counts in zip(b.column("lang").to_pylist(), b.column("h").to_pylist(), b.column("grams"), b.column("counts"))]
     found.sort(key=lambda r: r[:2])
     return train([r[2:] for r in found], [r[0] for r in found])

@@ -96,3 +96,16 @@ def test_rejection_keeps_the_stated_error():
     assert model.threshold > 0.5 and model.error <= 0.01 and 0.6 < model.accepted < 0.95
     clean = L.train([r for i, r in enumerate(rows) if not (i % 2 and i % 3 == 0)], [x for i, x in enumerate(labels) if not (i % 2 and i % 3 == 0)])
     assert clean.threshold == 0.5 and clean.accepted == 1 and clean.error == 0
+
+
+def test_very_long_texts_are_fewer(spark, monkeypatch):
+    """The driver gets a bounded number of n-grams, whatever the texts' lengths; each language has a row at least."""
+    seen = []
+    monkeypatch.setattr(L, "train", lambda rows, labels: seen.append((labels, [len(r[0]) for r in rows])))
+    monkeypatch.setattr(L, "GRAMS_IN_ALL", 30_000)
+    rng = np.random.default_rng(1)
+    text = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    docs = spark.createDataFrame([(i, text(20_000 if i % 3 else 50), "AB"[i % 2]) for i in range(40)], "doc_id long, text string, lang string")
+    L.learn(docs, F.lit(True))
+    labels, sizes = seen[0]
+    assert set(labels) == {"A", "B"} and max(sizes) > 15_000 and sum(sizes) <= 30_000 + 2 * max(sizes) and len(sizes) < 40
