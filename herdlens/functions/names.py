@@ -13,6 +13,7 @@ ROLES = {
     "hip_l": ("hindlegl", "hip_left", "hip_l", "left_hip", "hl"),
     "hip_r": ("hindlegr", "hip_right", "hip_r", "right_hip", "hr"),
     "tail_base": ("tailstart", "tail_base", "tailbase", "tb"),
+    "tail_mid": ("tailmid", "tail_mid", "tailmiddle", "tm"),
     "tail_end": ("tailend", "tail_end", "te"),
 }
 # Behaviours whose columns are flags, and the words in names of other features, in the order of asking.
@@ -46,11 +47,11 @@ def find_node(names: list[str], role: str) -> int | None:
     return next((i for i, n in enumerate(lower) if role.lower() in n), None)
 
 
-def tail_end_nodes(names: list[str]) -> list[int]:
-    """Tail tips; a bare `tail` is one if the skeleton has a tail start as well."""
+def tail_end_nodes(names: list[str], middle: bool = False) -> list[int]:
+    """Tail tips; a bare `tail` is one if the skeleton has a tail start as well. With `middle` also what is between."""
     plain = [strip_digits(n.lower()) for n in names]
-    start = any(n in ROLES["tail_base"] for n in plain)
-    return [i for i, n in enumerate(plain) if n in ROLES["tail_end"] or (n == "tail" and start)]
+    start, some = any(n in ROLES["tail_base"] for n in plain), (*ROLES["tail_end"], *(ROLES["tail_mid"] if middle else ()))
+    return [i for i, n in enumerate(plain) if n in some or (n == "tail" and start)]
 
 
 def column_name(node: str) -> str:

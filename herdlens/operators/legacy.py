@@ -6,6 +6,7 @@ All lengths are in body lengths BL = 2 * dsr. Rows are frames (session, sidx, tA
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,18 @@ from .bouts import interval_join
 
 KEYS = ("session", "tA", "tB")
 
+
+@dataclass(frozen=True)
+class Roles:
+    """Which node of the arrays is which; tail: its middle and end, which nobody sniffs at (the base may be)."""
+
+    nose: int = 0
+    ears: tuple[int, int] = (1, 2)
+    body: int = 3
+    tail: tuple[int, ...] = (7,)
+    hips: tuple[int, int] = (4, 5)
+
+
 # Behaviours in order of precedence, with their scores.
 SCORES = (
     ("flee", -10), ("chase", 8), ("activeAvoid", -7), ("sniff", 6), ("follow", 5), ("passiveAvoid", -4), ("approach", 3),
@@ -48,10 +61,6 @@ def lags(fps: float) -> dict[str, int]:
     return {"second": max(1, int(fps)), "half": frames(0.5), "still": frames(0.5, 2), "flight": frames(0.4), "recent": frames(0.75)}
 
 
-def one_hot(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
-    return df.withColumns({f"{column}_{v}": F.coalesce(F.col(column) == v, F.lit(False)).cast("int") for v in values})
-
-
 def _flag(condition: Column, gate_frames: int) -> Column:
     return F.when(F.col("sidx") >= gate_frames, F.coalesce(condition, F.lit(False)).cast("int")).otherwise(0)
 
@@ -68,12 +77,13 @@ def _speed(x: Column, y: Column, w, frames: int) -> dict[str, Column]:
     return {"vx": vx, "vy": vy, "speed": F.sqrt(vx * vx + vy * vy)}
 
 
-def motion(df: DataFrame, fps: float, nose: int = 0, ears: tuple[int, int] = (1, 2), body: int = 3) -> DataFrame:
+def motion(df: DataFrame, fps: float, roles: Roles = Roles()) -> DataFrame:
     """Geometry and motion of subject A and stranger B that the detectors ask for; the node arrays stay.
 
     df: A_xs, A_ys, B_xs, B_ys and dsr. gap is from A's nose to B's body. Spans without a frame to look back to give 0.
     """
     c, w, n = F.col, Window.partitionBy(*KEYS).orderBy("sidx"), lags(fps)
+    nose, ears, body = roles.nose, roles.ears, roles.body
     at = lambda s, a, k: F.get(c(f"{s}_{a}s"), F.lit(k))
     out = {}
     for s in "AB":
@@ -118,19 +128,23 @@ def cones(df: DataFrame) -> DataFrame:
     return df.withColumns({"vision": vision, "hearing": hearing})
 
 
-def contacts(df: DataFrame, gate_frames: int, nodes: int, body: int = 3, tail: Sequence[int] = (6, 7)) -> DataFrame:
-    """prox, hh (heads together), ho (nose to nose, face to face), sniff (A's nose at B) and touching, any of the last three."""
+def contacts(df: DataFrame, gate_frames: int, nodes: int, roles: Roles = Roles()) -> DataFrame:
+    """prox, hh (heads together), ho (nose to nose, face to face), sniff (A's nose at B) and touching, any of the last three.
+
+    A sniffs at B where the node closest to its nose is within half a body scale (0.7 for the body), and not in the
+    middle or at the end of B's tail.
+    """
     c, dsr = F.col, F.col("dsr")
     d = lambda p, q: F.sqrt((c(f"{p}x") - c(f"{q}x")) ** 2 + (c(f"{p}y") - c(f"{q}y")) ** 2)
     face = {s: opposition(c(f"{s}_heading"), bearing(c(f"{t}_nx") - c(f"{s}_nx"), c(f"{t}_ny") - c(f"{s}_ny"))) for s, t in (("A", "B"), ("B", "A"))}
     nose_at = lambda s, t, k: F.sqrt((c(f"{s}_nx") - F.get(c(f"{t}_xs"), F.lit(k))) ** 2 + (c(f"{s}_ny") - F.get(c(f"{t}_ys"), F.lit(k))) ** 2)
-    at_head = F.least(*[nose_at(s, t, k) for s, t in (("A", "B"), ("B", "A")) for k in (0, 1, 2)])
+    at_head = F.least(*[nose_at(s, t, k) for s, t in (("A", "B"), ("B", "A")) for k in (roles.nose, *roles.ears)])
     hh = ((at_head <= 0.9 * dsr) | (d("A_h", "B_h") <= 0.85 * dsr)) & (face["A"] <= 70) & (face["B"] <= 70) & (c("opposition") >= 60)
     ho = (d("A_n", "B_n") <= 0.55 * dsr) & (face["A"] <= 45) & (face["B"] <= 45) & (c("opposition") >= 120)
-    near = P.nearest_node("A", "B", 0, list(range(nodes)))
+    near = P.nearest_node("A", "B", roles.nose, list(range(nodes)))
     df = df.withColumn("_near", near)
     facing = opposition(c("A_heading"), bearing(c("_near.x") - c("A_nx"), c("_near.y") - c("A_ny"))) <= 90
-    sniff = facing & ~c("_near.j").isin(list(tail)) & (c("_near.d") <= F.when(c("_near.j") == body, 0.7).otherwise(0.5) * dsr)
+    sniff = facing & ~c("_near.j").isin(list(roles.tail)) & (c("_near.d") <= F.when(c("_near.j") == roles.body, 0.7).otherwise(0.5) * dsr)
     df = df.withColumns({"prox": _flag(c("d") <= 3 * dsr, gate_frames), "hh": _flag(hh, gate_frames), "ho": _flag(ho, gate_frames), "sniff": _flag(sniff, gate_frames)}).drop("_near")
     return df.withColumn("touching", F.greatest("hh", "ho", "sniff"))
 
@@ -153,7 +167,7 @@ def _baseline(df: DataFrame, gate_frames: int, name: str, column: str, where: Co
     return df.join(mad, list(KEYS), "left").fillna(0.0, [f"{name}_med", f"{name}_mad"])
 
 
-def detectors(df: DataFrame, fps: float, nodes: int, gate_s: float = 5.0, body: int = 3, tail: Sequence[int] = (6, 7)) -> DataFrame:
+def detectors(df: DataFrame, fps: float, nodes: int, gate_s: float = 5.0, roles: Roles = Roles()) -> DataFrame:
     """All behaviours of A towards B by the earlier rules, as 0 or 1 and 0 before the gate, with vision and hearing.
 
     df: pair frames with A_xs, A_ys, B_xs, B_ys and dsr. Adds prox, hh, ho, sniff, follow, chase, activeAvoid,
@@ -161,7 +175,7 @@ def detectors(df: DataFrame, fps: float, nodes: int, gate_s: float = 5.0, body:
     """
     c, w, n, gate_ = F.col, Window.partitionBy(*KEYS).orderBy("sidx"), lags(fps), int(gate_s * fps)
     bl, dsr = 2 * c("dsr"), c("dsr")
-    df = cones(contacts(motion(df, fps, body=body), gate_, nodes, body, tail))
+    df = cones(contacts(motion(df, fps, roles), gate_, nodes, roles))
     df = stored(df.drop(*[f"{s}_{a}s" for s in "AB" for a in "xy"], "ear_A", "ear_B"), "legacy-motion")
     df = _quantiles(df, gate_, {"A_lag": ("A_lag_speed", (0.35, 0.45, 0.7, 0.95)), "B_lag": ("B_lag_speed", (0.35, 0.95)), "A": ("A_speed", (0.35, 0.75, 0.95))})
     free = c("touching") == 0
@@ -253,29 +267,41 @@ def alternate_frames(df: DataFrame, flag: str, keys: Sequence[str]) -> DataFrame
     return pair.where("n = 2").drop("n")
 
 
-def instigators(bouts: DataFrame, frames: DataFrame, fps: float, before_s: float = 0.75) -> DataFrame:
-    """bouts with instigator A, B or Shared: closing distance and heading of the frames at and before the onset.
+#: What kinds of bouts are about: the subject's own point, and the point of the other that it comes to.
+MODES = {"proximity": ("", ""), "sniff": ("n", "h"), "hh": ("h", "h"), "ho": ("n", "n"), "generic": ("n", "")}
 
-    A's score: its share of the distance closed, 0.75 of its movement towards the other, and body lengths for facing
-    it at up to 55 degrees (.25) and for having moved (.10). Shared if both are small or alike.
+
+def instigators(bouts: DataFrame, frames: DataFrame, fps: float, mode: str = "generic", before_s: float = 0.75) -> DataFrame:
+    """bouts with instigator A, B or Shared, by the span before the onset.
+
+    mode says which points count (MODES): bodies, nose to head, heads, noses, or nose to body. An animal's score is by
+    how much its point has come closer to the other's (each at its own time), three quarters of its own way in the
+    direction of where the other's was, a quarter of a body length for facing the other's point at the onset at up to 55
+    degrees, and a tenth for having come closer at all. Shared if both score under 0.12 body lengths, if the lower has at
+    least 85 % of the higher, if a place is missing, and if there are fewer than two frames before the onset.
+    frames: A_x, A_y (body), A_nx, A_ny (nose), A_hx, A_hy (head), A_heading, the same for B, and dsr.
     """
-    keys, back = ("session", "tA", "tB"), max(1, round(before_s * fps))
-    cols = ["A_x", "A_y", "B_x", "B_y", "fe_A", "fe_B", "dsr"]
-    at = lambda name: frames.select(*keys, F.col("sidx").alias(f"_{name}"), *[F.col(c).alias(f"{name}_{c}") for c in cols])
-    rows = bouts.withColumns({"_e": F.col("start"), "_s": F.greatest(F.lit(0), F.col("start") - back)})
-    rows = rows.join(at("e"), [*keys, "_e"], "left").join(at("s"), [*keys, "_s"], "left")
-    c, bl, score = F.col, 2 * F.col("s_dsr"), {}
-    gap0 = F.sqrt((c("s_A_x") - c("s_B_x")) ** 2 + (c("s_A_y") - c("s_B_y")) ** 2)
+    own, other = MODES[mode]
+    back, names = max(2, round(before_s * fps)), [f"{k}{a}" for k in dict.fromkeys((own, other)) for a in "xy"]
+    cols = [f"{s}_{n}" for s in "AB" for n in (*names, "heading")]
+    last = frames.groupBy(*KEYS).agg(F.max("sidx").alias("_last"))
+    at = lambda name: frames.select(*KEYS, F.col("sidx").alias(f"_{name}"), *[F.col(x).alias(f"{name}_{x}") for x in cols], *([F.col("dsr").alias("_dsr")] if name == "e" else []))
+    rows = bouts.join(last, list(KEYS), "left").withColumn("_e", F.greatest(F.lit(1), F.least("start", "_last")))
+    rows = rows.withColumn("_s", F.greatest(F.lit(0), F.col("_e") - back))
+    rows = rows.join(at("e"), [*KEYS, "_e"], "left").join(at("s"), [*KEYS, "_s"], "left")
+    c, bl, score = F.col, 2 * F.col("_dsr"), {}
     for s, t in (("A", "B"), ("B", "A")):
-        mx, my = c(f"e_{s}_x") - c(f"s_{s}_x"), c(f"e_{s}_y") - c(f"s_{s}_y")
-        ux, uy = (c(f"s_{t}_x") - c(f"s_{s}_x")) / F.when(gap0 > 0, gap0), (c(f"s_{t}_y") - c(f"s_{s}_y")) / F.when(gap0 > 0, gap0)
-        after = F.sqrt((c(f"e_{s}_x") - c(f"s_{t}_x")) ** 2 + (c(f"e_{s}_y") - c(f"s_{t}_y")) ** 2)
-        moved = F.sqrt(mx * mx + my * my)
-        score[s] = F.coalesce(gap0 - after + 0.75 * (mx * ux + my * uy) + F.when(c(f"s_fe_{s}") <= 55, 0.25 * bl).otherwise(0.0) + F.when(moved > 0.1 * bl, 0.1 * bl).otherwise(0.0), F.lit(0.0))
+        to = {k: [c(f"{k}_{t}_{other}{a}") - c(f"{k}_{s}_{own}{a}") for a in "xy"] for k in "se"}
+        far = {k: F.sqrt(x * x + y * y) for k, (x, y) in to.items()}
+        way = [c(f"e_{s}_{own}{a}") - c(f"s_{s}_{own}{a}") for a in "xy"]
+        closer = far["s"] - far["e"]
+        along = F.when(far["s"] < 1e-9, 0.0).otherwise((way[0] * to["s"][0] + way[1] * to["s"][1]) / far["s"])
+        facing = opposition(c(f"e_{s}_heading"), bearing(*to["e"])) <= 55
+        score[s] = closer + 0.75 * along + F.when(facing, 0.25 * bl).otherwise(0.0) + F.when(closer > 0, 0.10 * bl).otherwise(0.0)
     a, b = score["A"], score["B"]
     low, high = F.least(a, b), F.greatest(a, b)
-    who = F.when((high < 0.12 * bl) | (low >= 0.85 * high), "Shared").when(a > b, "A").otherwise("B")
-    return rows.withColumn("instigator", who).select(*bouts.columns, "instigator")
+    shared = a.isNull() | b.isNull() | (c("_e") - c("_s") < 2) | ((a < 0.12 * bl) & (b < 0.12 * bl)) | ((high > 0) & (low / high >= 0.85)) | (a == b)
+    return rows.withColumn("instigator", F.when(shared, "Shared").when(a > b, "A").otherwise("B")).select(*bouts.columns, "instigator")
 
 
 def instigators_by_path(bouts: DataFrame, frames: DataFrame, fps: float, before_s: float = 1.0) -> DataFrame:
@@ -336,19 +362,20 @@ SENSES = {"hearing": (("binaural", ("B",)), ("monaural", ("ML", "MR")), ("rear",
 
 def output(found: DataFrame, fps: float, gate_s: float = 5.0) -> dict[str, DataFrame]:
     """The earlier output's sections as tables, by pair: metadata, times (totals of each behaviour and sense), intervals
-    (with instigators of nearness and sniffing) and matrix (filtered flags by frame). found: what detectors returns."""
+    (with instigators of nearness, sniffing and heads) and matrix (filtered flags by frame). found: what detectors
+    returns."""
     found = stored(found, "legacy-found")
     senses = {n: F.col(c).isin(*labels) & (F.col("sidx") >= int(gate_s * fps)) for c, kinds in SENSES.items() for n, labels in kinds}
     rows = found.withColumns({n: v.cast("int") for n, v in senses.items()})
     flags = [*MATRIX, *senses]
     matrix = stored(filtered(rows.select(*KEYS, "sidx", *flags), MATRIX, KEYS, fps), "legacy-matrix")
-    sizes = found.groupBy(*KEYS).agg(F.count("*").alias("all"), F.sum((F.col("sidx") >= int(gate_s * fps)).cast("int")).alias("late"))
-    named = {"duration_s": F.col("all") / fps, "frames": F.col("all"), "duration_after_gate_s": F.col("late") / fps, "frames_after_gate": F.col("late")}
+    sizes = found.groupBy(*KEYS).agg(F.max("dsr").alias("dsr"), F.count("*").alias("all"), F.sum((F.col("sidx") >= int(gate_s * fps)).cast("int")).alias("late"))
+    named = {"duration_s": F.col("all") / fps, "frames": F.col("all"), "duration_after_gate_s": F.col("late") / fps, "frames_after_gate": F.col("late"), "dsr_px": F.col("dsr"), "cm_per_px": 3.0 / F.col("dsr")}
     metadata = sizes.withColumn("r", F.explode(F.array(*[F.struct(F.lit(n).alias("key"), v.cast("double").alias("value")) for n, v in named.items()])))
     times = F.array(*[F.struct(F.lit(n).alias("behaviour"), F.round(F.sum(n) / fps, 4).alias("seconds")) for n in flags])
     starts = None
-    for n in ("prox", "sniff"):
-        part = instigators_by_path(R.bouts(matrix, n, KEYS, "sidx"), found, fps).select(*KEYS, F.lit(n).alias("behaviour"), (F.col("start") / fps).alias("start_s"), "instigator")
+    for n in ("prox", "sniff", "hh", "ho"):
+        part = instigators(R.bouts(matrix, n, KEYS, "sidx"), found, fps, "proximity" if n == "prox" else n).select(*KEYS, F.lit(n).alias("behaviour"), (F.col("start") / fps).alias("start_s"), "instigator")
         starts = part if starts is None else starts.unionByName(part)
     spans = intervals(matrix, MATRIX, KEYS, fps).withColumn("duration_s", F.round(F.col("end_s") - F.col("start_s"), 4))
     return {
@@ -359,6 +386,32 @@ def output(found: DataFrame, fps: float, gate_s: float = 5.0) -> dict[str, DataF
     }
 
 
-def cm_per_px(dsr: Column, body_cm: float = 3.0) -> Column:
-    """Scale by the width of a body."""
-    return body_cm / dsr
+def as_subject(frames: DataFrame, swap: Column) -> DataFrame:
+    """frames with A and B, their tracks and all their columns changed over where `swap` holds: A is the subject.
+
+    swap: a condition on session, tA and tB (which animal of a pair is the subject is the user's to say).
+    """
+    ours = [n[2:] for n in frames.columns if n.startswith("A_")]
+    pick = lambda own, other: F.when(swap, F.col(other)).otherwise(F.col(own))
+    new = {f"{s}_{n}": pick(f"{s}_{n}", f"{t}_{n}") for n in ours for s, t in ("AB", "BA")}
+    return frames.withColumns(new | {"tA": pick("tA", "tB"), "tB": pick("tB", "tA")})
+
+
+def subject_scale(frames: DataFrame, roles: Roles = Roles()) -> DataFrame:
+    """session, tA, tB, dsr, cm_per_px: the median of A's own hip distances from their 20th to their 80th percentile.
+
+    Null for a subject that lacks a hip in any frame: missing ones aren't left out. cm_per_px takes a body to be 3 cm
+    wide. frames: A_xs, A_ys.
+    """
+    hip = [F.get(f"A_{a}s", F.lit(k)) for k in roles.hips for a in "xy"]
+    d = frames.select(*KEYS, F.sqrt((hip[0] - hip[2]) ** 2 + (hip[1] - hip[3]) ** 2).alias("_d"))
+    band = d.groupBy(*KEYS).agg(F.percentile("_d", F.array(F.lit(0.2), F.lit(0.8))).alias("_b"), F.count_if(F.col("_d").isNull()).alias("_gone"))
+    inside = d.join(band, list(KEYS)).groupBy(*KEYS).agg(F.percentile(F.when(F.col("_d").between(F.col("_b")[0], F.col("_b")[1]), F.col("_d")), 0.5).alias("dsr"), F.max("_gone").alias("_gone"))
+    return inside.select(*KEYS, F.when(F.col("_gone") == 0, F.col("dsr")).alias("dsr")).withColumn("cm_per_px", 3.0 / F.col("dsr"))
+
+
+def nose_angle(frames: DataFrame, fps: float, gate_s: float = 5.0, roles: Roles = Roles()) -> DataFrame:
+    """session, sidx, tA, tB, nose_angle: direction from A's body to its nose, of the frames from the gate on."""
+    at = lambda a, k: F.get(f"A_{a}s", F.lit(k))
+    angle = bearing(at("x", roles.nose) - at("x", roles.body), at("y", roles.nose) - at("y", roles.body))
+    return frames.where(F.col("sidx") >= int(gate_s * fps)).select("session", "sidx", "tA", "tB", angle.alias("nose_angle"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -52,6 +52,12 @@ class Analysis:
             raise ValueError(f"no {role} among {self.nodes}")
         return found
 
+    @property
+    def rear(self) -> int:
+        """The tail's base, or the body."""
+        base = find_node(self.nodes, "tail_base")
+        return self.node("body") if base is None else base
+
     @cached_property
     def clean(self) -> DataFrame:
         """Trimmed, repaired, smoothed."""
@@ -100,7 +106,7 @@ class Analysis:
     @cached_property
     def first_order(self) -> DataFrame:
         ears = (self.node("ear_l"), self.node("ear_r"))
-        df = B.first_order(self.pairs, self.fps, len(self.nodes), self.node("nose"), find_node(self.nodes, "tail_base") or self.node("body"), ears, self.node("body"), tail_end_nodes(self.nodes))
+        df = B.first_order(self.pairs, self.fps, len(self.nodes), self.node("nose"), self.rear, ears, self.node("body"), tail_end_nodes(self.nodes))
         return stored(B.engagement_speeds(df), "first-order")
 
     @cached_property
@@ -131,11 +137,14 @@ class Analysis:
         features = [c for c in self.bout_table.columns if c.endswith(("_p50", "_p95", "_mean"))]
         return ml.validate_or_nothing(self.bout_table, features, **how)
 
-    def earlier(self, gate_s: float = 5.0) -> dict[str, DataFrame]:
-        """The earlier rules' tables, with the lower track of each pair as subject."""
-        frames = self.pairs.select("session", "sidx", "tA", "tB", "A_xs", "A_ys", "B_xs", "B_ys", "dsr")
-        tails = sorted({*tail_end_nodes(self.nodes), *[n for n in [find_node(self.nodes, "tail_base")] if n is not None]})
-        return L.output(L.detectors(frames, self.fps, len(self.nodes), gate_s, self.node("body"), tails), self.fps, gate_s)
+    def earlier(self, gate_s: float = 5.0, swap: Column | None = None) -> dict[str, DataFrame]:
+        """The earlier rules' tables. The lower track of each pair is the subject, or the higher where `swap`, a condition
+        on session, tA and tB, holds. Lengths are by the subject's own scale (the session's, where it can't be told)."""
+        roles = L.Roles(self.node("nose"), (self.node("ear_l"), self.node("ear_r")), self.node("body"), tuple(tail_end_nodes(self.nodes, middle=True)), (self.node("hip_l"), self.node("hip_r")))
+        frames = self.pairs.select("session", "sidx", "tA", "tB", "A_xs", "A_ys", "B_xs", "B_ys", F.col("dsr").alias("_dsr"))
+        frames = frames if swap is None else L.as_subject(frames, swap)
+        frames = frames.join(L.subject_scale(frames, roles), list(L.KEYS), "left").withColumn("dsr", F.coalesce("dsr", "_dsr")).drop("_dsr", "cm_per_px")
+        return L.output(L.detectors(frames, self.fps, len(self.nodes), gate_s, roles), self.fps, gate_s)
 
     def bins(self, seconds: float = 0.25) -> DataFrame:
         return N.binned(self.animals, ["session", "track"], ["x", "y", "speed", "accel", "jerk", "heading", "elongation"], "vframe", self.fps, seconds, ["stationary", "walking", "running", "turning"])

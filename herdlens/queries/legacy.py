@@ -39,7 +39,7 @@ def _detectors_sql() -> str:
     n = L.lags(FPS)
     nearest = ", ".join(f"{{'d': {_distance('a.x0', 'a.y0', f'b.x{k}', f'b.y{k}')}, 'j': {k}, 'x': b.x{k}, 'y': b.y{k}}}" for k in range(len(NODES)))
     at_head = ", ".join(_distance(f"{s}.x0", f"{s}.y0", f"{t}.x{k}", f"{t}.y{k}") for s, t in ("ab", "ba") for k in (0, 1, 2))
-    pair = "a.session, a.sidx, a.track \"tA\", b.track \"tB\", dsr, a.x3 ax, a.y3 ay, b.x3 bx, b.y3 by_, a.x0 anx, a.y0 any_, b.x0 bnx, b.y0 bny, a.hd ha, b.hd hb, a.x2 - a.x1 ex, a.y2 - a.y1 ey"
+    pair = "a.session, a.sidx, a.track \"tA\", b.track \"tB\", dsr, a.x3 ax, a.y3 ay, b.x3 bx, b.y3 by_, a.x0 anx, a.y0 any_, b.x0 bnx, b.y0 bny, a.hd ha, b.hd hb, a.x2 - a.x1 ex, a.y2 - a.y1 ey, " + ", ".join(f"({s}.{a}0 + {s}.{a}1 + {s}.{a}2) / 3 {s}h{a}" for s in "ab" for a in "xy")
     head = _distance("(a.x0 + a.x1 + a.x2) / 3", "(a.y0 + a.y1 + a.y2) / 3", "(b.x0 + b.x1 + b.x2) / 3", "(b.y0 + b.y1 + b.y2) / 3")
     seen = {k: (_distance("ax", "ay", x, y), OPP.format("ha", _turn(f"{x} - ax", f"{y} - ay")), f"case when ex * ({y} - ay) - ey * ({x} - ax) > 0 then 'ML' else 'MR' end") for k, (x, y) in (("cm", ("bx", "by_")), ("ns", ("bnx", "bny")))}
     (d1, a1, s1), (d2, a2, s2) = seen["cm"], seen["ns"]
@@ -70,7 +70,7 @@ def _detectors_sql() -> str:
         f"{_distance('a.x0', 'a.y0', 'b.x0', 'b.y0')} nn, {head} hc, least({at_head}) at_head, list_sort([{nearest}])[1] near from h a join h b on a.session = b.session and a.sidx = b.sidx and a.track < b.track join scale s on s.session = a.session)",
         f"p1 as (select *, case when ({d1} <= 10 * dsr and {a1} <= 20) or ({d2} <= 10 * dsr and {a2} <= 20) then 'B' when {d1} <= 10 * dsr and {a1} <= 120 then {s1} when {d2} <= 10 * dsr and {a2} <= 120 then {s2} else 'N' end vision, "
         f"case when {d1} > 10 * dsr then 'N' when {a1} <= 60 then 'B' when {a1} <= 150 then {s1} else 'R' end hearing, {_late('d <= 3 * dsr')} prox, {_late('(at_head <= 0.9 * dsr or hc <= 0.85 * dsr) and na <= 70 and nb <= 70 and opp >= 60')} hh, {_late('nn <= 0.55 * dsr and na <= 45 and nb <= 45 and opp >= 120')} ho, "
-        f"{_late(OPP.format('ha', _turn('near.x - anx', 'near.y - any_')) + ' <= 90 and near.j not in (6, 7) and near.d <= case when near.j = 3 then 0.7 else 0.5 end * dsr')} sniff from p0)",
+        f"{_late(OPP.format('ha', _turn('near.x - anx', 'near.y - any_')) + ' <= 90 and near.j <> 7 and near.d <= case when near.j = 3 then 0.7 else 0.5 end * dsr')} sniff from p0)",
         f"p2 as (select *, greatest(hh, ho, sniff) touching, {', '.join(speeds)}, {_lag('gap', n['second'])} gap_second, {_lag('gap', n['half'])} gap_half, {_lag('gap', n['flight'])} gap_flight, sqrt({_lag('ax', n['still'])} ** 2 + {_lag('ay', n['still'])} ** 2) a_still, "
         f"case when row_number() over w > {n['second']} then stddev_pop(gap) over ({_ON} rows between {n['second']} preceding and 1 preceding) end spread from p1 window w as ({_ON}))",
         "p3 as (select *, (ax - bx) * cos(radians(hb)) + (ay - by_) * sin(radians(hb)) along, (ay - by_) * cos(radians(hb)) - (ax - bx) * sin(radians(hb)) across, (a_now_vx * (bx - ax) + a_now_vy * (by_ - ay)) / (d + 1e-9) towards, "
@@ -113,23 +113,56 @@ def _bouts(spark, sf_dir):
     return R.bouts(frames, "prox", L.KEYS, "sidx"), frames
 
 
-def _score(s: str, t: str, angle: str) -> str:
-    mx, my = f"(e.{s}x - z.{s}x)", f"(e.{s}y - z.{s}y)"
-    return f"z.d - {_distance(f'e.{s}x', f'e.{s}y', f'z.{t}x', f'z.{t}y')} + 0.75 * ({mx} * (z.{t}x - z.{s}x) + {my} * (z.{t}y - z.{s}y)) / z.d + case when z.{angle} <= 55 then 0.5 * z.dsr else 0 end + case when sqrt({mx} ** 2 + {my} ** 2) > 0.2 * z.dsr then 0.2 * z.dsr else 0 end"
+def _instigation_sql(mode: str) -> str:
+    """One kind of bout: z is the frame before, e the onset."""
+    own, other = (k or "c" for k in L.MODES[mode])
+    score = {}
+    for s, t in ("ab", "ba"):
+        (sx, sy), (tx, ty) = [f"{s}_{own}{a}" for a in "xy"], [f"{t}_{other}{a}" for a in "xy"]
+        d0, d1 = _distance(f"z.{sx}", f"z.{sy}", f"z.{tx}", f"z.{ty}"), _distance(f"e.{sx}", f"e.{sy}", f"e.{tx}", f"e.{ty}")
+        way = f"case when {d0} < 1e-9 then 0 else ((e.{sx} - z.{sx}) * (z.{tx} - z.{sx}) + (e.{sy} - z.{sy}) * (z.{ty} - z.{sy})) / {d0} end"
+        angle = OPP.format(f"e.h{s}", _turn(f"e.{tx} - e.{sx}", f"e.{ty} - e.{sy}"))
+        score[s] = f"({d0} - {d1}) + 0.75 * ({way}) + case when {angle} <= 55 then 0.25 * e.bl else 0 end + case when {d1} < {d0} then 0.1 * e.bl else 0 end"
+    return f"""select b.session, b."tA", b."tB", b.bout, b.s, '{mode}' as mode, e.sidx - z.sidx k, e.bl, {score['a']} sa, {score['b']} sb from bouts b
+  join fr e on e.session = b.session and e."tA" = b."tA" and e."tB" = b."tB" and e.sidx = greatest(1, b.s) join fr z on z.session = b.session and z."tA" = b."tA" and z."tB" = b."tB" and z.sidx = greatest(0, greatest(1, b.s) - {max(2, round(0.75 * FPS))})"""
 
 
 @query(
-    _BOUTS + f""", fr as (select session, sidx, "tA", "tB", dsr, d, ax, ay, bx, by_ "by", fe, {OPP.format('hb', _turn('ax - bx', 'ay - by_'))} feb from legacy),
-s as (select b.*, {_score('a', 'b', 'fe')} a, {_score('b', 'a', 'feb')} b_, z.dsr from bouts b join fr e on e.session = b.session and e."tA" = b."tA" and e."tB" = b."tB" and e.sidx = b.s join fr z on z.session = b.session and z."tA" = b."tA" and z."tB" = b."tB" and z.sidx = greatest(0, b.s - 8))
-select session, "tA", "tB", bout::bigint bout, s::int as "start", case when greatest(a, b_) < 0.24 * dsr or least(a, b_) >= 0.85 * greatest(a, b_) then 'Shared' when a > b_ then 'A' else 'B' end instigator from s"""
+    _BOUTS + """, fr as (select session, sidx, "tA", "tB", 2 * dsr bl, ha, hb, ax a_cx, ay a_cy, bx b_cx, by_ b_cy, anx a_nx, any_ a_ny, bnx b_nx, bny b_ny, ahx a_hx, ahy a_hy, bhx b_hx, bhy b_hy from legacy),
+s as (""" + " union all ".join(_instigation_sql(m) for m in L.MODES) + """)
+select session, "tA", "tB", bout::bigint bout, s::int as "start", mode, case when k < 2 or (sa < 0.12 * bl and sb < 0.12 * bl) then 'Shared' when greatest(sa, sb) > 0 and least(sa, sb) / greatest(sa, sb) >= 0.85 then 'Shared'
+  when sa > sb then 'A' when sb > sa then 'B' else 'Shared' end instigator from s"""
 )
 def legacy_instigators(spark, sf_dir):
+    """Bouts of nearness, judged as each kind of bout."""
     found, frames = _bouts(spark, sf_dir)
-    from ..functions.angles import face_error
+    out = None
+    for mode in L.MODES:
+        part = L.instigators(found, frames, FPS, mode).select(*L.KEYS, "bout", "start", F.lit(mode).alias("mode"), "instigator")
+        out = part if out is None else out.unionByName(part)
+    return out
 
-    c = F.col
-    frames = frames.withColumn("fe_B", face_error(c("B_heading"), c("A_x") - c("B_x"), c("A_y") - c("B_y")))
-    return L.instigators(found, frames, FPS).select(*L.KEYS, "bout", "start", "instigator")
+
+@query("with " + LEGACY_SQL.replace("a.track < b.track", "a.track > b.track") + f' select session, sidx, "tA", "tB", vision, hearing, {", ".join(FLAGS)} from legacy')
+def legacy_detectors_swapped(spark, sf_dir):
+    """The higher track of each pair is the subject."""
+    frames = L.as_subject(scaled(spark, sf_dir, FACTOR, staged), F.lit(True))
+    return L.detectors(frames, FPS, len(NODES)).select(*KEYS, "vision", "hearing", *FLAGS)
+
+
+@query(
+    "with " + STAGED_SQL + _FIRST.split(",\nhip as")[0] + """,
+p as (select a.session, a.sidx, a.track "tA", b.track "tB", sqrt((a.x4 - a.x5) ** 2 + (a.y4 - a.y5) ** 2) d, a.hd from h a join h b on a.session = b.session and a.sidx = b.sidx and (case when a.session = 's0' then a.track > b.track else a.track < b.track end)),
+q as (select session, "tA", "tB", quantile_cont(d, 0.2) lo, quantile_cont(d, 0.8) hi from p group by all),
+m as (select session, "tA", "tB", median(d) dsr from p join q using (session, "tA", "tB") where d between lo and hi group by all)
+select session, sidx, "tA", "tB", round(hd, 4) + 0.0 nose_angle, round(dsr, 4) dsr, round(3 / dsr, 6) cm_per_px from p join m using (session, "tA", "tB") where sidx >= """ + str(GATE)
+)
+def legacy_subjects(spark, sf_dir):
+    """Nose angles and scales of each pair's subject; in session s0 that is the higher track."""
+    frames = scaled(spark, sf_dir, FACTOR, staged).select(*KEYS, "A_xs", "A_ys", "B_xs", "B_ys")
+    frames = L.as_subject(frames, F.col("session") == "s0")
+    out = L.nose_angle(frames, FPS).join(L.subject_scale(frames), list(L.KEYS))
+    return out.select(*KEYS, (F.round("nose_angle", 4) + 0.0).alias("nose_angle"), F.round("dsr", 4).alias("dsr"), F.round("cm_per_px", 6).alias("cm_per_px"))
 
 
 @query(
