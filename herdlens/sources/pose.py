@@ -1,20 +1,14 @@
 """Pose data as long tables: one row a frame, animal and node.
 
-Long tables are read from Parquet or CSV. Dense recordings (one tensor a file, HDF5) are read one file a task where
-h5py is installed: a file is a session, and files are what Spark deals out.
+Long tables are read from Parquet or CSV; dense recordings by the data source in hdf5.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "session string, sidx int, vframe int, track int, node int, x double, y double"
-REQUIRED = ("tracks", "node_names", "track_names")
 
 
 def read_long(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
@@ -28,54 +22,6 @@ def read_long(spark: SparkSession, path: str, format: str = "parquet") -> DataFr
     return out.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in ("x", "y")})
 
 
-def oriented(tracks: np.ndarray, n_nodes: int, n_tracks: int) -> np.ndarray:
-    """(frame, axis, node, animal), whichever way round the file has it."""
-    if tracks.ndim != 4:
-        raise ValueError(f"tracks must have four dimensions, not {tracks.ndim}")
-    if tracks.shape[0] == n_tracks and tracks.shape[1] == 2 and tracks.shape[2] == n_nodes and not (tracks.shape[2:] == (n_nodes, n_tracks) and tracks.shape[0] != n_tracks):
-        tracks = tracks.transpose(3, 1, 2, 0)
-    if tracks.shape[1] != 2 or tracks.shape[2] != n_nodes or tracks.shape[3] != n_tracks:
-        raise ValueError(f"tracks of shape {tracks.shape} don't fit {n_nodes} nodes and {n_tracks} animals")
-    return tracks
-
-
-def melted(session: str, tracks: np.ndarray, frame_idx: np.ndarray | None = None) -> pd.DataFrame:
-    """The long rows of a tensor (frame, axis, node, animal)."""
-    n, _, nodes, animals = tracks.shape
-    vframe = np.arange(n) if frame_idx is None else np.asarray(frame_idx)
-    if len(vframe) != n:
-        raise ValueError(f"{len(vframe)} frame numbers for {n} frames")
-    sidx, track, node = (a.ravel() for a in np.meshgrid(np.arange(n), np.arange(animals), np.arange(nodes), indexing="ij"))
-    values = tracks.astype(float)
-    return pd.DataFrame({"session": session, "sidx": sidx.astype("int32"), "vframe": vframe[sidx].astype("int32"), "track": track.astype("int32"), "node": node.astype("int32"), "x": values[sidx, 0, node, track], "y": values[sidx, 1, node, track]})
-
-
-def decoded(name) -> str:
-    return name.decode("utf-8", "replace") if isinstance(name, bytes) else str(name)
-
-
-def read_hdf5(spark: SparkSession, folder: str) -> DataFrame:
-    """The long rows of all .h5 files below a folder. The file's stem is the session."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.h5").load(folder).select("path", "content")
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-
-        import h5py
-
-        for batch in batches:
-            for path, content in zip(batch.path, batch.content):
-                with h5py.File(io.BytesIO(content), "r") as f:
-                    if missing := [k for k in REQUIRED if k not in f]:
-                        raise ValueError(f"{path} lacks {', '.join(missing)}")
-                    tracks = oriented(f["tracks"][()], len(f["node_names"]), len(f["track_names"]))
-                    frames = f["frame_idx"][()] if "frame_idx" in f else None
-                yield melted(path.rsplit("/", 1)[-1].rsplit(".", 1)[0], tracks, frames)
-
-    out = files.mapInPandas(rows, SCHEMA)
-    return out.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in ("x", "y")})
-
-
 def frame_map(pose: DataFrame) -> DataFrame:
     """session, vframe, sidx."""
     return pose.groupBy("session", "sidx").agg(F.min("vframe").alias("vframe")).select("session", "vframe", "sidx")

@@ -170,17 +170,6 @@ def test_elongation(spark):
     assert got.elongation == pytest.approx(math.sqrt(ev[1] / ev[0])) and got.eccentricity == pytest.approx(math.sqrt(1 - ev[0] / ev[1]))
 
 
-@pytest.mark.parametrize("turned", [False, True])
-def test_dense_recordings(spark, turned):
-    t = np.arange(5 * 2 * 3 * 2, dtype=float).reshape(5, 2, 3, 2)
-    t[1, 0, 2, 1] = np.nan
-    long = S.melted("s", S.oriented(t.transpose(3, 1, 2, 0) if turned else t, 3, 2), np.arange(5) * 2)
-    row = long[(long.sidx == 4) & (long.track == 1) & (long.node == 2)].iloc[0]
-    assert (row.vframe, row.x, row.y) == (8, t[4, 0, 2, 1], t[4, 1, 2, 1]) and len(long) == 30 and long.x.isna().sum() == 1
-    with pytest.raises(ValueError):
-        S.oriented(t[0], 3, 2)
-
-
 def test_write_and_read(spark, tmp_path):
     df = pose_rows(spark, [(1, 2), (3, float("nan"))])
     names = sinks.write_tables({"tracking": df, "pair_features": df, "other": df}, f"file://{tmp_path}/out", "csv", ["tracking", "pair_features"], animals=1)
@@ -203,5 +192,6 @@ def test_whole_analysis(spark, data, tmp_path):
     folder, names = sinks.write_set("earlier", b.earlier(), f"file://{tmp_path}/s0")
     assert folder.endswith("s0_earlier") and names == ["metadata", "times", "intervals", "matrix"]
     meta = {r.key: float(r.value) for r in spark.read.option("header", True).csv(f"{folder}/metadata").collect()}
+    assert 3.0 / meta.pop("dsr_px") == pytest.approx(meta.pop("cm_per_px"))
     assert meta == {"duration_s": 20.0, "frames": 200.0, "duration_after_gate_s": 15.0, "frames_after_gate": 150.0}
     assert sinks.write_set("earlier", b.earlier(), f"file://{tmp_path}/s0", wanted=["metadata"])[0].endswith("s0_earlier_1")
