@@ -31,11 +31,17 @@ def aggregates(name: str, kind: str | None = None) -> list[Column]:
         return [circular_mean(c).alias(f"{name}_cmean")]
     if kind in ("velocity", "acceleration"):
         return [half(c).alias(f"{name}_p50"), F.percentile(c, 0.95).alias(f"{name}_p95")]
-    if kind == "jerk":
-        return [half(F.abs(c)).alias(f"{name}_p50"), F.percentile(F.abs(c), 0.95).alias(f"{name}_p95")]
+    if kind == "jerk":  # the sign says nothing
+        return [F.abs(half(c)).alias(f"{name}_p50"), F.abs(F.percentile(c, 0.95)).alias(f"{name}_p95")]
     return [F.avg(c).alias(f"{name}_mean")]
 
 
+def suffixes(kind: str) -> tuple[str, ...]:
+    """Of the columns that aggregates makes for a class."""
+    two = {"distance": ("_mean", "_median"), "velocity": ("_p50", "_p95"), "acceleration": ("_p50", "_p95"), "jerk": ("_p50", "_p95")}
+    return two.get(kind) or {"binary": ("_prop",), "categorical": (), "angular": ("_cmean",)}.get(kind, ("_mean",))
+
+
 def cov_corr(a: Column, b: Column) -> tuple[Column, Column]:
     """Sample covariance and correlation of a bin; no correlation if one doesn't vary."""
     both = a.isNotNull() & b.isNotNull()
@@ -62,10 +68,6 @@ def rolled_up(bins: DataFrame, keys: Sequence[str], seconds: float = 0.25, into:
     return bins.groupBy(*keys, F.floor(F.col("bin") / round(per)).cast("int").alias("bin")).agg(*aggs)
 
 
-def engaged_bins(bins: DataFrame, prop: str = "Engaged_prop") -> DataFrame:
-    return bins.withColumn("engaged", F.when(F.col(prop) > 0.5, 1).otherwise(0))
-
-
 def with_empty(bins: DataFrame, keys: Sequence[str]) -> DataFrame:
     """A row for each bin from 0 to the last one of its keys, empty ones null."""
     last = bins.groupBy(*keys).agg(F.max("bin").alias("_last"))

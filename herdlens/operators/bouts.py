@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import feature_class
 from . import runs as R
+from .bins import aggregates, suffixes
 
 KEYS = ("session", "tA", "tB")
 #: Frames in a bucket of the interval join.
@@ -167,13 +169,12 @@ def feature_table(bouts: DataFrame, frames: DataFrame, aggregates: Sequence[Colu
     return interval_join(long, frames, keys, "start", "end").groupBy(*columns).agg(*aggregates)
 
 
-def behaviour_table(frames: DataFrame, flags: Sequence[str], by_role: Sequence[str], of_pair: Sequence[str], fps: float, least: int = 3, keys: Sequence[str] = KEYS, order: str = "sidx") -> DataFrame:
-    """One row a bout of at least `least` frames of any of the flags, with the features of its frames.
+def _bout_frames(frames: DataFrame, flags: Sequence[str], by_role: dict[str, str], of_pair: dict[str, str], keys: Sequence[str], order: str) -> DataFrame:
+    """keys, order, behaviour (without direction), direction, bout and features as _v_{name}: a row a frame and flag that
+    is set. by_role: A_{column} and B_{column} as actor_{name} and target_{name}; A acts unless the flag ends in _BtoA.
 
-    keys, behaviour (without direction), direction, bout, start, end, duration_s, group (of the pair), and for every
-    feature its median, 95th percentile and mean: actor_{f} and target_{f} of A_{f} and B_{f} (A acts unless the flag ends
-    in _BtoA), and those of the pair. Frames are numbered for all flags over one window and taken once for each flag
-    that is set, so bouts and frames aren't joined.
+    Frames are numbered for all flags over one window and taken once for each flag that is set, so bouts and frames
+    aren't joined.
     """
     w = Window.partitionBy(*keys).orderBy(order)
     starts = frames.withColumns({f"_s_{f}": ((F.col(f) == 1) & (F.coalesce(F.lag(f).over(w), F.lit(0)) != 1)).cast("int") for f in flags})
@@ -182,13 +183,50 @@ def behaviour_table(frames: DataFrame, flags: Sequence[str], by_role: Sequence[s
     each = F.array(*[F.when(F.col(f) == 1, F.struct(F.lit(plain(f)).alias("behaviour"), F.lit(f.rpartition("_")[2] if plain(f) != f else "").alias("direction"), F.col(f"_b_{f}").alias("bout"))) for f in flags])
     long = numbered.withColumn("_e", F.explode(F.filter(each, lambda e: e.isNotNull())))
     turned = F.col("_e.direction") == "BtoA"
-    features = {f"{role}_{f}": F.when(turned, F.col(f"{b}_{f}")).otherwise(F.col(f"{a}_{f}")) for f in by_role for role, a, b in (("actor", "A", "B"), ("target", "B", "A"))} | {f: F.col(f) for f in of_pair}
-    rows = long.select(*keys, order, "_e.*", *[v.alias(f"_v_{n}") for n, v in features.items()])
-    stats = [F.percentile(f"_v_{n}", F.array(F.lit(0.5), F.lit(0.95))).alias(f"_p_{n}") for n in features] + [F.avg(f"_v_{n}").alias(f"{n}_mean") for n in features]
+    values = {f"{role}_{n}": F.when(turned, F.col(f"{b}_{f}")).otherwise(F.col(f"{a}_{f}")) for n, f in by_role.items() for role, a, b in (("actor", "A", "B"), ("target", "B", "A"))} | {n: F.col(f) for n, f in of_pair.items()}
+    return long.select(*keys, order, "_e.*", *[v.alias(f"_v_{n}") for n, v in values.items()])
+
+
+def _per_bout(rows: DataFrame, stats: Sequence[Column], fps: float, least: int, keys: Sequence[str], order: str, out: Sequence[Column]) -> DataFrame:
     per = rows.groupBy(*keys, "behaviour", "direction", "bout").agg(F.min(order).alias("start"), F.max(order).alias("end"), F.count("*").alias("n"), *stats).where(F.col("n") >= least)
-    out = [(c, d) for n in features for c, d in ((f"{n}_p50", F.col(f"_p_{n}")[0]), (f"{n}_p95", F.col(f"_p_{n}")[1]), (f"{n}_mean", F.col(f"{n}_mean")))]
     group = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
-    return per.select(*keys, "behaviour", "direction", "bout", "start", "end", F.round(F.col("n") / fps, 4).alias("duration_s"), group.alias("group"), *[v.alias(n) for n, v in out])
+    return per.select(*keys, "behaviour", "direction", "bout", "start", "end", F.round(F.col("n") / fps, 4).alias("duration_s"), group.alias("group"), *out)
+
+
+def behaviour_table(frames: DataFrame, flags: Sequence[str], by_role: Sequence[str], of_pair: Sequence[str], fps: float, least: int = 3, keys: Sequence[str] = KEYS, order: str = "sidx") -> DataFrame:
+    """One row a bout of at least `least` frames of any of the flags, with the features of its frames.
+
+    keys, behaviour (without direction), direction, bout, start, end, duration_s, group (of the pair), and for every
+    feature its median, 95th percentile and mean: actor_{f} and target_{f} of A_{f} and B_{f} (A acts unless the flag ends
+    in _BtoA), and those of the pair.
+    """
+    rows = _bout_frames(frames, flags, {f: f for f in by_role}, {f: f for f in of_pair}, keys, order)
+    names = [*[f"{r}_{f}" for f in by_role for r in ("actor", "target")], *of_pair]
+    stats = [F.percentile(f"_v_{n}", F.array(F.lit(0.5), F.lit(0.95))).alias(f"_p_{n}") for n in names] + [F.avg(f"_v_{n}").alias(f"{n}_mean") for n in names]
+    out = [c.alias(n) for f in names for n, c in ((f"{f}_p50", F.col(f"_p_{f}")[0]), (f"{f}_p95", F.col(f"_p_{f}")[1]), (f"{f}_mean", F.col(f"{f}_mean")))]
+    return _per_bout(rows, stats, fps, least, keys, order, out)
+
+
+def class_features(by_role: Sequence[str], of_pair: Sequence[str]) -> list[str]:
+    """Names of the features that class_table makes, in order."""
+    names = [(f"{r}_{n}", feature_class(n)) for n in by_role for r in ("actor", "target")] + [(n, feature_class(n)) for n in of_pair]
+    return [f"{n}{suffix}" for n, kind in names for suffix in suffixes(kind)]
+
+
+def class_table(frames: DataFrame, flags: Sequence[str], by_role: dict[str, str], of_pair: dict[str, str], fps: float, least: int = 3, keys: Sequence[str] = KEYS, order: str = "sidx") -> DataFrame:
+    """As behaviour_table, with what each feature's class asks for: circular means of angles, median and 95th percentile
+    of speeds and accelerations (of jerk their sizes), mean and median of distances, shares of flags, means of positions,
+    shapes and others, nothing of categories.
+
+    by_role and of_pair: feature name to column. The class goes by the name, as of bins. Values that are missing or not
+    finite take no part, but flags' shares are of all frames. All classes and both roles are worked out in one pass.
+    """
+    rows = _bout_frames(frames, flags, by_role, of_pair, keys, order)
+    kinds = {f"{r}_{n}": feature_class(n) for n in by_role for r in ("actor", "target")} | {n: feature_class(n) for n in of_pair}
+    finite = {f"_v_{n}": F.when(~F.isnan(f"_v_{n}") & (F.abs(f"_v_{n}") < float("inf")), F.col(f"_v_{n}")) for n, kind in kinds.items() if kind not in ("categorical", "binary")}
+    stats = [a for n, kind in kinds.items() for a in aggregates(f"_v_{n}", kind)]
+    out = [F.col(f"_v_{n}{s}").alias(f"{n}{s}") for n, kind in kinds.items() for s in suffixes(kind)]
+    return _per_bout(rows.withColumns(finite), stats, fps, least, keys, order, out)
 
 
 def by_role(frames: DataFrame, features: Sequence[str], actor: str) -> DataFrame:

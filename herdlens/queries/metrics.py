@@ -271,8 +271,55 @@ def behaviour_bout_table(spark, sf_dir):
     return _bout_table(spark, sf_dir).select("session", "tA", "tB", "behaviour", "direction", "bout", "start", "end", "duration_s", "group", *[F.round(f, 4).alias(f) for f in FEATURES])
 
 
+#: Features by name, with the columns of both engines: those of each animal, then those of the pair.
+_BY_ROLE = {
+    "body_x": ("x", "{}_x"), "body_y": ("y", "{}_y"), "heading": ("heading", "{}_h"), "body_vx": ("vx", "{}_vx"), "body_vy": ("vy", "{}_vy"), "speed": ("speed", "{}_speed"), "accel": ("accel", "{}_accel"),
+    "jerk": ("jerk", "{}_jerk"), "angular_motion": ("av", "{}_av"), "face_angle": ("fe", "{}_fe"), "path_eff": ("pe", "{}_pe"), "displacement": ("disp", "{}_disp"),
+}
+_PAIRED = {"inter_dist": ("d", "d"), "delta_heading": ("opposition", "opp"), "gap": ("gap", "gap"), "cos_sim": ("cos_v", "cos_v"), "Contact": ("Contact", "Contact"), "visual_scope": ("Contact", "Contact")}
+CLASS_FEATURES = T.class_features(list(_BY_ROLE), list(_PAIRED))
+
+
+def _class_table_sql() -> str:
+    starts = ", ".join(f"({f} = 1 and coalesce(lag({f}) over w, 0) <> 1)::int s_{f}" for f in _BOUT_FLAGS)
+    numbers = ", ".join(f"sum(s_{f}) over w b_{f}" for f in _BOUT_FLAGS)
+    parts = []
+    for f in _BOUT_FLAGS:
+        behaviour, direction = (f[:-5], f[-4:]) if f.endswith(("_AtoB", "_BtoA")) else (f, "")
+        a, b = "ba" if direction == "BtoA" else "ab"
+        columns = [f"{sql.format(s)} {role}_{n}" for n, (_, sql) in _BY_ROLE.items() for role, s in (("actor", a), ("target", b))] + [f"{sql} as v_{n}" for n, (_, sql) in _PAIRED.items()]
+        parts.append(f"select session, sidx, \"tA\", \"tB\", '{behaviour}' behaviour, '{direction}' direction, b_{f} bout, {', '.join(columns)} from n2 where {f} = 1")
+    quantile = lambda c, q: f"quantile_cont({c}, {q})"
+    how = {
+        **dict.fromkeys(("body_x", "body_y", "path_eff", "gap", "cos_sim"), lambda c: {"mean": f"avg({c})"}),
+        **dict.fromkeys(("heading", "angular_motion", "face_angle", "delta_heading"), lambda c: {"cmean": _CMEAN.format(c)}),
+        **dict.fromkeys(("body_vx", "body_vy", "speed", "accel", "displacement"), lambda c: {"p50": quantile(c, 0.5), "p95": quantile(c, 0.95)}),
+        "jerk": lambda c: {"p50": f"abs({quantile(c, 0.5)})", "p95": f"abs({quantile(c, 0.95)})"},
+        "inter_dist": lambda c: {"mean": f"avg({c})", "median": quantile(c, 0.5)},
+        "Contact": lambda c: {"prop": f"sum({c}) / count(*)"},
+        "visual_scope": lambda c: {},
+    }
+    named = [(f"{role}_{n}", n, f"{role}_{n}") for n in _BY_ROLE for role in ("actor", "target")] + [(n, n, f"v_{n}") for n in _PAIRED]
+    stats = ", ".join(f"round({sql}, 3) + 0.0 {name}_{suffix}" for name, n, column in named for suffix, sql in how[n](column).items())
+    return (
+        f"with {SECOND_SQL}, n1 as (select *, {starts} from detected window w as ({_PAIR_ROWS})), n2 as (select *, {numbers} from n1 window w as ({_PAIR_ROWS})), l as ({' union all '.join(parts)}) "
+        f'select session, "tA", "tB", behaviour, direction, bout::bigint bout, min(sidx)::int as "start", max(sidx)::int as "end", round(count(*) / {FPS}, 4) duration_s, session || \'/\' || "tA" || \'/\' || "tB" as "group", {stats} from l group by session, "tA", "tB", behaviour, direction, bout having count(*) >= 3'
+    )
+
+
+def _class_table(spark, sf_dir):
+    frames = all_behaviours(spark, sf_dir).withColumnsRenamed({f"{n}_{s}": f"{s}_{n}" for n in ("fe", "pe", "disp") for s in "AB"})
+    return T.class_table(frames, _BOUT_FLAGS, {n: c for n, (c, _) in _BY_ROLE.items()}, {n: c for n, (c, _) in _PAIRED.items()}, FPS)
+
+
+@query(_class_table_sql())
+def bout_features_by_class(spark, sf_dir):
+    """Every bout with the aggregates that each feature's class asks for; categories give none."""
+    return _class_table(spark, sf_dir).select("session", "tA", "tB", "behaviour", "direction", "bout", "start", "end", "duration_s", "group", *[(F.round(f, 3) + 0.0).alias(f) for f in CLASS_FEATURES])
+
+
 def _validated(spark, sf_dir, table: str):
-    return ml.validate(stored(_bout_table(spark, sf_dir), "bout-table"), FEATURES)[table]
+    return ml.validate(stored(_class_table(spark, sf_dir), "bout-table"), CLASS_FEATURES)[table]
 
 
 @query()

@@ -171,3 +171,26 @@ def test_bouts_of_many_behaviours(spark):
     a, b = found["Go", "AtoB"], found["Go", "BtoA"]
     assert (a.start, a.end, a.duration_s, a.group, a.actor_v_p50, a.target_v_mean, a.d_p95) == (2, 5, 0.4, "s/0/1", 3.5, 35.0, 1.0)
     assert (b.start, b.end, b.actor_v_p50, b.target_v_p50) == (4, 8, 60.0, 6.0)
+
+
+def test_features_by_class(spark):
+    """Angles over the seam, signed jerks, values that are no numbers, flags of all frames, categories left out, both roles."""
+    nan, inf = float("nan"), float("inf")
+    rows = [
+        ("s", 0, 1, i, int(1 <= i < 5), int(6 <= i < 9), 170.0 + 5 * i, -170.0, [1.0, 2.0, nan, inf, 4.0][i % 5], None if i == 2 else float(i), -float(i), int(i % 2), "Front", float(i))
+        for i in range(10)
+    ]
+    frames = spark.createDataFrame(rows, "session string, tA int, tB int, sidx int, Go_AtoB int, Go_BtoA int, A_h double, B_h double, A_v double, B_v double, A_j double, Contact int, place string, d double")
+    frames = frames.withColumn("B_j", F.col("A_j") * 2)
+    table = T.class_table(frames, ["Go_AtoB", "Go_BtoA"], {"heading": "h", "nose_speed": "v", "jerk": "j"}, {"inter_dist": "d", "Contact": "Contact", "RelPos_A": "place"}, 10.0)
+    names = T.class_features(["heading", "nose_speed", "jerk"], ["inter_dist", "Contact", "RelPos_A"])
+    assert table.columns[10:] == names and not [n for n in names if "RelPos" in n] and len(names) == 13
+    found = {r.direction: r for r in table.collect()}
+    a, b = found["AtoB"], found["BtoA"]
+    assert a.actor_heading_cmean == pytest.approx(-177.5) and a.target_heading_cmean == pytest.approx(-170.0)  # 175 to 190
+    assert (a.actor_nose_speed_p50, a.target_nose_speed_p50) == (3.0, 3.0)  # of 2, 4; of 1, 3, 4 without the missing one
+    assert (a.actor_jerk_p50, a.target_jerk_p50, a.actor_jerk_p95) == (2.5, 5.0, pytest.approx(1.15))
+    assert (a.inter_dist_mean, a.inter_dist_median, a.Contact_prop) == (2.5, 2.5, 0.5)
+    assert b.actor_jerk_p50 == 14.0 and b.target_jerk_p50 == 7.0 and b.actor_heading_cmean == pytest.approx(-170.0)
+    all_gone = T.class_table(frames.withColumn("A_v", F.lit(nan)), ["Go_AtoB"], {"nose_speed": "v"}, {}, 10.0).first()
+    assert all_gone.actor_nose_speed_p50 is None
