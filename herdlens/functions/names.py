@@ -58,6 +58,13 @@ def column_name(node: str) -> str:
     return node.replace(" ", "_")
 
 
+def find_distance(columns: list[str], a: tuple[str, ...], b: tuple[str, ...]) -> str | None:
+    """The first of the columns that is a distance (ends in _dist) between a node that has one of the words `a` in its
+    name and one that has one of `b`. Case doesn't matter; None if there is none."""
+    low = [(c, c.lower()) for c in columns if c.endswith("_dist")]
+    return next((c for c, n in low if any(x.lower() in n for x in a) and any(x.lower() in n for x in b)), None)
+
+
 def feature_class(name: str, flags: frozenset[str] = FLAGS) -> str:
     """Which aggregates a feature's bins get. Flags go by their whole name without subject and direction, so no part of
     a node's name makes a flag."""

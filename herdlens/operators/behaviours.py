@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.angles import bearing, opposition
-from ..storage import stored
+from ..storage import discard, stored
 from . import pairs as P
 from . import runs as R
 from . import windows as W
@@ -96,42 +96,55 @@ def engagement_speeds(df: DataFrame, flag_name: str = "Engaged", prefix: str = "
     return df.withColumns(speeds).drop("_step_A", "_step_B", "_onset")
 
 
+def _then(df: DataFrame, name: str, last: DataFrame) -> DataFrame:
+    """df, stored; what it was made from is discarded."""
+    out = stored(df, name)
+    discard(last)
+    return out
+
+
 def session_statistics(df: DataFrame) -> DataFrame:
     """session, tA, tB and for A and B: p35, p70, p75, p95 of active speed, median and MAD of speed and acceleration.
 
-    Two aggregates (the deviations need the medians), joined back: percentiles are exact and no series is in one window.
+    Two aggregates for both animals together (the deviations need the medians), joined back: percentiles are exact and no
+    series is in one window.
     """
-    out = None
+    c = F.col
+    first = [
+        a for s in "AB" for a in (
+            F.percentile(f"{s}_speed", F.array(F.lit(0.1), F.lit(0.5))).alias(f"{s}_v"), F.percentile(f"{s}_accel", F.array(F.lit(0.5), F.lit(0.8))).alias(f"{s}_a"),
+            F.percentile(f"{s}_jerk", F.array(F.lit(0.5), F.lit(0.9))).alias(f"{s}_j"),
+        )
+    ]
+    floor = df.groupBy(*SERIES_KEYS).agg(*first)
+    joined = df.select(*SERIES_KEYS, *[f"{s}_{n}" for s in "AB" for n in ("speed", "accel")]).join(floor, list(SERIES_KEYS))
+    shares = F.array(*[F.lit(p) for p in (0.35, 0.7, 0.75, 0.95)])
+    rest = []
     for s in "AB":
-        v, a = f"{s}_speed", f"{s}_accel"
-        floor = df.groupBy(*SERIES_KEYS).agg(F.percentile(v, 0.1).alias("p10"), F.percentile(v, 0.5).alias(f"{s}_med"), F.percentile(a, F.array(F.lit(0.5), F.lit(0.8))).alias("acc"), F.percentile(f"{s}_jerk", F.array(F.lit(0.5), F.lit(0.9))).alias("jrk"))
-        joined = df.select(*SERIES_KEYS, v, a).join(floor, list(SERIES_KEYS))
-        active = F.when(F.col(v) > F.col("p10"), F.col(v))
-        shares = F.array(*[F.lit(p) for p in (0.35, 0.7, 0.75, 0.95)])
-        stats = joined.groupBy(*SERIES_KEYS).agg(
-            F.coalesce(F.percentile(active, shares), F.percentile(v, shares)).alias("p"),
-            F.percentile(F.abs(F.col(v) - F.col(f"{s}_med")), 0.5).alias(f"{s}_mad"),
-            F.percentile(F.abs(F.col(a) - F.col("acc")[0]), 0.5).alias(f"{s}_acc_mad"),
-            F.first(f"{s}_med").alias(f"{s}_med"), F.first("acc").alias("acc"), F.first("jrk").alias("jrk"),
-        )
-        stats = stats.select(
-            *SERIES_KEYS, f"{s}_med", f"{s}_mad", f"{s}_acc_mad",
-            *[F.col("p")[i].alias(f"{s}_{n}") for i, n in enumerate(("p35", "p70", "p75", "p95"))],
-            F.col("acc")[0].alias(f"{s}_acc_med"), F.col("acc")[1].alias(f"{s}_acc_p80"), F.col("jrk")[0].alias(f"{s}_jerk_med"), F.col("jrk")[1].alias(f"{s}_jerk_p90"),
-        )
-        out = stats if out is None else out.join(stats, list(SERIES_KEYS))
-    return out
+        active = F.when(c(f"{s}_speed") > c(f"{s}_v")[0], c(f"{s}_speed"))
+        rest += [
+            F.coalesce(F.percentile(active, shares), F.percentile(f"{s}_speed", shares)).alias(f"{s}_p"),
+            F.percentile(F.abs(c(f"{s}_speed") - c(f"{s}_v")[1]), 0.5).alias(f"{s}_mad"), F.percentile(F.abs(c(f"{s}_accel") - c(f"{s}_a")[0]), 0.5).alias(f"{s}_acc_mad"),
+            *[F.first(f"{s}_{n}").alias(f"{s}_{n}") for n in "vaj"],
+        ]
+    out = [
+        x for s in "AB" for x in (
+            c(f"{s}_v")[1].alias(f"{s}_med"), f"{s}_mad", f"{s}_acc_mad", *[c(f"{s}_p")[i].alias(f"{s}_{n}") for i, n in enumerate(("p35", "p70", "p75", "p95"))],
+            c(f"{s}_a")[0].alias(f"{s}_acc_med"), c(f"{s}_a")[1].alias(f"{s}_acc_p80"), c(f"{s}_j")[0].alias(f"{s}_jerk_med"), c(f"{s}_j")[1].alias(f"{s}_jerk_p90"),
+        )
+    ]
+    return joined.groupBy(*SERIES_KEYS).agg(*rest).select(*SERIES_KEYS, *out)
 
 
 def second_order(df: DataFrame, fps: float, stats: DataFrame | None = None, gap_lag_s: float | None = None) -> DataFrame:
     """Follow, chase, flee, approach, avoidance, stationary proximity, orienting, disengagement, attention.
 
     df: what first_order returns, with A_speed, A_accel, A_jerk, A_vx, A_vy, A_av and those of B. By default the change
-    of distance is over one frame; gap_lag_s takes it over that span.
+    of distance is over one frame; gap_lag_s takes it over that span. Steps are stored and discarded when the next is.
     """
     c, dsr, w = F.col, F.col("dsr"), P.series()
     # the plan so far is long; statistics and detectors read it more than once, so it is worked out here
-    df = stored(df.drop(*[f"{s}_{a}s" for s in "AB" for a in "xy"], "near_A", "near_B"), "pair-frames")
+    last = df = stored(df.drop(*[f"{s}_{a}s" for s in "AB" for a in "xy"], "near_A", "near_B"), "pair-frames")
     df = df.join(stats if stats is not None else session_statistics(df), list(SERIES_KEYS))
     half, short = max(1, round(0.25 * fps)), max(2, round(0.3 * fps))
     recent = max(1, round(0.75 * fps))
@@ -145,7 +158,7 @@ def second_order(df: DataFrame, fps: float, stats: DataFrame | None = None, gap_
         along, across = G.body_frame(-dx, -dy, c(f"{t}_heading"))
         extra |= {f"along_{s}": along, f"across_{s}": across, f"towards_{s}": G.approach(dx, dy, c(f"{s}_vx"), c(f"{s}_vy")), f"away_{s}": G.retreat(dx, dy, c(f"{s}_vx"), c(f"{s}_vy"))}
     df = df.withColumns(extra)
-    df = stored(df, "pair-motion")
+    last = df = _then(df, "pair-motion", last)
     # what counts as social for flight and avoidance, and for disengagement
     close = ("Engaged", "Contact", "NoseNose", "NoseHead_AtoB", "NoseHead_BtoA", "HH", "HO", "Sniff_AtoB", "Sniff_BtoA")
     closer = (*close, "NoseBody_AtoB", "NoseBody_BtoA", "NoseRear_AtoB", "NoseRear_BtoA")
@@ -155,9 +168,9 @@ def second_order(df: DataFrame, fps: float, stats: DataFrame | None = None, gap_
 
     def detect(*behaviours):
         """(name, condition, gap in seconds, what the first frames must show) of behaviours that don't ask for each other."""
-        nonlocal df
+        nonlocal df, last
         flags = {f"{name}_{s}to{t}": (condition(s, t, f"{s}to{t}"), span(gap), passes(s) if passes else None) for name, condition, gap, passes in behaviours for s, t in DIRECTIONS}
-        df = stored(R.gates(df, flags, SERIES_KEYS, "sidx"), "detected")
+        last = df = _then(R.gates(df, flags, SERIES_KEYS, "sidx"), "detected", last)
 
     follow = lambda s, t, st: (
         c("d").between(0.8 * dsr, 3.5 * dsr) & ((c("gap") < -0.15 * dsr) | (c("gap_std") < 0.25 * dsr)) & (c(f"along_{s}") < -0.2 * dsr) & (F.abs(f"across_{s}") < dsr)

@@ -136,6 +136,15 @@ def spine(pairs: DataFrame, last_second: float | Column, keys: Sequence[str] = K
     return pairs.select(*keys, _minutes(last_second).alias("_n")).groupBy(*keys).agg(F.max("_n").alias("_n")).withColumn("_k", F.explode(windows)).select(*keys, F.col("_k.scope").alias("scope"), F.col("_k.number").alias("number"))
 
 
+def with_video_time(bouts: DataFrame, frame_map: DataFrame, fps: float, keys: Sequence[str] = KEYS) -> DataFrame:
+    """bouts with `vframe`, the first video frame that shows the bout's first data row, and `onset_s`, when that is.
+
+    frame_map: session, vframe, sidx. A data row can be shown by several video frames, or by none: such bouts go.
+    """
+    first = frame_map.groupBy("session", F.col("sidx").alias("start")).agg(F.min("vframe").alias("vframe"))
+    return bouts.join(first, ["session", "start"]).withColumn("onset_s", F.col("vframe") / fps).select(*bouts.columns, "vframe", "onset_s")
+
+
 def active_at(bouts: DataFrame, frame: int) -> DataFrame:
     """Bouts that a frame is in."""
     return bouts.where((F.col("start") <= frame) & (F.col("end") >= frame))

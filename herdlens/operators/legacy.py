@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.angles import bearing, opposition
 from ..functions.geometry import body_frame
-from ..storage import stored
+from ..storage import discard, stored
 from . import pairs as P
 from . import runs as R
 from . import windows as W
@@ -156,15 +156,15 @@ def _quantiles(df: DataFrame, gate_frames: int, wanted: dict[str, tuple[str, Seq
     return df.join(per.select(*KEYS, *[F.col(name)[i].alias(f"{name}_p{round(100 * q)}") for name, (_, qs) in wanted.items() for i, q in enumerate(qs)]), list(KEYS))
 
 
-def _baseline(df: DataFrame, gate_frames: int, name: str, column: str, where: Column | None = None) -> DataFrame:
-    """df with {name}_med and {name}_mad of a column over the frames from the gate on where `where` holds; over all of
-    those if it never does. Two aggregates: deviations need the median."""
-    rows = df.where(F.col("sidx") >= gate_frames).select(*KEYS, F.col(column).alias("_v"), (where if where is not None else F.lit(True)).alias("_c"))
-    own = F.when(F.col("_c"), F.col("_v"))
-    med = rows.groupBy(*KEYS).agg(F.coalesce(F.percentile(own, 0.5), F.percentile("_v", 0.5)).alias(f"{name}_med"), F.max("_c").alias("_any"))
-    off = F.abs(F.col("_v") - F.col(f"{name}_med"))
-    mad = rows.join(med, list(KEYS)).groupBy(*KEYS).agg(F.percentile(F.when(F.col("_c") | ~F.col("_any"), off), 0.5).alias(f"{name}_mad"), F.first(f"{name}_med").alias(f"{name}_med"))
-    return df.join(mad, list(KEYS), "left").fillna(0.0, [f"{name}_med", f"{name}_mad"])
+def _baselines(df: DataFrame, gate_frames: int, wanted: dict[str, tuple[str, Column]]) -> DataFrame:
+    """df with {name}_med and {name}_mad of columns over the frames from the gate on where a condition holds; over all of
+    those if it never does. Two aggregates for all of them: deviations need the medians."""
+    rows = df.where(F.col("sidx") >= gate_frames).select(*KEYS, *[x for n, (column, where) in wanted.items() for x in (F.col(column).alias(f"_v_{n}"), where.alias(f"_c_{n}"))])
+    own = lambda n: F.percentile(F.when(F.col(f"_c_{n}"), F.col(f"_v_{n}")), 0.5)
+    med = rows.groupBy(*KEYS).agg(*[x for n in wanted for x in (F.coalesce(own(n), F.percentile(f"_v_{n}", 0.5)).alias(f"{n}_med"), F.max(f"_c_{n}").alias(f"_any_{n}"))])
+    off = lambda n: F.when(F.col(f"_c_{n}") | ~F.col(f"_any_{n}"), F.abs(F.col(f"_v_{n}") - F.col(f"{n}_med")))
+    mad = rows.join(med, list(KEYS)).groupBy(*KEYS).agg(*[x for n in wanted for x in (F.percentile(off(n), 0.5).alias(f"{n}_mad"), F.first(f"{n}_med").alias(f"{n}_med"))])
+    return df.join(mad, list(KEYS), "left").fillna(0.0, [f"{n}_{x}" for n in wanted for x in ("med", "mad")])
 
 
 def detectors(df: DataFrame, fps: float, nodes: int, gate_s: float = 5.0, roles: Roles = Roles()) -> DataFrame:
@@ -176,7 +176,7 @@ def detectors(df: DataFrame, fps: float, nodes: int, gate_s: float = 5.0, roles:
     c, w, n, gate_ = F.col, Window.partitionBy(*KEYS).orderBy("sidx"), lags(fps), int(gate_s * fps)
     bl, dsr = 2 * c("dsr"), c("dsr")
     df = cones(contacts(motion(df, fps, roles), gate_, nodes, roles))
-    df = stored(df.drop(*[f"{s}_{a}s" for s in "AB" for a in "xy"], "ear_A", "ear_B"), "legacy-motion")
+    motion_table = df = stored(df.drop(*[f"{s}_{a}s" for s in "AB" for a in "xy"], "ear_A", "ear_B"), "legacy-motion")
     df = _quantiles(df, gate_, {"A_lag": ("A_lag_speed", (0.35, 0.45, 0.7, 0.95)), "B_lag": ("B_lag_speed", (0.35, 0.95)), "A": ("A_speed", (0.35, 0.75, 0.95))})
     free = c("touching") == 0
     turning = lambda most: (c("A_turn") <= most) & (c("B_turn") <= most)
@@ -196,7 +196,9 @@ def detectors(df: DataFrame, fps: float, nodes: int, gate_s: float = 5.0, roles:
     middle = df.groupBy(*KEYS).agg(F.avg("A_x").alias("_mx"), F.avg("A_y").alias("_my"))
     df = df.join(middle, list(KEYS)).withColumn("_radius", F.sqrt((c("A_x") - c("_mx")) ** 2 + (c("A_y") - c("_my")) ** 2)).drop("_mx", "_my")
     df = _quantiles(df, 0, {"_r": ("_radius", (0.75,))})
-    df = stored(_baseline(_baseline(_baseline(_baseline(df, gate_, "calm", "A_speed", ~social), gate_, "loose", "A_speed", ~pressed), gate_, "A", "A_speed"), gate_, "B", "B_speed"), "legacy-baselines")
+    every = F.lit(True)
+    df = stored(_baselines(df, gate_, {"calm": ("A_speed", ~social), "loose": ("A_speed", ~pressed), "A": ("A_speed", every), "B": ("B_speed", every)}), "legacy-baselines")
+    discard(motion_table)
     away = -c("towards")
     shy = c("recent") & free & (c("fe_A") > 120)
     active = shy & (c("A_speed") > c("calm_med") + 1.5 * c("calm_mad")) & (away > 0.15 * bl) & (c("gap_half") > 0.2 * bl)

@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from ..functions import angles as A
 from ..functions import geometry as G
 from ..operators import behaviours as B
+from ..operators import bouts as T
+from ..operators import labels as N
+from ..operators import runs as R
 from ..operators import pairs as P
 from ..operators import pose as O
 from . import query
 from .fixtures import FPS, NODES, PAIR_SQL, POSE_SQL, STAGED_SQL, node_pairs, pairs, pose, rounded, staged
 from .pose import savgol_sql
-from .runs import fill_sql
+from .runs import bouts_sql, fill_sql
 
 KEYS = ["session", "sidx", "tA", "tB"]
 OPP = "case when abs({0} - {1}) % 360 > 180 then 360 - abs({0} - {1}) % 360 else abs({0} - {1}) % 360 end"
@@ -230,3 +233,53 @@ def session_statistics(spark, sf_dir):
     df = pairs(spark, sf_dir).withColumns({f"{s}_{n}": F.col(f"{s}_speed") for s in "AB" for n in ("accel", "jerk")})
     out = B.session_statistics(df)
     return out.select("session", "tA", "tB", *[F.round(f"A_{n}", 3).alias(n) for n in ("p35", "p95", "med", "mad")])
+
+
+_TRACKS, _CALLED = [0, 1, 2, 3], ["ash", "birch", "cedar"]
+_LABEL = {t: (_CALLED[t] if t < len(_CALLED) else f"t{t}") for t in _TRACKS}
+
+
+def _wide_sql(source: str, flags) -> str:
+    columns = ", ".join(f"max({f}) filter (\"tA\" = {a} and \"tB\" = {b}) as \"{_LABEL[a]}_vs_{_LABEL[b]}/{f}\"" for a in _TRACKS for b in _TRACKS if a < b for f in flags)
+    return f"select session, sidx, {columns} from {source} group by 1, 2"
+
+
+@query("with " + POSE_SQL + _FIRST.format(factor=0.25) + " " + _wide_sql("g_4", _FIRST_FLAGS))
+def first_order_wide(spark, sf_dir):
+    """One row a frame, a column for each pair's behaviours, by the animals' names (the fourth has none)."""
+    frames = B.first_order(scaled(spark, sf_dir), FPS, len(NODES))
+    return N.wide(frames, ["session", "sidx"], N.pair_subjects(_TRACKS, _CALLED), _FIRST_FLAGS)
+
+
+@query("with " + SECOND_SQL + " " + _wide_sql("detected", SECOND))
+def second_order_wide(spark, sf_dir):
+    return N.wide(all_behaviours(spark, sf_dir), ["session", "sidx"], N.pair_subjects(_TRACKS, _CALLED), SECOND)
+
+
+#: A data row is shown by one to three video frames, two frames apart; every seventh by none. Rows come late in the video.
+_MAP_SQL = "frame_map as (select session, 10 + 6 * sidx + 2 * k vframe, sidx from (select distinct session, sidx from pose), range(3) r(k) where k <= sidx % 3 and sidx % 7 <> 0)"
+
+
+@query(
+    "with " + POSE_SQL + _FIRST.format(factor=0.25) + ",\n" + bouts_sql("Engaged", "g_4", "eb", _KEYS_SQL, "sidx") + ",\n" + _MAP_SQL + f""",
+first_ as (select session, sidx, min(vframe) vframe from frame_map group by 1, 2)
+select eb.session, "tA", "tB", case "tA" when 0 then 'ash' when 1 then 'birch' when 2 then 'cedar' else 't' || "tA" end || ' vs ' || case "tB" when 0 then 'ash' when 1 then 'birch' when 2 then 'cedar' else 't' || "tB" end pair,
+  bout::bigint bout, s::int as "start", e::int as "end", vframe::bigint vframe, round(vframe / {FPS}, 4) onset_s from eb join first_ on first_.session = eb.session and first_.sidx = s"""
+)
+def bout_onsets_in_video(spark, sf_dir):
+    """When bouts of engagement begin in the video, of sparse recordings."""
+    p = pose(spark, sf_dir)
+    shown = p.select("session", "sidx").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2)))).where("k <= sidx % 3 and sidx % 7 <> 0")
+    frame_map = shown.select("session", (10 + 6 * F.col("sidx") + 2 * F.col("k")).cast("long").alias("vframe"), "sidx")
+    found = R.bouts(B.first_order(scaled(spark, sf_dir), FPS, len(NODES)), "Engaged", ["session", "tA", "tB"], "sidx")
+    out = N.labelled(T.with_video_time(found, frame_map, FPS), _CALLED)
+    return out.select("session", "tA", "tB", "pair", "bout", "start", "end", "vframe", F.round("onset_s", 4).alias("onset_s"))
+
+
+@query("with " + POSE_SQL + _FIRST.format(factor=0.25).split(",\ncross_ as")[0] + f""", p as (select a.session, floor(a.sidx / {FPS})::bigint as second, a.track "tA", b.track "tB", {OPP.format("a.hd", "b.hd")} o from h a join h b on a.session = b.session and a.sidx = b.sidx and a.track < b.track)
+select session, "tA", "tB", second, round(avg(o), 4) delta_heading, count(*) frames from p group by 1, 2, 3, 4""")
+def per_second_headings(spark, sf_dir):
+    """The mean difference of two animals' headings in each second."""
+    df = scaled(spark, sf_dir).withColumn("delta_heading", A.opposition(F.col("A_heading"), F.col("B_heading")))
+    per = df.groupBy("session", "tA", "tB", F.floor(F.col("sidx") / FPS).alias("second")).agg(F.avg("delta_heading").alias("delta_heading"), F.count("*").alias("frames"))
+    return per.select("session", "tA", "tB", "second", F.round("delta_heading", 4).alias("delta_heading"), "frames")
