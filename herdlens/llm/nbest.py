@@ -43,7 +43,7 @@ OUT_ROWS, OUT_BYTES = 256, 1 << 23
 NEVER = 1 << 60
 #: Beyond the score of any text: pieces for long runs of blanks cost a billion each.
 UNREACHED = 1 << 100
-_LAST, _EDGE_IDS = itemgetter(0), itemgetter(2)
+_LAST = itemgetter(0)
 _BYTE = re.compile("<0x([0-9A-F]{2})>")
 
 
@@ -85,14 +85,19 @@ class Lattice:
         lowest = min((score for piece, (_, score) in pieces.items() if len(piece) == 1), default=0)
         return cls(pieces, byte_ids, lowest - 10_000_000)
 
-    def forward(self, part: str):
-        """The edges as (last character, (characters, score, ids)) by where they end, and each node's best score from the start."""
+    def edges(self, part: str) -> list[tuple[int, tuple[int, int, bytes]]]:
+        """(last character, (characters, score, ids)) of all edges, by where they end."""
         edges = list(self.finder.iter(part))
         if not self.single.issuperset(part):
             for i, c in enumerate(part):
                 if c not in self.single:
                     edges.append((i, (1, self.byte_score, _raw(*(self.byte_ids[b] for b in c.encode("utf-8", "surrogatepass"))))))
             edges.sort(key=_LAST)
+        return edges
+
+    def forward(self, part: str):
+        """The edges, and each node's best score from the start."""
+        edges = self.edges(part)
         best = [-UNREACHED] * (len(part) + 1)
         best[0] = 0
         for last, edge in edges:
@@ -105,31 +110,33 @@ class Lattice:
         """(score, ids, loss) of the best segmentation, and how much less the second scores (NEVER: there is none).
 
         The A* search up to the arrival of its first path. With an exact heuristic it goes straight on along that path,
-        and of the paths that wait only the best total matters: that of the second.
+        and of the paths that wait only the best total matters: that of the second. It leaves the first at some node by
+        the node's second best edge, so the forward pass keeps how much that one scores, too.
         """
-        edges, best = self.forward(part)
-        node, behind, total, waiting, path, at = len(part), 0, -best[-1], UNREACHED, [], len(edges) - 1
+        n = len(part) + 1
+        best, second, back = [-UNREACHED] * n, [-UNREACHED] * n, [None] * n
+        best[0] = 0
+        for last, edge in self.edges(part):
+            last += 1
+            total = best[last - edge[0]] + edge[1]
+            known = best[last]
+            if total > known:
+                second[last], best[last], back[last] = known, total, edge
+            elif total > second[last]:
+                second[last] = total
+                if total == known and edge[2] < back[last][2]:
+                    back[last] = edge
+            elif total == known and edge[2] < back[last][2]:
+                back[last] = edge
+        node, path, loss = n - 1, [], UNREACHED
         while node:
-            onward, last = None, node - 1
-            while edges[at][0] > last:
-                at -= 1
-            while at >= 0 and edges[at][0] == last:
-                edge = edges[at][1]
-                at -= 1
-                cost = behind - edge[1] - best[node - edge[0]]
-                if cost > total:
-                    if cost < waiting:
-                        waiting = cost
-                elif onward is None:
-                    onward = edge
-                else:
-                    waiting = total
-                    onward = min(onward, edge, key=_EDGE_IDS)
-            behind -= onward[1]
-            node -= onward[0]
-            path.append(onward[2])
+            edge, less = back[node], best[node] - second[node]
+            if less < loss:
+                loss = less
+            node -= edge[0]
+            path.append(edge[2])
         path.reverse()
-        return -total, b"".join(path), waiting - total if waiting < UNREACHED else NEVER
+        return best[-1], b"".join(path), loss if loss < UNREACHED >> 1 else NEVER
 
     def n_best(self, part: str, n: int) -> list[tuple[int, bytes]]:
         """(score, ids) of the n best segmentations, or all if fewer; the best of equal ones as first() has it, others as
@@ -222,19 +229,23 @@ class Segmenter:
                 self.old, self.units, self.units_size, self.lossy = self.units, {}, 0, {u for u in self.lossy if u in self.units}
             if self.parts_size > self.limit:
                 self.parts, self.parts_size = {}, 0
-            known, old = self.units, self.old
+            known, old, first, piece = self.units, self.old, self.lattice.first, self.decoder.raw.__getitem__
             for i in [i for i, f in enumerate(found) if f is None]:
                 u = units[i]
                 f = known.get(u)
                 if f is None:
                     f = old.get(u)
                     if f is None:
-                        whole = u if u[:1] == SPACE else SPACE + u
-                        f = self._unit(whole)
-                        if self.decoder.bytes(f[1]) != whole.replace(SPACE, " ").encode("utf-8", "surrogatepass"):
+                        if u.isalpha():
+                            f, want = first(SPACE + u), b" " + u.encode("utf-8", "surrogatepass")
+                        else:
+                            whole = u if u[:1] == SPACE else SPACE + u
+                            f, want = self._unit(whole), whole.replace(SPACE, " ").encode("utf-8", "surrogatepass")
+                        if b"".join(map(piece, memoryview(f[1]).cast("I"))) != want:
                             self.lossy.add(u)
-                    self.units_size += _size(u, f[1])
-                found[i] = known[u] = f
+                    known[u] = f
+                    self.units_size += PART_BYTES if len(u) < 16 else _size(u, f[1])
+                found[i] = f
         return found
 
     def __call__(self, text: str) -> tuple[bytes, list[tuple[int, list[tuple[int, int, bytes]]]], bool]:
