@@ -52,20 +52,28 @@ def bout_seconds(df: DataFrame, distance: str, keys: Sequence[str], fps: float,
     return R.drop_short(df, "near_bout", keys, "sidx", max(1, round(least_s * fps)))
 
 
-def contact_times(df: DataFrame, distance: str, label: str, fps: float, px_per_cm: float, windows: Sequence[int] = (30, 60), proximity_cm: float = 3.0, contact_cm: float = 1.0, least_s: float = 1.0) -> DataFrame:
-    """Proximity and contact seconds of pairs: in all, and for windows of so many seconds (0-30s, ...)."""
-    keys = ("session", "tA", "tB")
-    subject = F.concat_ws("-", F.col("tA").cast("string"), F.col("tB").cast("string"))
-    out = None
-    for kind, cm in (("Proximity", proximity_cm), ("Contact", contact_cm)):
-        marked = bout_seconds(df.select(*keys, "sidx", "vframe", distance), distance, keys, fps, cm * px_per_cm, least_s=least_s)
-        total = _long(marked.groupBy(*keys).agg(F.sum("near_bout").alias("n")), subject, [(kind, label, F.col("n") / fps, "s")])
-        out = total if out is None else out.unionByName(total)
-        for width in windows:
-            per = marked.groupBy(*keys, F.floor(F.col("vframe") / fps / width).cast("int").alias("i")).agg(F.sum("near_bout").alias("n"))
-            span = F.format_string("%s %d–%ds", F.lit(label), F.col("i") * width, (F.col("i") + 1) * width) if width < 60 else F.format_string("%s %d–%dmin", F.lit(label), F.col("i") * (width // 60), (F.col("i") + 1) * (width // 60))
-            out = out.unionByName(per.select("session", F.lit(kind).alias("category"), span.alias("metric"), subject.alias("subject"), F.round(F.col("n") / fps, 4).alias("value"), F.lit("s").alias("unit")))
-    return out
+def contacts(df: DataFrame, distances: dict[str, str], fps: float, px_per_cm: float, windows: Sequence[int] = (30, 60), proximity_cm: float = 3.0, contact_cm: float = 1.0, least_s: float = 1.0) -> DataFrame:
+    """Proximity and contact seconds of pairs: in all, and for windows of so many seconds (0-30s, ...). distances: label
+    to column.
+
+    A frame becomes a row for each distance and threshold, so all of them share one chain of windows; sums are by the
+    smallest spans first, and the spans' sums (few rows) add up to windows and totals.
+    """
+    keys, c = ("session", "tA", "tB"), F.col
+    limits = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(kind).alias("category"), F.coalesce(c(f"`{d}`") <= cm * px_per_cm, F.lit(False)).cast("int").alias("near")) for label, d in distances.items() for kind, cm in (("Proximity", proximity_cm), ("Contact", contact_cm))])
+    rows = df.select(*keys, "sidx", "vframe", F.explode(limits).alias("r")).select(*keys, "sidx", "vframe", "r.*")
+    of = (*keys, "label", "category")
+    marked = R.drop_short(R.fill_gaps(rows, "near", of, "sidx", max(1, round(0.1 * fps))), "near", of, "sidx", max(1, round(least_s * fps)))
+    spans = marked.groupBy(*of, *[F.floor(c("vframe") / fps / w).cast("int").alias(f"_{w}") for w in windows]).agg(F.sum("near").alias("n"))
+
+    def text(w: int):
+        step, unit = (w, "s") if w < 60 else (w // 60, "min")
+        return F.format_string(f"%s %d–%d{unit}", c("label"), c(f"_{w}") * step, (c(f"_{w}") + 1) * step)
+
+    named = spans.withColumn("metric", F.explode(F.array(c("label"), *[text(w) for w in windows])))
+    per = named.groupBy(*of, "metric").agg(F.sum("n").alias("n"))
+    subject = F.concat_ws("-", c("tA").cast("string"), c("tB").cast("string"))
+    return per.select("session", "category", "metric", subject.alias("subject"), F.round(c("n") / fps, 4).alias("value"), F.lit("s").alias("unit"))
 
 
 def angle_in_proximity(df: DataFrame, px_per_cm: float, cm: float = 3.0) -> DataFrame:

@@ -1,55 +1,86 @@
 """Repair of trajectories: speed and drift outliers, gap filling in three tiers.
 
-Each series (session, track, node) is one group of applyInPandas: the steps are sequential (each outlier changes its
-neighbours' speeds, the smoother runs forward and back), and a series is bounded by its session. NumPy only.
+Outliers are masked with window functions, in rounds until none is left. Gaps are filled a series (session, track, node)
+at a time in applyInPandas, as the smoother runs forward and back; a series is bounded by its session. NumPy only.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..storage import stored
+from . import windows as W
 
 SIGMA = 1.4826
+SERIES = ("session", "track", "node")
+
+
+def _limits(df: DataFrame, value: str, k: float) -> DataFrame:
+    """SERIES, mid and limit: the median of a column and that plus k robust deviations. Two aggregates."""
+    mid = df.groupBy(*SERIES).agg(F.percentile(value, 0.5).alias("mid"))
+    off = df.join(mid, list(SERIES)).groupBy(*SERIES).agg(F.first("mid").alias("mid"), F.percentile(F.abs(F.col(value) - F.col("mid")), 0.5).alias("mad"))
+    return off.select(*SERIES, "mid", (F.col("mid") + k * SIGMA * F.col("mad")).alias("limit"))
 
 
-def mask_speed_outliers(x: np.ndarray, y: np.ndarray, k: float = 5.0) -> None:
-    """Points with a fast step both into and out of them become missing, until none is left. Speeds are between known neighbours."""
+def mask_speed_outliers(pose: DataFrame, k: float = 5.0) -> DataFrame:
+    """pose with points missing that are reached and left faster than their series' limit, again and again until there
+    are none. Speeds are a frame between a known point and the one known before it, however many frames ago.
+
+    A round looks only at series that lost a point in the one before; it is two aggregates and a window over known
+    points. A series of fewer than three known points stays as it is. Points with one coordinate are unknown.
+    """
+    c, w = F.col, Window.partitionBy(*SERIES).orderBy("sidx")
+    known = pose.where("x is not null and y is not null").select(*SERIES, "sidx", "x", "y")
+    clean = None
     while True:
-        ok = np.isfinite(x) & np.isfinite(y)
-        both = ok[1:] & ok[:-1]
-        v = np.where(both, np.hypot(np.diff(x), np.diff(y)), np.nan)
-        known = v[np.isfinite(v)]
-        if len(known) < 3:
-            return
-        mid = np.median(known)
-        limit = mid + k * SIGMA * np.median(np.abs(known - mid))
-        fast = np.nan_to_num(v, nan=-1.0) > limit
-        bad = np.zeros(len(x), bool)
-        bad[1:-1] = fast[:-1] & fast[1:]
-        if limit <= 0 or not bad.any():
-            return
-        x[bad] = y[bad] = np.nan
-
-
-def running_median(x: np.ndarray, width: int) -> np.ndarray:
-    """Odd width, ends mirrored (d c b a | a b c d | d c b a)."""
-    if not len(x):
-        return x
-    return np.median(np.lib.stride_tricks.sliding_window_view(np.pad(x, width // 2, mode="symmetric"), width), axis=1)
-
-
-def mask_drift_outliers(x: np.ndarray, y: np.ndarray, fps: float, k: float = 5.0, floor: float = 15.0) -> None:
-    """Points far from a running median of about two seconds become missing."""
-    ok = np.isfinite(x) & np.isfinite(y)
-    if ok.sum() < 3:
-        return
-    width = max(3, int(round(2 * fps)) | 1)
-    t = np.arange(len(x))
-    away = np.hypot(*(c - running_median(np.interp(t, t[ok], c[ok]), width) for c in (x, y)))
-    mid = np.median(away[ok])
-    bad = ok & (away > max(mid + k * SIGMA * np.median(np.abs(away[ok] - mid)), floor))
-    x[bad] = y[bad] = np.nan
+        before = lambda n: c(n) - F.lag(n).over(w)
+        moving = known.withColumn("speed", F.sqrt(before("x") ** 2 + before("y") ** 2) / before("sidx")).withColumn("next", F.lead("speed").over(w))
+        moving = moving.join(_limits(moving, "speed", k), list(SERIES))
+        bad = F.coalesce((c("speed") > c("limit")) & (c("next") > c("limit")), F.lit(False))
+        table = moving.withColumn("bad", bad).withColumn("any", F.max("bad").over(Window.partitionBy(*SERIES)))
+        table = stored(table.select(*SERIES, "sidx", "x", "y", "bad", "any"), "speed-mask")
+        done = table.where("not any").select(*SERIES, "sidx")
+        clean = done if clean is None else clean.unionAll(done)
+        known = table.where("any and not bad").select(*SERIES, "sidx", "x", "y")
+        if known.isEmpty():
+            break
+    return _only(pose, clean)
+
+
+def mask_drift_outliers(pose: DataFrame, fps: float, k: float = 5.0, floor: float = 15.0) -> DataFrame:
+    """pose with points missing that are far from a running median over about two seconds, taken over the series with its
+    gaps bridged: further than the limit of the series' distances and than `floor`. A series of fewer than three known
+    points stays as it is."""
+    c, w = F.col, Window.partitionBy(*SERIES).orderBy("sidx")
+    width = max(3, round(2 * fps))
+    width += width % 2 == 0
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ok = c("x").isNotNull() & c("y").isNotNull()
+    df = pose.select(*SERIES, "sidx", *[F.when(ok, c(a)).alias(a) for a in "xy"]).withColumn("n", F.count("x").over(whole)).where("n >= 3")
+    df = df.withColumns({f"f{a}": W.interpolate(c(a), c("sidx"), w) for a in "xy"})
+    df = df.withColumns({f"m{a}": W.wide_median(c(f"f{a}"), w, width) for a in "xy"}).where("x is not null")
+    df = stored(df.select(*SERIES, "sidx", F.sqrt((c("x") - c("mx")) ** 2 + (c("y") - c("my")) ** 2).alias("away")), "drift")
+    far = df.join(_limits(df, "away", k), list(SERIES)).where(c("away") > F.greatest(c("limit"), F.lit(floor)))
+    return _without(pose, far.select(*SERIES, "sidx"))
+
+
+def _only(pose: DataFrame, points: DataFrame) -> DataFrame:
+    """pose with the places of all other points missing."""
+    kept = pose.join(points.withColumn("_k", F.lit(True)), [*SERIES, "sidx"], "left")
+    return kept.select(*[F.when(F.col("_k"), F.col(c)).alias(c) if c in "xy" else F.col(c) for c in pose.columns])
+
+
+def _without(pose: DataFrame, points: DataFrame) -> DataFrame:
+    left = pose.join(points.withColumn("_k", F.lit(True)), [*SERIES, "sidx"], "left")
+    return left.select(*[F.when(F.col("_k").isNull(), F.col(c)).alias(c) if c in "xy" else F.col(c) for c in pose.columns])
+
+
+def masked(pose: DataFrame, fps: float) -> DataFrame:
+    """pose without outliers of either kind. pose: session, sidx, track, node, x, y; null (not NaN) is missing."""
+    return mask_drift_outliers(stored(mask_speed_outliers(pose), "speed-masked"), fps)
 
 
 def gaps(missing: np.ndarray) -> list[tuple[int, int]]:
@@ -162,10 +193,7 @@ def repaired(pose: DataFrame, fps: float, mask: bool = True, filler=fill) -> Dat
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sidx")
-        x, y = pdf.x.to_numpy(float, copy=True), pdf.y.to_numpy(float, copy=True)
-        if mask:
-            mask_speed_outliers(x, y)
-            mask_drift_outliers(x, y, fps)
-        return pdf.assign(x=filler(x, fps), y=filler(y, fps))
+        return pdf.assign(x=filler(pdf.x.to_numpy(float), fps), y=filler(pdf.y.to_numpy(float), fps))
 
-    return pose.groupBy("session", "track", "node").applyInPandas(one, pose.schema)
+    rows = masked(pose, fps) if mask else pose
+    return rows.groupBy(*SERIES).applyInPandas(one, pose.schema)

@@ -141,6 +141,20 @@ def median_filter(x: Column, w: WindowSpec, width: int) -> Column:
     return F.when(size > half, F.element_at(values, half + 1)).otherwise(x)
 
 
+def wide_median(x: Column, w: WindowSpec, width: int) -> Column:
+    """As median_filter, for wide windows over a column without nulls: a frame gathers its window once, and what stands
+    outside is the mirror image of the window's own ends. A series shorter than half a window is mirrored again and
+    again."""
+    half = width // 2
+    position, size = F.row_number().over(w) - 1, F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    near = F.collect_list(x).over(centred(w, half))
+    before, after = F.greatest(half - position, F.lit(0)), F.greatest(half - (size - 1 - position), F.lit(0))
+    once = F.concat(near, F.slice(near, F.lit(1), before.cast("int")), F.slice(F.reverse(near), F.lit(1), after.cast("int")))
+    place = lambda j: F.pmod(j, (2 * size).cast("int"))
+    often = F.transform(F.sequence(position - half, position + half), lambda j: F.get(near, F.when(place(j) >= size, 2 * size - 1 - place(j)).otherwise(place(j)).cast("int")))
+    return F.element_at(F.sort_array(F.when(size > half, once).otherwise(often)), half + 1)
+
+
 @lru_cache
 def savgol_taps(width: int, poly: int, deriv: int, rate: float) -> tuple[tuple[float, ...], ...]:
     """taps[position in the window][k]: weights of the window's values for the derivative of the fitted polynomial there."""

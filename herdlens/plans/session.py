@@ -192,8 +192,7 @@ class Analysis:
 
     @cached_property
     def metrics(self) -> DataFrame:
-        parts = [M.locomotion(self.animals, self.px_per_cm), M.immobility(self.animals, self.fps), M.zone_times(self.animals, self.fps), M.contact_times(self.pairs, "min_dist", "All nodes", self.fps, self.px_per_cm), M.angle_in_proximity(self.first_order, self.px_per_cm)]
-        parts += [M.contact_times(self.pairs, r, r, self.fps, self.px_per_cm) for r in self.regions]
+        parts = [M.locomotion(self.animals, self.px_per_cm), M.immobility(self.animals, self.fps), M.zone_times(self.animals, self.fps), M.contacts(self.pairs, {"All nodes": "min_dist", **{r: r for r in self.regions}}, self.fps, self.px_per_cm), M.angle_in_proximity(self.first_order, self.px_per_cm)]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)

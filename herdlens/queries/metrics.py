@@ -189,12 +189,7 @@ def contact_metrics(spark, sf_dir):
     d, _ = P.min_distance(NODES, exclude=[7])
     regions = {f"{a}-{b}": P.region_distance(REGIONS[a], REGIONS[b]) for a, b in REGION_PAIRS}
     df = node_pairs(spark, sf_dir).select(*KEYS, F.col("sidx").alias("vframe"), d.alias("All nodes"), *[r.alias(n) for n, r in regions.items()])
-    df = stored(df, "region-distances")
-    out = None
-    for label in ["All nodes", *regions]:
-        part = M.contact_times(df.withColumn("d", F.col(f"`{label}`")), "d", label, FPS, _WIDE_CM, least_s=_SHORT_S)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return M.contacts(df, {n: n for n in ["All nodes", *regions]}, FPS, _WIDE_CM, least_s=_SHORT_S)
 
 
 @query(

@@ -71,6 +71,52 @@ def pose_interpolation(spark, sf_dir):
     return rounded(p.withColumn("x", W.interpolate(F.col("x"), F.col("sidx").cast("double"), O.node_series())).drop("y"), ["session", "sidx", "track", "node"])
 
 
+#: Points with outliers and gaps, made from the given coordinates.
+_JUMPY_SQL = POSE_SQL + """,
+jumpy as (select session, track, node, sidx, case when abs(y) <= 21 then x + case when abs(x) > 20 then 300 else 0 end end x, case when abs(y) <= 21 then y end y from pose)"""
+_SERIES_SQL = "session, track, node"
+
+
+def _speed_mask_sql(source: str, rounds: int) -> str:
+    """The rounds one by one: beyond the last that masks anything they change nothing."""
+    out, at = [], source
+    for r in range(rounds):
+        out.append(
+            f"""v{r} as (select {_SERIES_SQL}, sidx, x, y, sqrt((x - lag(x) over w) ** 2 + (y - lag(y) over w) ** 2) / (sidx - lag(sidx) over w) v from {at} where x is not null window w as (partition by {_SERIES_SQL} order by sidx)),
+a{r} as (select {_SERIES_SQL}, quantile_cont(v, 0.5) mid from v{r} group by all), b{r} as (select {_SERIES_SQL}, any_value(mid) + 5 * 1.4826 * quantile_cont(abs(v - mid), 0.5) lim from v{r} join a{r} using ({_SERIES_SQL}) group by all),
+k{r} as (select {_SERIES_SQL}, sidx, x, y from (select *, coalesce(v > lim and lead(v) over (partition by {_SERIES_SQL} order by sidx) > lim, false) bad from v{r} join b{r} using ({_SERIES_SQL})) where not bad)"""
+        )
+        at = f"k{r}"
+    return ",\n".join(out)
+
+
+_ROUNDS, _WIDTH = 6, 21
+_MIRRORED = f"case when j < 0 then -j - 1 when j >= n then 2 * n - 1 - j else j end"
+
+
+@query(
+    "with " + _JUMPY_SQL + ",\n" + _speed_mask_sql("jumpy", _ROUNDS) + f""",
+s as (select j.session, j.track, j.node, j.sidx, k.x, k.y from jumpy j left join k{_ROUNDS - 1} k on k.session = j.session and k.track = j.track and k.node = j.node and k.sidx = j.sidx),
+e as (select *, last_value(x ignore nulls) over b x0, last_value(y ignore nulls) over b y0, last_value(case when x is not null then sidx end ignore nulls) over b t0, first_value(x ignore nulls) over a x1, first_value(y ignore nulls) over a y1, first_value(case when x is not null then sidx end ignore nulls) over a t1 from s
+  window b as (partition by {_SERIES_SQL} order by sidx rows between unbounded preceding and current row), a as (partition by {_SERIES_SQL} order by sidx rows between current row and unbounded following)),
+f as (select {_SERIES_SQL}, sidx, x, y, {", ".join(f"coalesce({c}, case when {c}0 is null then {c}1 when {c}1 is null then {c}0 else {c}0 + ({c}1 - {c}0) * (sidx - t0) / (t1 - t0) end) f{c}" for c in "xy")}, row_number() over w - 1 p, count(*) over (partition by {_SERIES_SQL}) n, count(x) over (partition by {_SERIES_SQL}) known from e window w as (partition by {_SERIES_SQL} order by sidx)),
+g as (select f.session, f.track, f.node, f.sidx, p + d j, f.n from f, range(-{_WIDTH // 2}, {_WIDTH // 2 + 1}) r(d) where x is not null and known >= 3 and n > {_WIDTH // 2}),
+m as (select g.session, g.track, g.node, g.sidx, quantile_cont(f.fx, 0.5) mx, quantile_cont(f.fy, 0.5) my from g join f on f.session = g.session and f.track = g.track and f.node = g.node and f.p = ({_MIRRORED.replace(" n ", " g.n ").replace("* n ", "* g.n ")}) group by all),
+w as (select f.*, sqrt((x - coalesce(mx, fx)) ** 2 + (y - coalesce(my, fy)) ** 2) away from f left join m using ({_SERIES_SQL}, sidx) where x is not null and known >= 3),
+q as (select {_SERIES_SQL}, quantile_cont(away, 0.5) mid from w group by all), l as (select {_SERIES_SQL}, greatest(any_value(mid) + 5 * 1.4826 * quantile_cont(abs(away - mid), 0.5), 15) lim from w join q using ({_SERIES_SQL}) group by all),
+far as (select {_SERIES_SQL}, sidx from w join l using ({_SERIES_SQL}) where away > lim)
+select s.session, s.sidx, s.track, s.node, round(case when far.sidx is null then s.x end, 4) + 0.0 x, round(case when far.sidx is null then s.y end, 4) + 0.0 y from s left join far on far.session = s.session and far.track = s.track and far.node = s.node and far.sidx = s.sidx"""
+)
+def pose_outliers(spark, sf_dir):
+    """Outliers of speed, then of drift, as missing points."""
+    from ..operators.repair import masked
+
+    c = F.col
+    known = lambda v: F.when(F.abs("y") <= 21, v)
+    jumpy = pose(spark, sf_dir).select("session", "sidx", "track", "node", known(c("x") + F.when(F.abs("x") > 20, 300.0).otherwise(0.0)).alias("x"), known(c("y")).alias("y"))
+    return rounded(masked(jumpy, FPS), ["session", "sidx", "track", "node"])
+
+
 @query()
 def pose_repair(spark, sf_dir):
     from ..operators.repair import repaired

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Characters of a stem that the join is keyed by; shorter stems are keyed by what they have.
-KEY = 3
-
 
 def scan(spark: SparkSession, folder: str, suffixes: tuple[str, ...]) -> DataFrame:
     """path, dir, stem of files below a folder; contents are not read."""
@@ -22,13 +19,13 @@ def scan(spark: SparkSession, folder: str, suffixes: tuple[str, ...]) -> DataFra
 def match(videos: DataFrame, files: DataFrame) -> DataFrame:
     """videos (stem, dir) with matched_id: the best file (stem, dir, id) whose stem begins with the video's, any case.
 
-    Same folder first, then equal stems, then the shortest. The join is on equal first characters with the rest of the
-    prefix as a condition, so it isn't a nested loop.
+    Same folder first, then equal stems, then the shortest. A file stands for each of its stem's prefixes, so the join is
+    on equal strings: names that begin alike don't meet in one task.
     """
-    v = videos.select("stem", "dir", F.least(F.length("stem"), F.lit(KEY)).alias("_n")).withColumn("_k", F.expr("substring(lower(stem), 1, _n)"))
-    f = files.select(F.col("stem").alias("_stem"), F.col("dir").alias("_dir"), F.col("id").alias("matched_id")).withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(KEY))))
-    f = f.where(F.length("_stem") >= F.col("_n")).withColumn("_k", F.expr("substring(lower(_stem), 1, _n)"))
-    found = v.join(f, ["_n", "_k"]).where(F.lower("_stem").startswith(F.lower("stem")))
-    rank = F.row_number().over(Window.partitionBy("stem", "dir").orderBy(F.desc(F.col("_dir") == F.col("dir")), F.desc(F.lower("_stem") == F.lower("stem")), F.length("_stem"), "_stem", "matched_id"))
+    v = videos.select("stem", "dir", F.lower("stem").alias("_k"))
+    f = files.select(F.col("stem").alias("_stem"), F.col("dir").alias("_dir"), F.col("id").alias("matched_id"), F.lower("stem").alias("_low"))
+    f = f.withColumn("_k", F.explode(F.transform(F.sequence(F.lit(0), F.length("_low")), lambda n: F.substring("_low", F.lit(1), n))))
+    found = v.join(f, "_k")
+    rank = F.row_number().over(Window.partitionBy("stem", "dir").orderBy(F.desc(F.col("_dir") == F.col("dir")), F.desc(F.col("_low") == F.col("_k")), F.length("_stem"), "_stem", "matched_id"))
     best = found.withColumn("_r", rank).where("_r = 1").select("stem", "dir", "matched_id")
     return videos.join(best, ["stem", "dir"], "left")

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,16 +27,8 @@ def bouts(df: DataFrame, key: str, active: Column, gap: str, late: str = LATE) -
 
 
 def tally(df: DataFrame, key: str, active: Column, fps: float) -> DataFrame:
-    """key, seconds: running time of active rows; the state is one number a key."""
-    kind = dict(df.dtypes)[key]
-
-    def add(k: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        n = (state.get[0] if state.exists else 0) + sum(int(b["_a"].sum()) for b in batches)
-        state.update((n,))
-        yield pd.DataFrame({key: [k[0]], "seconds": [n / fps]})
-
-    rows = df.select(key, active.cast("int").alias("_a"))
-    return rows.groupBy(key).applyInPandasWithState(add, f"{key} {kind}, seconds double", "n long", "update", "NoTimeout")
+    """key, seconds: running time of active rows; the state is one number a key, kept in the JVM. For update mode."""
+    return df.groupBy(key).agg((F.sum(F.coalesce(active, F.lit(False)).cast("int")) / fps).alias("seconds"))
 
 
 def drained(stream: DataFrame, spark: SparkSession, name: str, mode: str = "append") -> DataFrame:

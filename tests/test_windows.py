@@ -5,7 +5,12 @@ from pyspark.sql import functions as F
 
 from herdlens.operators import repair
 from herdlens.operators import windows as W
-from herdlens.operators.repair import running_median
+
+
+def running_median(x, width):
+    """Odd width, ends mirrored."""
+    padded = np.pad(x, width // 2, mode="symmetric")
+    return np.array([np.median(padded[i : i + width]) for i in range(len(x))])
 
 
 def run(spark, x, column, y=None):
@@ -81,17 +86,93 @@ def test_straight_paths(spark):
     assert all(abs(r.past - 1) < 1e-9 for r in got) and abs(got[10].mid - 4 / 5) < 1e-9
 
 
-def test_speed_outliers_and_drift():
+def series_of(spark, *series):
+    """A node each; NaN is missing."""
+    fine = lambda v: None if np.isnan(v) else float(v)
+    rows = [("s", i, 0, n, fine(a), fine(b)) for n, (x, y) in enumerate(series) for i, (a, b) in enumerate(zip(x, y))]
+    return spark.createDataFrame(rows, "session string, sidx int, track int, node int, x double, y double")
+
+
+def missing_of(df, n):
+    out = [[] for _ in range(n)]
+    for r in df.where("x is null or y is null").collect():
+        out[r.node].append(r.sidx)
+    return [sorted(o) for o in out]
+
+
+def plain_masks(x, y, fps):
+    """Both masks by definition, one series at a time."""
+    x, y = x.copy(), y.copy()
+    while True:
+        at = np.flatnonzero(np.isfinite(x) & np.isfinite(y))
+        if len(at) < 3:
+            break
+        v = np.hypot(np.diff(x[at]), np.diff(y[at])) / np.diff(at)
+        limit = np.median(v) + 5 * 1.4826 * np.median(np.abs(v - np.median(v)))
+        bad = [at[i + 1] for i in range(len(v) - 1) if v[i] > limit and v[i + 1] > limit]
+        if not bad:
+            break
+        x[bad] = y[bad] = np.nan
+    ok = np.isfinite(x) & np.isfinite(y)
+    if ok.sum() < 3:
+        return x, y
+    width = max(3, round(2 * fps))
+    width += width % 2 == 0
+    base = []
+    for v in (x, y):
+        full = np.interp(np.arange(len(v)), np.flatnonzero(ok), v[ok])
+        padded = np.pad(full, width // 2, mode="symmetric")
+        base.append([np.median(padded[i : i + width]) for i in range(len(v))])
+    away = np.hypot(x - base[0], y - base[1])[ok]
+    limit = max(np.median(away) + 5 * 1.4826 * np.median(np.abs(away - np.median(away))), 15.0)
+    bad = np.flatnonzero(ok)[away > limit]
+    x[bad] = y[bad] = np.nan
+    return x, y
+
+
+def test_speed_outliers_and_drift(spark):
     rng = np.random.default_rng(3)
     x, y = (f(np.arange(200) / 9) * 20 + rng.normal(size=200) * 0.3 for f in (np.sin, np.cos))
     x[50], y[120] = 400, -300
-    repair.mask_speed_outliers(x, y)
-    assert np.flatnonzero(np.isnan(x)).tolist() == [50, 120]
-    x = np.nan_to_num(x)
+    assert missing_of(repair.mask_speed_outliers(series_of(spark, (x, y))), 1) == [[50, 120]]
+    x[50], y[120] = 0, 0
     x[30:36] += 100
-    y = np.nan_to_num(y)
-    repair.mask_drift_outliers(x, y, 24)
-    assert set(range(30, 36)) <= set(np.flatnonzero(np.isnan(x)))
+    drift = missing_of(repair.mask_drift_outliers(series_of(spark, (x, y)), 24), 1)[0]
+    assert set(range(30, 36)) <= set(drift)
+
+
+def test_masks_like_plain_ones(spark):
+    """Outliers beside gaps, outliers that only show when others are gone, short series, standstill, half-known points."""
+    rng = np.random.default_rng(8)
+    series = []
+    for k in range(6):
+        x, y = (np.cumsum(rng.normal(size=90)) for _ in "xy")
+        for i in rng.integers(1, 89, 4):
+            x[i] += rng.choice([40, 90, 600])
+        x[20], x[21] = x[20] + 1000, x[21] - 1000  # neighbours
+        gone = rng.random(90) < 0.15 * (k % 3)
+        x[gone] = y[gone] = np.nan
+        series.append((x, y))
+    series += [(np.array([1.0, 900, 2, np.nan]), np.zeros(4)), (np.array([1.0, np.nan, 5]), np.zeros(3)), (np.zeros(40), np.zeros(40)), (np.full(9, np.nan), np.zeros(9))]
+    still = np.zeros(60)
+    still[30] = 500
+    series.append((still, np.zeros(60)))
+    half = series[0][0].copy(), series[0][1].copy()
+    half[1][10] = np.nan
+    series.append(half)
+    got = missing_of(repair.masked(series_of(spark, *series), 10.0), len(series))
+    want = [np.flatnonzero(~(np.isfinite(a) & np.isfinite(b))).tolist() for a, b in (plain_masks(x, y, 10.0) for x, y in series)]
+    assert got == want and any(20 in w and 21 in w for w in want) and 30 in want[-2]
+
+
+def test_wide_median(spark):
+    rows = [(k, i, float((7 * i * i + 5 * k) % 23)) for k, n in ((0, 30), (1, 6), (2, 3), (3, 4), (4, 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k int, i int, x double")
+    w = Window.partitionBy("k").orderBy("i")
+    for width in (3, 7, 21):
+        got = [(r.k, r.i, r.m) for r in df.select("k", "i", W.wide_median(F.col("x"), w, width).alias("m")).orderBy("k", "i").collect()]
+        want = [(k, i, m) for k in range(5) for i, m in enumerate(running_median(np.array([x for g, _, x in rows if g == k]), width))]
+        assert got == want
 
 
 def test_pchip_is_monotone_and_exact():
