@@ -109,17 +109,18 @@ def elongation(xs: Column, ys: Column) -> tuple[Column, Column]:
     return F.when(enough, F.sqrt(major / minor)), F.when(enough, F.sqrt(F.lit(1.0) - minor / major))
 
 
-def hull(xs: Column, ys: Column) -> tuple[Column, Column]:
-    """(area, perimeter) of the convex hull of an animal's nodes (arrays of one length).
+def _once(value: Column, then) -> Column:
+    """then(value) with value worked out once, however often it is used there: a lambda's variable is not an expression."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
-    A step between two nodes is an edge of the hull if no node is on its right and those in line are between its ends.
-    That compares few nodes with each other, without leaving the JVM. Null with no valid node.
-    """
+
+def _hull(xs: Column, ys: Column) -> Column:
+    """hull's numbers as a struct (area, length), in one pass over the edges."""
     both = F.arrays_zip(xs.alias("x"), ys.alias("y"))
     known = F.filter(both, lambda p: p["x"].isNotNull() & p["y"].isNotNull() & ~F.isnan(p["x"]) & ~F.isnan(p["y"]))
     points = F.array_distinct(F.transform(known, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))))
 
-    def edge(p, q):
+    def edge(points, p, q):
         dx, dy = q["x"] - p["x"], q["y"] - p["y"]
 
         def fits(r):
@@ -133,16 +134,28 @@ def hull(xs: Column, ys: Column) -> tuple[Column, Column]:
         dx, dy = q["x"] - p["x"], q["y"] - p["y"]
         return F.struct(((p["x"] * q["y"] - q["x"] * p["y"]) / 2).alias("area"), F.sqrt(dx * dx + dy * dy).alias("length"))
 
-    edges = F.flatten(F.transform(points, lambda p: F.transform(F.filter(points, lambda q: edge(p, q)), lambda q: measured(p, q))))
-    total = lambda name: F.aggregate(edges, F.lit(0.0), lambda s, e: s + e[name])
-    some = F.size(points) > 0
-    return F.when(some, F.abs(total("area"))), F.when(some, total("length"))
+    def numbers(points):
+        edges = F.flatten(F.transform(points, lambda p: F.transform(F.filter(points, lambda q: edge(points, p, q)), lambda q: measured(p, q))))
+        start = F.struct(F.lit(0.0).alias("area"), F.lit(0.0).alias("length"))
+        total = F.aggregate(edges, start, lambda s, e: F.struct((s["area"] + e["area"]).alias("area"), (s["length"] + e["length"]).alias("length")))
+        return F.when(F.size(points) > 0, total)
+
+    return _once(points, numbers)
+
+
+def hull(xs: Column, ys: Column) -> tuple[Column, Column]:
+    """(area, perimeter) of the convex hull of an animal's nodes (arrays of one length).
+
+    A step between two nodes is an edge of the hull if no node is on its right and those in line are between its ends.
+    That compares few nodes with each other, without leaving the JVM. Null with no valid node.
+    """
+    found = _hull(xs, ys)
+    return F.abs(found["area"]), found["length"]
 
 
 def circularity(xs: Column, ys: Column) -> Column:
     """4 pi area / perimeter^2 of the hull of an animal's nodes; null below three valid nodes and for those in line."""
-    area, around = hull(xs, ys)
-    return F.when(area > 1e-10, 4 * F.pi() * area / (around * around))
+    return _once(_hull(xs, ys), lambda h: F.when(F.abs(h["area"]) > 1e-10, 4 * F.pi() * F.abs(h["area"]) / (h["length"] * h["length"])))
 
 
 def clip01(v: Column) -> Column:
