@@ -8,7 +8,8 @@ by size, so the words taken miss the target by about one document's size.
 
 The prefix sum is distributed: documents fall in buckets (source, size class, hash of doc_id), which are counted
 with map-side aggregation; only bucket counts are summed along a source, so a source or a size that holds a third of
-all rows is spread over many tasks.
+all rows is spread over many tasks. The largest class of a source says how many parts the hash makes: with twice the
+rows it makes twice as many, so buckets don't grow with the table.
 """
 
 from __future__ import annotations
@@ -16,11 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
-SUBS = 32
+#: Parts of a size class of a source: so many at least, doubled until none has more rows than this on average.
+LEAST_SUBS, BUCKET_ROWS = 32, 1 << 16
 SEED = 20240
 
 
@@ -41,17 +43,25 @@ def _leading_bits(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def _keyed(docs: DataFrame, subs: int) -> DataFrame:
-    """mix_* columns: the source's key (null apart from any string, and last), size, bucket."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    """mix_* columns: the source's key (null apart from any string, and last), size, size class, hash."""
     return (
         docs.withColumn("mix_null", F.col("source").isNull().cast("int"))
         .withColumn("mix_source", F.coalesce("source", F.lit("")))
         .withColumn("mix_size", n_words(F.col("text")))
         .withColumn("mix_class", _size_class(F.col("mix_size")))
-        .withColumn("mix_sub", (_leading_bits(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))) % subs).cast("int"))
+        .withColumn("mix_hash", _leading_bits(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))))
     )
 
 
+def parts(most: int, rows: int = BUCKET_ROWS) -> int:
+    """How many parts a hash makes of classes of `most` rows at most."""
+    n = LEAST_SUBS
+    while n * rows < most:
+        n *= 2
+    return n
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """mix_null, mix_source, source_size, target: one row per source. sizes: mix_null, mix_source, mix_size.
 
@@ -85,7 +95,7 @@ def _offset(seed: int) -> Column:
     return _leading_bits(F.concat(F.lit(f"{seed}:"), F.col("mix_null").cast("string"), F.lit(":"), F.col("mix_source"))).cast("double") / F.lit(4294967296.0)
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, subs: int = SUBS, seed: int = SEED, keep=None) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, rows: int = BUCKET_ROWS, seed: int = SEED, keep=None) -> DataFrame:
     """docs with size, source_size, target and copies (0 to max_repeat): how often each row is to be emitted.
 
     docs: doc_id, text, source and any others; `keep` names the columns that stay (all). Null text has size 0, null
@@ -96,7 +106,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, subs: in
     docs = docs.drop("size", "source_size", "target", "copies", *[c for c in docs.columns if c.startswith("mix_")])
     keep = docs.columns if keep is None else list(keep)
     bucket = ["mix_null", "mix_source", "mix_class", "mix_sub"]
-    counts = stored(_keyed(docs.select("doc_id", "source", "text"), subs).groupBy(*bucket).agg(F.count("*").alias("n"), F.sum("mix_size").alias("mix_size")), "mix-counts")
+    narrow = stored(_keyed(docs.select("doc_id", "source", "text")).select(*bucket[:3], "mix_size", "mix_hash"), "mix-sizes")
+    most = narrow.groupBy(*bucket[:3]).count().agg(F.max("count")).first()[0] or 0
+    sub = (F.col("mix_hash") % parts(most, rows)).cast("int").alias("mix_sub")
+    counts = stored(narrow.withColumn("mix_sub", sub).groupBy(*bucket).agg(F.count("*").alias("n"), F.sum("mix_size").alias("mix_size")), "mix-counts")
+    discard(narrow)
     along = Window.partitionBy("mix_null", "mix_source").orderBy("mix_class", "mix_sub").rowsBetween(Window.unboundedPreceding, -1)
     plan = (
         counts.withColumn("before", F.coalesce(F.sum("n").over(along), F.lit(0)))
@@ -104,13 +118,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, subs: in
         .select(*bucket, "before", "source_size", "target", _offset(seed).alias("offset"))
     )
     plan = stored(plan, "mix-plan")
-    row = Window.partitionBy(*bucket).orderBy("mix_size", "mix_id", "mix_text")
+    in_bucket = Window.partitionBy(*bucket).orderBy("mix_size", "mix_id", "mix_text")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     upto = lambda rank: F.floor(rank * F.col("rate") + F.col("offset"))
     return (
-        _keyed(docs, subs)
+        _keyed(docs)
+        .withColumn("mix_sub", sub)
         .select(*keep, *bucket, "mix_size", F.col("doc_id").alias("mix_id"), F.xxhash64("text").alias("mix_text"))
-        .withColumn("mix_row", F.row_number().over(row))
+        .withColumn("mix_row", F.row_number().over(in_bucket))
         .join(plan, bucket, "left")  # every bucket is there; an inner join would test its keys on the texts again
         .withColumn("rate", F.least(rate, F.lit(float(max_repeat))))
         .withColumn("rank", F.col("before") + F.col("mix_row"))
@@ -130,7 +145,8 @@ ORACLE_SQL = f"""
 with d as (
   select doc_id, source, (source is null)::int sn, coalesce(source, '') s,
     len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) size from documents),
-b as (select *, length(bin(size)) * 8 + (size >> greatest(length(bin(size)) - 4, 0)) % 8 cls, ('0x' || substr(md5(doc_id::varchar), 1, 8))::ubigint % {SUBS} sub from d),
+b as (select *, length(bin(size)) * 8 + (size >> greatest(length(bin(size)) - 4, 0)) % 8 cls, ('0x' || substr(md5(doc_id::varchar), 1, 8))::ubigint h from d),
+parts as (select ({LEAST_SUBS} * greatest(1, pow(2, ceil(log2(max(n) / {float(LEAST_SUBS * BUCKET_ROWS)})))))::ubigint parts from (select count(*) n from b group by sn, s, cls)),
 per as (select sn, s, sum(size)::bigint source_size, [5, 2, 1][1 + (row_number() over (order by sn, s) - 1) % 3] w from b group by sn, s),
 lev as (select *, {MAX_REPEAT} * source_size cap, (sum(source_size) over ())::bigint total from per),
 lev2 as (select *, coalesce(sum(cap) over (order by cap / w, sn, s rows between unbounded preceding and 1 preceding), 0)::bigint capped,
@@ -138,7 +154,7 @@ lev2 as (select *, coalesce(sum(cap) over (order by cap / w, sn, s rows between
 lev3 as (select *, max(case when cap / w >= (total - capped) / opn then (total - capped) / opn end) over () level from lev2),
 t as (select sn, s, source_size, least(cap::double, coalesce(level * w, cap::double)) target,
     ('0x' || substr(md5('{SEED}:' || sn || ':' || s), 1, 8))::ubigint::double / 4294967296.0 u from lev3),
-r as (select b.*, t.source_size, t.target, t.u, row_number() over (partition by b.sn, b.s order by cls, sub, size, doc_id) rank,
+r as (select b.*, t.source_size, t.target, t.u, row_number() over (partition by b.sn, b.s order by cls, h % (select parts from parts), size, doc_id) rank,
     least(case when t.source_size > 0 then t.target / t.source_size else 0 end, {float(MAX_REPEAT)}) rate
   from b join t on b.sn = t.sn and b.s = t.s)
 select doc_id, size::bigint size, source_size, target,

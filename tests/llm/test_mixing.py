@@ -55,3 +55,15 @@ def test_awkward_rows(awkward, empty, nulls):
     assert len(set(got.columns)) == len(got.columns)
     assert got.where("doc_id = 8").first()["size"] == 60_000 and got.where("doc_id in (3, 4, 5)").agg(F.sum("size")).first()[0] == 0
     assert M.mix(empty).count() == 0 and M.mixed(empty).count() == 0 and M.mix(nulls).where("copies = 0").count() == 2
+
+
+def test_parts_follow_the_largest_class(spark):
+    assert [M.parts(n, 10) for n in (0, 320, 321, 640, 641, 10_000)] == [32, 32, 64, 64, 128, 1024]
+    docs = spark.createDataFrame([(i, "five words are in here", "a" if i % 8 else "b") for i in range(400)], "doc_id long, text string, source string")
+    few, many = ({r["doc_id"]: r for r in M.mix(docs, rows=n).collect()} for n in (1 << 16, 1))
+    for rows in (few, many):
+        assert len(rows) == 400
+        for s in "ab":
+            mine = [r for r in rows.values() if r["source"] == s]
+            assert abs(sum(r["size"] * r["copies"] for r in mine) - mine[0]["target"]) <= 5
+    assert any(few[i]["copies"] != many[i]["copies"] for i in few)  # 350 of a class: 512 parts are another order than 32
