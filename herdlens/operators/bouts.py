@@ -145,9 +145,16 @@ def with_video_time(bouts: DataFrame, frame_map: DataFrame, fps: float, keys: Se
     return bouts.join(first, ["session", "start"]).withColumn("onset_s", F.col("vframe") / fps).select(*bouts.columns, "vframe", "onset_s")
 
 
-def active_at(bouts: DataFrame, frame: int) -> DataFrame:
-    """Bouts that a frame is in."""
-    return bouts.where((F.col("start") <= frame) & (F.col("end") >= frame))
+def active(frames: DataFrame, kinds: dict[str, DataFrame], keys: Sequence[str] = KEYS, order: str = "sidx") -> DataFrame:
+    """keys, order of every frame with the bout that it is in: kind, start and end, of the first kind that has one; null
+    outside of bouts. kinds: name to bouts (keys, start, end), in order of precedence."""
+    every = None
+    for rank, (kind, bouts) in enumerate(kinds.items()):
+        part = bouts.select(*keys, "start", "end", F.lit(rank).alias("_rank"), F.lit(kind).alias("kind"))
+        every = part if every is None else every.unionByName(part)
+    where = frames.select(*keys, order)
+    inside = interval_join(every, where, keys, "start", "end").groupBy(*keys, order).agg(F.min_by(F.struct("kind", "start", "end"), "_rank").alias("_b"))
+    return where.join(inside, [*keys, order], "left").select(*keys, order, "_b.kind", "_b.start", "_b.end")
 
 
 def summary(df: DataFrame, flags: Sequence[str], keys: Sequence[str], order: str, fps: float) -> DataFrame:

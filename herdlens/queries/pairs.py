@@ -13,6 +13,7 @@ from ..operators import labels as N
 from ..operators import runs as R
 from ..operators import pairs as P
 from ..operators import pose as O
+from ..storage import stored
 from . import query
 from .fixtures import FPS, NODES, PAIR_SQL, POSE_SQL, STAGED_SQL, node_pairs, pairs, pose, rounded, staged
 from .pose import savgol_sql
@@ -283,3 +284,16 @@ def per_second_headings(spark, sf_dir):
     df = scaled(spark, sf_dir).withColumn("delta_heading", A.opposition(F.col("A_heading"), F.col("B_heading")))
     per = df.groupBy("session", "tA", "tB", F.floor(F.col("sidx") / FPS).alias("second")).agg(F.avg("delta_heading").alias("delta_heading"), F.count("*").alias("frames"))
     return per.select("session", "tA", "tB", "second", F.round("delta_heading", 4).alias("delta_heading"), "frames")
+
+
+@query(
+    "with " + STAGED_SQL + _FIRST.format(factor=0.5) + ",\npx as (select *, (d <= 3 * dsr)::int near from g_4),\n" + bouts_sql("Contact", "px", "cb", _KEYS_SQL, "sidx") + ",\n" + bouts_sql("near", "px", "nb", _KEYS_SQL, "sidx") + """
+select p.session, p.sidx, p."tA", p."tB", case when c.s is not null then 'contact' when n.s is not null then 'proximity' end kind, coalesce(c.s, n.s)::int as "start", case when c.s is not null then c.e else n.e end::int as "end" from px p
+  left join cb c on c.session = p.session and c."tA" = p."tA" and c."tB" = p."tB" and p.sidx between c.s and c.e left join nb n on n.session = p.session and n."tA" = p."tA" and n."tB" = p."tB" and p.sidx between n.s and n.e"""
+)
+def active_bouts(spark, sf_dir):
+    """The bout that each frame is in: contact before proximity."""
+    keys = ["session", "tA", "tB"]
+    frames = B.first_order(scaled(spark, sf_dir, 0.5, staged), FPS, len(NODES)).withColumn("near", (F.col("d") <= 3 * F.col("dsr")).cast("int"))
+    frames = stored(frames.select(*KEYS, "Contact", "near"), "contact-frames")
+    return T.active(frames, {"contact": R.bouts(frames, "Contact", keys, "sidx"), "proximity": R.bouts(frames, "near", keys, "sidx")}).select(*KEYS, "kind", "start", "end")
