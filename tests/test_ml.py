@@ -51,3 +51,32 @@ def test_nothing_to_learn_from(bouts):
     with pytest.raises(ValueError, match="fewer than 5"):
         ml.validate(bouts.where("behaviour = 'rare'"), ["f1"])
     assert ml.validate_or_nothing(bouts.limit(0), ["f1"]) == {}
+
+
+def test_permutation_scores_like_the_model_itself(bouts):
+    """Rows of one hash bucket can't be told here, so every row's votes are compared with the model's."""
+    features = ["f1", "f2", "noise"]
+    rows, labels = ml.prepared(bouts.where("behaviour <> 'rare'"), features, "behaviour")
+    model = ml.forest(15, 3).fit(rows)
+    x = np.array(rows.select(*features).collect(), float)
+    other = np.roll(x, 7, 0)
+    other[0] = np.nan
+    votes, again = ml._votes(ml._nodes(model, bouts.sparkSession), max(t.depth for t in model.trees), x, [other, x])
+    for f in range(len(features) + 1):
+        changed = x.copy()
+        if f < len(features):
+            changed[:, f] = other[:, f]
+        df = bouts.sparkSession.createDataFrame([(i, *map(float, r)) for i, r in enumerate(changed)], ["i", *features])
+        found = model.transform(ml.VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(df)).orderBy("i").collect()
+        assert np.array([r.rawPrediction.toArray() for r in found]).tolist() == votes[:, f].tolist()
+    assert (again == again[:, -1:]).all() and (again[:, 0] == votes[:, -1]).all()
+
+
+def test_only_the_wanted_forests_are_grown(bouts, monkeypatch):
+    grown = []
+    forest = ml.forest
+    monkeypatch.setattr(ml, "forest", lambda *args: grown.append(args) or forest(*args))
+    how = {"trees": 3, "repeats": 1}
+    assert list(ml.validate(bouts, ["f1", "f2"], wanted=["importance"], **how)) == ["importance"] and len(grown) == 1
+    assert list(ml.validate(bouts, ["f1", "f2"], wanted=["report"], **how)) == ["report"] and len(grown) == 6
+    assert list(ml.validate(bouts, ["f1", "f2"], wanted=["class_importance"], **how)) == ["class_importance"] and len(grown) == 7
