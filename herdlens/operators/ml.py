@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +22,8 @@ def usable_classes(table: DataFrame, label: str, folds: int) -> DataFrame:
     return table.join(counts.select(label), label, "left_semi")
 
 
+#: Forests grown at the same time.
+FITTED_TOGETHER = 5
 #: Rows whose votes for all features are in memory together.
 HIT_ROWS = 512
 #: Buckets that rows are ranked in before ranks are put together.
@@ -60,14 +64,19 @@ def forest(trees: int, seed: int) -> RandomForestClassifier:
 
 
 def out_of_fold(rows: DataFrame, folds: int, trees: int = 100, seed: int = 42) -> DataFrame:
-    """rows with `prediction` by the forest of the other folds."""
+    """rows with `prediction` by the forest of the other folds. Forests are grown side by side: a level of a tree is a
+    short job that leaves most of a cluster idle."""
+    def fitted(k: int):
+        train = rows.where(F.col("fold") != k)
+        return forest(trees, seed).fit(train) if train.select("y").distinct().limit(2).count() == 2 else None
+
+    with ThreadPool(min(folds, FITTED_TOGETHER)) as pool:
+        models = pool.map(inheritable_thread_target(rows.sparkSession)(fitted), range(folds))
     out = None
-    for k in range(folds):
-        train, test = rows.where(F.col("fold") != k), rows.where(F.col("fold") == k)
-        if train.select("y").distinct().limit(2).count() < 2:
-            continue
-        part = forest(trees, seed).fit(train).transform(test).drop("rawPrediction", "probability")
-        out = part if out is None else out.unionByName(part)
+    for k, model in enumerate(models):
+        if model is not None:
+            part = model.transform(rows.where(F.col("fold") == k)).drop("rawPrediction", "probability")
+            out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("too few rows or classes for cross-validation")
     return out
