@@ -16,14 +16,15 @@ belong to.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +37,9 @@ END_ID = 1
 LEVEL = 3
 #: Words whose ids a worker keeps; at the limit it forgets those not used since the last time.
 CACHE_WORDS = 200_000
+#: Bytes of texts whose equal pieces are told apart at once, about; new words that the model gets at once; pieces
+#: whose ids are put in order at once.
+GROUP_BYTES, PLAIN_WORDS, BLOCK_PIECES = 8 << 20, 256, 1 << 18
 #: Frames' bytes a file holds, about.
 FILE_BYTES = 128 << 20
 #: Documents that a reading task takes from a file at a time, and files whose sizes are summed in one step.
@@ -43,14 +47,7 @@ READ_DOCS, SUM_FILES = 1024, 1024
 
 
 #: Letters up to U+00FF, which normal form C leaves alone, then ASCII punctuation but the apostrophe of contractions.
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch
-
-
-def _byte_letters() -> dict[int, str]:
-    """The character that stands for each byte in byte-level vocabularies: itself if printable, else the next from 256."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in printable]
-    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+_PLAIN = "\\A(?P<letters>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)(?P<marks>[!-&(-/:-@\\[-`{-~]*)\\z"
 
 
 def _splits_words(tokenizer) -> bool:
@@ -68,62 +65,118 @@ def _splits_words(tokenizer) -> bool:
         and (split[0]["behavior"], split[0]["invert"], split[1]["add_prefix_space"], split[1]["use_regex"]) == ("Removed", True, False, False)
         and steps["post_processor"] is None
         and steps["truncation"] is None
+        and bool(steps["model"].get("end_of_word_suffix"))
     )
 
 
 class WordEncoder:
     """Ids of whole texts, encoding each different word once while it is remembered.
 
-    For lower-casing byte-level tokenizers that drop white space and split letters from punctuation: texts are cut at
-    spaces and line feeds, which no token crosses. Plain words go to the tokenizer's model at once, their letters and
-    their punctuation each; all other pieces, and texts that hold a special token's string, go through all of it. With
-    a tokenizer whose file describes other steps, every text goes through all of it.
+    For lower-casing byte-level tokenizers that drop white space, split letters from punctuation and mark the ends of
+    words: texts are cut at spaces and line feeds, which no token crosses, and equal pieces are told apart in Arrow.
+    Plain words go to the tokenizer's model many at once, their letters and their punctuation each; all other pieces,
+    and texts that hold a special token's string, go through all of it. With a tokenizer whose file describes other
+    steps, every text goes through all of it.
     """
 
     def __init__(self, path: str, cache: int = CACHE_WORDS):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.letters = _byte_letters()
         self.by_words = _splits_words(self.tokenizer)
-        self.limit, self.new, self.old, self.parts = cache, {"": b""}, {}, {}
+        self.limit, self.new, self.old = cache, {"": b""}, {}
+        if self.by_words:
+            self.plain = Tokenizer(self.tokenizer.model)
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(self.tokenizer.model.end_of_word_suffix)]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            mapped = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
-            ids = self.parts[part] = b"".join(t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(mapped))
+    def _encode_plain(self, words: list[str]) -> list[bytes]:
+        """Ids of lower-case words of one kind of characters each."""
+        out = []
+        for at in range(0, len(words), PLAIN_WORDS):
+            some = words[at : at + PLAIN_WORDS]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            raw, ends = ids.tobytes(), ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            # a model without a piece for some byte leaves out ends
+            out += map(raw.__getitem__, map(slice, [0, *ends], ends)) if len(ends) == len(some) else self._encode(some)
+        return out
+
+    def _ids(self, pieces: pa.Array, encode) -> list[bytes]:
+        """Ids of different pieces: remembered ones, else by encode."""
+        if len(self.new) > self.limit:
+            self.old, self.new = self.new, {"": b""}
+        pieces = pieces.to_numpy(zero_copy_only=False).tolist()
+        ids = [*map(self.new.get, pieces)]
+        unknown = [i for i, x in enumerate(ids) if x is None]
+        for i in unknown:
+            ids[i] = self.old.get(pieces[i])
+        rest = [i for i in unknown if ids[i] is None]
+        for i, x in zip(rest, encode([pieces[i] for i in rest])):
+            ids[i] = x
+        self.new.update((pieces[i], ids[i]) for i in unknown)
         return ids
 
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """The pieces' ids, those of this call at least."""
-        if len(self.new) > self.limit:
-            self.old, self.new = self.new, {}
-        if len(self.parts) > self.limit:
-            self.parts.clear()
-        rest = []
-        for piece in pieces.difference(self.new):
-            if (ids := self.old.get(piece)) is not None:
-                self.new[piece] = ids
-            elif plain := _PLAIN(piece):
-                self.new[piece] = self._part(plain[1].lower()) + (self._part(plain[2]) if plain[2] else b"")
-            else:
-                rest.append(piece)
-        self.new.update(zip(rest, self._encode(rest)))
-        return self.new
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        """Each text's ids, as the bytes of little-endian unsigned 32-bit integers."""
-        for text in texts:
-            if not self.by_words or any(s in text for s in self.specials):
-                yield self._encode([text])[0]
-            else:
-                pieces = text.replace("\n", " ").split(" ")
-                yield b"".join(map(self._learn(set(pieces)).__getitem__, pieces))
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different pieces without spaces, one piece's after the other's, and their numbers."""
+        split = pc.extract_regex(pieces, _PLAIN)
+        letters, marks = (pc.fill_null(pc.struct_field(split, [k]), "") for k in (0, 1))
+        letters, marks = pc.utf8_lower(letters).dictionary_encode(), marks.dictionary_encode()
+        other = np.flatnonzero(split.is_null().to_numpy(zero_copy_only=False))
+        known = self._ids(letters.dictionary, self._encode_plain), self._ids(marks.dictionary, self._encode_plain), self._ids(pieces.take(pa.array(other)), self._encode)
+        first, second = letters.indices.to_numpy().copy(), marks.indices.to_numpy() + len(known[0])
+        first[other] = len(known[0]) + len(known[1]) + np.arange(len(other))  # the second of these has no ids
+        parts = [x for ids in known for x in ids]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        both = np.stack([first, second], 1).ravel()
+        return _in_order(np.frombuffer(b"".join(parts), "<u4"), sizes, both), sizes[both].reshape(-1, 2).sum(1)
+
+    def __call__(self, texts: list[str] | pa.Array) -> Iterator[bytes]:
+        """Each text's ids, as the bytes of little-endian unsigned 32-bit integers. Null texts count as empty."""
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).fill_null("")
+        if not self.by_words:
+            yield from (self._encode([text.as_py()])[0] for text in texts)
+            return
+        whole = np.zeros(len(texts), bool)
+        for special in self.specials:
+            whole |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        pieces = cut.flatten().dictionary_encode()
+        ids, sizes = self._pieces(pieces.dictionary)
+        which = pieces.indices.to_numpy()
+        raw = _in_order(ids, sizes, which).tobytes()
+        ends = (np.concatenate([[0], np.cumsum(sizes[which])])[cut.offsets.to_numpy()] * 4).tolist()
+        for i, text in enumerate(texts):
+            yield self._encode([text.as_py()])[0] if whole[i] else raw[ends[i] : ends[i + 1]]
+
+
+def _in_order(ids: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Of successive runs of ids, of those sizes, the ones of which, one after the other."""
+    starts, out = np.cumsum(sizes) - sizes, [ids[:0]]
+    for at in range(0, len(which), BLOCK_PIECES):
+        block = which[at : at + BLOCK_PIECES]
+        n = sizes[block]
+        ends = np.cumsum(n)
+        out.append(ids[np.repeat(starts[block] + n - ends, n) + np.arange(ends[-1])])
+    return np.concatenate(out)
+
+
+@lru_cache(1)
+def _encoder(path: str) -> WordEncoder:
+    """A worker's own, with the words that it remembers, for all of its tasks."""
+    return WordEncoder(path)
+
+
+def _groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, number) of successive texts that have about GROUP_BYTES together."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    ends = [*(np.flatnonzero(np.diff(size // GROUP_BYTES)) + 1).tolist(), len(size)]
+    return ((a, b - a) for a, b in zip([0, *ends], ends) if b > a)
 
 
 def _encode(path: str, end_id: int, level: int):
@@ -133,14 +186,14 @@ def _encode(path: str, end_id: int, level: int):
         import zstandard
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, packer, end = WordEncoder(path), zstandard.ZstdCompressor(level=level, write_checksum=True), struct.pack("<I", end_id)
+        encoder, packer, end = _encoder(path), zstandard.ZstdCompressor(level=level, write_checksum=True), struct.pack("<I", end_id)
         for batch in batches:
             texts = batch.column("text")
-            for at in range(0, batch.num_rows, 256):
-                raw = [x + end for x in encoder([t or "" for t in texts.slice(at, 256).to_pylist()])]
+            for at, n in _groups(texts):
+                raw = [x + end for x in encoder(texts.slice(at, n))]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(at, 256),
+                        batch.column("doc_id").slice(at, n),
                         pa.array([len(x) for x in raw], pa.int64()),
                         pa.array([zlib.crc32(x) for x in raw], pa.int64()),
                         pa.array([packer.compress(x) for x in raw], pa.binary()),

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -73,6 +74,49 @@ def test_other_tokenizers_go_through_the_library(tokenizer):
     assert list(encoder(texts)) == [np.array(other.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
+def _whole(tokenizer, texts):
+    return [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_each_word_is_encoded_once_whatever_its_case_and_punctuation(tokenizer, monkeypatch):
+    encoder, seen = B.WordEncoder(PATH), []
+    plain = encoder._encode_plain
+    monkeypatch.setattr(encoder, "_encode_plain", lambda words: seen.extend(words) or plain(words))
+    texts = ["Word, word; WORD", "word.\nÀÉ àé!", None, "", "don't word"] * 300
+    for kind in (pa.string(), pa.large_string()):
+        assert list(encoder(pa.array(texts, kind))) == _whole(tokenizer, texts[:5]) * 300
+    assert sorted(seen) == sorted(["word", "àé", ",", ";", ".", "!"])
+
+
+def test_a_worker_keeps_its_encoder_from_task_to_task(monkeypatch):
+    made, init = [], B.WordEncoder.__init__
+    monkeypatch.setattr(B.WordEncoder, "__init__", lambda self, *args: made.append(args) or init(self, *args))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["some words", None]})
+    one, two = ([b for b in B._encode(PATH, 1, 3)(iter([batch]))] for _ in range(2))
+    assert one == two and len(made) <= 1
+
+
+def test_all_plain_letters_and_marks(tokenizer):
+    letters = [chr(i) for i in range(0xC0, 0x100)] + list("azAZ")
+    texts = [f"{c} {c}{c} x{c}{d}" for c in letters for d in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~×÷ªº5"]
+    texts += ["a</w>b </w> x</w>", "a\0b", "a ́b", "H̱", "İ ẖ", "a b c\x85d"]
+    assert list(B.WordEncoder(PATH)(texts)) == _whole(tokenizer, texts)
+
+
+@pytest.mark.parametrize("size", [1, 7, 1 << 20])
+def test_groups_blocks_and_forgotten_words_change_nothing(tokenizer, monkeypatch, size):
+    monkeypatch.setattr(B, "GROUP_BYTES", size)
+    monkeypatch.setattr(B, "PLAIN_WORDS", size)
+    monkeypatch.setattr(B, "BLOCK_PIECES", size)
+    texts = pa.array([None if i % 11 == 3 else " ".join(f"W{'abcdefg'[k % 7] * (k % 5)}{'.' * (k % 3)} {k}" for k in range(i % 13)) + "<|endoftext|>" * (i % 17 == 4) for i in range(120)])
+    encoder = B.WordEncoder(PATH, 5)
+    groups = list(B._groups(texts))
+    assert sum(n for _, n in groups) == 120 and [a for a, _ in groups] == np.cumsum([0, *(n for _, n in groups)])[:-1].tolist()
+    assert [x for at, n in groups for x in encoder(texts.slice(at, n))] == _whole(tokenizer, texts.to_pylist())
+    assert list(B._groups(texts.slice(0, 0))) == [] and list(encoder(texts.slice(0, 0))) == []
+    assert len(encoder.new) + len(encoder.old) < 200
+
+
 def test_awkward_rows(awkward, empty, nulls):
     got = B.read_digests(B.write_ids(awkward, PATH)).collect()
     assert len(got) == awkward.count()
